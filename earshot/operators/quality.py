@@ -9,16 +9,17 @@ from earshot.functions.text import UNKNOWN, blank_to_null, clean_text, strip
 from earshot.operators.popularity import count_rows
 
 
-def _distinct(df: DataFrame, keys: list[str], columns: dict[str, str], extra: list | None = None) -> DataFrame:
-    """Several exact distinct counts per group, each as its own two-step aggregate.
+def _distinct(df: DataFrame, keys: list[str], columns: dict[str, str], partial: list | None = None,
+              final: list | None = None) -> DataFrame:
+    """Row count and several exact distinct counts per group, in one scan.
 
-    Spark would otherwise copy every row once per counted column before the first shuffle.
+    Rows are first folded to one per value combination, so the copy that Spark makes per
+    counted column is of the folded table and a hot group is spread over its values.
     """
-    base = df.groupBy(*keys).agg(count_rows().alias("events"), *(extra or []))
-    for column, name in columns.items():
-        part = df.groupBy(*keys).agg(F.countDistinct(column).alias(name))
-        base = base.join(part, keys) if keys else base.withColumn(name, part.scalar())
-    return base
+    folded = df.groupBy(*keys, *columns).agg(count_rows().alias("_n"), *(partial or []))
+    return folded.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("events"),
+        *[F.countDistinct(c).alias(name) for c, name in columns.items()], *(final or []))
 
 
 def model_metrics(ev: DataFrame) -> DataFrame:

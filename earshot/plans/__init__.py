@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("slices",)
+AREAS = ("slices", "recommend", "history")
 
 
 def load_all():
