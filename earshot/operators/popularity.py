@@ -9,8 +9,6 @@ from earshot.functions.text import UNKNOWN, UNKNOWN_ARTIST, UNKNOWN_TRACK, blank
 from earshot.operators.ranking import ranked
 from earshot.operators.slices import within_days
 
-NEWEST_FIRST = F.col("last_play_ts").desc_nulls_last
-
 
 def count_rows() -> Column:
     return F.count(F.lit(1))

@@ -1,12 +1,191 @@
-"""Serving tables."""
+"""Serving tables: cascades over recommendation sources, search, and list restriction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.functions.text import UNKNOWN, UNKNOWN_ARTIST, blank_to_null, readable, track_key
+from earshot.functions.vibe_rules import VIBES, strings
+from earshot.operators.popularity import best_name, count_rows
+from earshot.operators.ranking import ranked
+
+ITEM = ("track_id", "track_name", "artist_name")
+
 
 def latest_version(recs: DataFrame) -> DataFrame:
     """Rows of the newest model version; equal times go to the larger version name."""
     newest = recs.agg(F.max_by("model_version", F.struct("generated_at", "model_version")).alias("v")).scalar()
     return recs.filter(F.col("model_version") == newest)
+
+
+def is_readable() -> Column:
+    return readable(F.col("track_name"), F.col("artist_name"), F.col("track_id"))
+
+
+def recsource_counts(hybrid: DataFrame, mf: DataFrame, dense: DataFrame, trending: DataFrame) -> DataFrame:
+    """Rows, users and version of every source. The first two carry model_version, generated_at."""
+    def one(name: str, df: DataFrame, versioned: bool) -> DataFrame:
+        rows = latest_version(df) if versioned else df
+        version = F.max("model_version") if versioned else F.lit(None).cast("string")
+        made = F.max("generated_at") if versioned else F.lit(None).cast("timestamp_ntz")
+        users = F.countDistinct("user_id") if "user_id" in df.columns else F.lit(None).cast("long")
+        return rows.agg(count_rows().alias("rows"), users.alias("users"), version.alias("model_version"),
+                        made.alias("generated_at")).select(
+            F.lit(name).alias("source"), (F.col("rows") > 0).alias("available"), "rows", "users",
+            "model_version", "generated_at")
+    return (one("hybrid", hybrid, True).unionByName(one("mf", mf, True))
+            .unionByName(one("dense", dense, False)).unionByName(one("trending", trending, False)))
+
+
+def trending_items(trending: DataFrame, named: DataFrame, limit: int = 20, multiplier: int = 80,
+                   modes: tuple[str, str] = ("trending_7d", "trending_7d_named_fallback")) -> DataFrame:
+    """The first readable trending rows, or the all-time named ones when there are none.
+
+    At most `limit` rows: the list every user without own items receives.
+    """
+    scan = max(limit * multiplier, 500)
+    order = [F.col("global_rank_7d").asc()]
+    columns = ["global_rank_7d", "track_id", "track_name", "artist_id", "artist_name", "plays_7d", "unique_listeners_7d"]
+    recent = ranked(trending.filter((F.col("global_rank_7d") <= scan) & is_readable()), [], order, "position", limit)
+    all_time = ranked(named, [], order, "position", limit)
+    any_recent = recent.agg(count_rows().alias("n")).scalar()
+    return (recent.select(*columns, "position").withColumn("mode", F.lit(modes[0]))
+            .unionByName(all_time.select(*columns, "position").withColumn("mode", F.lit(modes[1]))
+                         .filter(any_recent == 0)))
+
+
+def recs_cascade(users: DataFrame, hybrid: DataFrame, mf: DataFrame, dense: DataFrame, trending: DataFrame,
+                 named: DataFrame, limit: int = 20, fallback: bool = True, use_hybrid: bool = True,
+                 use_mf: bool = True, use_dense: bool = False) -> DataFrame:
+    """Items per user from the first source with any row for the user, then readable rows only.
+
+    A source is chosen before rows are tested, so a user whose chosen rows are all unreadable
+    gets the trending list, not the next source.
+    """
+    scan = max(limit * 50, 500)
+    sources = [(flag, df, mode) for flag, df, mode in (
+        (use_hybrid, hybrid, "personalized_hybrid_ready"), (use_mf, mf, "personalized_mf_ready"),
+        (use_dense, dense, "personalized_dense_1000")) if flag]
+    wanted = users.select("user_id").distinct()
+    rows = None
+    for priority, (_, df, mode) in enumerate(sources):
+        part = (df.filter(F.col("recommendation_rank") <= scan).join(wanted, "user_id", "left_semi")
+                .select("user_id", F.lit(priority).alias("_priority"), F.lit(mode).alias("mode"),
+                        "recommendation_rank", *ITEM, "recommendation_score"))
+        rows = part if rows is None else rows.unionByName(part)
+    chosen = rows.groupBy("user_id").agg(F.min("_priority").alias("_priority"))
+    served = (ranked(rows.join(chosen, ["user_id", "_priority"]).filter(is_readable()), ["user_id"],
+                     [F.col("recommendation_rank").asc()], "position", limit)
+              .select("user_id", "mode", "position", "recommendation_rank", *ITEM, "recommendation_score"))
+    if not fallback:
+        return served
+    items = trending_items(trending, named, limit, 50, ("fallback_trending", "fallback_named_trending"))
+    shared = items.agg(F.collect_list(F.struct("mode", "position", *ITEM)).alias("items")).scalar()
+    others = (wanted.join(served.select("user_id").distinct(), "user_id", "left_anti")
+              .withColumn("i", F.explode(shared))
+              .select("user_id", "i.mode", F.col("i.position").alias("position"),
+                      F.lit(None).cast("long").alias("recommendation_rank"),
+                      *[F.col(f"i.{c}").alias(c) for c in ITEM],
+                      F.lit(None).cast("double").alias("recommendation_score")))
+    return served.unionByName(others)
+
+
+def favorites_cascade(users: DataFrame, favorites: DataFrame, recs: DataFrame, limit: int = 20,
+                      fallback_to_recs: bool = True) -> DataFrame:
+    """Readable favourites of each user, else the user's recs_cascade rows under another mode."""
+    scan = max(limit * 50, 500)
+    wanted = users.select("user_id").distinct()
+    own = favorites.filter(F.col("favorite_rank") <= scan).join(wanted, "user_id", "left_semi").filter(is_readable())
+    served = (ranked(own, ["user_id"], [F.col("favorite_rank").asc()], "position", limit)
+              .select("user_id", F.lit("user_favorites").alias("mode"), "position", *ITEM))
+    if not fallback_to_recs:
+        return served
+    mode = (F.when(F.col("mode").startswith("personalized"), "favorites_fallback_personalized")
+            .when(F.col("mode").startswith("fallback"), "favorites_fallback_trending").otherwise(F.col("mode")))
+    rest = (recs.join(wanted, "user_id", "left_semi")
+            .join(served.select("user_id").distinct(), "user_id", "left_anti")
+            .select("user_id", mode.alias("mode"), "position", *ITEM))
+    return served.unionByName(rest)
+
+
+def _like(text: Column, before: str, word: Column, after: str) -> Column:
+    return text.like(F.concat(F.lit(before), word, F.lit(after)))
+
+
+def search_sources(queries: list[str], ready: DataFrame, cat: DataFrame) -> DataFrame:
+    """Tracks of events (with play counts) and of the catalog that contain any of the queries.
+
+    Rows that match no query are dropped at the scan; each remaining row lists its queries, so
+    no query-by-track product is formed. `%` and `_` in a query are wildcards.
+    """
+    words = strings([q.strip().lower() for q in queries])
+    hit = F.exists(words, lambda w: _like(F.lower("track_name"), "%", w, "%"))
+    played = (ready.filter(hit).groupBy("track_id", "track_name")
+              .agg(F.coalesce(best_name("artist_name"), F.lit(UNKNOWN_ARTIST)).alias("artist_name"),
+                   F.lit(None).cast("string").alias("genre"), count_rows().alias("popularity_30d")))
+    listed = cat.filter("track_name IS NOT NULL").filter(hit).select(
+        F.coalesce("track_id", F.lit(UNKNOWN)).alias("track_id"),
+        F.coalesce(blank_to_null(F.col("track_name")), "track_id", F.lit(UNKNOWN)).alias("track_name"),
+        F.coalesce(blank_to_null(F.col("artist_name")), F.lit(UNKNOWN_ARTIST)).alias("artist_name"),
+        "genre", F.lit(0).cast("long").alias("popularity_30d"), F.col("track_name").alias("_raw"))
+    rows = played.withColumn("_raw", F.col("track_name")).unionByName(listed)
+    matching = F.filter(words, lambda w: _like(F.lower("_raw"), "%", w, "%"))
+    return rows.withColumn("query", F.explode(matching)).drop("_raw")
+
+
+def search_dedup(matches: DataFrame) -> DataFrame:
+    """One row per query, lower-case track and artist name: the most popular, then smallest id.
+
+    An aggregate, so copies of a hot name are dropped before the shuffle.
+    """
+    fields = [c for c in matches.columns if c != "query"]
+    order = F.struct(-F.col("popularity_30d"), F.col("track_id"), F.coalesce("genre", F.lit("")), F.col("track_name"))
+    return (matches.groupBy("query", F.lower("track_name").alias("_t"), F.lower("artist_name").alias("_a"))
+            .agg(F.min_by(F.struct(*fields), order).alias("kept")).select("query", "kept.*"))
+
+
+def search_tracks(queries: list[str], ready: DataFrame, cat: DataFrame, limit: int = 10) -> DataFrame:
+    """Readable matches per query: exact names, then prefixes, then the rest; popular ones first."""
+    name, word = F.lower("track_name"), F.col("query")
+    score = (F.when(name == word, 300).when(_like(name, "", word, "%"), 200)
+             .when(_like(name, "%", word, "%"), 100).otherwise(0))
+    found = search_dedup(search_sources(queries, ready, cat)).withColumn("match_score", score)
+    order = [F.col("match_score").desc(), F.col("popularity_30d").desc(), F.col("track_name").asc(),
+             F.col("artist_name").asc(), F.col("track_id").asc()]
+    scanned = ranked(found, ["query"], order, "_scan", max(limit * 30, 500))
+    return ranked(scanned.filter(is_readable()), ["query"], [F.col("_scan").asc()], "position", limit).select(
+        "query", "position", "track_id", "track_name", "artist_name", "genre", "popularity_30d", "match_score")
+
+
+def item_key() -> Column:
+    return track_key(F.col("track_id"), F.col("track_name"), F.col("artist_name"))
+
+
+def restrict_to(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """Items whose track key is among those of `keys`."""
+    return (items.withColumn("_key", item_key())
+            .join(keys.select(item_key().alias("_key")).distinct(), "_key", "left_semi").drop("_key"))
+
+
+def personalised_vibe(recs: DataFrame, vibe_items: DataFrame) -> DataFrame:
+    """Personalised rows of each user that are also items of a mood; one row per mood."""
+    keys = vibe_items.select("vibe", item_key().alias("_key")).distinct()
+    own = recs.filter(F.col("mode").startswith("personalized")).withColumn("_key", item_key())
+    return own.join(keys, "_key").drop("_key")
+
+
+def vibe_coverage(recs: DataFrame, vibe_items: DataFrame) -> DataFrame:
+    """Per personalised user, how many recommended tracks are items of each mood."""
+    users = recs.filter(F.col("mode").startswith("personalized")).select("user_id").distinct()
+    counts = (personalised_vibe(recs, vibe_items).groupBy("user_id").pivot("vibe", list(VIBES))
+              .agg(F.countDistinct("track_id")))
+    return users.join(counts, "user_id", "left").select(
+        "user_id", *[F.coalesce(v, F.lit(0)).alias(v) for v in VIBES])
+
+
+def next_page(items: DataFrame, shown: DataFrame, size: int, group: list[str], order: list[Column]) -> DataFrame:
+    """The next `size` items of each list whose keys have not been shown in it."""
+    keyed = items.withColumn("_key", item_key())
+    seen = shown.select(*group, item_key().alias("_key")).distinct()
+    return ranked(keyed.join(seen, [*group, "_key"], "left_anti").drop("_key"), group, order, "page_position", size)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("slices", "recommend", "history")
+AREAS = ("slices", "recommend", "history", "evaluate", "vibes", "serving")
 
 
 def load_all():
