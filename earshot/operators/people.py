@@ -112,8 +112,11 @@ def _fuzzy(refs: DataFrame, named: DataFrame, similarity: str, n: int) -> DataFr
     asked = materialize(refs.withColumn("query", name_key(F.col("key"))).filter("query <> ''").select("key", "query").distinct())
     by_gram = targets.select("target").distinct().withColumn("gram", F.explode(_grams(F.col("target"))))
     texts = asked.select("query").distinct()
+    shorter, longer = F.least(F.length("query"), F.length("target")), F.greatest(F.length("query"), F.length("target"))
+    # 2 * shorter / (shorter + longer) bounds both similarities from above.
     pairs = (texts.withColumn("gram", F.explode(_grams(F.col("query"))))
-             .join(by_gram, "gram").select("query", "target").distinct()
+             .join(by_gram, "gram").filter(2 * shorter / (shorter + longer) >= 0.76)
+             .select("query", "target").distinct()
              .withColumn("sim", SIMILARITIES[similarity](F.col("query"), F.col("target")))
              .filter(F.col("sim") >= 0.76))
     bonus = F.when(F.arrays_overlap(F.split("query", " "), F.split("name_norm", " ")), 0.03).otherwise(0.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import UNKNOWN, blank_to_null, clean_text, strip
 from earshot.operators.popularity import count_rows
+from earshot.session import materialize, small
 
 
 def _distinct(df: DataFrame, keys: list[str], columns: dict[str, str], partial: list | None = None,
@@ -25,3 +26,114 @@ def _distinct(df: DataFrame, keys: list[str], columns: dict[str, str], partial:
 def model_metrics(ev: DataFrame) -> DataFrame:
     counted = _distinct(ev, [], {"user_id": "users", "track_id": "tracks"})
     return counted.withColumn("events_per_user", F.round(F.try_divide("events", "users"), 2))
+
+
+def summary(ev: DataFrame) -> DataFrame:
+    return _distinct(ev, [], {"user_id": "distinct_users", "track_id": "distinct_tracks"},
+                     [F.min("event_ts").alias("_lo"), F.max("event_ts").alias("_hi")],
+                     [F.min("_lo").alias("min_event_ts"), F.max("_hi").alias("max_event_ts")]
+                     ).withColumnRenamed("events", "total_events")
+
+
+def source_breakdown(ev: DataFrame) -> DataFrame:
+    return _distinct(ev, ["source"], {"user_id": "users", "track_id": "tracks"},
+                     [F.min("event_ts").alias("_lo"), F.max("event_ts").alias("_hi")],
+                     [F.min("_lo").alias("min_event_ts"), F.max("_hi").alias("max_event_ts")])
+
+
+def top_users_profile(ev: DataFrame, n: int = 100) -> DataFrame:
+    return (ev.groupBy("user_id").agg(
+        count_rows().alias("plays"), F.countDistinct("track_id").alias("distinct_tracks"),
+        F.min("event_ts").alias("first_seen_ts"), F.max("event_ts").alias("last_seen_ts"))
+        .orderBy(F.col("plays").desc(), F.col("user_id").asc()).limit(n))
+
+
+def genre_counts(cat: DataFrame, n: int = 100) -> DataFrame:
+    genre = F.coalesce(blank_to_null(F.col("genre")), F.lit(UNKNOWN)).alias("genre")
+    return (cat.groupBy(genre).agg(count_rows().alias("tracks"))
+            .orderBy(F.col("tracks").desc(), F.col("genre").asc()).limit(n))
+
+
+def sample_files(df: DataFrame, files: int, strategy: str = "random", seed: int = 42) -> DataFrame:
+    """Rows of `files` input files: the first by name, or those with the smallest seeded hash.
+
+    The choice is made from file names, of which there are few; it is not a row sample.
+    """
+    path = F.col("_metadata.file_path")
+    order = F.xxhash64(path, F.lit(seed)) if strategy == "random" else path
+    chosen = df.select(path.alias("p"), order.alias("o")).distinct().orderBy("o", "p").limit(files).select("p")
+    return df.withColumn("_path", path).join(small(chosen, files), F.col("_path") == F.col("p"), "left_semi").drop("_path")
+
+
+def user_diversity(ev: DataFrame, top: int = 10, files: int | None = None, strategy: str = "random",
+                   seed: int = 42) -> DataFrame:
+    """The most frequent users with the totals of the scanned rows."""
+    scanned = ev if files is None else sample_files(ev, files, strategy, seed)
+    users = scanned.groupBy(strip(F.col("user_id")).alias("user_id")).agg(count_rows().alias("rows"))
+    known = users.filter("user_id <> ''")
+    totals = users.agg(F.sum("rows").alias("total_rows"), F.count_if(F.col("user_id") != "").alias("unique_users"))
+    return (known.orderBy(F.col("rows").desc(), F.col("user_id").asc()).limit(top)
+            .withColumn("total_rows", totals.select("total_rows").scalar())
+            .withColumn("unique_users", totals.select("unique_users").scalar()))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    return (df.filter(F.coalesce(F.col(column), F.lit("")) != "")
+            .groupBy(F.col(column).alias("value")).agg(count_rows().alias("n")))
+
+
+def target_checks(ev: DataFrame, ready: DataFrame, events: int = 500_000, users: int = 1000, tracks: int = 50_000,
+                  scope: str = "ready") -> DataFrame:
+    """Actual against target per metric, and an overall row per scope ('raw', 'ready' or 'both')."""
+    targets = {"total_events": events, "distinct_users": users, "distinct_tracks": tracks}
+    out = None
+    for name, df in (("raw", ev), ("ready", ready)):
+        if scope not in (name, "both"):
+            continue
+        counted = _distinct(df, [], {"user_id": "distinct_users", "track_id": "distinct_tracks"})
+        counted = counted.withColumnRenamed("events", "total_events")
+
+        def status(ok):
+            return F.when(ok, "PASS").otherwise("FAIL").alias("status")
+
+        rows = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("actual"),
+                         F.lit(t).cast("long").alias("target"), status(F.col(m) >= t)) for m, t in targets.items()]
+        all_ok = F.lit(True)
+        for m, t in targets.items():
+            all_ok = all_ok & (F.col(m) >= t)
+        rows.append(F.struct(F.lit("overall").alias("metric"), F.lit(None).cast("long").alias("actual"),
+                             F.lit(None).cast("long").alias("target"), status(all_ok)))
+        part = counted.select(F.explode(F.array(*rows)).alias("r")).select(F.lit(name).alias("scope"), "r.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def text_mapping(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values that cleaning changes, with their new text and row count."""
+    return (value_counts(df, column).withColumn("new", clean_text(F.col("value")))
+            .filter(F.col("new").isNotNull() & (F.col("new") != F.col("value"))))
+
+
+def repair_metadata(df: DataFrame, columns: list[str], dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The table with repaired columns, and a report row per column.
+
+    Cleaning runs once per distinct value; the few changed values are joined back. Catalyst
+    broadcasts the mapping when it is small and otherwise joins by value with skew splitting.
+    """
+    out, report = df, None
+    for column in columns:
+        counts = value_counts(df, column).withColumn("new", clean_text(F.col("value")))
+        changed = materialize(counts.filter(F.col("new").isNotNull() & (F.col("new") != F.col("value"))))
+        scanned = value_counts(df, column).agg(count_rows().alias("n")).scalar()
+        top = changed.orderBy(F.col("n").desc(), F.col("value").asc()).limit(10).agg(
+            F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "value", "new", "n"))).alias("e")).scalar()
+        row = changed.agg(count_rows().alias("distinct_values_changed"),
+                          F.coalesce(F.sum("n"), F.lit(0)).alias("rows_changed")).select(
+            F.lit(column).alias("target"), scanned.alias("distinct_values_scanned"), "distinct_values_changed",
+            "rows_changed", F.transform(top, lambda e: F.concat_ws(" -> ", e.value, e.new)).alias("examples"))
+        report = row if report is None else report.unionByName(row)
+        if not dry_run:
+            mapping = changed.select(F.col("value").alias("_old"), F.col("new").alias("_new"))
+            out = (out.join(mapping, F.col(column) == F.col("_old"), "left")
+                   .withColumn(column, F.coalesce("_new", column)).drop("_old", "_new"))
+    return out, report

@@ -110,7 +110,7 @@ def favorites_cascade(users: DataFrame, favorites: DataFrame, recs: DataFrame, l
 
 
 def _like(text: Column, before: str, word: Column, after: str) -> Column:
-    return text.like(F.concat(F.lit(before), word, F.lit(after)))
+    return F.like(text, F.concat(F.lit(before), word, F.lit(after)))
 
 
 def search_sources(queries: list[str], ready: DataFrame, cat: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def vibe_tracks(effective: DataFrame, cat: DataFrame, vibes: list[str], limit: i
 
 
 def _any_keyword(text: Column, words: list[str]) -> Column:
-    return F.exists(strings(words), lambda w: text.like(F.concat(F.lit("%"), w, F.lit("%"))))
+    return F.exists(strings(words), lambda w: F.like(text, F.concat(F.lit("%"), w, F.lit("%"))))
 
 
 def vibe_catalog_match(cat: DataFrame, ready: DataFrame, vibes: list[str], limit: int) -> DataFrame:

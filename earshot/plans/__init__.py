@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("slices", "recommend", "history", "evaluate", "vibes", "serving")
+AREAS = ("slices", "recommend", "history", "evaluate", "vibes", "serving", "quality", "ingest")
 
 
 def load_all():

@@ -118,7 +118,8 @@ def rounded_metrics(df):
 
 
 metrics_sql("pop", "pop_recs", "mp")
-metrics_sql("mf", "mf_eval", "mm")
+define("mf_200", ("mf_latest",), "SELECT * FROM mf_latest WHERE recommendation_rank <= 200")
+metrics_sql("mf", "mf_200", "mm")
 metrics_sql("hybrid(w=0.65,0.25,0.10)", "he_recs", "mh")
 metrics_sql("dense", "rule_ready_200", "md")
 define("rule_ready_200", ("rule_ready", "model_users"),

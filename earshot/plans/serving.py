@@ -176,30 +176,32 @@ query("list_profiles", ("user_profiles",), "SELECT display_name, user_id FROM us
 HEX4 = "CAST(concat('0x', substr(sha256(user_id), {i}, 4)) AS BIGINT)"
 SLOT = f"""((({HEX4.format(i=1)} * 65536 + {HEX4.format(i=5)}) * 65536 + {HEX4.format(i=9)}) % 8100)"""
 FIRST, LAST = (", ".join(f"'{n}'" for n in names) for names in (N.FIRST_NAMES, N.LAST_NAMES))
-query("display_names", ("model_users",), f"""
-turns AS (SELECT user_id, row_number() OVER (ORDER BY plays DESC, user_id) AS turn, {SLOT} AS slot FROM model_users),
+define("shown", ("model_users",), f"""
+WITH turns AS (SELECT user_id, row_number() OVER (ORDER BY plays DESC, user_id) AS turn, {SLOT} AS slot FROM model_users),
 slots AS (SELECT list_reduce(list([slot] ORDER BY turn), lambda taken, ask: list_append(taken,
    list_filter(list_transform(range(0, 64), lambda o: (ask[1] + o) % 8100), lambda c: NOT list_contains(taken, c))[1])) AS taken FROM turns)
-SELECT user_id, concat([{FIRST}][taken[turn] % 90 + 1], ' ', [{LAST}][taken[turn] // 90 + 1]) AS display_name FROM turns CROSS JOIN slots""")(
-    lambda t: N.display_names(t.model_users))
-
-REFS = """SELECT CASE c_custkey % 6 WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN upper(c_name)
-  WHEN 2 THEN concat(' ', substring(c_name, 10, 9)) WHEN 3 THEN concat('Custmer#', substring(c_name, 10, 9))
-  WHEN 4 THEN concat('nobody ', c_mktsegment) ELSE concat('cust ', substring(c_name, 12, 4), 'x', substring(c_name, 16, 3)) END AS ref FROM {customer}"""
-define("refs", (), REFS.replace("{customer}", "customer"))
+SELECT user_id, concat([{FIRST}][taken[turn] % 90 + 1], ' ', [{LAST}][taken[turn] // 90 + 1]) AS display_name FROM turns CROSS JOIN slots""")
+query("display_names", ("shown",), "SELECT * FROM shown")(lambda t: N.display_names(t.model_users))
+
+# References people might type: ids, names in capitals, parts of names, and two kinds of typing slips.
+REFS = """SELECT CASE CAST(user_id AS BIGINT) % 6 WHEN 0 THEN user_id WHEN 1 THEN upper(display_name)
+  WHEN 2 THEN concat(' ', substring(display_name, 3, 8)) WHEN 3 THEN concat(substring(display_name, 1, 3), substring(display_name, 5, 40))
+  WHEN 4 THEN concat('nobody ', user_id) ELSE concat(substring(display_name, 1, 5), 'x', substring(display_name, 6, 40)) END AS ref
+FROM {shown}"""
+define("refs", ("shown",), REFS.replace("{shown}", "shown"))
 define("asked", ("refs",), "SELECT DISTINCT ref, trim(ref) AS key FROM refs")
 NORM = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-query("resolve_users", ("asked", "user_profiles", "model_users"), f"""
+query("resolve_users", ("asked", "shown", "model_users"), f"""
 byid AS (SELECT a.ref, a.key AS user_id, p.display_name, 'user_id' AS method, NULL::DOUBLE AS score FROM asked a
-  JOIN model_users m ON m.user_id = a.key LEFT JOIN user_profiles p ON p.user_id = a.key),
+  JOIN model_users m ON m.user_id = a.key LEFT JOIN shown p ON p.user_id = a.key),
 byname AS (SELECT a.ref, min(p.user_id) AS user_id, min(p.display_name) AS display_name, 'display_name' AS method, NULL::DOUBLE AS score
-  FROM asked a JOIN user_profiles p ON lower(p.display_name) = lower(a.key) WHERE a.ref NOT IN (SELECT ref FROM byid) GROUP BY a.ref),
+  FROM asked a JOIN shown p ON lower(p.display_name) = lower(a.key) WHERE a.ref NOT IN (SELECT ref FROM byid) GROUP BY a.ref),
 open2 AS (SELECT * FROM asked WHERE ref NOT IN (SELECT ref FROM byid) AND ref NOT IN (SELECT ref FROM byname)
   AND length(key) >= 3 AND regexp_matches(key, '[A-Za-z]')),
 bypart AS (SELECT o.ref, min(p.user_id) AS user_id, min(p.display_name) AS display_name, 'partial' AS method, NULL::DOUBLE AS score
-  FROM open2 o JOIN user_profiles p ON contains(lower(p.display_name), lower(o.key)) GROUP BY o.ref HAVING count(*) = 1),
+  FROM open2 o JOIN shown p ON contains(lower(p.display_name), lower(o.key)) GROUP BY o.ref HAVING count(*) = 1),
 open3 AS (SELECT ref, {NORM.format(c='key')} AS q FROM open2 WHERE length(key) >= 4 AND ref NOT IN (SELECT ref FROM bypart)),
-cands AS (SELECT p.user_id, p.display_name, {NORM.format(c='p.display_name')} AS n FROM user_profiles p JOIN model_users m ON m.user_id = p.user_id),
+cands AS (SELECT p.user_id, p.display_name, {NORM.format(c='p.display_name')} AS n FROM shown p JOIN model_users m ON m.user_id = p.user_id),
 scored AS (SELECT o.ref, c.user_id, c.display_name, list_max(list_transform(list_append(string_split(n, ' '), n),
     lambda t: 1 - levenshtein(q, t) / greatest(length(q), length(t), 1)))
   + CASE WHEN list_has_any(string_split(q, ' '), string_split(n, ' ')) THEN 0.03::DOUBLE ELSE 0::DOUBLE END AS score FROM open3 o CROSS JOIN cands c),
@@ -209,7 +211,10 @@ byspell AS (SELECT ref, user_id, display_name, 'fuzzy' AS method, round(score, 9
   WHERE rn = 1 AND score >= 0.84 AND (score - second >= 0.05 OR score >= 0.92)),
 hit AS (SELECT * FROM byid UNION ALL SELECT * FROM byname UNION ALL SELECT * FROM bypart UNION ALL SELECT * FROM byspell)
 SELECT * FROM hit UNION ALL SELECT ref, key, NULL, 'unresolved', NULL FROM asked WHERE ref NOT IN (SELECT ref FROM hit)""")(
-    lambda t: N.resolve_users(t.spark.sql(REFS, customer=t.table("customer")), t.profiles, t.model_users, "edit")
-    .withColumn("score", F.round("score", 9)))
-query("resolve_users_sequence")(
-    lambda t: N.resolve_users(t.spark.sql(REFS, customer=t.table("customer")), t.profiles, t.model_users))
+    lambda t: resolved(t, "edit").withColumn("score", F.round("score", 9)))
+query("resolve_users_sequence")(lambda t: resolved(t, "sequence"))
+
+
+def resolved(t, similarity):
+    names = N.display_names(t.model_users)
+    return N.resolve_users(t.spark.sql(REFS, shown=names), names, t.model_users, similarity)
