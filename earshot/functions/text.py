@@ -27,7 +27,9 @@ UNKNOWN_TRACK = "__unknown_track__"
 UNKNOWN = "__unknown__"
 
 _MARKS = "|".join(re.escape(m) for m in BROKEN_MARKS)
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# What counts as space at the ends of a text.
+_SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                   0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 # The printable characters that Windows-1252 puts at bytes 0x80-0x9f.
 _CP1252 = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0)
            if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -39,58 +41,91 @@ def let(value: Column, body) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, _EDGES, "")
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def _badness(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(_MARKS)) + F.regexp_count(text, F.lit("�"))
+def _quoted(text: str) -> str:
+    return "'" + "".join(f"\\u{ord(c):04x}" if ord(c) > 126 or c in "\\'" or ord(c) < 32 else c for c in text) + "'"
 
 
-def _latin1_as_utf8(text: Column) -> Column:
-    """Bytes of a latin-1 string read as UTF-8; null when either step is impossible."""
-    inside = F.when(text.rlike(r"^[\x00-\xff]*$"), text)
-    return F.try_validate_utf8(F.encode(inside, "ISO-8859-1").cast("string"))
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL that evaluates `value` once and uses it as `name` in `body`."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+def _badness(text: str) -> str:
+    return f"(regexp_count({text}, {_quoted(_MARKS)}) + regexp_count({text}, {_quoted('�')}))"
 
-def _cp1252_as_utf8(text: Column) -> Column:
-    allowed = text.rlike(r"^[\x00-\x7f\xa0-\xff" + "".join(_CP1252) + "]*$")
-    as_bytes = F.translate(text, "".join(_CP1252), "".join(_CP1252.values()))
-    return _latin1_as_utf8(F.when(allowed, as_bytes))
 
+def _better(best: str, candidate: str) -> str:
+    return f"if({candidate} IS NOT NULL AND {_badness(candidate)} < {_badness(best)}, {candidate}, {best})"
 
-def _better(best: Column, candidate: Column) -> Column:
-    return F.when(candidate.isNotNull() & (_badness(candidate) < _badness(best)), candidate).otherwise(best)
 
+def _latin1_as_utf8(text: str) -> str:
+    """Bytes of a latin-1 string read as UTF-8; null when either step is impossible."""
+    return (f"try_validate_utf8(CAST(encode(CASE WHEN {text} RLIKE {_quoted('^[')}||{_quoted(chr(0x01))}||'-'||{_quoted(chr(0xff))}||']*$' "
+            f"THEN {text} END, 'ISO-8859-1') AS STRING))")
 
-def _redecode(text: Column) -> Column:
-    def both(t: Column) -> Column:
-        return let(_better(t, _latin1_as_utf8(t)), lambda b: _better(b, _cp1252_as_utf8(t)))
-    return F.when(text.rlike(_MARKS), let(text, both)).otherwise(text)
 
+def _cp1252_as_utf8(text: str) -> str:
+    allowed = "^[" + "\x01-\x7f" + "\xa0-\xff" + "".join(_CP1252) + "]*$"
+    as_bytes = f"translate({text}, {_quoted(''.join(_CP1252))}, {_quoted(''.join(_CP1252.values()))})"
+    return _latin1_as_utf8(f"CASE WHEN {text} RLIKE {_quoted(allowed)} THEN {as_bytes} END")
 
-def repair_mojibake(col: Column) -> Column:
-    """Undo UTF-8 text that was read as latin-1 or Windows-1252, up to two layers deep."""
-    return let(col, lambda text: F.when(text.rlike(_MARKS), _repair(text)).otherwise(text))
 
+def _redecode(text: str) -> str:
+    inner = _bound(_latin1_as_utf8("t"), "l", _bound(_better("t", "l"), "b", _bound(
+        _cp1252_as_utf8("t"), "c", _better("b", "c"))))
+    return _bound(text, "t", f"CASE WHEN t RLIKE {_quoted(_MARKS)} THEN {inner} ELSE t END")
 
-def _repair(text: Column) -> Column:
+
+def _repair_sql(text: str) -> str:
     fixed = text
     for broken, right in BROKEN_SEQUENCES.items():
-        fixed = F.replace(fixed, F.lit(broken), F.lit(right))
-    fixed = F.replace(F.replace(fixed, F.lit("Â "), F.lit(" ")), F.lit("Â"), F.lit(""))
-    return let(let(fixed, _redecode), _redecode)
+        fixed = f"replace({fixed}, {_quoted(broken)}, {_quoted(right)})"
+    fixed = f"replace(replace({fixed}, {_quoted('Â ')}, ' '), {_quoted('Â')}, '')"
+    return f"CASE WHEN {text} RLIKE {_quoted(_MARKS)} THEN {_redecode(_redecode(fixed))} ELSE {text} END"
+
+
+def _sql_function(col: Column | str, body) -> Column:
+    """Apply SQL text to a column. A column name is put into the text as it is; any other
+    column is evaluated once and bound to a variable.
+
+    The text is parsed in one go. Building the same expression from some 150 column calls per
+    use takes longer than a small query runs.
+    """
+    if isinstance(col, str):
+        return F.expr(body(".".join(f"`{part}`" for part in col.split("."))))
+    return F.call_function("transform", F.array(col), F.expr(f"s -> {body('s')}")).getItem(0)
 
 
-def clean_text(col: Column, repair: bool = True) -> Column:
+def repair_mojibake(col: Column | str) -> Column:
+    """Undo UTF-8 text that was read as latin-1 or Windows-1252, up to two layers deep."""
+    return _sql_function(col, _repair_sql)
+
+
+def _clean_sql(repair: bool, trimmed: bool = False):
+    already_trimmed = trimmed
+
+    def body(text: str) -> str:
+        spaces = _quoted(_SPACES)
+        trimmed = text if already_trimmed else f"btrim(CAST({text} AS STRING), {spaces})"
+        words = ", ".join(f"'{w}'" for w in NULL_WORDS)
+        # Nearly all text is intact, so the repair sits behind a few substring tests.
+        broken = " OR ".join(f"contains({trimmed}, {_quoted(m)})" for m in ("Ã", "Â", "â€", "�"))
+        repaired = _bound(_bound(trimmed, "w", f"btrim({_repair_sql('w')}, {spaces})"), "r", "nullif(r, '')")
+        return (f"CASE WHEN {trimmed} = '' OR lower({trimmed}) IN ({words}) THEN NULL "
+                + (f"WHEN {broken} THEN {repaired} " if repair else "") + f"ELSE {trimmed} END")
+    return body
+
+
+def clean_text(col: Column | str, repair: bool = True) -> Column:
     """Trim; blank and null-like words become null; broken encodings are repaired."""
-    def without_null_words(text: Column) -> Column:
-        kept = F.when((text != "") & ~F.lower(text).isin(*NULL_WORDS), text)
-        return let(strip(repair_mojibake(kept)), blank_to_null) if repair else kept
-    return let(strip(col.cast("string")), without_null_words)
+    return _sql_function(col, _clean_sql(repair))
 
 
 def contraction_case(col: Column) -> Column:
@@ -105,8 +140,15 @@ def display_text(col: Column) -> Column:
     return contraction_case(clean_text(col))
 
 
+def with_clean_text(df: DataFrame, columns: dict[str, Column], repair: bool = True) -> DataFrame:
+    """Add or replace cleaned columns. Trimming is a projection of its own, so that the generated
+    code for the tests on the trimmed text stays small enough to be compiled."""
+    trimmed = df.withColumns({name: strip(col.cast("string")) for name, col in columns.items()})
+    return trimmed.withColumns({name: F.expr(_clean_sql(repair, trimmed=True)(f"`{name}`")) for name in columns})
+
+
 def clean_text_columns(df: DataFrame, columns: list[str], repair: bool = True) -> DataFrame:
-    return df.withColumns({c: clean_text(F.col(c), repair) for c in columns})
+    return with_clean_text(df, {c: F.col(c) for c in columns}, repair)
 
 
 def clean_display_columns(df: DataFrame, columns: list[str]) -> DataFrame:

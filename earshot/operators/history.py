@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.text import UNKNOWN_ARTIST, blank_to_null, clean_text
+from earshot.functions.text import UNKNOWN_ARTIST, blank_to_null, clean_text_columns
 from earshot.operators.popularity import best_name, count_rows
 from earshot.operators.ranking import ranked
 from earshot.operators.slices import MODEL_USERS, slice_events_by_users
@@ -100,9 +100,9 @@ def interaction_weights(hist: DataFrame) -> DataFrame:
 
 def cleaned_names(hist: DataFrame) -> DataFrame:
     """Cleaned names with the track id and the unknown artist as stand-ins."""
-    return hist.withColumns({
-        "track_name": F.coalesce(clean_text(F.col("track_name")), F.col("track_id")),
-        "artist_name": F.coalesce(clean_text(F.col("artist_name")), F.lit(UNKNOWN_ARTIST))})
+    return clean_text_columns(hist, ["track_name", "artist_name"]).withColumns({
+        "track_name": F.coalesce("track_name", "track_id"),
+        "artist_name": F.coalesce("artist_name", F.lit(UNKNOWN_ARTIST))})
 
 
 def user_artist_counts(hist: DataFrame) -> DataFrame:

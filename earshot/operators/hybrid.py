@@ -123,12 +123,12 @@ def recs_hybrid(hist: DataFrame, mf: DataFrame, settings: HybridSettings = Hybri
               .agg(F.min("recommendation_score").alias("mf_min"), F.max("recommendation_score").alias("mf_max")))
     unseen = scan.join(hist, ["user_id", "track_id"], "left_anti")
     if s.clean:
-        from earshot.functions.text import UNKNOWN_ARTIST, clean_text
+        from earshot.functions.text import UNKNOWN_ARTIST, clean_text_columns
 
         named = meta.select("track_id", F.col("track_name").alias("_t"), F.col("artist_name").alias("_a"))
-        unseen = (unseen.join(named, "track_id", "left")
-                  .withColumn("track_name", F.coalesce(clean_text(F.col("track_name")), "_t", "track_id"))
-                  .withColumn("artist_name", F.coalesce(clean_text(F.col("artist_name")), "_a", F.lit(UNKNOWN_ARTIST))))
+        unseen = (clean_text_columns(unseen, ["track_name", "artist_name"]).join(named, "track_id", "left")
+                  .withColumn("track_name", F.coalesce("track_name", "_t", "track_id"))
+                  .withColumn("artist_name", F.coalesce("artist_name", "_a", F.lit(UNKNOWN_ARTIST))))
     from_mf = materialize(unseen.select("user_id", "track_id", "track_name", "artist_name",
                                         F.col("recommendation_score").alias("mf_raw")))
 

@@ -110,7 +110,7 @@ def target_checks(ev: DataFrame, ready: DataFrame, events: int = 500_000, users:
 
 def text_mapping(df: DataFrame, column: str) -> DataFrame:
     """Distinct values that cleaning changes, with their new text and row count."""
-    return (value_counts(df, column).withColumn("new", clean_text(F.col("value")))
+    return (value_counts(df, column).withColumn("new", clean_text("value"))
             .filter(F.col("new").isNotNull() & (F.col("new") != F.col("value"))))
 
 
@@ -122,15 +122,16 @@ def repair_metadata(df: DataFrame, columns: list[str], dry_run: bool = False) ->
     """
     out, report = df, None
     for column in columns:
-        counts = value_counts(df, column).withColumn("new", clean_text(F.col("value")))
+        counts = value_counts(df, column).withColumn("new", clean_text("value"))
         changed = materialize(counts.filter(F.col("new").isNotNull() & (F.col("new") != F.col("value"))))
         scanned = value_counts(df, column).agg(count_rows().alias("n")).scalar()
         top = changed.orderBy(F.col("n").desc(), F.col("value").asc()).limit(10).agg(
-            F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "value", "new", "n"))).alias("e")).scalar()
+            F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "value", "new"))),
+                        lambda e: F.concat_ws(" -> ", e.value, e.new)).alias("e")).scalar()
         row = changed.agg(count_rows().alias("distinct_values_changed"),
                           F.coalesce(F.sum("n"), F.lit(0)).alias("rows_changed")).select(
             F.lit(column).alias("target"), scanned.alias("distinct_values_scanned"), "distinct_values_changed",
-            "rows_changed", F.transform(top, lambda e: F.concat_ws(" -> ", e.value, e.new)).alias("examples"))
+            "rows_changed", top.alias("examples"))
         report = row if report is None else report.unionByName(row)
         if not dry_run:
             mapping = changed.select(F.col("value").alias("_old"), F.col("new").alias("_new"))

@@ -93,18 +93,15 @@ def catalog(t):
     return out.unionByName(W.parse_catalog(body, "cat")).withColumn("duration_sec", F.col("duration_sec").cast("double"))
 
 
-ODD = {"listener": "user_id", "song_id": "track_id", "audio_vector": "artist_id", "played_at": "event_ts", "song_title": "track_name"}
-
-
 def odd_table(t):
-    """Events under unfamiliar column names, times as epoch milliseconds, some missing."""
-    ms = F.when(F.col("event_type") == "play", F.unix_millis(F.col("event_ts").cast("timestamp")).cast("string"))
+    """Events under unfamiliar column names, times as epoch milliseconds (moved past 2001), some missing."""
+    ms = F.when(F.col("event_type") == "play", F.unix_millis(F.expr("event_ts + INTERVAL 4000 DAYS").cast("timestamp")).cast("string"))
     return t.listens.select(F.col("user_id").alias("UserId"), F.col("track_id").alias("song-id"), F.col("artist_id").alias("audio_vector"),
                             ms.alias("Played At"), F.col("track_name").alias("song title"), F.col("event_type").alias("action"))
 
 
 query("normalise_events", EV, f"""
-SELECT 'odd' AS source, user_id, track_id, NULL AS artist_id, event_ts, event_type, {CLEANED} AS track_name, NULL AS artist_name
+SELECT 'odd' AS source, user_id, track_id, NULL AS artist_id, event_ts + INTERVAL 4000 DAYS AS event_ts, event_type, {CLEANED} AS track_name, NULL AS artist_name
 FROM listen_events WHERE event_type = 'play'""")(lambda t: ntz(B.normalise_events(odd_table(t), "odd")))
 query("normalise_events_generated_time", EV, """
 SELECT event_type, count(*) AS rows, count(*) AS distinct_times_or_rows FROM listen_events GROUP BY event_type""")(
@@ -185,7 +182,7 @@ def dedup(t):
 def insert(t):
     target = f"{workspace(t.spark, 'insert')}/events"
     from earshot.functions.text import clean_text
-    events = t.listens.withColumn("track_name", clean_text(F.col("track_name"))).withColumn("event_hash", stored_event_hash())
+    events = t.listens.withColumn("track_name", clean_text("track_name")).withColumn("event_hash", stored_event_hash())
     events = events.select("event_hash", "user_id", "track_id")
     K.sink_insert_ignore(events.filter("user_id < '5'"), target)
     K.sink_insert_ignore(events, target)

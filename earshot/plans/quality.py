@@ -51,9 +51,10 @@ query("clean_display_columns", ("track_catalog",), """
 SELECT source, track_id, CASE WHEN track_name = '' THEN '' ELSE concat('You''re ', track_name, ' O''Neil') END AS track_name FROM track_catalog""")(
     lambda t: clean_display_columns(t.catalog.withColumn("track_name", F.when(F.col("track_name") == "", "").otherwise(
         F.concat(F.lit("You'Re "), "track_name", F.lit(" O'Neil")))), ["track_name"]).select("source", "track_id", "track_name"))
+# Epoch values below 10^12 are read as seconds, so the times are moved past 2001 first.
 query("flexible_event_ts", EV, """
-SELECT event_id, event_ts FROM listen_events""")(
-    lambda t: t.listens.select("event_id", flexible_event_ts(
+SELECT event_id, event_ts + INTERVAL 4000 DAYS AS event_ts FROM listen_events""")(
+    lambda t: t.listens.withColumn("event_ts", F.expr("event_ts + INTERVAL 4000 DAYS")).select("event_id", flexible_event_ts(
         F.when(F.col("source") == "src_a", F.unix_micros(F.col("event_ts").cast("timestamp")).cast("string"))
         .when(F.col("source") == "src_r", F.unix_millis(F.col("event_ts").cast("timestamp")).cast("string"))
         .otherwise(F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).cast("timestamp_ntz").alias("event_ts")))

@@ -18,6 +18,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = (
         SparkSession.builder.appName("earshot")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -33,6 +35,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings that decide results, on whatever session the caller brings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Call sites for error messages cost two more gateway calls per column expression.
+    spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
+    # The JVM does not compile methods above this size; Spark then splits the code instead.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

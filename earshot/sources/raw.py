@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
-from earshot.functions.text import clean_text
+from earshot.functions.text import with_clean_text
 
 # The play log's field order and the accepted catalog column names.
 PLAY_LOG_FIELDS = ("user_id", "event_ts", "artist_id", "artist_name", "track_id", "track_name")
@@ -32,11 +32,10 @@ def parse_play_log(lines: DataFrame, source: str, observation: Observation | Non
     if observation is not None:
         parsed = parsed.observe(observation, F.count("event_ts").alias("rows"),
                                 F.count_if(F.col("event_ts").isNull()).alias("bad_rows"))
-    fields = {f: clean_text(F.get("p", F.lit(i))) for i, f in enumerate(PLAY_LOG_FIELDS) if f != "event_ts"}
-    return parsed.filter("event_ts IS NOT NULL").select(
-        F.lit(source).alias("source"), fields["user_id"].alias("user_id"), fields["track_id"].alias("track_id"),
-        fields["artist_id"].alias("artist_id"), "event_ts", F.lit("play").alias("event_type"),
-        fields["track_name"].alias("track_name"), fields["artist_name"].alias("artist_name"))
+    texts = {f: F.get("p", F.lit(i)) for i, f in enumerate(PLAY_LOG_FIELDS) if f != "event_ts"}
+    return with_clean_text(parsed.filter("event_ts IS NOT NULL"), texts).select(
+        F.lit(source).alias("source"), "user_id", "track_id", "artist_id", "event_ts",
+        F.lit("play").alias("event_type"), "track_name", "artist_name")
 
 
 def load_play_log_tsv(spark: SparkSession, path: str, source: str, observation: Observation | None = None) -> DataFrame:
@@ -64,12 +63,11 @@ def parse_catalog(rows: DataFrame, source: str) -> DataFrame:
     def first(field: str) -> Column | None:
         return next((F.col(f"`{n}`") for n in CATALOG_NAMES[field] if n in rows.columns), None)
 
-    def text(field: str) -> Column:
-        column = first(field)
-        return (clean_text(column) if column is not None else F.lit(None).cast("string")).alias(field)
+    texts = {f: first(f) if first(f) is not None else F.lit(None) for f in CATALOG_NAMES if f != "duration_sec"}
     duration = first("duration_sec")
-    return rows.select(F.lit(source).alias("source"), *[text(f) for f in ("track_id", "artist_id", "track_name", "artist_name", "genre")],
-                       (catalog_float(duration) if duration is not None else F.lit(None).cast("float")).alias("duration_sec"))
+    seconds = catalog_float(duration) if duration is not None else F.lit(None).cast("float")
+    return with_clean_text(rows.select(seconds.alias("duration_sec"), *[c.alias(f) for f, c in texts.items()]),
+                           {f: F.col(f) for f in texts}).select(F.lit(source).alias("source"), *texts, "duration_sec")
 
 
 def load_catalog_csv(spark: SparkSession, path: str, source: str, header_rows: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions.events import iso_micros
-from earshot.functions.text import clean_text
+from earshot.functions.text import clean_text_columns
 from earshot.operators.ranking import ranked
 
 STAGE_SCHEMA = ("user_id STRING, track_id STRING, artist_id STRING, event_ts TIMESTAMP, event_type STRING, "
@@ -54,8 +54,8 @@ def replay_events(staged: DataFrame, max_records: int | None = None, max_per_use
         from earshot.operators.quality import sample_files
 
         rows = sample_files(rows, max_files, order, seed)
-    cleaned = rows.withColumns({**{f: clean_text(F.col(f)) for f in TEXT_FIELDS},
-                                "event_type": F.coalesce(clean_text(F.col("event_type")), F.lit("play"))})
+    cleaned = clean_text_columns(rows, [*TEXT_FIELDS, "event_type"]).withColumn(
+        "event_type", F.coalesce("event_type", F.lit("play")))
     valid = cleaned.filter("user_id IS NOT NULL AND event_ts IS NOT NULL")
     fields = ["source", "user_id", "track_id", "artist_id", "event_ts", "event_type", "track_name", "artist_name"]
     identity = F.xxhash64(*fields, F.lit(seed))
