@@ -59,22 +59,24 @@ def _renamed(vectors: DataFrame, column: str, name: str) -> DataFrame:
 
 def _score_block(k: int):
     def score(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"user_id": [], "track_id": [], "score": []})
-        right = right.sort_values("track_id", ignore_index=True)
-        items = right["track_id"].to_numpy()
-        scores = (np.stack(left["user_vec"].to_numpy()).astype(np.float64)
-                  @ np.stack(right["track_vec"].to_numpy()).astype(np.float64).T)
-        place = {t: i for i, t in enumerate(items)}
-        out = []
-        for row, (user, seen) in enumerate(zip(left["user_id"], left["seen"])):
-            line = scores[row]
-            if seen is not None:
-                line[[place[t] for t in seen if t in place]] = -np.inf
-            best = np.argsort(-line, kind="stable")[:k]
-            best = best[np.isfinite(line[best])]
-            out.append(pd.DataFrame({"user_id": user, "track_id": items[best], "score": line[best]}))
-        return pd.concat(out, ignore_index=True)
+        users, tracks, values = [], [], []
+        if len(left) and len(right):
+            items = np.array(sorted(right["track_id"]), dtype=object)
+            vectors = dict(zip(right["track_id"], right["track_vec"]))
+            scores = (np.stack(left["user_vec"].to_list()).astype(np.float64)
+                      @ np.stack([vectors[t] for t in items]).astype(np.float64).T)
+            place = {t: i for i, t in enumerate(items)}
+            for row, (user, seen) in enumerate(zip(left["user_id"], left["seen"])):
+                line = scores[row]
+                if seen is not None:
+                    line[[place[t] for t in seen if t in place]] = -np.inf
+                best = np.argsort(-line, kind="stable")[:k]
+                best = best[np.isfinite(line[best])]
+                users += [user] * len(best)
+                tracks += items[best].tolist()
+                values += line[best].tolist()
+        return pd.DataFrame({"user_id": pd.Series(users, dtype=object), "track_id": pd.Series(tracks, dtype=object),
+                             "score": pd.Series(values, dtype="float64")})
     return score
 
 
