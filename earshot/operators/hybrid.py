@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.functions.text import UNKNOWN_ARTIST, clean_text_columns
 from earshot.operators.history import cleaned_names, first_seen_names, global_pop, user_artists_top
 from earshot.operators.ranking import positions, ranked
 from earshot.session import materialize, small
@@ -117,20 +118,21 @@ def recs_hybrid(hist: DataFrame, mf: DataFrame, settings: HybridSettings = Hybri
     pool = materialize(top_pop_pool(pop, s.pool_size).join(meta, "track_id"))
     likes = materialize(user_artists_top(hist, s.artists).select("user_id", "artist_name"))
 
-    wide = mf.join(users, "user_id", "left_semi")
-    scan = wide.filter(F.col("recommendation_rank") <= s.scanned)
-    ranges = ((scan if s.scale_over_scan else wide).groupBy("user_id")
-              .agg(F.min("recommendation_score").alias("mf_min"), F.max("recommendation_score").alias("mf_max")))
-    unseen = scan.join(hist, ["user_id", "track_id"], "left_anti")
+    # One pass over the MF rows: played ones are marked, not dropped, because they count in the range.
+    mine = mf.join(users, "user_id", "left_semi").select(
+        "user_id", "track_id", "track_name", "artist_name", "recommendation_rank",
+        F.col("recommendation_score").alias("mf_raw"))
+    mine = mine if not s.scale_over_scan else mine.filter(F.col("recommendation_rank") <= s.scanned)
     if s.clean:
-        from earshot.functions.text import UNKNOWN_ARTIST, clean_text_columns
-
         named = meta.select("track_id", F.col("track_name").alias("_t"), F.col("artist_name").alias("_a"))
-        unseen = (clean_text_columns(unseen, ["track_name", "artist_name"]).join(named, "track_id", "left")
-                  .withColumn("track_name", F.coalesce("track_name", "_t", "track_id"))
-                  .withColumn("artist_name", F.coalesce("artist_name", "_a", F.lit(UNKNOWN_ARTIST))))
-    from_mf = materialize(unseen.select("user_id", "track_id", "track_name", "artist_name",
-                                        F.col("recommendation_score").alias("mf_raw")))
+        mine = (clean_text_columns(mine, ["track_name", "artist_name"]).join(named, "track_id", "left")
+                .withColumn("track_name", F.coalesce("track_name", "_t", "track_id"))
+                .withColumn("artist_name", F.coalesce("artist_name", "_a", F.lit(UNKNOWN_ARTIST))).drop("_t", "_a"))
+    marked = materialize(mine.join(hist.select("user_id", "track_id", F.lit(True).alias("_played")),
+                                   ["user_id", "track_id"], "left"))
+    ranges = marked.groupBy("user_id").agg(F.min("mf_raw").alias("mf_min"), F.max("mf_raw").alias("mf_max"))
+    from_mf = marked.filter(F.col("_played").isNull() & (F.col("recommendation_rank") <= s.scanned)).select(
+        "user_id", "track_id", "track_name", "artist_name", "mf_raw")
 
     ranks = small(pool.select("track_id", "pool_rank"), s.pool_size)
     excluded = materialize(

@@ -7,7 +7,7 @@ from earshot.operators import factors as M
 from earshot.operators import history as H
 from earshot.operators import hybrid as Y
 from earshot.operators import rules as R
-from earshot.plans.history import SCORES, history, hybrid_views, latest
+from earshot.plans.history import SCORES, hybrid_views
 from earshot.plans.recommend import rounded
 from earshot.plans.registry import define, query
 from earshot.plans.slices import READABLE
@@ -73,7 +73,7 @@ ROUND4 = ("* REPLACE (round(recommendation_score, 9) AS recommendation_score, ro
 
 
 def hybrid_eval(t, h, weights=(0.65, 0.25, 0.10)):
-    allowed = latest(t).join(h.train.select("track_id").distinct(), "track_id", "left_semi")
+    allowed = t.mf_of(h.test.select("user_id").distinct()).join(h.train.select("track_id").distinct(), "track_id", "left_semi")
     return Y.recs_hybrid(h.train, allowed, Y.HybridSettings.evaluation(SCAN, weights), h.test)
 
 
@@ -138,7 +138,7 @@ SELECT {ROUND_M} FROM (SELECT * FROM mp_metrics UNION ALL SELECT * FROM mm_metri
 UNION ALL SELECT * FROM md_metrics)""")
 def temporal(t):
     dense = R.recs_rule(t.ready, users=t.model_users, max_rank=SCAN)
-    mf = latest(t)
+    mf = t.mf_of(t.model_users)
     return rounded_metrics(E.temporal_eval(t.ready, t.model_users, mf=mf, dense=dense))
 
 
@@ -152,7 +152,7 @@ metrics_sql("hybrid(w=0.20,0.70,0.10)", "hg_recs", "mg")
 query("weight_grid_best", ("mh_metrics", "mg_metrics"), f"""
 SELECT {ROUND_M} FROM (SELECT * EXCLUDE (combo) FROM (SELECT *, 0 AS combo FROM mh_metrics UNION ALL SELECT *, 1 FROM mg_metrics)
 ORDER BY ndcg_at_k DESC, hit_rate_at_k DESC, precision_at_k DESC, combo LIMIT 1)""")(
-    lambda t: rounded_metrics(E.temporal_eval(t.ready, t.model_users, sources=("hybrid",), mf=latest(t),
+    lambda t: rounded_metrics(E.temporal_eval(t.ready, t.model_users, sources=("hybrid",), mf=t.mf_of(t.model_users),
                                               grid=[(0.65, 0.25, 0.10), (0.2, 0.7, 0.1)])))
 
 VECTORS = """v AS (SELECT CAST(vec_id AS VARCHAR) AS id, label % 2 AS side, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"""

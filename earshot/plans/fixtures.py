@@ -11,8 +11,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.operators.ranking import ranked
+from earshot.operators.serving import latest_version
 from earshot.operators.slices import model_users_top, ready_events
-from earshot.session import prepare
+from earshot.session import materialize, prepare
 
 LISTEN_EVENTS = """
 SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
@@ -103,8 +105,7 @@ class Inputs:
 
     def view(self, name: str, **replaced: DataFrame) -> DataFrame:
         text = VIEWS[name]
-        bound = {t: replaced.get(t) if t in replaced else self.table(t)
-                 for t in INPUTS if "{" + t + "}" in text}
+        bound = {t: replaced[t] if t in replaced else self.table(t) for t in INPUTS if "{" + t + "}" in text}
         return self.spark.sql(text, **bound)
 
     @cached_property
@@ -133,13 +134,25 @@ class Inputs:
 
     @cached_property
     def model_users(self) -> DataFrame:
-        return model_users_top(self.ready)
+        """The 1000 most active users, kept as the table that all model jobs start from."""
+        return materialize(model_users_top(self.ready))
 
     @cached_property
     def mf(self) -> DataFrame:
         """Stored recommendations of both versions, ranked per version and user."""
-        from earshot.operators.ranking import ranked
+        return self._ranked(self.view("stored_mf"))
 
-        return ranked(self.view("stored_mf"), ["model_version", "user_id"],
+    @cached_property
+    def mf_latest(self) -> DataFrame:
+        """The newest version only; ranks are per version, so it is chosen before ranking."""
+        return self._ranked(latest_version(self.view("stored_mf")))
+
+    def mf_of(self, users: DataFrame) -> DataFrame:
+        """The newest rows of some users; ranks are per user, so the others are left out first."""
+        return self._ranked(latest_version(self.view("stored_mf")).join(users.select("user_id"), "user_id", "left_semi"))
+
+    @staticmethod
+    def _ranked(rows: DataFrame) -> DataFrame:
+        return ranked(rows, ["model_version", "user_id"],
                       [F.col("recommendation_score").desc(), F.col("track_id").asc()],
                       "recommendation_rank", max_rank=500)

@@ -96,9 +96,7 @@ SELECT user_id, track_id, recommendation_score, min(recommendation_score) OVER (
 
 
 def latest(t):
-    from earshot.operators.serving import latest_version
-
-    return latest_version(t.mf)
+    return t.mf_latest
 
 
 def hybrid_views(tag, hist, mf, users, k, scan, pool, cap, weights, over_scan, tie_pop, meta_fallback):
@@ -152,7 +150,7 @@ SCORES = ("recommendation_score", "mf_score", "pop_score", "artist_bonus")
 
 
 def hybrid(t, **changes):
-    return Y.recs_hybrid(history(t), latest(t), Y.HybridSettings(**changes))
+    return Y.recs_hybrid(history(t), t.mf_of(t.model_users), Y.HybridSettings(**changes))
 
 
 query("recs_hybrid", ("hy_recs",), f"SELECT {ROUND4} FROM hy_recs")(lambda t: rounded(hybrid(t), *SCORES))

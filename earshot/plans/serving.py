@@ -15,7 +15,7 @@ from earshot.plans.vibes import named, vibe_items
 
 query("latest_version_join", ("mf_latest",), """
 SELECT model_version, user_id, recommendation_rank, track_id, recommendation_score FROM mf_latest""")(
-    lambda t: latest(t).select("model_version", "user_id", "recommendation_rank", "track_id", "recommendation_score"))
+    lambda t: S.latest_version(t.mf).select("model_version", "user_id", "recommendation_rank", "track_id", "recommendation_score"))
 
 
 def trending(t, n):
