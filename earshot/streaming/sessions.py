@@ -17,12 +17,39 @@ def session_windows(events: DataFrame, gap: str = GAP, watermark: str = "1 day")
     Works on a stream (append mode: a session is sent once the watermark has passed it) and on
     a table. The session ends with its last event plus the gap.
     """
-    source = events.withWatermark("event_ts", watermark) if events.isStreaming else events
-    return (source.groupBy("user_id", F.session_window("event_ts", gap).alias("w"))
+    if not events.isStreaming:
+        return _sessions_of_table(events, gap)
+    return (events.withWatermark("event_ts", watermark)
+            .groupBy("user_id", F.session_window("event_ts", gap).alias("w"))
             .agg(count_rows().alias("plays"))
             .select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "plays"))
 
 
+def _joined_runs(pieces: DataFrame, keys: list[str], gap: str) -> DataFrame:
+    """Merge pieces (first_ts, last_ts, plays) of each key that follow each other within the gap."""
+    order = Window.partitionBy(*keys).orderBy("first_ts", "last_ts")
+    opens = F.coalesce(F.col("first_ts") >= F.lag("last_ts").over(order) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    marked = pieces.withColumn("_new", opens.cast("long"))
+    numbered = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_run").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("plays").alias("plays"))
+
+
+def _sessions_of_table(events: DataFrame, gap: str) -> DataFrame:
+    """Sessions within each user's hours first, then across them.
+
+    Equal times are folded before the first shuffle and a busy user is spread over their hours;
+    the second step sees runs instead of events.
+    """
+    times = (events.groupBy("user_id", "event_ts").agg(count_rows().alias("plays"))
+             .select("user_id", F.date_trunc("hour", "event_ts").alias("_hour"), F.col("event_ts").alias("first_ts"),
+                     F.col("event_ts").alias("last_ts"), "plays"))
+    runs = _joined_runs(times, ["user_id", "_hour"], gap).drop("_hour", "_run")
+    return _joined_runs(runs, ["user_id"], gap).select(
+        "user_id", F.col("first_ts").alias("session_start"),
+        (F.col("last_ts") + F.expr(f"INTERVAL {gap}")).alias("session_end"), "plays")
+
+
 def _top_genres(group: list[str], n: int) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("_rank", "genre"))), lambda s: s.genre)
 
