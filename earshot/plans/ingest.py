@@ -159,7 +159,8 @@ def raw_stream(t):
 @query("stream_ingest_events", ("ingested",), "SELECT * FROM ingested")
 def ingest(t):
     root = workspace(t.spark, "ingest")
-    T.stream_ingest_events(raw_stream(t), f"{root}/events", f"{root}/offsets", f"{root}/rejects").awaitTermination()
+    T.stream_ingest_events(raw_stream(t), f"{root}/events", f"{root}/offsets", f"{root}/rejects",
+                           tasks=t.spark.sparkContext.defaultParallelism).awaitTermination()
     return ntz(T.ingested(t.spark, f"{root}/events"))
 
 
