@@ -31,6 +31,10 @@ SELECT event_id, event_ts FROM listen_events
 WHERE event_ts >= (SELECT max(event_ts) FROM listen_events) - INTERVAL 30 DAYS""")(
     lambda t: S.within_days(t.listens, 30).select("event_id", "event_ts"))
 
+query("anchor_cross_join", EV, """
+SELECT event_id FROM listen_events CROSS JOIN (SELECT max(event_ts) AS newest FROM listen_events) WHERE event_ts >= newest - INTERVAL 7 DAYS""")(
+    lambda t: S.within_days(t.listens, 7).select("event_id"))
+
 USERS = """SELECT user_id, count(*) AS plays FROM {t} WHERE event_type = 'play' GROUP BY user_id"""
 
 query("model_users_gt20", EV, USERS.format(t="listen_events") + " HAVING count(*) > 20")(
