@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import mixing, quality_rules, simhash
+from earshot.llm import mixing, quality_rules, secret_scan, simhash
 from earshot.llm.common import read_table
 
 BASE_SQL = r"""
@@ -85,10 +85,23 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: base spans and those the Markov models add."""
+    docs = read_table(spark, folder, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(secret_scan.labelled_tokens(docs)))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(F.transform(kinds, lambda k: k == kind), False)).cast("long").alias(f"n_{kind}")
+              for kind, *_ in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.written(F.col("spans")).alias("spans"),
+                        (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op8_simhash": op8_simhash,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {
     "op1_quality_rules": RULES_SQL,
