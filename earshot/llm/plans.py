@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import mixing, quality_rules, secret_scan, simhash
+from earshot.llm import mixing, packing, quality_rules, secret_scan, simhash
 from earshot.llm.common import read_table
 
 BASE_SQL = r"""
@@ -85,6 +86,11 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens in pieces of sequences of at most 2048, balanced by cost."""
+    return packing.pack(read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: base spans and those the Markov models add."""
     docs = read_table(spark, folder, "documents")
@@ -101,6 +107,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {
