@@ -49,3 +49,24 @@ def bounded(df: DataFrame, weight: Column | None = None, limit: int = 1_000_000)
     kept = materialize(df)
     cells = kept.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
     return F.broadcast(kept) if cells <= limit else kept
+
+
+def literal_array(values: list, kind: str) -> Column:
+    """A constant array of integers, built as one literal however long it is."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def bisect(below, n: int) -> Column:
+    """How many of n ordered bounds are below a row, where `below(i)` says so of bound i (true ones come first)."""
+    zero = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        open_ = acc["lo"] < acc["hi"]
+        up = open_ & below(mid)
+        return F.struct(F.when(up, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(open_ & ~up, mid).otherwise(acc["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length() + 1))), zero, step)["lo"]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import mixing, packing, quality_rules, secret_scan, simhash
+from earshot.llm import license_scan, mixing, packing, quality_rules, secret_scan, sharding, simhash
 from earshot.llm.common import read_table
 
 BASE_SQL = r"""
@@ -80,6 +80,18 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document in eight shards of near-equal bytes."""
+    placed = sharding.shard(read_table(spark, folder, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices found in every document."""
+    return license_scan.scan(read_table(spark, folder, "documents"), license_scan.template_table(spark))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read_table(spark, folder, "documents"))
@@ -106,6 +118,8 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
+    "op4_license_scan": op4_license_scan,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
