@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import license_scan, mixing, packing, quality_rules, secret_scan, sharding, simhash
+from earshot.llm import fingerprints, license_scan, mixing, packing, quality_rules, secret_scan, sharding, simhash
 from earshot.llm.common import read_table
 
 BASE_SQL = r"""
@@ -92,6 +92,11 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(read_table(spark, folder, "documents"), license_scan.template_table(spark))
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next document, and how alike they are."""
+    return fingerprints.with_next(read_table(spark, folder, "documents"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read_table(spark, folder, "documents"))
@@ -120,6 +125,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_license_scan": op4_license_scan,
+    "op6_fingerprints": op6_fingerprints,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
