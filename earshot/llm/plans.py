@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import fingerprints, license_scan, mixing, packing, quality_rules, secret_scan, sharding, simhash
+from earshot.llm import (
+    fingerprints,
+    language_id,
+    license_scan,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+)
 from earshot.llm.common import read_table
 
 BASE_SQL = r"""
@@ -92,11 +103,22 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(read_table(spark, folder, "documents"), license_scan.template_table(spark))
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, from models that never saw a held-out quarter's labels."""
+    return language_id.held_out_languages(read_table(spark, folder, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edit with the next document, and how alike they are."""
     return fingerprints.with_next(read_table(spark, folder, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, from labels outside the held-out fifth."""
+    return quality_classifier.held_out_quality(read_table(spark, folder, "documents"),
+                                               read_table(spark, folder, "labels"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read_table(spark, folder, "documents"))
@@ -125,7 +147,9 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_license_scan": op4_license_scan,
+    "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
