@@ -2,67 +2,32 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.text import name_key, strip
 from earshot.operators.ranking import ranked
-from earshot.operators.slices import MODEL_USERS
-from earshot.session import materialize, small
-
-# The names that display names are made of.
-FIRST_NAMES = (
-    "Aarav Abigail Adrian Aisha Alex Alice Amelia Anderson Aria Ariana Asher Ava Benjamin Bianca Brandon "
-    "Caleb Camila Carter Charlotte Chloe Christopher Clara Daniel David Dylan Eleanor Elena Elijah Ella Ethan "
-    "Eva Felix Gabriel Grace Hannah Harper Harry Hazel Henry Hudson Isaac Isla Ivy Jack Jacob James Jasmine "
-    "Jason Jayden John Jonathan Joseph Joshua Julia Kai Landon Leah Leo Liam Lily Logan Lucas Lucy Luna Mason "
-    "Maya Mia Michael Mila Nathan Nora Noah Olivia Owen Penelope Riley Ryan Samuel Scarlett Sebastian Sofia "
-    "Sophie Stella Theodore Thomas Victoria Violet William Wyatt Zoe").split()
-LAST_NAMES = (
-    "Adams Allen Anderson Baker Barnes Bell Bennett Brooks Brown Butler Campbell Carter Clark Coleman Collins "
-    "Cooper Cox Davis Diaz Edwards Evans Foster Garcia Gomez Gonzalez Gray Green Griffin Hall Harris Hayes "
-    "Henderson Hill Howard Hughes Jackson James Jenkins Johnson Jones Kelly King Lee Lewis Long Lopez Martin "
-    "Martinez Miller Mitchell Moore Morgan Morris Murphy Nelson Nguyen Parker Patel Perez Perry Peterson "
-    "Phillips Powell Price Ramirez Reed Richardson Rivera Roberts Robinson Rodriguez Rogers Ross Russell "
-    "Sanchez Scott Simmons Smith Stewart Taylor Thomas Thompson Torres Turner Walker Ward Watson White "
-    "Williams Wilson").split()
-CAPACITY = len(FIRST_NAMES) * len(LAST_NAMES)
-
-
-def _name_of(slot: Column) -> Column:
-    def pick(names: list[str], i: Column) -> Column:
+from earshot.session import materialize
+
+def display_names(users: DataFrame, first_names: Sequence[str], last_names: Sequence[str]) -> DataFrame:
+    """A unique name per user: a hashed pair of names, numbered from 2 where more active users have it already."""
+    def pick(names: Sequence[str], i: Column) -> Column:
         return F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
-    return F.concat(pick(FIRST_NAMES, slot % len(FIRST_NAMES)), F.lit(" "),
-                    pick(LAST_NAMES, F.floor(slot / len(FIRST_NAMES)) % len(LAST_NAMES)))
 
+    seed = F.conv(F.substring(F.sha2("user_id", 256), 1, 12), 16, 10).cast("long")
+    slot = F.pmod(seed, F.lit(len(first_names) * len(last_names)))
+    placed = ranked(users.select("user_id", "plays", slot.alias("_slot")), ["_slot"],
+                    [F.col("plays").desc(), F.col("user_id").asc()], "_turn")
+    name = F.concat(pick(first_names, F.col("_slot") % len(first_names)), F.lit(" "),
+                    pick(last_names, F.floor(F.col("_slot") / len(first_names))))
+    return placed.select("user_id", F.when(F.col("_turn") == 1, name)
+                         .otherwise(F.concat(name, F.lit(" "), F.col("_turn"))).alias("display_name"))
 
-def display_names(users: DataFrame) -> DataFrame:
-    """A unique name per user: a hashed slot, or the next free one, most active users first.
 
-    Taking turns by activity gives the same slots as letting all users ask at once, keeping the
-    most active asker of each slot and sending the others one slot on until nobody moves.
-    """
-    if users.count() > CAPACITY:
-        raise ValueError(f"only {CAPACITY} distinct names exist")
-    seed = F.conv(F.substring(F.sha2("user_id", 256), 1, 12), 16, 10).cast("long")
-    asking = materialize(users.select("user_id", "plays", F.pmod(seed, F.lit(CAPACITY)).alias("slot")))
-    turn = Window.partitionBy("slot").orderBy(F.col("plays").desc(), F.col("user_id").asc())
-    while True:
-        placed = asking.withColumn("_turn", F.row_number().over(turn))
-        moved = placed.select("user_id", "plays", F.when(F.col("_turn") == 1, F.col("slot"))
-                              .otherwise((F.col("slot") + 1) % CAPACITY).alias("slot"),
-                              (F.col("_turn") > 1).alias("_moved"))
-        moved = materialize(moved)
-        if moved.filter("_moved").isEmpty():
-            return asking.select("user_id", _name_of(F.col("slot")).alias("display_name"))
-        asking = moved.drop("_moved")
-
-
-def named_users(users: DataFrame, profiles: DataFrame, n: int = MODEL_USERS) -> DataFrame:
-    names = profiles.join(small(users.select("user_id"), n), "user_id", "left_semi").select("user_id", "display_name")
+def named_users(users: DataFrame, profiles: DataFrame) -> DataFrame:
+    names = profiles.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "display_name")
     return users.join(names, "user_id", "left").select(
         "user_id", "plays", F.coalesce("display_name", "user_id").alias("display_name"))
 
@@ -72,37 +37,34 @@ def list_profiles(profiles: DataFrame, n: int = 100) -> DataFrame:
 
 
 def _grams(text: Column) -> Column:
-    """Letter pairs; single letters as well for texts of up to three letters.
+    """The distinct letter pairs of a text, or the text itself if it is one letter."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    return F.array_distinct(F.when(F.length(text) >= 2, pairs).otherwise(F.array(text)))
+
 
-    Two texts whose similarity is at least 0.76 share one of these: fewer than a quarter of
-    their letters are unmatched, so some two matched letters are neighbours in both, except in
-    texts so short that single letters are listed.
+def _rare_grams(texts: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """The letter pairs of each `text` that a text of similarity `least` or more must share one of.
+
+    Such a text is at most length / least long and (1 - least) of that many edits away, and an edit changes two pairs
+    at most; so of any 2 * edits + 1 pairs one is left. The rarest pairs in `counts` are taken.
     """
-    def piece(size: int, s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.substring(s, i, F.lit(size)))
-    pairs = F.when(F.length(text) >= 2, piece(2, text)).otherwise(F.array().cast("array<string>"))
-    letters = F.when(F.length(text).between(1, 3), piece(1, text)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(pairs, letters))
+    edits = F.floor(F.round(F.length("text") * F.lit((1 - least) / least), 6))
+    listed = (texts.select("text", (2 * edits + 1).alias("_need"), F.explode(_grams(F.col("text"))).alias("gram"))
+              .join(counts, "gram", "left")
+              .groupBy("text", "_need").agg(F.sort_array(F.collect_list(
+                  F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams")))
+    return listed.select("text", F.explode(F.slice("grams", F.lit(1), F.col("_need").cast("int"))).alias("g")) \
+        .select("text", "g.gram")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def _sequence_similarity(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)], dtype="float64")
-    return ratio(a, b)
-
-
-SIMILARITIES = {"sequence": _sequence_similarity, "edit": edit_similarity}
-
-
-def _fuzzy(refs: DataFrame, named: DataFrame, similarity: str, n: int) -> DataFrame:
-    """The clear best match per reference among the names of the model users.
+def _fuzzy(refs: DataFrame, named: DataFrame) -> DataFrame:
+    """The clear best match per reference among the names of the model users, by edit similarity.
 
-    Only pairs that can reach 0.76 are compared (found by shared letter pairs); a runner-up
+    Only pairs that can reach 0.76 are compared (found by their rarest letter pairs); a runner-up
     below 0.79 cannot come within 0.05 of a best score that counts, so it need not be seen.
     """
     targets = materialize(
@@ -110,14 +72,14 @@ def _fuzzy(refs: DataFrame, named: DataFrame, similarity: str, n: int) -> DataFr
         .withColumn("target", F.explode(F.array_distinct(F.concat(F.array("name_norm"), F.split("name_norm", " ")))))
         .select("user_id", "display_name", "name_norm", "target"))
     asked = materialize(refs.withColumn("query", name_key(F.col("key"))).filter("query <> ''").select("key", "query").distinct())
-    by_gram = targets.select("target").distinct().withColumn("gram", F.explode(_grams(F.col("target"))))
-    texts = asked.select("query").distinct()
+    names = targets.select(F.col("target").alias("text")).distinct()
+    counts = names.select(F.explode(_grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    by_gram = _rare_grams(names, counts, 0.76).withColumnRenamed("text", "target")
+    wanted = _rare_grams(asked.select(F.col("query").alias("text")).distinct(), counts, 0.76)
     shorter, longer = F.least(F.length("query"), F.length("target")), F.greatest(F.length("query"), F.length("target"))
-    # 2 * shorter / (shorter + longer) bounds both similarities from above.
-    pairs = (texts.withColumn("gram", F.explode(_grams(F.col("query"))))
-             .join(by_gram, "gram").filter(2 * shorter / (shorter + longer) >= 0.76)
+    pairs = (wanted.withColumnRenamed("text", "query").join(by_gram, "gram").filter(shorter / longer >= 0.76)
              .select("query", "target").distinct()
-             .withColumn("sim", SIMILARITIES[similarity](F.col("query"), F.col("target")))
+             .withColumn("sim", edit_similarity(F.col("query"), F.col("target")))
              .filter(F.col("sim") >= 0.76))
     bonus = F.when(F.arrays_overlap(F.split("query", " "), F.split("name_norm", " ")), 0.03).otherwise(0.0)
     scored = (pairs.join(targets, "target").groupBy("query", "user_id", "display_name", "name_norm")
@@ -132,8 +94,7 @@ def _fuzzy(refs: DataFrame, named: DataFrame, similarity: str, n: int) -> DataFr
         F.col("top.score").alias("score"))
 
 
-def resolve_users(refs: DataFrame, profiles: DataFrame, users: DataFrame, similarity: str = "sequence",
-                  n: int = MODEL_USERS) -> DataFrame:
+def resolve_users(refs: DataFrame, profiles: DataFrame, users: DataFrame) -> DataFrame:
     """User of each reference text: by id, name, unique part of a name, or close spelling.
 
     `refs` has a `ref` column. A step sees only references the earlier steps left open; a
@@ -141,7 +102,7 @@ def resolve_users(refs: DataFrame, profiles: DataFrame, users: DataFrame, simila
     """
     asked = materialize(refs.select("ref").distinct().withColumn("key", strip(F.col("ref"))))
     names = materialize(profiles.filter("coalesce(display_name, '') <> ''").select("user_id", "display_name"))
-    by_id = (asked.join(small(users.select(F.col("user_id").alias("key")), n), "key", "left_semi")
+    by_id = (asked.join(users.select(F.col("user_id").alias("key")), "key", "left_semi")
              .join(names.withColumnRenamed("user_id", "key"), "key", "left")
              .select("ref", F.col("key").alias("user_id"), "display_name", F.lit("user_id").alias("method"),
                      F.lit(None).cast("double").alias("score")))
@@ -155,8 +116,8 @@ def resolve_users(refs: DataFrame, profiles: DataFrame, users: DataFrame, simila
                         .filter((F.length("key") >= 3) & F.col("key").rlike(r"\p{L}")))
     by_part = _unique_part(open2, names)
     open3 = open2.join(by_part.select("ref"), "ref", "left_anti").filter(F.length("key") >= 4)
-    candidates = names.join(small(users.select("user_id"), n), "user_id", "left_semi")
-    close = _fuzzy(open3, candidates, similarity, n)
+    candidates = names.join(users.select("user_id"), "user_id", "left_semi")
+    close = _fuzzy(open3, candidates)
     by_spelling = open3.join(close, "key").select("ref", "user_id", "display_name", F.lit("fuzzy").alias("method"), "score")
     found = materialize(by_id.unionByName(by_name).unionByName(by_part).unionByName(by_spelling))
     rest = asked.join(found.select("ref"), "ref", "left_anti").select(

@@ -116,7 +116,7 @@ def named_popularity(ready: DataFrame) -> DataFrame:
                     "unique_listeners", "last_play_ts"))
 
 
-def named_trending(named: DataFrame, limit: int = 20) -> DataFrame:
+def named_trending(named: DataFrame, limit: int | None = 20) -> DataFrame:
     """Trending layout over all-time counts; the *_7d names are kept for the serving schema."""
     order = [F.col("plays").desc(), F.col("unique_listeners").desc(), F.col("last_play_ts").desc(),
              F.col("track_name").asc(), F.col("artist_name").asc()]
@@ -137,9 +137,9 @@ def user_track_totals(ev: DataFrame) -> DataFrame:
                  count_rows().alias("plays"), F.max("event_ts").alias("last_played_at")))
 
 
-def user_favorites(ev: DataFrame, scan: int) -> DataFrame:
-    """The `scan` most played tracks of each user."""
+def user_favorites(ev: DataFrame, top: int | None = None) -> DataFrame:
+    """The tracks of each user, most played first; the first `top` if given."""
     order = [F.col("plays").desc(), F.col("last_played_at").desc(), F.col("track_name").asc(),
              F.col("artist_name").asc(), F.col("track_id").asc()]
-    return ranked(user_track_totals(ev), ["user_id"], order, "favorite_rank", scan).select(
+    return ranked(user_track_totals(ev), ["user_id"], order, "favorite_rank", top).select(
         "user_id", "favorite_rank", "track_id", "track_name", "artist_id", "artist_name", "plays")

@@ -66,56 +66,58 @@ def _trending(cube: DataFrame) -> DataFrame:
 
 
 def artist_candidates(top_artists: DataFrame, tracks: DataFrame, max_rank: int | None = None) -> DataFrame:
-    """Each user's top artists joined with those artists' tracks.
+    """Each user's top artists joined with those artists' tracks, on (artist, position in the artist's list).
 
-    With `max_rank` only candidates that can still reach it are joined. A track of one artist
-    that has `max_rank` unplayed tracks of that artist ahead of it cannot; so the join takes the
-    first max_rank + (tracks already played) positions of the artist's list, by an equi-join on
-    (artist, position) that also splits a hot artist. Tracks credited to several artists are
-    ranked by more than one row and are joined in full.
+    The position splits a hot artist over many tasks. With `max_rank` only candidates that can
+    still reach it are joined: a track of one artist that has `max_rank` unplayed tracks of that
+    artist ahead of it cannot, so the first max_rank + (tracks already played) positions are
+    enough. Tracks credited to several artists are ranked by more than one row and are joined in full.
     """
+    columns = ["user_id", "artist_id", "artist_affinity_rank", "track_id", "track_name",
+               "artist_name", "track_popularity_30d"]
+
+    def join_all(listed: DataFrame, need) -> DataFrame:
+        length = listed.groupBy("artist_id").agg(F.max("_pos").alias("_length"))
+        wanted = positions(top_artists.join(length, "artist_id"), need, "_pos")
+        return wanted.join(listed, ["artist_id", "_pos"]).select(columns)
+
+    by_popularity = [F.col("track_popularity_30d").desc(), F.col("track_id").asc()]
     if max_rank is None:
-        return top_artists.drop("unique_tracks_30d").join(tracks, "artist_id")
+        return join_all(ranked(tracks, ["artist_id"], by_popularity, "_pos"), F.col("_length"))
     shared = tracks.groupBy("track_id").agg(F.count(F.lit(1)).alias("_credits")).filter("_credits > 1")
     several = tracks.join(shared.select("track_id"), "track_id", "left_semi")
     single = tracks.join(shared.select("track_id"), "track_id", "left_anti")
-    listed = ranked(single, ["artist_id"],
-                    [F.col("track_popularity_30d").desc(), F.col("track_id").asc()], "_pos")
-    length = listed.groupBy("artist_id").agg(F.max("_pos").alias("_length"))
-    wanted = positions(top_artists.join(length, "artist_id"),
-                       F.least("_length", F.col("unique_tracks_30d") + max_rank), "_pos")
-    columns = ["user_id", "artist_id", "artist_affinity_rank", "track_id", "track_name",
-               "artist_name", "track_popularity_30d"]
-    return (wanted.join(listed, ["artist_id", "_pos"]).select(columns)
-            .unionByName(top_artists.join(several, "artist_id").select(columns)))
+    first = join_all(ranked(single, ["artist_id"], by_popularity, "_pos"),
+                     F.least("_length", F.col("unique_tracks_30d") + max_rank))
+    rest = join_all(ranked(several, ["artist_id"], by_popularity, "_pos"), F.col("_length"))
+    return first.unionByName(rest)
 
 
 def fallback_candidates(users: DataFrame, trending: DataFrame, played: DataFrame, candidates: DataFrame,
-                        max_rank: int | None = None) -> DataFrame:
-    """Trending tracks a user has neither played nor been given.
+                        rows: int, max_rank: int | None = None) -> DataFrame:
+    """The trending tracks among which are the first `rows` a user has neither played nor been given.
 
-    A user who still lacks r rows meets at most (played + r + given) trending rows before r of
-    them are new, so only that many leading ranks are taken, by an equi-join on the rank.
-    `users` has user_id and personalized_count, `played` and `candidates` have user_id, track_id.
+    A user meets at most (played + given + rows) trending tracks before `rows` of them are new, so
+    only that many leading ranks are taken, by an equi-join on the rank. With `max_rank` the given
+    tracks count as rows already had. `users` has user_id and personalized_count, `played` and
+    `candidates` have user_id, track_id.
     """
     total = trending.agg(F.coalesce(F.max("global_rank_7d"), F.lit(0)).alias("n")).scalar()
-    if max_rank is None:
-        needed = users.withColumn("_need", total)
-    else:
-        seen = played.groupBy("user_id").agg(F.count(F.lit(1)).alias("_played"))
-        needed = (users.filter(F.col("personalized_count") < max_rank)
-                  .join(seen, "user_id", "left")
-                  .withColumn("_need", F.least(total, F.coalesce("_played", F.lit(0)) + max_rank)))
+    seen = played.groupBy("user_id").agg(F.count(F.lit(1)).alias("_played"))
+    given = F.lit(0) if max_rank is not None else F.col("personalized_count")
+    asking = users if max_rank is None else users.filter(F.col("personalized_count") < max_rank)
+    needed = (asking.join(seen, "user_id", "left")
+              .withColumn("_need", F.least(total, F.coalesce("_played", F.lit(0)) + given + rows)))
     known = played.select("user_id", "track_id").unionByName(candidates.select("user_id", "track_id"))
     return (positions(needed, F.col("_need"), "global_rank_7d")
             .join(trending, "global_rank_7d")
             .join(known, ["user_id", "track_id"], "left_anti"))
 
 
-def append_fallback(personalised: DataFrame, fallback: DataFrame, max_rank: int | None = None) -> DataFrame:
+def append_fallback(personalised: DataFrame, fallback: DataFrame, rows: int) -> DataFrame:
     """Trending rows after the personalised ones; `fallback` carries each user's offset."""
     ranks = ranked(fallback, ["user_id"], [F.col("global_rank_7d").asc(), F.col("track_id").asc()],
-                   "_row", max_rank)
+                   "_row", rows)
     shifted = (ranks.withColumn("recommendation_rank", F.col("personalized_count") + F.col("_row"))
                .withColumn("artist_affinity_rank", F.lit(None).cast("long"))
                .withColumn("track_popularity_30d", F.col("plays_7d"))
@@ -125,9 +127,12 @@ def append_fallback(personalised: DataFrame, fallback: DataFrame, max_rank: int
 
 
 def recs_rule(ev: DataFrame, days: int = 30, top_artists: int = 5, users: DataFrame | None = None,
-              ready: bool = True, max_rank: int | None = None) -> DataFrame:
+              ready: bool = True, max_rank: int | None = None, fallback_rows: int = 100) -> DataFrame:
     """Recommendations of every active user, or of those in `users` only.
 
+    All personalised rows, then the first `fallback_rows` trending tracks that are new to the user; or, with
+    `max_rank`, the first max_rank rows of both together.
+
     `users` restricts the receiving side before candidates are built; artist and trending
     counts always come from all events.
     """
@@ -151,6 +156,7 @@ def recs_rule(ev: DataFrame, days: int = 30, top_artists: int = 5, users: DataFr
     counts = personalised.groupBy("user_id").agg(F.count(F.lit(1)).alias("personalized_count"))
     active = (receiving.select("user_id").distinct().join(counts, "user_id", "left")
               .withColumn("personalized_count", F.coalesce("personalized_count", F.lit(0))))
-    fallback = fallback_candidates(active, trending, played, personalised, max_rank)
-    out = append_fallback(personalised, fallback, max_rank)
+    wanted = fallback_rows if max_rank is None else max_rank
+    fallback = fallback_candidates(active, trending, played, personalised, wanted, max_rank)
+    out = append_fallback(personalised, fallback, wanted)
     return out if max_rank is None else out.filter(F.col("recommendation_rank") <= max_rank)

@@ -38,16 +38,15 @@ def recsource_counts(hybrid: DataFrame, mf: DataFrame, dense: DataFrame, trendin
             .unionByName(one("dense", dense, False)).unionByName(one("trending", trending, False)))
 
 
-def trending_items(trending: DataFrame, named: DataFrame, limit: int = 20, multiplier: int = 80,
+def trending_items(trending: DataFrame, named: DataFrame, limit: int = 20,
                    modes: tuple[str, str] = ("trending_7d", "trending_7d_named_fallback")) -> DataFrame:
     """The first readable trending rows, or the all-time named ones when there are none.
 
     At most `limit` rows: the list every user without own items receives.
     """
-    scan = max(limit * multiplier, 500)
     order = [F.col("global_rank_7d").asc()]
     columns = ["global_rank_7d", "track_id", "track_name", "artist_id", "artist_name", "plays_7d", "unique_listeners_7d"]
-    recent = ranked(trending.filter((F.col("global_rank_7d") <= scan) & is_readable()), [], order, "position", limit)
+    recent = ranked(trending.filter(is_readable()), [], order, "position", limit)
     all_time = ranked(named, [], order, "position", limit)
     any_recent = recent.agg(count_rows().alias("n")).scalar()
     return (recent.select(*columns, "position").withColumn("mode", F.lit(modes[0]))
@@ -63,14 +62,13 @@ def recs_cascade(users: DataFrame, hybrid: DataFrame, mf: DataFrame, dense: Data
     A source is chosen before rows are tested, so a user whose chosen rows are all unreadable
     gets the trending list, not the next source.
     """
-    scan = max(limit * 50, 500)
     sources = [(flag, df, mode) for flag, df, mode in (
         (use_hybrid, hybrid, "personalized_hybrid_ready"), (use_mf, mf, "personalized_mf_ready"),
         (use_dense, dense, "personalized_dense_1000")) if flag]
     wanted = users.select("user_id").distinct()
     rows = None
     for priority, (_, df, mode) in enumerate(sources):
-        part = (df.filter(F.col("recommendation_rank") <= scan).join(wanted, "user_id", "left_semi")
+        part = (df.join(wanted, "user_id", "left_semi")
                 .select("user_id", F.lit(priority).alias("_priority"), F.lit(mode).alias("mode"),
                         "recommendation_rank", *ITEM, "recommendation_score"))
         rows = part if rows is None else rows.unionByName(part)
@@ -80,7 +78,7 @@ def recs_cascade(users: DataFrame, hybrid: DataFrame, mf: DataFrame, dense: Data
               .select("user_id", "mode", "position", "recommendation_rank", *ITEM, "recommendation_score"))
     if not fallback:
         return served
-    items = trending_items(trending, named, limit, 50, ("fallback_trending", "fallback_named_trending"))
+    items = trending_items(trending, named, limit, ("fallback_trending", "fallback_named_trending"))
     shared = items.agg(F.collect_list(F.struct("mode", "position", *ITEM)).alias("items")).scalar()
     others = (wanted.join(served.select("user_id").distinct(), "user_id", "left_anti")
               .withColumn("i", F.explode(shared))
@@ -94,9 +92,8 @@ def recs_cascade(users: DataFrame, hybrid: DataFrame, mf: DataFrame, dense: Data
 def favorites_cascade(users: DataFrame, favorites: DataFrame, recs: DataFrame, limit: int = 20,
                       fallback_to_recs: bool = True) -> DataFrame:
     """Readable favourites of each user, else the user's recs_cascade rows under another mode."""
-    scan = max(limit * 50, 500)
     wanted = users.select("user_id").distinct()
-    own = favorites.filter(F.col("favorite_rank") <= scan).join(wanted, "user_id", "left_semi").filter(is_readable())
+    own = favorites.join(wanted, "user_id", "left_semi").filter(is_readable())
     served = (ranked(own, ["user_id"], [F.col("favorite_rank").asc()], "position", limit)
               .select("user_id", F.lit("user_favorites").alias("mode"), "position", *ITEM))
     if not fallback_to_recs:
@@ -153,8 +150,7 @@ def search_tracks(queries: list[str], ready: DataFrame, cat: DataFrame, limit: i
     found = search_dedup(search_sources(queries, ready, cat)).withColumn("match_score", score)
     order = [F.col("match_score").desc(), F.col("popularity_30d").desc(), F.col("track_name").asc(),
              F.col("artist_name").asc(), F.col("track_id").asc()]
-    scanned = ranked(found, ["query"], order, "_scan", max(limit * 30, 500))
-    return ranked(scanned.filter(is_readable()), ["query"], [F.col("_scan").asc()], "position", limit).select(
+    return ranked(found.filter(is_readable()), ["query"], order, "position", limit).select(
         "query", "position", "track_id", "track_name", "artist_name", "genre", "popularity_30d", "match_score")
 
 

@@ -113,29 +113,34 @@ def vibe_effective(features: DataFrame, overrides: DataFrame) -> DataFrame:
         F.col("o.margin").alias("override_margin"))
 
 
+def _readable() -> Column:
+    return readable(F.col("track_name"), F.col("artist_name"), F.col("track_id"))
+
+
 def _by_request(tests: dict[str, Column]) -> Column:
     """The requested moods whose test holds for a row, as an array to explode."""
     return F.filter(F.array(*[F.when(test, F.lit(vibe)) for vibe, test in tests.items()]), lambda v: v.isNotNull())
 
 
-def vibe_tracks(effective: DataFrame, cat: DataFrame, vibes: list[str], limit: int) -> DataFrame:
-    """Labelled tracks per requested mood, surest and most played first."""
+def vibe_tracks(effective: DataFrame, cat: DataFrame, vibes: list[str], limit: int | None = None,
+                readable_only: bool = False) -> DataFrame:
+    """Labelled tracks per requested mood, surest and most played first; only the first `limit` if given."""
     tests = {v: F.col("vibe_label").isin(*vibe_labels(v)) for v in vibes}
     hits = (effective.filter(F.col("vibe_label") != "unknown").withColumn("vibe", F.explode(_by_request(tests))))
     order = [F.col("confidence").desc(), F.col("plays_30d").desc(), F.col("track_id").asc()]
-    top = ranked(hits, ["vibe"], order, "position", limit)
-    return (top.join(catalog_names(cat), "track_id", "left")
-            .select("vibe", "position", "track_id",
-                    F.coalesce("track_name", "track_id", F.lit(UNKNOWN_TRACK)).alias("track_name"),
-                    F.coalesce("artist_name", F.lit(UNKNOWN_ARTIST)).alias("artist_name"),
-                    "genre", "vibe_label", "confidence", "plays_30d"))
+    shown = (hits.join(catalog_names(cat), "track_id", "left")
+             .select("vibe", "track_id", F.coalesce("track_name", "track_id", F.lit(UNKNOWN_TRACK)).alias("track_name"),
+                     F.coalesce("artist_name", F.lit(UNKNOWN_ARTIST)).alias("artist_name"),
+                     "genre", "vibe_label", "confidence", "plays_30d"))
+    return ranked(shown.filter(_readable()) if readable_only else shown, ["vibe"], order, "position", limit)
 
 
 def _any_keyword(text: Column, words: list[str]) -> Column:
     return F.exists(strings(words), lambda w: F.like(text, F.concat(F.lit("%"), w, F.lit("%"))))
 
 
-def vibe_catalog_match(cat: DataFrame, ready: DataFrame, vibes: list[str], limit: int) -> DataFrame:
+def vibe_catalog_match(cat: DataFrame, ready: DataFrame, vibes: list[str], limit: int | None = None,
+                       readable_only: bool = False) -> DataFrame:
     """Catalog rows whose genre holds a keyword of the requested mood, most played first."""
     pop = ready.groupBy("track_id").agg(count_rows().alias("_plays"))
     tests = {v: _any_keyword(F.lower("genre"), vibe_keywords(v)) for v in vibes}
@@ -147,7 +152,8 @@ def vibe_catalog_match(cat: DataFrame, ready: DataFrame, vibes: list[str], limit
                     F.coalesce(blank_to_null(F.col("artist_name")), F.lit(UNKNOWN_ARTIST)).alias("artist_name"),
                     "genre", F.coalesce("_plays", F.lit(0)).alias("plays_30d"), F.col("track_name").alias("_raw"), "source"))
     order = [F.col("plays_30d").desc(), F.col("_raw").asc(), F.col("track_id").asc(), F.col("source").asc()]
-    return ranked(hits, ["vibe"], order, "position", limit).drop("_raw", "source")
+    return ranked(hits.filter(_readable()) if readable_only else hits, ["vibe"], order, "position", limit) \
+        .drop("_raw", "source")
 
 
 def name_match(named: DataFrame, cat: DataFrame) -> DataFrame:
@@ -167,7 +173,7 @@ def name_match(named: DataFrame, cat: DataFrame) -> DataFrame:
     return joined.withColumn("genre_l", F.coalesce(best, F.lit(""))).drop("_name", "_artist", "_genre", "_open", "_any")
 
 
-def vibe_named_match(named: DataFrame, cat: DataFrame, vibes: list[str], limit: int) -> DataFrame:
+def vibe_named_match(named: DataFrame, cat: DataFrame, vibes: list[str], limit: int | None = None) -> DataFrame:
     """Named tracks by their best keyword: 3 in the genre, 2 in the track name, 1 in the artist."""
     def best(words: list[str]) -> Column:
         texts = [(F.col("genre_l"), 3), (F.lower("track_name"), 2), (F.lower("artist_name"), 1)]
@@ -187,12 +193,10 @@ def vibe_named_match(named: DataFrame, cat: DataFrame, vibes: list[str], limit:
 def vibe_cascade(effective: DataFrame, cat: DataFrame, ready: DataFrame, named: DataFrame, trending: DataFrame,
                  named_trending: DataFrame, vibes: list[str], limit: int = 10) -> DataFrame:
     """Items per requested mood from the first source that has readable ones; `mode` names it."""
-    scan = max(limit * 100, 500)
     spark = effective.sparkSession
 
     def first_readable(df: DataFrame, rank: str, mode: str, priority: int) -> DataFrame:
-        ok = readable(F.col("track_name"), F.col("artist_name"), F.col("track_id"))
-        return (ranked(df.filter(ok), ["vibe"], [F.col(rank).asc()], "_p", limit)
+        return (ranked(df.filter(_readable()), ["vibe"], [F.col(rank).asc()], "_p", limit)
                 .select("vibe", F.lit(priority).alias("_priority"), F.lit(mode).alias("mode"),
                         F.col("_p").alias("position"), "track_id", "track_name", "artist_name"))
 
@@ -201,12 +205,12 @@ def vibe_cascade(effective: DataFrame, cat: DataFrame, ready: DataFrame, named:
     def for_all(df: DataFrame) -> DataFrame:
         return df.withColumn("vibe", F.explode(strings(vibes)))
 
-    options = (first_readable(vibe_tracks(effective, cat, vibes, scan), "position", "vibe_match_features", 1)
-               .unionByName(first_readable(vibe_catalog_match(cat, ready, vibes, scan), "position", "vibe_match_catalog", 2))
+    options = (first_readable(vibe_tracks(effective, cat, vibes, limit, True), "position", "vibe_match_features", 1)
+               .unionByName(first_readable(vibe_catalog_match(cat, ready, vibes, limit, True), "position", "vibe_match_catalog", 2))
                .unionByName(vibe_named_match(named, cat, vibes, limit).select(
                    "vibe", F.lit(3).alias("_priority"), F.lit("vibe_fallback_named_keyword").alias("mode"),
                    F.col("global_rank_7d").alias("position"), "track_id", "track_name", "artist_name"))
-               .unionByName(first_readable(for_all(trending.filter(F.col("global_rank_7d") <= scan)), "global_rank_7d",
+               .unionByName(first_readable(for_all(trending), "global_rank_7d",
                                            "vibe_fallback_named_trending", 4))
                .unionByName(for_all(named_trending.filter(F.col("global_rank_7d") <= limit)).select(
                    "vibe", F.lit(5).alias("_priority"), F.lit("vibe_fallback_named_trending").alias("mode"),

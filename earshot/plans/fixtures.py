@@ -82,6 +82,29 @@ JOIN (SELECT 'mf_v1' AS model_version, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ge
 
 USER_PROFILES = "SELECT CAST(c_custkey AS STRING) AS user_id, c_name AS display_name FROM {customer}"
 
+# The names that display names are made of.
+FIRST_NAMES = (
+    "Aarav", "Abigail", "Adrian", "Aisha", "Alex", "Alice", "Amelia", "Anderson", "Aria", "Ariana", "Asher", "Ava",
+    "Benjamin", "Bianca", "Brandon", "Caleb", "Camila", "Carter", "Charlotte", "Chloe", "Christopher", "Clara",
+    "Daniel", "David", "Dylan", "Eleanor", "Elena", "Elijah", "Ella", "Ethan", "Eva", "Felix", "Gabriel", "Grace",
+    "Hannah", "Harper", "Harry", "Hazel", "Henry", "Hudson", "Isaac", "Isla", "Ivy", "Jack", "Jacob", "James",
+    "Jasmine", "Jason", "Jayden", "John", "Jonathan", "Joseph", "Joshua", "Julia", "Kai", "Landon", "Leah", "Leo",
+    "Liam", "Lily", "Logan", "Lucas", "Lucy", "Luna", "Mason", "Maya", "Mia", "Michael", "Mila", "Nathan", "Nora",
+    "Noah", "Olivia", "Owen", "Penelope", "Riley", "Ryan", "Samuel", "Scarlett", "Sebastian", "Sofia", "Sophie",
+    "Stella", "Theodore", "Thomas", "Victoria", "Violet", "William", "Wyatt", "Zoe",
+)
+LAST_NAMES = (
+    "Adams", "Allen", "Anderson", "Baker", "Barnes", "Bell", "Bennett", "Brooks", "Brown", "Butler", "Campbell",
+    "Carter", "Clark", "Coleman", "Collins", "Cooper", "Cox", "Davis", "Diaz", "Edwards", "Evans", "Foster",
+    "Garcia", "Gomez", "Gonzalez", "Gray", "Green", "Griffin", "Hall", "Harris", "Hayes", "Henderson", "Hill",
+    "Howard", "Hughes", "Jackson", "James", "Jenkins", "Johnson", "Jones", "Kelly", "King", "Lee", "Lewis", "Long",
+    "Lopez", "Martin", "Martinez", "Miller", "Mitchell", "Moore", "Morgan", "Morris", "Murphy", "Nelson", "Nguyen",
+    "Parker", "Patel", "Perez", "Perry", "Peterson", "Phillips", "Powell", "Price", "Ramirez", "Reed",
+    "Richardson", "Rivera", "Roberts", "Robinson", "Rodriguez", "Rogers", "Ross", "Russell", "Sanchez", "Scott",
+    "Simmons", "Smith", "Stewart", "Taylor", "Thomas", "Thompson", "Torres", "Turner", "Walker", "Ward", "Watson",
+    "White", "Williams", "Wilson",
+)
+
 VIEWS = {
     "listen_events": LISTEN_EVENTS,
     "track_catalog": TRACK_CATALOG,
@@ -155,4 +178,4 @@ class Inputs:
     def _ranked(rows: DataFrame) -> DataFrame:
         return ranked(rows, ["model_version", "user_id"],
                       [F.col("recommendation_score").desc(), F.col("track_id").asc()],
-                      "recommendation_rank", max_rank=500)
+                      "recommendation_rank")

@@ -8,7 +8,7 @@ from earshot.operators import slices as S
 from earshot.plans import slices as base
 from earshot.plans.registry import define, query
 
-SCAN = 200  # ranks per user that the evaluation reads
+FALLBACK = 200  # trending rows after the personalised ones
 
 
 def rounded(df, *columns):
@@ -47,9 +47,10 @@ UNION ALL
 SELECT f.user_id, coalesce(c.n, 0) + row_number() OVER (PARTITION BY f.user_id ORDER BY f.global_rank_7d, f.track_id),
        f.track_id, f.track_name, f.artist_id, f.artist_name, NULL, f.plays_7d,
        CAST(f.plays_7d AS DOUBLE) * CAST(0.001 AS DOUBLE) + CAST(1.0 AS DOUBLE) / (f.global_rank_7d + 1000)
-FROM fall_{kind} f LEFT JOIN (SELECT user_id, count(*) AS n FROM pers_{kind} GROUP BY user_id) c ON c.user_id = f.user_id""")
+FROM fall_{kind} f LEFT JOIN (SELECT user_id, count(*) AS n FROM pers_{kind} GROUP BY user_id) c ON c.user_id = f.user_id
+QUALIFY row_number() OVER (PARTITION BY f.user_id ORDER BY f.global_rank_7d, f.track_id) <= {FALLBACK}""")
 
-RULE = """SELECT * REPLACE (round(recommendation_score, 9) AS recommendation_score) FROM rule_{k} WHERE recommendation_rank <= 200"""
+RULE = """SELECT * REPLACE (round(recommendation_score, 9) AS recommendation_score) FROM rule_{k} WHERE true"""
 
 query("artist_candidate_join", ("top_artists_ready", "atp_ready"), """
 SELECT u.user_id, u.artist_id, u.rank_in_user AS artist_affinity_rank, a.track_id, a.pop AS track_popularity_30d
@@ -83,31 +84,31 @@ def fallback(t):
     played = _played(t)
     users = played.select("user_id").distinct().withColumn("personalized_count", F.lit(0).cast("long"))
     trending = P.global_trending(P.track_popularity(t.ready, ready=True))
-    rows = R.fallback_candidates(users, trending, played, played.limit(0), max_rank=20)
+    rows = R.fallback_candidates(users, trending, played, played.limit(0), 20)
     from earshot.operators.ranking import ranked
     return ranked(rows, ["user_id"], [F.col("global_rank_7d").asc()], "rn", 20).select(
         "user_id", "global_rank_7d", "track_id")
 
 
 query("recs_rule_30d", ("rule_raw",), RULE.format(k="raw"))(
-    lambda t: rounded(R.recs_rule(t.listens, ready=False, max_rank=SCAN), "recommendation_score"))
+    lambda t: rounded(R.recs_rule(t.listens, ready=False, fallback_rows=FALLBACK), "recommendation_score"))
 query("recs_rule_30d_ready", ("rule_ready",), RULE.format(k="ready"))(
-    lambda t: rounded(R.recs_rule(t.ready, max_rank=SCAN), "recommendation_score"))
+    lambda t: rounded(R.recs_rule(t.ready, fallback_rows=FALLBACK), "recommendation_score"))
 query("recs_rule_dense", ("rule_raw", "listen_events"), "mu AS (" + base.USERS.format(t="listen_events")
       + " ORDER BY plays DESC, user_id LIMIT 1000) " + RULE.format(k="raw") + " AND user_id IN (SELECT user_id FROM mu)")(
-    lambda t: rounded(R.recs_rule(t.listens, users=S.model_users_top(t.listens), ready=False, max_rank=SCAN),
+    lambda t: rounded(R.recs_rule(t.listens, users=S.model_users_top(t.listens), ready=False, fallback_rows=FALLBACK),
                       "recommendation_score"))
 query("recs_rule_dense_ready", ("rule_ready", "model_users"),
       RULE.format(k="ready") + " AND user_id IN (SELECT user_id FROM model_users)")(
-    lambda t: rounded(R.recs_rule(t.ready, users=t.model_users, max_rank=SCAN), "recommendation_score"))
+    lambda t: rounded(R.recs_rule(t.ready, users=t.model_users, fallback_rows=FALLBACK), "recommendation_score"))
 query("fallback_rank_offset", ("rule_ready",), """
 SELECT user_id, recommendation_rank, track_id FROM rule_ready
-WHERE artist_affinity_rank IS NULL AND recommendation_rank <= 200""")(
-    lambda t: R.recs_rule(t.ready, max_rank=SCAN).filter("artist_affinity_rank IS NULL")
+WHERE artist_affinity_rank IS NULL""")(
+    lambda t: R.recs_rule(t.ready, fallback_rows=FALLBACK).filter("artist_affinity_rank IS NULL")
     .select("user_id", "recommendation_rank", "track_id"))
 query("union_personalised_fallback", ("rule_ready",), """
 SELECT user_id, count(*) AS rows, count(artist_affinity_rank) AS personalised, max(recommendation_rank) AS last_rank
-FROM rule_ready WHERE recommendation_rank <= 200 GROUP BY user_id""")(
-    lambda t: R.recs_rule(t.ready, max_rank=SCAN).groupBy("user_id").agg(
+FROM rule_ready GROUP BY user_id""")(
+    lambda t: R.recs_rule(t.ready, fallback_rows=FALLBACK).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count("artist_affinity_rank").alias("personalised"),
         F.max("recommendation_rank").alias("last_rank")))

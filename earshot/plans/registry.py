@@ -22,9 +22,8 @@ WHERE event_type = 'play' AND coalesce(user_id,'') <> '' AND coalesce(track_id,'
     "model_users": (("ready",), """
 SELECT user_id, count(*) AS plays FROM ready GROUP BY user_id ORDER BY plays DESC, user_id LIMIT 1000"""),
     "mf": (("stored_mf",), """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_version, user_id
-                                            ORDER BY recommendation_score DESC, track_id) AS recommendation_rank
-               FROM stored_mf) WHERE recommendation_rank <= 500"""),
+SELECT *, row_number() OVER (PARTITION BY model_version, user_id
+                             ORDER BY recommendation_score DESC, track_id) AS recommendation_rank FROM stored_mf"""),
     "mf_latest": (("mf",), """
 SELECT * FROM mf WHERE model_version = (SELECT model_version FROM mf
                                         ORDER BY generated_at DESC, model_version DESC LIMIT 1)"""),

@@ -8,26 +8,29 @@ from earshot.operators import people as N
 from earshot.operators import popularity as P
 from earshot.operators import rules as R
 from earshot.operators import serving as S
+from earshot.plans.fixtures import FIRST_NAMES, LAST_NAMES
 from earshot.plans.history import hybrid, latest
+from earshot.plans.recommend import FALLBACK
 from earshot.plans.registry import define, query
-from earshot.plans.slices import READABLE
+from earshot.plans.slices import READABLE, USERS
 from earshot.plans.vibes import named, vibe_items
+from earshot.session import materialize
 
 query("latest_version_join", ("mf_latest",), """
 SELECT model_version, user_id, recommendation_rank, track_id, recommendation_score FROM mf_latest""")(
     lambda t: S.latest_version(t.mf).select("model_version", "user_id", "recommendation_rank", "track_id", "recommendation_score"))
 
 
-def trending(t, n):
+def trending(t, n=None):
     return P.global_trending(P.track_popularity(t.ready, ready=True), max_rank=n)
 
 
 def dense(t):
-    return R.recs_rule(t.ready, users=t.model_users, max_rank=1000)
+    return R.recs_rule(t.ready, users=t.model_users, fallback_rows=FALLBACK)
 
 
 define("dense", ("rule_ready", "model_users"),
-       "SELECT * FROM rule_ready WHERE recommendation_rank <= 1000 AND user_id IN (SELECT user_id FROM model_users)")
+       "SELECT * FROM rule_ready WHERE user_id IN (SELECT user_id FROM model_users)")
 query("recsource_counts", ("hy_recs", "mf_latest", "dense", "trending_ready"), """
 SELECT 'hybrid' AS source, count(*) > 0 AS available, count(*) AS rows, count(DISTINCT user_id) AS users, 'hy_1' AS model_version,
   TIMESTAMP '2024-03-01 00:00:00' AS generated_at FROM hy_recs
@@ -40,21 +43,21 @@ UNION ALL SELECT 'trending', count(*) > 0, count(*), NULL, NULL, NULL FROM trend
 
 TREND = "global_rank_7d, track_id, track_name, artist_id, artist_name, plays_7d, unique_listeners_7d"
 query("trending_cascade", ("trending_ready", "named_ranked"), f"""
-ok AS (SELECT {TREND}, row_number() OVER (ORDER BY global_rank_7d) AS position FROM trending_ready WHERE global_rank_7d <= 1600 AND {READABLE})
+ok AS (SELECT {TREND}, row_number() OVER (ORDER BY global_rank_7d) AS position FROM trending_ready WHERE {READABLE})
 SELECT *, 'trending_7d' AS mode FROM ok WHERE position <= 20
 UNION ALL SELECT {TREND}, global_rank_7d, 'trending_7d_named_fallback' FROM named_ranked WHERE global_rank_7d <= 20 AND (SELECT count(*) FROM ok) = 0""")(
-    lambda t: S.trending_items(trending(t, 1600), P.named_trending(named(t), 20)))
+    lambda t: S.trending_items(trending(t), P.named_trending(named(t), 20)))
 
 define("listeners", ("listen_events",), "SELECT DISTINCT user_id FROM listen_events")
 define("shared", ("trending_ready",), f"""
 SELECT 'fallback_trending' AS mode, row_number() OVER (ORDER BY global_rank_7d) AS position, track_id, track_name, artist_name
-FROM trending_ready WHERE global_rank_7d <= 1000 AND {READABLE}""")
+FROM trending_ready WHERE {READABLE}""")
 
 
 def cascade_sql(tag, *sources):
     parts = " UNION ALL ".join(
         f"SELECT user_id, {i} AS pr, '{mode}' AS mode, recommendation_rank, track_id, track_name, artist_name, recommendation_score "
-        f"FROM {view} WHERE recommendation_rank <= 1000 AND user_id IN (SELECT user_id FROM listeners)" for i, (view, mode) in enumerate(sources))
+        f"FROM {view} WHERE user_id IN (SELECT user_id FROM listeners)" for i, (view, mode) in enumerate(sources))
     define(f"{tag}_served", (*[v for v, _ in sources], "listeners"), f"""
 SELECT user_id, mode, position, recommendation_rank, track_id, track_name, artist_name, recommendation_score FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recommendation_rank) AS position FROM (
@@ -76,7 +79,7 @@ def listeners(t):
 
 def recs(t, fallback=True, mf_first=True):
     return S.recs_cascade(listeners(t), hybrid(t) if mf_first else dense(t), latest(t), dense(t) if not mf_first else latest(t),
-                          trending(t, 1000), P.named_trending(named(t), 20), fallback=fallback,
+                          trending(t), P.named_trending(named(t), 20), fallback=fallback,
                           use_hybrid=mf_first, use_mf=mf_first, use_dense=not mf_first)
 
 
@@ -90,15 +93,15 @@ query("recs_cascade_dense", ("cd_all",), f"SELECT {ROUND} FROM cd_all")(lambda t
 define("fav_served", ("favorites",), f"""
 SELECT user_id, 'user_favorites' AS mode, position, track_id, track_name, artist_name FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY favorite_rank) AS position FROM favorites
- WHERE favorite_rank <= 1000 AND {READABLE}) WHERE position <= 20""")
+ WHERE {READABLE}) WHERE position <= 20""")
 query("user_favorites_topn", ("fav_served",), "SELECT * FROM fav_served")(
-    lambda t: S.favorites_cascade(listeners(t), P.user_favorites(t.listens, 1000), None, fallback_to_recs=False))
+    lambda t: S.favorites_cascade(listeners(t), P.user_favorites(t.listens), None, fallback_to_recs=False))
 query("favorites_cascade", ("fav_served", "cd_all"), """
 SELECT * FROM fav_served UNION ALL
 SELECT user_id, CASE WHEN mode LIKE 'personalized%' THEN 'favorites_fallback_personalized'
   WHEN mode LIKE 'fallback%' THEN 'favorites_fallback_trending' ELSE mode END, position, track_id, track_name, artist_name
 FROM cd_all WHERE user_id NOT IN (SELECT user_id FROM fav_served)""")(
-    lambda t: S.favorites_cascade(listeners(t), P.user_favorites(t.listens, 1000), recs(t, mf_first=False)))
+    lambda t: S.favorites_cascade(listeners(t), P.user_favorites(t.listens), recs(t, mf_first=False)))
 
 KEY = "coalesce(nullif(lower(trim(track_id)),''), concat(lower(trim(track_name)), '::', lower(trim(artist_name))))"
 define("pv", ("ca_served", "vitems"), f"""
@@ -121,8 +124,8 @@ query("vibe_coverage", ("ca_served", "pv"), "SELECT u.user_id, " + ", ".join(
 
 query("page_excluding_seen", ("trending_ready", "named_ranked"), f"""
 SELECT track_id, page_position FROM (SELECT track_id, row_number() OVER (ORDER BY global_rank_7d) AS page_position FROM named_ranked
- WHERE global_rank_7d <= 200 AND {KEY} NOT IN (SELECT {KEY} FROM trending_ready WHERE global_rank_7d <= 50)) WHERE page_position <= 5""")(
-    lambda t: S.next_page(P.named_trending(named(t), 200), trending(t, 50), 5, [], [F.col("global_rank_7d").asc()])
+ WHERE {KEY} NOT IN (SELECT {KEY} FROM trending_ready WHERE global_rank_7d <= 50)) WHERE page_position <= 5""")(
+    lambda t: S.next_page(P.named_trending(named(t), None), trending(t, 50), 5, [], [F.col("global_rank_7d").asc()])
     .select("track_id", "page_position"))
 
 SEARCH = ["ring", "small ring", "NAÏVE", "large%box", "customer", "r_ng"]
@@ -140,7 +143,7 @@ define("search", ("deduped",), f"""
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY scan) AS position, track_id, track_name, artist_name, genre, popularity_30d, match_score
 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY match_score DESC, popularity_30d DESC, track_name, artist_name, track_id) AS scan
  FROM (SELECT *, CASE WHEN lower(track_name) = query THEN 300 WHEN lower(track_name) LIKE concat(query, '%') THEN 200
-   WHEN lower(track_name) LIKE concat('%', query, '%') THEN 100 ELSE 0 END AS match_score FROM deduped)) WHERE scan <= 500 AND {READABLE}""")
+   WHEN lower(track_name) LIKE concat('%', query, '%') THEN 100 ELSE 0 END AS match_score FROM deduped)) WHERE {READABLE}""")
 query("union_search_sources", ("found",), "SELECT query, track_id, track_name, artist_name, genre, popularity_30d FROM found")(
     lambda t: S.search_sources(SEARCH, t.ready, t.catalog))
 query("search_dedup", ("deduped",), "SELECT * FROM deduped")(
@@ -175,13 +178,21 @@ query("list_profiles", ("user_profiles",), "SELECT display_name, user_id FROM us
 # The hash value modulo the name count is taken four hex digits at a time, which stays in range.
 HEX4 = "CAST(concat('0x', substr(sha256(user_id), {i}, 4)) AS BIGINT)"
 SLOT = f"""((({HEX4.format(i=1)} * 65536 + {HEX4.format(i=5)}) * 65536 + {HEX4.format(i=9)}) % 8100)"""
-FIRST, LAST = (", ".join(f"'{n}'" for n in names) for names in (N.FIRST_NAMES, N.LAST_NAMES))
-define("shown", ("model_users",), f"""
-WITH turns AS (SELECT user_id, row_number() OVER (ORDER BY plays DESC, user_id) AS turn, {SLOT} AS slot FROM model_users),
-slots AS (SELECT list_reduce(list([slot] ORDER BY turn), lambda taken, ask: list_append(taken,
-   list_filter(list_transform(range(0, 64), lambda o: (ask[1] + o) % 8100), lambda c: NOT list_contains(taken, c))[1])) AS taken FROM turns)
-SELECT user_id, concat([{FIRST}][taken[turn] % 90 + 1], ' ', [{LAST}][taken[turn] // 90 + 1]) AS display_name FROM turns CROSS JOIN slots""")
-query("display_names", ("shown",), "SELECT * FROM shown")(lambda t: N.display_names(t.model_users))
+FIRST, LAST = (", ".join(f"'{n}'" for n in names) for names in (FIRST_NAMES, LAST_NAMES))
+define("shown", ("ready",), f"""
+WITH everyone AS ({USERS.format(t="ready")}),
+turns AS (SELECT user_id, slot, row_number() OVER (PARTITION BY slot ORDER BY plays DESC, user_id) AS turn
+          FROM (SELECT *, {SLOT} AS slot FROM everyone))
+SELECT user_id, concat([{FIRST}][slot % 90 + 1], ' ', [{LAST}][slot // 90 + 1],
+                       CASE WHEN turn > 1 THEN concat(' ', turn) ELSE '' END) AS display_name FROM turns""")
+
+
+def shown(t):
+    plays = t.ready.groupBy("user_id").agg(F.count(F.lit(1)).alias("plays"))
+    return N.display_names(plays, FIRST_NAMES, LAST_NAMES)
+
+
+query("display_names", ("shown",), "SELECT * FROM shown")(shown)
 
 # References people might type: ids, names in capitals, parts of names, and two kinds of typing slips.
 REFS = """SELECT CASE CAST(user_id AS BIGINT) % 6 WHEN 0 THEN user_id WHEN 1 THEN upper(display_name)
@@ -211,10 +222,9 @@ byspell AS (SELECT ref, user_id, display_name, 'fuzzy' AS method, round(score, 9
   WHERE rn = 1 AND score >= 0.84 AND (score - second >= 0.05 OR score >= 0.92)),
 hit AS (SELECT * FROM byid UNION ALL SELECT * FROM byname UNION ALL SELECT * FROM bypart UNION ALL SELECT * FROM byspell)
 SELECT * FROM hit UNION ALL SELECT ref, key, NULL, 'unresolved', NULL FROM asked WHERE ref NOT IN (SELECT ref FROM hit)""")(
-    lambda t: resolved(t, "edit").withColumn("score", F.round("score", 9)))
-query("resolve_users_sequence")(lambda t: resolved(t, "sequence"))
+    lambda t: resolved(t).withColumn("score", F.round("score", 9)))
 
 
-def resolved(t, similarity):
-    names = N.display_names(t.model_users)
-    return N.resolve_users(t.spark.sql(REFS, shown=names), names, t.model_users, similarity)
+def resolved(t):
+    names = materialize(shown(t))
+    return N.resolve_users(t.spark.sql(REFS, shown=names), names, t.model_users)

@@ -152,37 +152,37 @@ FROM (SELECT m.*, r.vibe, list_max(list_transform(r.keywords, lambda k: CASE WHE
   FROM matched m CROSS JOIN requests r) WHERE s > 0""")
 named = lambda t: P.named_popularity(t.ready)
 
-query("vibe_tracks", ("by_label",), "SELECT * FROM by_label WHERE position <= 1000")(
-    lambda t: flat(V.vibe_tracks(effective(t), t.catalog, REQUESTS, 1000)))
+query("vibe_tracks", ("by_label",), "SELECT * FROM by_label")(
+    lambda t: flat(V.vibe_tracks(effective(t), t.catalog, REQUESTS)))
 for key in ("vibe_catalog_match", "keyword_exists_semi"):
-    query(key, ("by_genre",), "SELECT * FROM by_genre WHERE position <= 1000" if key == "vibe_catalog_match" else
-          "SELECT vibe, position, track_id FROM by_genre WHERE position <= 500")(
-        (lambda t: V.vibe_catalog_match(t.catalog, t.ready, REQUESTS, 1000)) if key == "vibe_catalog_match" else
-        (lambda t: V.vibe_catalog_match(t.catalog, t.ready, REQUESTS, 500).select("vibe", "position", "track_id")))
+    query(key, ("by_genre",), "SELECT * FROM by_genre" if key == "vibe_catalog_match" else
+          "SELECT vibe, position, track_id FROM by_genre")(
+        (lambda t: V.vibe_catalog_match(t.catalog, t.ready, REQUESTS)) if key == "vibe_catalog_match" else
+        (lambda t: V.vibe_catalog_match(t.catalog, t.ready, REQUESTS).select("vibe", "position", "track_id")))
 query("name_or_blank_join", ("matched",), "SELECT track_id, track_name, artist_name, plays, genre_l FROM matched")(
     lambda t: V.name_match(named(t), t.catalog).select("track_id", "track_name", "artist_name", "plays", "genre_l"))
-query("vibe_named_match", ("by_name",), "SELECT * FROM by_name WHERE global_rank_7d <= 200")(
-    lambda t: V.vibe_named_match(named(t), t.catalog, REQUESTS, 200))
-query("vibe_named_rank", ("by_name",), "SELECT vibe, global_rank_7d, track_id FROM by_name WHERE global_rank_7d <= 10")(
-    lambda t: V.vibe_named_match(named(t), t.catalog, REQUESTS, 10).select("vibe", "global_rank_7d", "track_id"))
+query("vibe_named_match", ("by_name",), "SELECT * FROM by_name")(
+    lambda t: V.vibe_named_match(named(t), t.catalog, REQUESTS))
+query("vibe_named_rank", ("by_name",), "SELECT vibe, global_rank_7d, track_id FROM by_name")(
+    lambda t: V.vibe_named_match(named(t), t.catalog, REQUESTS).select("vibe", "global_rank_7d", "track_id"))
 
 define("vitems", ("by_label", "by_genre", "by_name", "trending_ready", "named_ranked", "requests"), f"""
 SELECT vibe, mode, position, track_id, track_name, artist_name FROM (
  SELECT *, min(pr) OVER (PARTITION BY vibe) AS first_pr FROM (
   SELECT vibe, 1 AS pr, 'vibe_match_features' AS mode, row_number() OVER (PARTITION BY vibe ORDER BY position) AS position,
-    track_id, track_name, artist_name FROM by_label WHERE position <= 10000 AND {READABLE}
+    track_id, track_name, artist_name FROM by_label WHERE {READABLE}
   UNION ALL SELECT vibe, 2, 'vibe_match_catalog', row_number() OVER (PARTITION BY vibe ORDER BY position), track_id, track_name, artist_name
-    FROM by_genre WHERE position <= 10000 AND {READABLE}
+    FROM by_genre WHERE {READABLE}
   UNION ALL SELECT vibe, 3, 'vibe_fallback_named_keyword', global_rank_7d, track_id, track_name, artist_name FROM by_name
   UNION ALL SELECT vibe, 4, 'vibe_fallback_named_trending', row_number() OVER (PARTITION BY vibe ORDER BY global_rank_7d), track_id, track_name, artist_name
-    FROM trending_ready CROSS JOIN requests WHERE global_rank_7d <= 10000 AND {READABLE}
+    FROM trending_ready CROSS JOIN requests WHERE {READABLE}
   UNION ALL SELECT vibe, 5, 'vibe_fallback_named_trending', global_rank_7d, track_id, track_name, artist_name FROM named_ranked CROSS JOIN requests)
  WHERE position <= 100) WHERE pr = first_pr""")
 
 
 def vibe_items(t, limit=100, vibes=REQUESTS):
     names = named(t)
-    trending = P.global_trending(P.track_popularity(t.ready, ready=True), max_rank=max(limit * 100, 500))
+    trending = P.global_trending(P.track_popularity(t.ready, ready=True))
     return V.vibe_cascade(effective(t), t.catalog, t.ready, names, trending, P.named_trending(names, limit), vibes, limit)
 
 
