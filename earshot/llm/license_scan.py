@@ -114,8 +114,7 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     classes = _template_bands(spark, templates, most_windows)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                         words_of(F.lower(whole(text))).alias("words"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.lower(whole(text))).alias("words"))
     schema = ("kind int, t_band bigint, template_id string, license string, t_shingles array<string>, m int, "
               "t_at int, width int")
     table = spark.createDataFrame(
@@ -135,7 +134,8 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
         full = F.when(F.size("words") >= width, shingle_hashes(F.col("words"), width)) \
             .otherwise(F.array().cast("array<bigint>"))
         hits.append(let(full, lambda h: of_width(h)))
-    met = (source.select("*", F.concat(*hits).alias("hits")).where(F.size("hits") > 0)
+    # The number of the row is made beside the hits: a filter isn't pushed below it, so hits are searched once.
+    met = (source.select("*", F.monotonically_increasing_id().alias("row"), F.concat(*hits).alias("hits"))
            .select("doc_id", "row", "words", F.explode("hits").alias("hit"))
            .select("doc_id", "row", "words", F.col("hit.kind").alias("hit_kind"), F.col("hit.at").alias("at"),
                    F.col("hit.band").alias("band"))

@@ -108,7 +108,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
         .otherwise(F.concat_ws("\n", F.filter("raw_lines", lambda x: ~dropped(x)))).alias("cleaned"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    return counted.select(
+    # A caller's filter on generated columns isn't pushed into the work above, which would then be done twice and more.
+    return counted.select(F.inline(F.array(F.struct(
         *[F.col(f"carry_{i}").alias(c) for i, c in enumerate((doc_id, *carry))],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        "removed_words", "removed_lines", "cleaned", (~failed & (left >= min_left * F.col("n_words"))).alias("kept"))
+        "removed_words", "removed_lines", "cleaned", (~failed & (left >= min_left * F.col("n_words"))).alias("kept")))))
