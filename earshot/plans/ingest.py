@@ -185,9 +185,10 @@ def insert(t):
     from earshot.functions.text import clean_text
     events = t.listens.withColumn("track_name", clean_text("track_name")).withColumn("event_hash", stored_event_hash())
     events = events.select("event_hash", "user_id", "track_id")
-    K.sink_insert_ignore(events.filter("user_id < '5'"), target)
-    K.sink_insert_ignore(events, target)
-    return t.spark.read.parquet(target)
+    by_hash = F.left("event_hash", F.lit(1))
+    K.sink_insert_ignore(events.filter("user_id < '5'"), target, part=by_hash)
+    K.sink_insert_ignore(events, target, part=by_hash)
+    return t.spark.read.parquet(target).drop("part")
 
 
 @query("sink_upsert", ("vote_state",), "SELECT user_id, track_id, user_selected_vibe FROM vote_state")
@@ -197,7 +198,7 @@ def upsert(t):
     old, new = log.filter("seen.voted_at < '1998-01-01'"), log.filter("seen.voted_at >= '1998-01-01'")
     for part in (new, old):
         K.sink_upsert(K.merged(part.limit(0), part, ["user_id", "track_id"], "seen"), target, ["user_id", "track_id"], "seen")
-    return t.spark.read.parquet(target).drop("seen")
+    return t.spark.read.parquet(target).drop("seen", "part")
 
 
 @query("sink_replace_version", ("mf",), """
@@ -219,7 +220,7 @@ def catalog_stream(t):
             .withColumn("genre", F.when(F.col("updated_at") == 2, F.col("genre")).otherwise("old"))
             .select("source", "track_id", "track_name", "genre", "updated_at"))
     T.catalog_upserts(rows, f"{root}/catalog", f"{root}/offsets").awaitTermination()
-    return t.spark.read.parquet(f"{root}/catalog").drop("updated_at")
+    return t.spark.read.parquet(f"{root}/catalog").drop("updated_at", "part")
 
 
 @query("replay_rebuild", ("ingested",), "SELECT event_hash, user_id, track_id FROM ingested")

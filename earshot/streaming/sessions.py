@@ -61,10 +61,17 @@ def genres(cat: DataFrame) -> DataFrame:
 def genre_counts(events: DataFrame, cat: DataFrame, window: str = "7 days", slide: str = "1 day",
                  watermark: str = "1 day") -> DataFrame:
     """Plays per user, sliding window and genre: a stream joined with the static catalog."""
-    source = events.withWatermark("event_ts", watermark) if events.isStreaming else events
-    return (source.filter("event_type = 'play' AND track_id IS NOT NULL").join(genres(cat), "track_id")
-            .groupBy("user_id", F.window("event_ts", window, slide).alias("w"), "genre")
-            .agg(count_rows().alias("plays"))
+    plays = events.filter("event_type = 'play' AND track_id IS NOT NULL").join(genres(cat), "track_id")
+    if events.isStreaming:
+        return (plays.withWatermark("event_ts", watermark)
+                .groupBy("user_id", F.window("event_ts", window, slide).alias("w"), "genre")
+                .agg(count_rows().alias("plays"))
+                .select("user_id", F.col("w.end").alias("window_end"), "genre", "plays"))
+    # A table is folded to one row per user, slide and genre first; only those rows go into every window they are in.
+    folded = (plays.groupBy("user_id", F.window("event_ts", slide).alias("d"), "genre").agg(count_rows().alias("plays"))
+              .select("user_id", F.col("d.start").alias("start"), "genre", "plays"))
+    return (folded.groupBy("user_id", F.window("start", window, slide).alias("w"), "genre")
+            .agg(F.sum("plays").alias("plays"))
             .select("user_id", F.col("w.end").alias("window_end"), "genre", "plays"))
 
 
@@ -109,15 +116,3 @@ def user_features(events: DataFrame, cat: DataFrame, gap: str = GAP, days: int =
         "user_id", "last_event_ts", F.coalesce("top_genres", F.array().cast("array<string>")).alias("top_genres"),
         F.col("avg_session_gap_sec").cast("float").alias("avg_session_gap_sec"),
         (updated_at if updated_at is not None else F.current_timestamp()).alias("updated_at"))
-
-
-def sessions_by_lag(events: DataFrame, gap: str = GAP) -> DataFrame:
-    """Batch twin of session_windows with lag and a running count; used to check the stream."""
-    order = Window.partitionBy("user_id").orderBy("event_ts")
-    starts = F.col("event_ts") >= F.lag("event_ts").over(order) + F.expr(f"INTERVAL {gap}")
-    marked = events.select("user_id", "event_ts", F.coalesce(starts, F.lit(True)).cast("int").alias("_new"))
-    numbered = marked.withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (numbered.groupBy("user_id", "_s")
-            .agg(F.min("event_ts").alias("session_start"),
-                 (F.max("event_ts") + F.expr(f"INTERVAL {gap}")).alias("session_end"), count_rows().alias("plays"))
-            .drop("_s"))

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from earshot.sources import sinks as K
@@ -44,13 +46,62 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     frame = lambda *r: spark.createDataFrame(list(r), "k string, v string, at int")
     K.sink_upsert(frame(("a", "1", 1), ("b", "1", 5)), folder, ["k"], "at")
     K.sink_upsert(frame(("a", "2", 2), ("b", "0", 4), ("c", "9", 1)), folder, ["k"], "at")
-    assert rows(spark.read.parquet(folder)) == [("a", "2", 2), ("b", "1", 5), ("c", "9", 1)]
+    assert rows(spark.read.parquet(folder).drop("part")) == [("a", "2", 2), ("b", "1", 5), ("c", "9", 1)]
+
+
+def test_upsert_touches_only_its_parts_and_survives_a_failed_switch(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    frame = lambda ids, v, at: spark.createDataFrame([(str(i), v, at) for i in ids], "k string, v string, at int")
+    K.sink_upsert(frame(range(100), "old", 1), folder, ["k"], "at", parts=16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part=*/*.parquet")}
+    K.sink_upsert(frame([7], "new", 2), folder, ["k"], "at", parts=16)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part=*/*.parquet")}
+    assert len({p.parent for p in before if before[p] != after.get(p)}) == 1
+    real, calls = K.exists, []
+
+    def failing(s, path):
+        calls.append(path)
+        if len(calls) > 4:
+            raise RuntimeError("lost driver")
+        return real(s, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(K, "exists", failing)
+        with pytest.raises(RuntimeError):
+            K.sink_upsert(frame(range(100), "late", 3), folder, ["k"], "at", parts=16)
+    K.recover(spark, folder)
+    assert sorted(r.k for r in spark.read.parquet(folder).collect()) == sorted(map(str, range(100)))
+    K.sink_upsert(frame(range(100), "last", 4), folder, ["k"], "at", parts=16)
+    assert {r.v for r in spark.read.parquet(folder).collect()} == {"last"}
+
+
+def test_insert_reads_only_the_parts_of_the_batch(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    frame = lambda *r: spark.createDataFrame(list(r), "event_hash string, day string")
+    day = F.col("day")
+    K.sink_insert_ignore(frame(("a", "d1"), ("b", "d2")), folder, part=day)
+    for p in (tmp_path / "t" / "part=d1").glob("*.parquet"):
+        p.write_text("unreadable")
+    K.sink_insert_ignore(frame(("b", "d2"), ("c", "d2"), ("c", "d2")), folder, part=day)
+    assert sorted(r.event_hash for r in spark.read.parquet(f"{folder}/part=d2").collect()) == ["b", "c"]
+
+
+def sessions_by_lag(events, gap=X.GAP):
+    """Batch twin of session_windows with lag and a running count; used to check the stream."""
+    order = Window.partitionBy("user_id").orderBy("event_ts")
+    starts = F.col("event_ts") >= F.lag("event_ts").over(order) + F.expr(f"INTERVAL {gap}")
+    marked = events.select("user_id", "event_ts", F.coalesce(starts, F.lit(True)).cast("int").alias("_new"))
+    numbered = marked.withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (numbered.groupBy("user_id", "_s")
+            .agg(F.min("event_ts").alias("session_start"),
+                 (F.max("event_ts") + F.expr(f"INTERVAL {gap}")).alias("session_end"), F.count(F.lit(1)).alias("plays"))
+            .drop("_s"))
 
 
 def test_sessions_agree_with_lag(spark):
     df = spark.range(400).select((F.col("id") % 7).cast("string").alias("user_id"),
                                  F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(400_000))).alias("event_ts"))
-    by_window, by_lag = X.session_windows(df), X.sessions_by_lag(df)
+    by_window, by_lag = X.session_windows(df), sessions_by_lag(df)
     assert rows(by_window) == rows(by_lag.select(*by_window.columns))
     gaps = {r.user_id: r.avg_session_gap_sec for r in X.session_gaps(by_window).collect()}
     for user in gaps:
