@@ -138,8 +138,8 @@ SELECT row_number() OVER (ORDER BY plays DESC, unique_listeners DESC, last_play_
        coalesce(track_id, track_name) AS track_id, track_name, artist_id, artist_name, plays AS plays_7d,
        unique_listeners AS unique_listeners_7d FROM named""")
 query("named_popularity", ("named",), "SELECT * FROM named")(lambda t: P.named_popularity(t.ready))
-query("named_trending_rank", ("named_ranked",), "SELECT * FROM named_ranked WHERE global_rank_7d <= 200")(
-    lambda t: P.named_trending(P.named_popularity(t.ready), 200))
+query("named_trending_rank", ("named_ranked",), "SELECT * FROM named_ranked")(
+    lambda t: P.named_trending(P.named_popularity(t.ready), None))
 
 define("track_totals", EV, """
 SELECT user_id, coalesce(nullif(track_id,''), nullif(track_name,''), '__unknown_track__') AS track_id,
@@ -154,8 +154,8 @@ SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id
     ORDER BY plays DESC, last_played_at DESC, track_name, artist_name, track_id) AS favorite_rank,
     track_id, track_name, artist_id, artist_name, plays FROM track_totals)""")
 query("user_favorites", ("track_totals",), "SELECT * FROM track_totals")(lambda t: P.user_track_totals(t.listens))
-query("favorites_rank", ("favorites",), "SELECT * FROM favorites WHERE favorite_rank <= 1000")(
-    lambda t: P.user_favorites(t.listens, 1000))
+query("favorites_rank", ("favorites",), "SELECT * FROM favorites")(
+    lambda t: P.user_favorites(t.listens))
 
 query("event_dedup", EV, """
 hashed AS (SELECT *, md5(concat(source, chr(31), user_id, chr(31), coalesce(track_id,''), chr(31), coalesce(artist_id,''), chr(31),
