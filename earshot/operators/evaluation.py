@@ -66,7 +66,7 @@ def candidate_restrict(train: DataFrame, test: DataFrame, n: int = 10_000) -> tu
 
 
 def build_holdout(ready: DataFrame, users: DataFrame, holdout: int = 5, min_events: int = 20, target: str = "novel",
-                  candidate_top_n: int = 10_000, n: int = MODEL_USERS) -> Holdout:
+                  candidate_top_n: int = 0, n: int = MODEL_USERS) -> Holdout:
     """Split each user's events at the newest `holdout`.
 
     The boundary is each user's holdout-th newest (time, id), found with a group limit that
@@ -209,7 +209,7 @@ def best_weights(grid: DataFrame) -> DataFrame:
 
 def temporal_eval(ready: DataFrame, users: DataFrame, sources: Sequence[str] = ("pop", "mf", "hybrid", "dense"),
                   k: int = 20, holdout: int = 5, min_events: int = 20, target: str = "novel",
-                  candidate_top_n: int = 10_000, mf: DataFrame | None = None, dense: DataFrame | None = None,
+                  candidate_top_n: int = 0, mf: DataFrame | None = None, dense: DataFrame | None = None,
                   grid: Sequence[tuple[float, float, float]] | None = None, factors: int = 48,
                   iterations: int = 4) -> DataFrame:
     """Metrics per source. `mf` evaluates stored rows; without it factors are trained on the split."""

@@ -15,11 +15,12 @@ from earshot.session import materialize, small
 
 @dataclass(frozen=True)
 class HybridSettings:
-    """Defaults are those of the published job; `evaluation` gives the variant used to evaluate."""
+    """`mf_scan`, `pool` and `cap` cut the MF rows, the popular tracks and the candidates of a user; by default
+    nothing is cut. `evaluation` gives the variant used to evaluate."""
 
     k: int = 100
-    mf_scan: int = 500
-    pool: int = 10_000
+    mf_scan: int | None = None
+    pool: int | None = None
     artists: int = 5
     weights: tuple[float, float, float] = (0.45, 0.45, 0.10)
     cap: int | None = None
@@ -28,26 +29,24 @@ class HybridSettings:
     clean: bool = True
 
     @property
-    def scanned(self) -> int:
-        return max(self.mf_scan, self.k)
+    def scanned(self) -> int | None:
+        return None if self.mf_scan is None else max(self.mf_scan, self.k)
 
     @property
-    def candidate_cap(self) -> int:
-        return self.cap if self.cap is not None else max(25 * self.k, 3 * self.mf_scan, 500)
-
-    @property
-    def pool_size(self) -> int:
-        return max(self.pool, self.k)
+    def pool_size(self) -> int | None:
+        return None if self.pool is None else max(self.pool, self.k)
 
     @staticmethod
     def evaluation(scan: int, weights=(0.65, 0.25, 0.10)) -> "HybridSettings":
-        return HybridSettings(k=scan, mf_scan=max(5 * scan, 300), pool=max(5 * scan, 500), weights=weights,
-                              cap=max(8 * scan, 600), popularity_breaks_ties=False,
-                              scale_over_scan=False, clean=False)
+        return HybridSettings(k=scan, weights=weights, popularity_breaks_ties=False, scale_over_scan=False, clean=False)
+
+
+def _hinted(pool: DataFrame, bound: int | None) -> DataFrame:
+    return pool if bound is None else small(pool, bound)
 
 
-def top_pop_pool(pop: DataFrame, n: int = 10_000) -> DataFrame:
-    """The n most played tracks, numbered; the row bound n makes it safe to broadcast if small."""
+def top_pop_pool(pop: DataFrame, n: int | None = None) -> DataFrame:
+    """All tracks, numbered from the most played; the first n if given."""
     return ranked(pop, [], [F.col("plays").desc(), F.col("track_id").asc()], "pool_rank", n)
 
 
@@ -58,7 +57,8 @@ def mf_minmax(mf: DataFrame) -> DataFrame:
     return mf.join(ranges, "user_id")
 
 
-def _leading_pool(users: DataFrame, excluded: DataFrame, pool: DataFrame, wanted: int, bound: int) -> DataFrame:
+def _leading_pool(users: DataFrame, excluded: DataFrame, pool: DataFrame, wanted: int,
+                  bound: int | None) -> DataFrame:
     """The first `wanted` pool rows of each user that are not in `excluded`, without scanning the
     pool per user: a user with e excluded pool rows needs the first wanted + e positions."""
     counts = excluded.groupBy("user_id").agg(F.count(F.lit(1)).alias("_out"))
@@ -67,7 +67,7 @@ def _leading_pool(users: DataFrame, excluded: DataFrame, pool: DataFrame, wanted
     spread = positions(users.select("user_id").join(counts, "user_id", "left"), need, "pool_rank")
     return (spread.select("user_id", "pool_rank")
             .join(excluded, ["user_id", "pool_rank"], "left_anti")
-            .join(small(pool, bound), "pool_rank"))
+            .join(_hinted(pool, bound), "pool_rank"))
 
 
 def capped_pool(users: DataFrame, mf_candidates: DataFrame, excluded: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
@@ -89,13 +89,12 @@ def capped_pool(users: DataFrame, mf_candidates: DataFrame, excluded: DataFrame,
 
 
 def recs_popularity(train_counts: DataFrame, test_users: DataFrame, scan: int) -> DataFrame:
-    """The most played training tracks a user has not played; the pool is cut first."""
-    bound = max(5 * scan, 500)
+    """The `scan` most played training tracks that a user has not played."""
     meta = first_seen_names(train_counts)
-    pool = materialize(top_pop_pool(global_pop(train_counts), bound).join(meta, "track_id"))
-    seen = (train_counts.join(small(pool, bound), "track_id").select("user_id", "pool_rank")
+    pool = materialize(top_pop_pool(global_pop(train_counts)).join(meta, "track_id"))
+    seen = (train_counts.join(pool, "track_id").select("user_id", "pool_rank")
             .join(test_users.select("user_id"), "user_id", "left_semi"))
-    rows = _leading_pool(test_users, seen, pool, scan, bound)
+    rows = _leading_pool(test_users, seen, pool, scan, None)
     return ranked(rows, ["user_id"], [F.col("pool_rank").asc()], "recommendation_rank", scan).select(
         "user_id", "recommendation_rank", "track_id", "track_name", "artist_name",
         F.col("plays").cast("double").alias("recommendation_score"))
@@ -122,7 +121,7 @@ def recs_hybrid(hist: DataFrame, mf: DataFrame, settings: HybridSettings = Hybri
     mine = mf.join(users, "user_id", "left_semi").select(
         "user_id", "track_id", "track_name", "artist_name", "recommendation_rank",
         F.col("recommendation_score").alias("mf_raw"))
-    mine = mine if not s.scale_over_scan else mine.filter(F.col("recommendation_rank") <= s.scanned)
+    mine = mine if s.scanned is None or not s.scale_over_scan else mine.filter(F.col("recommendation_rank") <= s.scanned)
     if s.clean:
         named = meta.select("track_id", F.col("track_name").alias("_t"), F.col("artist_name").alias("_a"))
         mine = (clean_text_columns(mine, ["track_name", "artist_name"]).join(named, "track_id", "left")
@@ -131,19 +130,22 @@ def recs_hybrid(hist: DataFrame, mf: DataFrame, settings: HybridSettings = Hybri
     marked = materialize(mine.join(hist.select("user_id", "track_id", F.lit(True).alias("_played")),
                                    ["user_id", "track_id"], "left"))
     ranges = marked.groupBy("user_id").agg(F.min("mf_raw").alias("mf_min"), F.max("mf_raw").alias("mf_max"))
-    from_mf = marked.filter(F.col("_played").isNull() & (F.col("recommendation_rank") <= s.scanned)).select(
+    near = F.lit(True) if s.scanned is None else F.col("recommendation_rank") <= s.scanned
+    from_mf = marked.filter(F.col("_played").isNull() & near).select(
         "user_id", "track_id", "track_name", "artist_name", "mf_raw")
 
-    ranks = small(pool.select("track_id", "pool_rank"), s.pool_size)
+    ranks = _hinted(pool.select("track_id", "pool_rank"), s.pool_size)
     excluded = materialize(
         hist.select("user_id", "track_id").join(users, "user_id", "left_semi")
         .unionByName(from_mf.select("user_id", "track_id"))
         .join(ranks, "track_id").select("user_id", "pool_rank"))
     leading = _leading_pool(users, excluded, pool, s.k, s.pool_size).select("user_id", "pool_rank")
     liked = (likes.join(users, "user_id", "left_semi")
-             .join(small(pool, s.pool_size), "artist_name").select("user_id", "pool_rank"))
-    kept = capped_pool(users, from_mf, excluded, leading.unionByName(liked), s.candidate_cap)
-    from_pool = kept.join(small(pool, s.pool_size), "pool_rank").select(
+             .join(_hinted(pool, s.pool_size), "artist_name").select("user_id", "pool_rank"))
+    wanted = leading.unionByName(liked)
+    kept = (capped_pool(users, from_mf, excluded, wanted, s.cap) if s.cap is not None
+            else wanted.distinct().join(excluded, ["user_id", "pool_rank"], "left_anti"))
+    from_pool = kept.join(_hinted(pool, s.pool_size), "pool_rank").select(
         "user_id", "track_id", "track_name", "artist_name", F.lit(None).cast("double").alias("mf_raw"))
 
     total = max(sum(s.weights), 1e-9)

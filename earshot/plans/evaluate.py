@@ -8,7 +8,7 @@ from earshot.operators import history as H
 from earshot.operators import hybrid as Y
 from earshot.operators import rules as R
 from earshot.operators import serving as S
-from earshot.plans.history import SCORES, feedback, hybrid_views
+from earshot.plans.history import ALL, SCORES, feedback, hybrid_views
 from earshot.plans.recommend import rounded
 from earshot.plans.registry import define, query
 from earshot.plans.slices import READABLE
@@ -33,22 +33,32 @@ SELECT DISTINCT user_id, track_id FROM split s WHERE split = 'test'
   AND NOT EXISTS (SELECT 1 FROM train0 t WHERE t.user_id = s.user_id AND t.track_id = s.track_id)""")
 define("train1", ("train0", "test0"), "SELECT * FROM train0 WHERE user_id IN (SELECT user_id FROM test0)")
 define("test1", ("train0", "test0"), "SELECT * FROM test0 WHERE user_id IN (SELECT user_id FROM train0)")
-define("cand", ("train1",), """
-SELECT track_id FROM train1 GROUP BY track_id ORDER BY sum(plays) DESC, track_id LIMIT 10000""")
-define("train2", ("train1", "cand"), "SELECT * FROM train1 WHERE track_id IN (SELECT track_id FROM cand)")
-define("test2", ("test1", "cand"), "SELECT * FROM test1 WHERE track_id IN (SELECT track_id FROM cand)")
-define("train", ("train2", "test2", "meta"), """
-SELECT t.user_id, t.track_id, t.plays, m.track_name, m.artist_name FROM train2 t JOIN meta m ON m.track_id = t.track_id
-WHERE user_id IN (SELECT user_id FROM test2)""")
-define("test", ("train2", "test2"), "SELECT * FROM test2 WHERE user_id IN (SELECT user_id FROM train2)")
+
+
+def candidate_views(tag, limit):
+    """Training and test rows on the `limit` most played tracks (all tracks without one), for users with both."""
+    kept = "" if limit is None else f"ORDER BY sum(plays) DESC, track_id LIMIT {limit}"
+    define(f"cand{tag}", ("train1",), f"SELECT track_id FROM train1 GROUP BY track_id {kept}")
+    for side in ("train", "test"):
+        define(f"{side}2{tag}", (f"{side}1", f"cand{tag}"),
+               f"SELECT * FROM {side}1 WHERE track_id IN (SELECT track_id FROM cand{tag})")
+    define(f"train{tag}", (f"train2{tag}", f"test2{tag}", "meta"), f"""
+SELECT t.user_id, t.track_id, t.plays, m.track_name, m.artist_name FROM train2{tag} t JOIN meta m ON m.track_id = t.track_id
+WHERE user_id IN (SELECT user_id FROM test2{tag})""")
+    define(f"test{tag}", (f"train2{tag}", f"test2{tag}"),
+           f"SELECT * FROM test2{tag} WHERE user_id IN (SELECT user_id FROM train2{tag})")
+
+
+candidate_views("", None)
+candidate_views("_top", 500)
 
 query("novel_truth", ("test1",), "SELECT * FROM test1")(
-    lambda t: E.build_holdout(t.ready, t.model_users, candidate_top_n=0).test)
+    lambda t: E.build_holdout(t.ready, t.model_users).test)
 
-@query("candidate_restrict", ("train", "test"), """
-SELECT 'train' AS side, user_id, track_id FROM train UNION ALL SELECT 'test', user_id, track_id FROM test""")
+@query("candidate_restrict", ("train_top", "test_top"), """
+SELECT 'train' AS side, user_id, track_id FROM train_top UNION ALL SELECT 'test', user_id, track_id FROM test_top""")
 def restricted(t):
-    h = E.build_holdout(t.ready, t.model_users)
+    h = E.build_holdout(t.ready, t.model_users, candidate_top_n=500)
     return h.train.select(F.lit("train").alias("side"), "user_id", "track_id").unionByName(
         h.test.select(F.lit("test").alias("side"), "user_id", "track_id"))
 
@@ -58,7 +68,7 @@ SELECT * FROM (SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER
    m.track_name, m.artist_name, CAST(p.plays AS DOUBLE) AS recommendation_score
  FROM (SELECT DISTINCT user_id FROM test) u
  CROSS JOIN (SELECT track_id, sum(plays) AS plays, row_number() OVER (ORDER BY sum(plays) DESC, track_id) AS r
-             FROM train GROUP BY track_id QUALIFY r <= 1000) p
+             FROM train GROUP BY track_id) p
  JOIN meta m ON m.track_id = p.track_id
  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.track_id = p.track_id)) WHERE recommendation_rank <= 200""")
 
@@ -70,7 +80,7 @@ def popularity(t):
 
 
 define("mf_eval", ("mf_latest", "train"), "SELECT * FROM mf_latest WHERE track_id IN (SELECT track_id FROM train)")
-hybrid_views("he", "train", "mf_eval", "test", SCAN, 1000, 1000, 1600, (0.65, 0.25, 0.10), False, False, True)
+hybrid_views("he", "train", "mf_eval", "test", SCAN, ALL, ALL, ALL, (0.65, 0.25, 0.10), False, False, True)
 ROUND4 = ("* REPLACE (round(recommendation_score, 9) AS recommendation_score, round(mf_score, 9) AS mf_score, "
           "round(pop_score, 9) AS pop_score, round(artist_bonus, 9) AS artist_bonus)")
 
@@ -150,7 +160,7 @@ def retrained(t):
     return E.temporal_eval(t.ready, t.model_users, sources=("pop", "mf", "hybrid"))
 
 
-hybrid_views("hg", "train", "mf_eval", "test", SCAN, 1000, 1000, 1600, (0.2, 0.7, 0.1), False, False, True)
+hybrid_views("hg", "train", "mf_eval", "test", SCAN, ALL, ALL, ALL, (0.2, 0.7, 0.1), False, False, True)
 metrics_sql("hybrid(w=0.20,0.70,0.10)", "hg_recs", "mg")
 query("weight_grid_best", ("mh_metrics", "mg_metrics"), f"""
 SELECT {ROUND_M} FROM (SELECT * EXCLUDE (combo) FROM (SELECT *, 0 AS combo FROM mh_metrics UNION ALL SELECT *, 1 FROM mg_metrics)

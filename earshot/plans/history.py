@@ -88,7 +88,7 @@ query("global_pop", ("history",), "SELECT track_id, CAST(sum(plays) AS BIGINT) A
 define("pool", ("history",), """
 SELECT track_id, plays, row_number() OVER (ORDER BY plays DESC, track_id) AS pool_rank
 FROM (SELECT track_id, CAST(sum(plays) AS BIGINT) AS plays FROM history GROUP BY track_id) QUALIFY pool_rank <= 10000""")
-query("global_top_pop_pool", ("pool",), "SELECT * FROM pool")(lambda t: Y.top_pop_pool(H.global_pop(history(t))))
+query("global_top_pop_pool", ("pool",), "SELECT * FROM pool")(lambda t: Y.top_pop_pool(H.global_pop(history(t)), 10_000))
 query("per_user_minmax", ("mf_latest",), """
 SELECT user_id, track_id, recommendation_score, min(recommendation_score) OVER (PARTITION BY user_id) AS mf_min,
   max(recommendation_score) OVER (PARTITION BY user_id) AS mf_max FROM mf_latest""")(
@@ -99,6 +99,9 @@ def latest(t):
     return t.mf_latest
 
 
+ALL = 1 << 40  # ranks no list reaches
+
+
 def hybrid_views(tag, hist, mf, users, k, scan, pool, cap, weights, over_scan, tie_pop, meta_fallback):
     """Define the checking views of one hybrid variant by walking the whole pool per user."""
     wsum = sum(weights)
@@ -143,7 +146,7 @@ FROM (SELECT *, ({w[0]} * mf_score) + ({w[1]} * pop_score) + ({w[2]} * artist_bo
 WHERE recommendation_rank <= {k}""")
 
 
-hybrid_views("hy", "hist_clean", "mf_latest", "hist_clean", 100, 500, 10000, 2500, (0.45, 0.45, 0.10), True, True, True)
+hybrid_views("hy", "hist_clean", "mf_latest", "hist_clean", 100, ALL, ALL, ALL, (0.45, 0.45, 0.10), True, True, True)
 ROUND4 = ("* REPLACE (round(recommendation_score, 9) AS recommendation_score, round(mf_score, 9) AS mf_score, "
           "round(pop_score, 9) AS pop_score, round(artist_bonus, 9) AS artist_bonus)")
 SCORES = ("recommendation_score", "mf_score", "pop_score", "artist_bonus")
