@@ -14,7 +14,7 @@ from earshot.functions.text import UNKNOWN_ARTIST, blank_to_null, readable
 from earshot.operators.hybrid import HybridSettings, recs_hybrid, recs_popularity, top_pop_pool
 from earshot.operators.popularity import count_rows
 from earshot.operators.ranking import ranked
-from earshot.operators.slices import MODEL_USERS, slice_events_by_users
+from earshot.operators.slices import slice_events_by_users
 from earshot.session import materialize, small
 
 METRICS = ("source", "users_evaluated", "users_with_recs", "user_coverage", "precision_at_k", "recall_at_k",
@@ -28,7 +28,7 @@ def _newest() -> list[Column]:
 
 
 def holdout_split(ready: DataFrame, users: DataFrame, holdout: int = 5, min_events: int = 20,
-                  n: int = MODEL_USERS) -> DataFrame:
+                  n: int | None = None) -> DataFrame:
     """Every event of the users with its rank from the newest, and the side it falls on."""
     events = slice_events_by_users(ready, users, n)
     sizes = events.groupBy("user_id").agg(count_rows().alias("user_events")).filter(F.col("user_events") >= min_events)
@@ -66,7 +66,7 @@ def candidate_restrict(train: DataFrame, test: DataFrame, n: int = 10_000) -> tu
 
 
 def build_holdout(ready: DataFrame, users: DataFrame, holdout: int = 5, min_events: int = 20, target: str = "novel",
-                  candidate_top_n: int = 0, n: int = MODEL_USERS) -> Holdout:
+                  candidate_top_n: int = 0, n: int | None = None) -> Holdout:
     """Split each user's events at the newest `holdout`.
 
     The boundary is each user's holdout-th newest (time, id), found with a group limit that

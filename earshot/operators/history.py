@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from earshot.functions.text import UNKNOWN_ARTIST, blank_to_null, clean_text_columns
 from earshot.operators.popularity import best_name, count_rows
 from earshot.operators.ranking import ranked
-from earshot.operators.slices import MODEL_USERS, slice_events_by_users
+from earshot.operators.slices import slice_events_by_users
 from earshot.session import small
 
 # How actions count as feedback, and the floors of their strengths.
@@ -17,7 +17,7 @@ NEGATIVE_ACTIONS = ("skip", "dislike")
 STRENGTH = "decimal(6,3)"
 
 
-def user_track_history(ready: DataFrame, users: DataFrame, min_plays: int = 1, n: int = MODEL_USERS) -> DataFrame:
+def user_track_history(ready: DataFrame, users: DataFrame, min_plays: int = 1, n: int | None = None) -> DataFrame:
     return (slice_events_by_users(ready, users, n).groupBy("user_id", "track_id")
             .agg(F.max("track_name").alias("track_name"), F.max("artist_name").alias("artist_name"),
                  count_rows().alias("plays"))
@@ -42,7 +42,7 @@ def attach_names(df: DataFrame, cat: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 def feedback_scores(inter: DataFrame, users: DataFrame, cat: DataFrame, ready: DataFrame,
-                    fanout: bool = False, n: int = MODEL_USERS) -> DataFrame:
+                    fanout: bool = False, n: int | None = None) -> DataFrame:
     """Signed feedback per (user, track).
 
     `fanout` multiplies each score by the user's plays of the track and by its catalog sources,
@@ -73,7 +73,7 @@ def feedback_scores(inter: DataFrame, users: DataFrame, cat: DataFrame, ready: D
 
 
 def blended_history(ready: DataFrame, users: DataFrame, feedback: DataFrame, boost: str = "4.0",
-                    min_plays: int = 1, n: int = MODEL_USERS) -> DataFrame:
+                    min_plays: int = 1, n: int | None = None) -> DataFrame:
     """Plays plus boosted feedback, never below zero, rounded up."""
     base = user_track_history(ready, users, 1, n)
     both = base.alias("b").join(feedback.alias("f"), ["user_id", "track_id"], "full_outer")

@@ -64,8 +64,8 @@ def model_users_top(ev: DataFrame, n: int = MODEL_USERS) -> DataFrame:
     return _plays_per_user(ev).orderBy(F.col("plays").desc(), F.col("user_id").asc()).limit(n)
 
 
-def slice_events_by_users(ev: DataFrame, users: DataFrame, n: int = MODEL_USERS) -> DataFrame:
-    """Events of the given users; `n` bounds their number and decides about the broadcast."""
+def slice_events_by_users(ev: DataFrame, users: DataFrame, n: int | None = None) -> DataFrame:
+    """Events of the given users. A known bound `n` of their number allows a broadcast hint."""
     return ev.join(small(users.select("user_id"), n), "user_id", "left_semi")
 
 
