@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions.events import iso_micros
 from earshot.functions.text import clean_text_columns
 from earshot.operators.ranking import ranked
+from earshot.sources.sinks import hadoop_path
 
 STAGE_SCHEMA = ("user_id STRING, track_id STRING, artist_id STRING, event_ts TIMESTAMP, event_type STRING, "
                 "track_name STRING, artist_name STRING, source STRING, run_date STRING")
@@ -31,9 +34,16 @@ def read_stage(spark: SparkSession, root: str, source: str | None = None, run_da
 
 
 def latest_run_date(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
-    """Newest run_date per source, from the partition columns alone."""
-    staged = read_stage(spark, root, source)
-    return staged.groupBy("source").agg(F.max("run_date").alias("run_date"))
+    """Newest run_date per source, from the names of the folders alone: no file is opened."""
+    def folders(path: str, key: str) -> list[tuple[str, str]]:
+        found, fs = hadoop_path(spark, path)
+        names = [s.getPath().getName() for s in fs.listStatus(found)] if fs.exists(found) else []
+        return [(unquote(n.removeprefix(f"{key}=")), f"{path}/{n}") for n in names if n.startswith(f"{key}=")]
+
+    dates = [(s, date) for s, path in folders(root.rstrip("/"), "source") if source in (None, s)
+             for date, _ in folders(path, "run_date")]
+    return spark.createDataFrame(dates, "source string, run_date string").groupBy("source").agg(
+        F.max("run_date").alias("run_date"))
 
 
 def read_latest(spark: SparkSession, root: str, source: str) -> DataFrame:
