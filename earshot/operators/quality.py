@@ -122,9 +122,9 @@ def repair_metadata(df: DataFrame, columns: list[str], dry_run: bool = False) ->
     """
     out, report = df, None
     for column in columns:
-        counts = value_counts(df, column).withColumn("new", clean_text("value"))
-        changed = materialize(counts.filter(F.col("new").isNotNull() & (F.col("new") != F.col("value"))))
-        scanned = value_counts(df, column).agg(count_rows().alias("n")).scalar()
+        counts = materialize(value_counts(df, column).withColumn("new", clean_text("value")))
+        changed = counts.filter(F.col("new").isNotNull() & (F.col("new") != F.col("value")))
+        scanned = counts.agg(count_rows().alias("n")).scalar()
         top = changed.orderBy(F.col("n").desc(), F.col("value").asc()).limit(10).agg(
             F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "value", "new"))),
                         lambda e: F.concat_ws(" -> ", e.value, e.new)).alias("e")).scalar()
