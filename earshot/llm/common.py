@@ -15,6 +15,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def id_text(column: str) -> Column:
+    """An id as text: pandas would turn whole numbers beside nulls into floating ones."""
+    return F.col(column).cast("string").alias("doc_id")
+
+
+def id_back(df: DataFrame, kind) -> DataFrame:
+    """The table with its text ids in their own type again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def whole(text: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

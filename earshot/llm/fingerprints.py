@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from earshot.llm.common import bisect, literal_array, whole
+from earshot.llm.common import bisect, id_back, id_text, literal_array, whole
 from earshot.session import materialize
 
 SHINGLE = 5
@@ -179,14 +179,15 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bins:
         .select("key", "body", F.col("receiver").alias("slice"), F.lit(True).alias("copied")))
     dealt = rows.withColumn("copied", F.lit(False)).unionByName(extra) \
         .repartition("slice").sortWithinPartitions(F.col("slice").desc(), "copied", F.col("key").desc_nulls_last(),
-                                                   F.xxhash64("body").desc())
+                                                   F.xxhash64("body").desc()) \
+        .select(id_text("key"), "body", "slice", "copied")
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher, before, place_before = Sketcher(bins, bits), None, None
         for batch in batches:
             out = []
-            for key, body, at, copied in zip(batch["key"], batch["body"], batch["slice"], batch["copied"]):
-                document = _Document(None if pd.isna(key) else int(key), body, sketcher)
+            for key, body, at, copied in zip(batch["doc_id"], batch["body"], batch["slice"], batch["copied"]):
+                document = _Document(key, body, sketcher)
                 if before is not None and place_before == at:
                     changed = sketcher.sketch(edited_hashes(before, document))
                     edited = edited_text(before.text, document.text)
@@ -196,10 +197,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bins:
                                 sketcher.likeness(before.sketch, changed),
                                 sketcher.likeness(before.sketch, document.sketch)))
                 before, place_before = (None if copied else document), at
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint",
-                                               "edited_fingerprint", "near_edited", "near_next"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint",
+                                             "edited_fingerprint", "near_edited", "near_next"])
 
-    return dealt.mapInPandas(job, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                  "edited_fingerprint string, near_edited double, near_next double")
+    return id_back(dealt.mapInPandas(job, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, "
+                                          "edited_fingerprint string, near_edited double, near_next double"), "long")

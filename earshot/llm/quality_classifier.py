@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earshot.llm.common import id_back, id_text
 from earshot.session import materialize
 
 #: Names of the statistics, in the order of the vector.
@@ -65,14 +66,12 @@ def statistics(text: str | None) -> list[float]:
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id` and the vector `x` of each row's whole text."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [statistics(t) for t in batch["text"]]})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) \
-        .mapInPandas(job, f"doc_id {kind}, x array<double>")
+    rows = docs.select(id_text(doc_id), F.col(text).alias("text"))
+    return id_back(rows.mapInPandas(job, "doc_id string, x array<double>"), docs.schema[doc_id].dataType)
 
 
 @dataclass
@@ -133,8 +132,6 @@ def fit(labelled: DataFrame, shrink: float = 0.2, ridge: float = 0.05, temper: f
 
 def classify(vectors: DataFrame, model: Discriminant | float, threshold: float = 0.3) -> DataFrame:
     """`vectors` (doc_id, x) with score and predicted."""
-    kind = vectors.schema["doc_id"].dataType.simpleString()
-
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["x"].tolist()).reshape(-1, len(STATISTICS))
@@ -142,7 +139,8 @@ def classify(vectors: DataFrame, model: Discriminant | float, threshold: float =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score,
                                 "predicted": (score >= threshold).astype(np.int32)})
 
-    return vectors.mapInPandas(job, f"doc_id {kind}, score double, predicted int")
+    scored = vectors.select(id_text("doc_id"), "x").mapInPandas(job, "doc_id string, score double, predicted int")
+    return id_back(scored, vectors.schema["doc_id"].dataType)
 
 
 def fold(doc_id, parts: int):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from earshot.llm.common import id_back, id_text
 from earshot.session import materialize
 
 SEED = 42
@@ -57,9 +58,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             values = np.fromiter((fingerprint(t, width) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) \
-        .mapInPandas(job, f"doc_id {kind}, fp long")
+    rows = docs.select(id_text(doc_id), F.col(text).alias("text"))
+    return id_back(rows.mapInPandas(job, "doc_id string, fp long"), docs.schema[doc_id].dataType)
 
 
 def _flips(bits: int, most: int) -> np.ndarray:

@@ -48,7 +48,7 @@ def cases():
              'token = "0123456789abcdef0123456789abcdef01234567" ' + prose(5, 30), "é́ ½ 日本 <|endoftext|> don't"]
     rows = [(i, t, "fr" if i == 10 else "en", f"s{i % 3}", len(t or ""), 7, "z") for i, t in enumerate(texts)]
     rows += [(0, base, None, "s0", None, None, None), (0, base, None, "s0", None, None, None),
-             (None, prose(6, 50), None, None, None, None, None), (40, prose(7, 60), "en", None, 3, 1, "q")]
+             (None, prose(6, 50), None, None, None, None, None), ((1 << 60) + 1, prose(8, 40), "en", "s1", 1, 1, "q"), (40, prose(7, 60), "en", None, 3, 1, "q")]
     return rows
 
 
