@@ -110,7 +110,7 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     """One row per document row and template found: doc_id, template_id, license, containment, start_word.
 
     `containment` is the share of the template's distinct shingles in the best stretch of the text, `start_word` the
-    first word of the earliest such stretch.
+    place (from 0) of the first word of these shingles, in the earliest such stretch.
     """
     spark = docs.sparkSession
     classes = _template_bands(spark, templates, most_windows)
@@ -141,12 +141,16 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
                    F.col("hit.band").alias("band"))
            .join(F.broadcast(table), (F.col("hit_kind") == F.col("kind")) & (F.col("band") == F.col("t_band"))))
     start, slack = F.col("at") - F.col("t_at"), F.ceil(F.col("m") * (1 - containment)).cast("int")
-    stretch = F.slice("words", F.greatest(start - slack, F.lit(0)) + 1,
+    low = F.greatest(start - slack, F.lit(0))
+    stretch = F.slice("words", low + 1,
                       F.col("m") + F.col("width") - 1 + slack + F.least(slack, F.greatest(start, F.lit(0))))
-    share = F.size(F.array_intersect("t_shingles", let(stretch, lambda w: _spans(w, F.col("width"))))) \
-        / F.size("t_shingles")
-    checked = met.select("doc_id", "row", "template_id", "license", F.greatest(start, F.lit(0)).alias("start_word"),
-                         share.alias("containment"))
+    # A band meets a template window up to a window's length off; the first of the template's shingles is the start.
+    checked = (met.select("doc_id", "row", "template_id", "license", "t_shingles", low.alias("low"), let(
+        stretch, lambda w: _spans(w, F.col("width"))).alias("there"))
+        .select("doc_id", "row", "template_id", "license",
+                (F.size(F.array_intersect("t_shingles", "there")) / F.size("t_shingles")).alias("containment"),
+                (F.col("low") + F.array_position(F.transform("there", lambda s: F.array_contains("t_shingles", s)), True)
+                 .cast("int") - 1).alias("start_word")))
     return (checked.where(F.col("containment") >= containment)
             .groupBy("doc_id", "row", "template_id", "license")
             .agg(F.max("containment").alias("containment"),

@@ -77,6 +77,29 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
                                < rate - floor(rate))::BIGINT))::BIGINT AS taken
 FROM sizes JOIN rated ON sizes.source IS NOT DISTINCT FROM rated.source"""
 
+LICENSE_SQL = r"""
+WITH templates(template_id, license, template) AS (VALUES {values}),
+tw AS (SELECT template_id, license, regexp_extract_all(lower(template), '[^\x20\x09-\x0D]+') AS w FROM templates),
+tn AS (SELECT *, least(len(w), 5) AS k FROM tw WHERE len(w) > 0),
+ts AS (SELECT template_id, license, k, list_transform(range(0, len(w) - k + 1),
+                                                      lambda i: array_to_string(w[i + 1:i + k], ' ')) AS s FROM tn),
+tp AS (SELECT template_id, license, k, len(s) AS m, list_distinct(s) AS d, unnest(s) AS g, unnest(range(0, len(s))) AS o FROM ts),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+dg AS (SELECT doc_id, k, unnest(list_transform(range(0, len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS g,
+              unnest(range(0, len(w) - k + 1)) AS p FROM dw, (SELECT DISTINCT k FROM tn) WHERE len(w) >= k),
+hit AS (SELECT DISTINCT doc_id, template_id, license, dg.k, m, d, p - o AS start,
+               ceil(m * 0.19999999999999996::DOUBLE)::BIGINT AS slack FROM dg JOIN tp ON dg.g = tp.g AND dg.k = tp.k),
+part AS (SELECT hit.*, w[greatest(start - slack, 0) + 1:greatest(start - slack, 0) + m + k - 1 + slack
+                         + least(slack, greatest(start, 0))] AS r FROM hit JOIN dw USING (doc_id)),
+share AS (SELECT doc_id, template_id, license, len(list_intersect(d, there))::DOUBLE / len(d) AS c,
+                 greatest(start - slack, 0) + list_position(list_transform(there, lambda x: list_contains(d, x)), true) - 1
+                   AS start_word
+          FROM (SELECT *, list_transform(range(0, greatest(len(r) - k + 1, 0)),
+                                         lambda i: array_to_string(r[i + 1:i + k], ' ')) AS there FROM part))
+SELECT doc_id, template_id, license, max(c) AS containment, arg_max(start_word, struct_pack(c := c, s := -start_word)) AS start_word
+FROM share WHERE c >= 0.8 GROUP BY doc_id, template_id, license""".replace("{values}", ", ".join(
+    "('" + "', '".join(part.replace("'", "''") for part in row) + "')" for row in license_scan.TEMPLATES))
+
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and the line-frequency verdict of every document."""
@@ -157,4 +180,5 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": RULES_SQL,
     "op2_mixing": MIX_SQL,
+    "op4_license_scan": LICENSE_SQL,
 }
