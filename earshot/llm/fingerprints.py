@@ -173,8 +173,9 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bins:
     around = Window.partitionBy()
     receivers = materialize(heads.select("head", F.coalesce(
         F.lag("slice").over(ring), F.min("slice").over(around)).alias("receiver")))
-    extra = (rows.withColumn("hash", order).join(receivers.select(
-        F.col("head.key").alias("head_key"), F.col("head.hash").alias("head_hash"), "receiver"),
+    # At most MOST_SLICES rows, so the texts aren't shuffled to find them.
+    extra = (rows.withColumn("hash", order).join(F.broadcast(receivers.select(
+        F.col("head.key").alias("head_key"), F.col("head.hash").alias("head_hash"), "receiver")),
         F.col("key").eqNullSafe(F.col("head_key")) & (F.col("hash") == F.col("head_hash")))
         .select("key", "body", F.col("receiver").alias("slice"), F.lit(True).alias("copied")))
     dealt = rows.withColumn("copied", F.lit(False)).unionByName(extra) \
