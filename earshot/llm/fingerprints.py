@@ -126,17 +126,15 @@ def edited_hashes(own: _Document, following: _Document) -> np.ndarray:
     half = len(own.text) // 2
     kept = own.text[:len(own.text) - half].encode("utf-8", "surrogatepass")
     taken = following.text[:half].encode("utf-8", "surrogatepass")
-    head, tail = len(kept.split()), len(taken.split())
+    kept_words, taken_words = kept.split(), taken.split()
+    head, tail = len(kept_words), len(taken_words)
     # Words that are surely whole: all but the last kept one, and all but the first and the last taken one.
     left, right = max(0, head - 1), max(0, tail - 2)
     if left < 2 * SHINGLE or right < 2 * SHINGLE:
         return shingles((kept + taken).split())
     seam = own.words[left - SHINGLE + 1:left]
-    middle = b" ".join(kept.split()[left:]) if head else b""
-    bare_end = kept[-1:].isspace() or taken[:1].isspace() or not kept or not taken
-    first = taken.split()[0]
-    between = [middle, first] if bare_end else [middle + first]
-    last = taken.split()[-1]
+    middle, first, last = kept_words[-1], taken_words[0], taken_words[-1]
+    between = [middle, first] if kept[-1:].isspace() or taken[:1].isspace() else [middle + first]
     body = [*seam, *between, *following.words[1:SHINGLE]]
     ending = [*following.words[tail - SHINGLE:tail - 1], last]
     return np.concatenate([own.hashes[:left - SHINGLE + 1], shingles(body),
