@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from earshot.llm.common import id_back, id_text
+
 #: Chunks and word pieces whose ids a worker remembers; a table starts anew when it is full.
 REMEMBERED = 1_000_000
 #: Characters whose lower case and normal form are plain: chunks of these alone are split into word pieces here.
 PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+ALL_PLAIN = re.compile(PLAIN.pattern.replace("[", r"[\n", 1))
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class ChunkIds:
@@ -52,6 +55,7 @@ class ChunkIds:
         self.pattern = None
         if suffix and len(splits) == 1 and splits[0]["behavior"] == "Removed" and splits[0]["invert"]:
             self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
+            self.line_pattern = regex.compile("\\n|" + splits[0]["pattern"]["Regex"])
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         added = [t["content"] for t in rules.get("added_tokens") or []]
@@ -80,14 +84,28 @@ class ChunkIds:
 
     def learn(self, chunks: list[str]) -> None:
         """Remember chunks that are not known yet."""
-        plain = [c for c in chunks if PLAIN.fullmatch(c) and not self.added.search(c)] if self.pattern else []
-        split = [self.pattern.findall(c.lower()) for c in plain]
-        self._learn_pieces(list({p for pieces in split for p in pieces if p not in self.pieces}))
-        look = self.pieces.__getitem__
-        found = {c: b"".join(map(look, pieces)) for c, pieces in zip(plain, split)}
-        rest = [c for c in chunks if c not in found]
-        self.chunks.update(found)
-        self.chunks.update(zip(rest, self._direct(rest)))
+        plain = []
+        if self.pattern:
+            lines = "\n".join(chunks)
+            if ALL_PLAIN.fullmatch(lines) and not self.added.search(lines):
+                plain = chunks
+            else:
+                plain = [c for c in chunks if PLAIN.fullmatch(c) and not self.added.search(c)]
+        if plain:
+            # One search over all chunks; a line end marks where the pieces of a chunk stop.
+            found = self.line_pattern.findall("\n".join(plain).lower() + "\n")
+            distinct = set(found)
+            distinct.discard("\n")
+            self._learn_pieces(list(distinct.difference(self.pieces)))
+            look, at, encoded = self.pieces, 0, []
+            for _ in plain:
+                stop = found.index("\n", at)
+                encoded.append(look[found[at]] if stop == at + 1 else b"".join([look[p] for p in found[at:stop]]))
+                at = stop + 1
+            self.chunks.update(zip(plain, encoded))
+        rest = chunks if not plain else [] if len(plain) == len(chunks) else list(set(chunks).difference(plain))
+        if rest:
+            self.chunks.update(zip(rest, self._direct(rest)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -115,11 +133,16 @@ def chunk_table(path: str) -> ChunkIds:
     return _TABLES[path]
 
 
+#: White space that str.split() knows beyond ASCII's six.
+OTHER_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200b)), "\u2028",
+               "\u2029", "\u202f", "\u205f", "\u3000")
+
+
 def _ascii_split(text: str) -> list[str]:
-    """Chunks between ASCII white space (str.split would also split at other control characters)."""
-    if text.isascii() and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text:
-        return text.split()
-    return [c.decode("utf-8", "surrogatepass") for c in text.encode("utf-8", "surrogatepass").split()]
+    """Chunks between ASCII white space."""
+    if any(c in text for c in (OTHER_SPACE[:4] if text.isascii() else OTHER_SPACE)):
+        return [c.decode("utf-8", "surrogatepass") for c in text.encode("utf-8", "surrogatepass").split()]
+    return text.split()
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -179,9 +202,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, groups: int, doc_id: str = "
                                      if ids.dtype.itemsize == 4 else rest.tobytes()))
                 yield pd.DataFrame(rows, columns=["deal", "doc_id", "start", "length", "doc_tokens", "crc", "ids"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        job, f"deal long, doc_id {kind}, start long, length long, doc_tokens long, crc long, ids binary")
+    return docs.select(id_text(doc_id), F.col(text).alias("text")).mapInPandas(
+        job, "deal long, doc_id string, start long, length long, doc_tokens long, crc long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048,
@@ -192,8 +214,6 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     """
     total = docs.agg(F.sum(F.char_length(text))).first()[0] or 0
     groups = max(1, -(-total // group_chars))
-    kind = docs.schema[doc_id].dataType.simpleString()
-
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         base = int(key[0]) << 32
         rows = rows.sort_values(["doc_id", "start", "doc_tokens"], kind="stable").reset_index(drop=True)
@@ -212,5 +232,5 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         return pd.concat([done, cut]).rename(columns={"crc": "ids_crc32"})[
             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    return tokenised(docs, tokenizer_path, groups, doc_id, text, size, end_id).groupBy("deal").applyInPandas(
-        job, PIECES.format(id=kind))
+    pieces = tokenised(docs, tokenizer_path, groups, doc_id, text, size, end_id).groupBy("deal").applyInPandas(job, PIECES)
+    return id_back(pieces, docs.schema[doc_id].dataType)
