@@ -79,15 +79,14 @@ def popularity(t):
     return Y.recs_popularity(h.train, h.test.select("user_id").distinct(), SCAN)
 
 
-define("mf_eval", ("mf_latest", "train"), "SELECT * FROM mf_latest WHERE track_id IN (SELECT track_id FROM train)")
+define("mf_eval", ("mf_latest",), "SELECT * FROM mf_latest")
 hybrid_views("he", "train", "mf_eval", "test", SCAN, ALL, ALL, ALL, (0.65, 0.25, 0.10), False, False, True)
 ROUND4 = ("* REPLACE (round(recommendation_score, 9) AS recommendation_score, round(mf_score, 9) AS mf_score, "
           "round(pop_score, 9) AS pop_score, round(artist_bonus, 9) AS artist_bonus)")
 
 
 def hybrid_eval(t, h, weights=(0.65, 0.25, 0.10)):
-    allowed = t.mf_of(h.test.select("user_id").distinct()).join(h.train.select("track_id").distinct(), "track_id", "left_semi")
-    return Y.recs_hybrid(h.train, allowed, Y.HybridSettings.evaluation(SCAN, weights), h.test)
+    return Y.recs_hybrid(h.train, t.mf_of(h.test.select("user_id").distinct()), Y.HybridSettings.evaluation(SCAN, weights), h.test)
 
 
 @query("recs_hybrid_eval", ("he_recs",), f"SELECT {ROUND4} FROM he_recs")
