@@ -19,6 +19,7 @@ from earshot.llm import (
     language_id,
     license_scan,
     mixing,
+    near_copies,
     packing,
     quality_classifier,
     quality_rules,
@@ -377,3 +378,35 @@ def test_pipeline_stages_take_effect(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_near_copies_reach_the_likeness_of_0_8(spark):
+    def edited(words, places, tag):
+        return " ".join(f"{tag}{i}" if i in places else w for i, w in enumerate(words))
+
+    rng = np.random.default_rng(4)
+    hub = [f"w{x}" for x in rng.integers(0, 1 << 40, 400)]
+    texts = [edited(hub, {20 * k + i % 20 for k in range(1, 9)}, f"e{i}x") for i in range(60)] + [" ".join(hub)]
+    for seed in range(40):  # pairs on both sides of the limit
+        base = [f"p{x}" for x in rng.integers(0, 1 << 40, 300)]
+        texts += [" ".join(base), edited(base, set(range(5, 300, 300 // (3 + seed % 8))), "q")]
+    texts += ["", None, "one two", "One two"]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if near_copies.likeness(sets[a], sets[b]) >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(rows).collect()}
+    assert len(set(root[:61])) == 1 and got == dict(enumerate(root))
+    one = corpus_pipeline.dedup_stage(spark, rows.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"),
+                                                         F.lit(1).cast("long").alias("n_chars")), "")
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(root))
+
+
+def test_near_copies_defined_cases(spark, docs, empty):
+    got = near_copies.near_copies(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in cases())
+    assert near_copies.near_copies(empty).collect() == []
