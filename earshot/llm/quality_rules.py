@@ -1,8 +1,8 @@
 """Quality rules: lines that many documents of a host share are removed, depleted documents are rejected.
 
 Native columns only. The first pass hashes normalised lines and counts, for each host, the distinct documents a line
-is in. For a line, a document is known by the smallest hash among its other lines, which copies and near copies of one
-document share: they count as one document, and their text isn't taken for boilerplate. Lines above the host's limit (`max_share` of its documents, and over `min_docs`) are boilerplate. At most
+is in. A document is known by the hash of its whole text: exact copies count as one document, and their text isn't taken
+for boilerplate. Lines above the host's limit (`max_share` of its documents, and over `min_docs`) are boilerplate. At most
 mean lines per document / max_share lines of a large host can be above it, so the lines of a host fit in one row; the
 second pass joins that row to each document of the host and works inside the document.
 
@@ -39,12 +39,9 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", ma
                    min_docs: int = 10) -> DataFrame:
     """One row per host that has any: `host`, `frequent` (sorted hashes of the lines above its limit)."""
     named = docs.select(F.col(host).alias("host"), whole(text).alias("body"))
-    hashed = named.select("host", F.array_sort(F.array_distinct(F.transform(_lines(F.col("body")), _line_hash)))
-                          .alias("lines")).where(F.size("lines") > 0)
-    seen = (hashed.select("host", F.get("lines", F.lit(0)).alias("least"), F.get("lines", F.lit(1)).alias("second"),
-                          F.explode("lines").alias("line"))
-            .select("host", "line", F.when(F.col("line") == F.col("least"), F.col("second"))
-                    .otherwise(F.col("least")).alias("document")).distinct())
+    hashed = named.select("host", F.xxhash64("body").alias("document"),
+                          F.array_distinct(F.transform(_lines(F.col("body")), _line_hash)).alias("lines"))
+    seen = hashed.select("host", "document", F.explode("lines").alias("line")).distinct()
     per_line = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
     hosts = named.groupBy("host", F.xxhash64("body").alias("document")).count() \
         .groupBy("host").agg(F.count(F.lit(1)).alias("all_documents"))

@@ -104,6 +104,15 @@ def test_rules_counts_and_frequent_lines(spark):
     assert got[300]["n_repeat_words"] == 20 and got[300]["n_dup_lines"] == 1 and got[300]["base_failed"]
 
 
+def test_rules_count_documents_that_share_a_block(spark):
+    block = "\n".join(f"shared line {c} of the block" for c in "abcdefghijklmnopqrst")
+    rows = [(i, block + "\n" + prose(3000 + i, 20), "h") for i in range(30)] + [(100 + i, prose(4000 + i, 40), "h") for i in range(270)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+           .collect()}
+    assert all(got[i]["removed_lines"] == 20 and not got[i]["kept"] for i in range(30))
+    assert all(got[100 + i]["removed_lines"] == 0 and got[100 + i]["kept"] for i in range(270))
+
+
 def test_repeat_words_against_plain_python(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(rng.choice(list("abc"), rng.integers(0, 40)))) for i in range(200)]
