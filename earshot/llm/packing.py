@@ -67,9 +67,13 @@ class ChunkIds:
         return [np.array(e.ids, self.width).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > REMEMBERED:
+    def _learn_pieces(self, distinct: set[str]) -> None:
+        """Remember pieces that are not known yet; all of `distinct` are known afterwards."""
+        new = distinct.difference(self.pieces)
+        if len(self.pieces) + len(new) > REMEMBERED:
             self.pieces.clear()
+            new = distinct
+        pieces = list(new)
         for low in range(0, len(pieces), 2048):
             part = pieces[low:low + 2048]
             lines = [" ".join(part[i:i + 64]) for i in range(0, len(part), 64)]
@@ -96,7 +100,7 @@ class ChunkIds:
             found = self.line_pattern.findall("\n".join(plain).lower() + "\n")
             distinct = set(found)
             distinct.discard("\n")
-            self._learn_pieces(list(distinct.difference(self.pieces)))
+            self._learn_pieces(distinct)
             look, at, encoded = self.pieces, 0, []
             for _ in plain:
                 stop = found.index("\n", at)

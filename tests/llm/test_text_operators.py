@@ -319,6 +319,15 @@ def test_pack_round_trip(spark):
     assert sum(sums) >= 0.9 * 2048 * len(sums)
 
 
+def test_full_piece_table_keeps_known_pieces_of_the_batch(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    table, tokenizer = packing.ChunkIds(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for texts in (["alpha beta gamma"], ["alpha! beta? " + " ".join(f"word{chr(97 + i)}" for i in range(26))],
+                  [" ".join(f"alpha-{chr(97 + i)}{chr(97 + i)}" for i in range(26))]):
+        for text, ids in zip(texts, table.encode(texts)):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_place_balances_cost():
     lengths = np.random.default_rng(1).integers(1, 2048, 400)
     pieces = packing.place(lengths, 2048)
