@@ -1,8 +1,9 @@
 """Secret scans: three base patterns, and character Markov models that tell random strings from identifiers.
 
 Native columns only. A candidate token gets the log-likelihood ratio of its character pairs under a model of random
-strings and a model of ordinary identifiers, both trained from labelled samples with add-one smoothing. A token is a
-secret if the ratio exceeds the prior odds against it. The model is one array of pair scores, so scoring is a lookup
+strings and a model of ordinary words and identifiers, both trained from labelled samples with add-one smoothing. Random
+strings of each class (hexadecimal in either case, base 62, base 64) have a model of their own and the best ratio counts. A
+token is a secret if it exceeds the prior odds against it. A model is one array of pair scores, so scoring is a lookup
 per character inside the row; its size depends on the alphabet only.
 
 Positions come from cutting the text at the matches: the lengths of gaps and matches add up to them.
@@ -33,7 +34,13 @@ HEX_RUN = r"[0-9a-f]{16,}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SIDE = len(ALPHABET) + 1
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+#: A word or identifier of any length that has a pair of characters.
+ORDINARY = r"[A-Za-z0-9+/_=-]{2,}"
+#: What the base patterns catch, as one match each.
+CAUGHT = (KINDS[0][1].replace("=-]+)", "=-]{12,})"), r"AKIA[A-Z0-9]{14,}", HEX_RUN)
+#: Classes of random strings; the first whose alphabet holds all of a sample is its class, else the last.
+CLASSES = (("hex", "^[0-9a-f]+$"), ("HEX", "^[0-9A-F]+$"), ("base62", "^[A-Za-z0-9]+$"), ("base64", ""))
 ADDED = "markov"
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
@@ -76,44 +83,62 @@ def _place(token: Column, at: Column) -> Column:
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
-    """Rows (`random`, `pair`) of each character pair of the tokens (`random` boolean, `token`)."""
+    """Rows (`random`, `kind`, `pair`) of each character pair of the tokens (`random` boolean, `token`)."""
     at = F.sequence(F.lit(1), F.char_length("token") - 1)
-    return tokens.where(F.char_length("token") > 1).select("random", F.explode(F.transform(
-        at, lambda i: _place(F.col("token"), i) * SIDE + _place(F.col("token"), i + 1))).alias("pair"))
+    kind = F.lit(CLASSES[-1][0])
+    for name, alphabet in CLASSES[-2::-1]:
+        kind = F.when(F.rlike("token", F.lit(alphabet)), name).otherwise(kind)
+    return tokens.where(F.char_length("token") > 1).select(
+        "random", F.when(F.col("random"), kind).otherwise("").alias("kind"), F.explode(F.transform(
+            at, lambda i: _place(F.col("token"), i) * SIDE + _place(F.col("token"), i + 1))).alias("pair"))
 
 
-def fit(tokens: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each character pair, from labelled tokens (`random` boolean, `token` string).
+def fit(tokens: DataFrame) -> list[list[float]]:
+    """Log-likelihood ratio of each character pair, a list for each class of random strings that has samples, from
+    labelled tokens (`random` boolean, `token` string).
 
     All samples count; what reaches the driver is one number per pair and label. A pair's first character is scored as
     its own start, so a token's ratio is the sum over its pairs.
     """
-    counts = {(r["random"], r["pair"]): r["n"] for r in
-              _pairs(tokens).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {(r["kind"], r["pair"]): r["n"] for r in
+              _pairs(tokens).groupBy("kind", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def chances(label: bool) -> list[float]:
+    def chances(label: str) -> list[float]:
         out = []
         for first in range(SIDE):
             row = [counts.get((label, first * SIDE + second), 0) + 1 for second in range(SIDE)]
             out += [n / sum(row) for n in row]
         return out
 
-    return [round(math.log(r / o), 6) for r, o in zip(chances(True), chances(False))]
+    seen = {kind for kind, _ in counts}
+    ordinary = chances("")
+    return [[round(math.log(r / o), 6) for r, o in zip(chances(kind), ordinary)]
+            for kind, _ in CLASSES if kind in seen] or [[0.0] * SIDE ** 2]
 
 
-def score(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token: above zero it is more like a random string."""
-    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+def score(token: Column, model: list) -> Column:
+    """Log-likelihood ratio of a token, the best of the model's lists: above zero it is more like a random string."""
+    lists = model if isinstance(model[0], list) else [model]
     at = F.sequence(F.lit(1), F.greatest(F.char_length(token) - 1, F.lit(1)))
-    return F.when(F.char_length(token) > 1, F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get(
-        table, _place(token, i) * SIDE + _place(token, i + 1)))).otherwise(F.lit(0.0))
+
+    def total(pairs: Column, ratios: list[float]) -> Column:
+        table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
+        return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.get(table, p))
+
+    def best(pairs: Column) -> Column:
+        sums = [total(pairs, ratios) for ratios in lists]
+        return F.greatest(*sums) if len(sums) > 1 else sums[0]
+
+    return F.when(F.char_length(token) > 1, let(F.transform(
+        at, lambda i: _place(token, i) * SIDE + _place(token, i + 1)), best)).otherwise(F.lit(0.0))
 
 
 def labelled_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """Labelled samples from the documents themselves.
 
     Random: values that base patterns catch, and digests of the texts written in base 64, base 62 and hexadecimal.
-    Ordinary: other candidate tokens of letters, digits and signs, each weighed once per document.
+    Ordinary: all words and identifiers outside what base patterns catch. Each distinct token counts once, so copies of a
+    text add nothing.
     """
     body = docs.select(whole(text).alias("body"))
     caught = body.where(F.rlike("body", F.lit(HINTS[0]))).select(F.explode(
@@ -122,10 +147,12 @@ def labelled_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     digest = F.base64(F.unhex(F.sha2("body", 256)))
     made = body.where(F.col("body") != "").select(F.explode(F.array(
         digest, F.regexp_replace(digest, "[+/=]", ""), F.upper(F.md5("body")), F.md5("body"))).alias("token"))
-    plain = body.select(F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(CANDIDATE), F.lit(0)))).alias(
-        "token")).where(~F.rlike("token", F.lit(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}")))
-    return (caught.select(F.lit(True).alias("random"), "token")
-            .union(made.select(F.lit(True), "token")).union(plain.select(F.lit(False), "token")))
+    rest = F.col("body")
+    for pattern, hint in zip(CAUGHT, HINTS):
+        rest = F.when(F.rlike("body", F.lit(hint)), F.regexp_replace(rest, F.lit(pattern), F.lit(" "))).otherwise(rest)
+    plain = body.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)))).alias("token"))
+    return (caught.union(made).distinct().select(F.lit(True).alias("random"), "token")
+            .union(plain.distinct().select(F.lit(False), "token")))
 
 
 def written(spans: Column) -> Column:
