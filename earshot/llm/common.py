@@ -80,3 +80,17 @@ def bisect(below, n: int) -> Column:
                         F.when(open_ & ~up, mid).otherwise(acc["hi"]).alias("hi"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length() + 1))), zero, step)["lo"]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, limit: int = 200_000) -> DataFrame:
+    """Rows of `left` with the one row of `right` for their `key` (left join), also where one key has most of the rows.
+
+    `right` is broadcast only if its counted rows are within `limit`. Beyond it its rows are repeated over `salts`
+    parts, and the rows of a key are dealt over these by their place in the input.
+    """
+    kept = materialize(right)
+    if kept.count() <= limit:
+        return left.join(F.broadcast(kept), key, "left")
+    salted = left.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    parts = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(parts, [key, "salt"], "left").drop("salt")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from earshot.llm import (
     fingerprints,
+    html_extraction,
     language_id,
     license_scan,
+    merkle,
     mixing,
     packing,
     quality_classifier,
@@ -17,6 +19,7 @@ from earshot.llm import (
     secret_scan,
     sharding,
     simhash,
+    token_alignment,
 )
 from earshot.llm.common import read_table
 
@@ -100,6 +103,57 @@ SELECT doc_id, template_id, license, max(c) AS containment, arg_max(start_word,
 FROM share WHERE c >= 0.8 GROUP BY doc_id, template_id, license""".replace("{values}", ", ".join(
     "('" + "', '".join(part.replace("'", "''") for part in row) + "')" for row in license_scan.TEMPLATES))
 
+_VALUE = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+
+
+def _manifest_sql(depth: int = 8, groups_depth: int = 4) -> str:
+    """Trees of at most 8 ** `depth` leaves and 8 ** `groups_depth` languages."""
+    def row(text: str) -> str:
+        return "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+    # The CRC-32 of the decimal id, by its table of 256 entries.
+    parts = [r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+               CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+checked AS (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 3 = 0 AS hit
+            FROM documents, crc),
+changed AS (SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END
+                      AS other FROM checked),
+leaves AS (SELECT doc_id, CASE WHEN lang IS NULL THEN 'n' ELSE 'v' || lang END AS tree, """ + row("text") + " AS leaf, "
+             + row("other") + r""" AS found FROM changed),
+w0 AS (SELECT *, found AS f0, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p0, '' AS path FROM leaves),
+n0 AS (SELECT tree, p0 AS pos, leaf AS digest FROM w0)"""]
+    for k in range(depth):
+        parts.append(f"""
+r{k} AS (SELECT tree, pos // 8 AS pos, list(digest ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY tree) AS size
+         FROM n{k} GROUP BY tree, pos // 8),
+n{k + 1} AS (SELECT tree, pos, CASE WHEN size > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest FROM r{k})""")
+    parts.append(f"""
+top AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS nth FROM n{depth}),
+n{depth + 1} AS (SELECT '' AS tree, nth AS pos, subroot AS digest FROM top)""")
+    for k in range(depth + 1, depth + 1 + groups_depth):
+        parts.append(f"""
+r{k} AS (SELECT tree, pos // 8 AS pos, list(digest ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY tree) AS size
+         FROM n{k} GROUP BY tree, pos // 8),
+n{k + 1} AS (SELECT tree, pos, CASE WHEN size > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest FROM r{k})""")
+    steps = [*range(depth), *range(depth + 1, depth + 1 + groups_depth)]
+    for i, k in enumerate(steps):
+        if k == depth + 1:
+            parts.append(f"\nt{i} AS (SELECT w{i}.* REPLACE (nth AS p{i}, '' AS tree), subroot FROM w{i} JOIN top USING (tree))")
+        left, right = (f"array_to_string(run[{r}], '')" for r in (f"1:p{i} % 8", f"p{i} % 8 + 2:"))
+        parts.append(f"""
+w{i + 1} AS (SELECT w.* REPLACE (CASE WHEN r.size > 1 THEN path || {left} || {right} ELSE path END AS path),
+             CASE WHEN r.size > 1 THEN sha256({left} || f{i} || {right}) ELSE f{i} END AS f{i + 1}, p{i} // 8 AS p{i + 1}
+      FROM {'t' if k == depth + 1 else 'w'}{i} w JOIN r{k} r ON w.tree = r.tree AND p{i} // 8 = r.pos)""")
+    last = len(steps)
+    return ",".join(parts) + f"""
+SELECT doc_id, leaf, subroot, digest AS root, sha256(path) AS proof_sha256, f{last} AS folded_root, f{last} = digest AS verified
+FROM w{last}, n{steps[-1] + 1}"""
+
+
+MANIFEST_SQL = _manifest_sql()
+
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and the line-frequency verdict of every document."""
@@ -165,6 +219,22 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest, roots, proof and check of every document; texts of a third of the ids are tampered with before the check."""
+    return merkle.manifest(read_table(spark, folder, "documents"), altered={"text": merkle.lowered_thirds()})
+
+
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, by wrappers induced from all pages."""
+    return html_extraction.main_text(read_table(spark, folder, "pages"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, and how frequent the linked ids are corpus-wide."""
+    return token_alignment.consistency(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -176,9 +246,13 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
     "op1_quality_rules": RULES_SQL,
     "op2_mixing": MIX_SQL,
     "op4_license_scan": LICENSE_SQL,
+    "op11_merkle_manifest": MANIFEST_SQL,
 }
