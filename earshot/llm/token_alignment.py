@@ -3,8 +3,9 @@
 Tokens are byte ranges over the same bytes. All tokens of both sides of a batch of documents are sorted by start
 (lexsort), a running maximum of their ends is kept (maximum.accumulate), and a group breaks where a start reaches that
 maximum: there a token of either side has ended. In a group, every A token is expanded to the B tokens it overlaps;
-pairs of ranges that end together are links. Texts are encoded once; the id pairs of a document are kept folded, Spark
-adds them up over all documents and hands the sums back to each document.
+pairs of ranges that end together are links. Where a space follows other text both sides always end a token, so texts are
+cut there and each distinct chunk is encoded and aligned once a worker, as long as its table has room. The id pairs of a
+document are kept folded, Spark adds them up over all documents and hands the sums back to each document.
 
 Defined cases: a text that is null, empty, or that one of the tokenizers does not give back byte for byte has no tokens:
 counts 0 and an empty digest. Very long texts are encoded whole. Repeated rows (also with the same id) count as
@@ -15,6 +16,8 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +33,10 @@ from earshot.session import materialize
 
 #: Id pairs up to which their counts are broadcast.
 MOST_PAIRS = 1_000_000
-#: Characters encoded at once in a worker (a longer text goes by itself).
-CHUNK_CHARS = 1 << 18
+#: Chunks a worker remembers (those of at most SHORT characters); the table starts anew when it is full.
+REMEMBERED, SHORT = 400_000, 48
+#: A space between other text and more text: what follows is encoded as if it began a text, with its space.
+CUT = re.compile(r"(?<=\S) (?=.)", re.S)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,6 +80,12 @@ class Pair:
                                    for i, p in zip(ids, map(self.b.id_to_piece, ids))])
         self.a_words = [[sign + str(i) for i in range(len(tokens))] for sign in (",", ";")]
         self.b_words = [[sign + str(i) for i in range(len(ids))] for sign in (",", "|")]
+        with open(a_path, encoding="utf-8") as file:
+            splitting = json.load(file)["pre_tokenizer"] or {}
+        #: Whether texts can be cut: A splits words before spaces, and no piece of B goes on with a space.
+        self.cuts = splitting.get("type") == "ByteLevel" and splitting.get("use_regex", True) and \
+            not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in ids)
+        self.known: dict[str, tuple[str, bytes, bytes] | None] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides for each text; none where a side's bytes are not the text's."""
@@ -142,6 +153,63 @@ def written(pair: Pair, found: Aligned) -> list[str]:
     return [tables[s][n][i] for s, n, i in zip(found.side.tolist(), new.tolist(), found.ids.tolist())]
 
 
+def learned(pair: Pair, chunks: list[str]) -> dict[str, tuple[str, bytes, bytes] | None]:
+    """Per chunk its groups as text, its links' id pairs and its counts (n_a, n_b, n_groups); None if it has no tokens.
+
+    Chunks that end in text are encoded in lines of many; a line that doesn't come back is encoded by its chunks.
+    """
+    out: dict[str, tuple[str, bytes, bytes] | None] = {}
+    joined = [c for c in chunks if len(c) <= SHORT and not c[-1].isspace()]
+    alone = [c for c in chunks if len(c) > SHORT or c[-1].isspace()]
+    lines = [joined[i:i + 128] for i in range(0, len(joined), 128)] + [[c] for c in alone]
+    while lines:
+        encoded = pair.encode([" ".join(line) for line in lines])
+        good = [(line, ids) for line, ids in zip(lines, encoded) if len(ids[0])]
+        out.update({line[0]: None for line, ids in zip(lines, encoded) if len(line) == 1 and not len(ids[0])})
+        lines = [[c] for line, ids in zip(lines, encoded) if len(line) > 1 and not len(ids[0]) for c in line]
+        if not good:
+            continue
+        found = coalesce([ids for _, ids in good], pair.a_bytes.size, pair.b_bytes.size)
+        order = [c for line, _ in good for c in line]
+        stops = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in order])
+        of, words = np.searchsorted(stops, found.end), written(pair, found)
+        first, last = np.searchsorted(of, np.arange(len(order))), np.searchsorted(of, np.arange(len(order)), "right")
+        a, b = found.links()
+        codes, link_stop = found.ids[a] * SIDE + found.ids[b], np.searchsorted(of[a], np.arange(len(order)), "right")
+        counts = np.stack([np.bincount(of[found.side == 0], minlength=len(order)),
+                           np.bincount(of[found.side == 1], minlength=len(order)),
+                           np.bincount(of[np.diff(found.group, prepend=-1) > 0], minlength=len(order))], 1)
+        raw, counted, low, size = codes.tobytes(), counts.tobytes(), 0, 3 * counts.itemsize
+        for i, (chunk, p, q, stop) in enumerate(zip(order, first.tolist(), last.tolist(), (8 * link_stop).tolist())):
+            out[chunk] = ("".join(words[p:q])[1:], raw[low:stop], counted[size * i:size * (i + 1)])
+            low = stop
+    return out
+
+
+def looked_up(pair: Pair, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Per text its groups as text, its links' id pairs and its counts."""
+    split = [(CUT.split(t) if pair.cuts else [t]) if t else [] for t in texts]
+    distinct = set().union(*split)
+    new = distinct.difference(pair.known)
+    if len(pair.known) + len(new) > REMEMBERED:
+        pair.known.clear()
+        new = distinct
+    new = sorted(new)
+    for low in range(0, len(new), 1 << 14):
+        pair.known.update(learned(pair, new[low:low + (1 << 14)]))
+    for chunks in split:
+        parts = list(map(pair.known.__getitem__, chunks))
+        if not parts or None in parts:
+            yield "", np.zeros(0, np.int64), np.zeros(3, np.int64)
+            continue
+        groups, pairs, counts = zip(*parts)
+        yield ";".join(groups), np.frombuffer(b"".join(pairs), np.int64), \
+            np.frombuffer(b"".join(counts), np.int64).reshape(-1, 3).sum(0)
+    for chunk in new:
+        if len(chunk) > SHORT:
+            del pair.known[chunk]
+
+
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
 
@@ -151,18 +219,6 @@ def pair_of(a_path: str, b_path: str) -> Pair:
     return _PAIRS[a_path, b_path]
 
 
-def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most `most` characters together (at least one text)."""
-    low = total = 0
-    for i, text in enumerate(texts):
-        if i > low and total + len(text) > most:
-            yield low, i
-            low, total = i, 0
-        total += len(text)
-    if texts:
-        yield low, len(texts)
-
-
 FOUND = ("doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
          "pairs array<long>, times array<long>")
 #: A pair of ids as one number: a * SIDE + b.
@@ -174,24 +230,14 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", t
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair = pair_of(a_path, b_path)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for low, high in chunks(texts):
-                found = coalesce(pair.encode(texts[low:high]), pair.a_bytes.size, pair.b_bytes.size)
-                a, b = found.links()
-                codes, link_doc = found.ids[a] * SIDE + found.ids[b], found.doc[a]
-                words = written(pair, found)
-                of = np.searchsorted(found.doc, np.arange(high - low + 1))
-                link_of = np.searchsorted(link_doc, np.arange(high - low + 1))
-                rows = []
-                for i in range(high - low):
-                    p, q = of[i], of[i + 1]
-                    n_a = int((found.side[p:q] == 0).sum())
-                    pairs, times = np.unique(codes[link_of[i]:link_of[i + 1]], return_counts=True)
-                    digest = hashlib.sha256("".join(words[p:q])[1:].encode()).hexdigest() if q > p else ""
-                    rows.append((n_a, int(q - p) - n_a, int(found.group[q - 1] - found.group[p]) + 1 if q > p else 0,
-                                 int(times.sum()), digest, pairs, times))
+            for low in range(0, len(batch), 500):
+                part, rows = batch.iloc[low:low + 500], []
+                for groups, codes, counts in looked_up(pair, [t or "" for t in part["text"]]):
+                    pairs, times = np.unique(codes, return_counts=True)
+                    digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+                    rows.append((*counts.tolist(), len(codes), digest, pairs, times))
                 out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
-                out.insert(0, "doc_id", batch["doc_id"].to_numpy()[low:high])
+                out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
 
     return docs.select(id_text(doc_id), F.col(text).alias("text")).mapInPandas(job, FOUND)
