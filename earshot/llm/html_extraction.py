@@ -400,9 +400,10 @@ def induce(pages: DataFrame, url: str = "url", source: str = "html", constant: f
     sizes = read.select("host", "page", F.aggregate("chars", F.lit(0).cast("long"), lambda a, c: a + c).alias("size")) \
         .distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("size")) \
         .where(F.col("pages") >= fewest)
-    frequent = blocks.groupBy("host", "slots", "texts", "page").agg(F.max("chars").alias("chars")) \
+    repeated = blocks.groupBy("host", "slots", "texts", "page").agg(F.max("chars").alias("chars")) \
         .groupBy("host", "slots", "texts").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars")) \
-        .join(sizes, "host").where(F.col("n") >= F.lit(constant) * F.col("pages"))
+        .where(F.col("n") >= F.lit(constant * fewest))
+    frequent = spread_join(repeated, sizes, "host").where(F.col("n") >= F.lit(constant) * F.col("pages"))
     constants = frequent.groupBy("host").agg(
         F.collect_list(F.concat_ws(":", "slots", "texts")).alias("constants"), F.sum(F.col("n") * F.col("chars")).alias("said"),
         F.first("size").alias("size")).where(F.col("said") <= F.lit(copies) * F.col("size")).select("host", "constants")

@@ -1,18 +1,20 @@
 """Language ID by interpolated Kneser-Ney character models, one per language, with calibrated rejection.
 
-All training texts are counted: each task counts the character n-grams of its texts, Spark adds the counts up. A
-language's model keeps its `most_grams` most frequent n-grams of the highest order; lower orders are continuation counts
-of these. The models of all languages stand side by side in one table per order: n-gram hashes in sorted order, and per
-hash the interpolated log probability in each language and the log weight of backing off from it. A text's score in a
-language is its cross-entropy, the mean over its characters, found by search in the sorted hashes; an n-gram that a
-table lacks backs off to the next order.
+All training texts are counted: each task counts the character n-grams of its texts, Spark adds the counts up. Lower
+orders are continuation counts, discounts come from the counts of counts, and the interpolated probabilities are joins of
+these tables; no n-gram is left out, however many there are. For scoring, the n-grams become sorted hash arrays with, per
+hash, the log probability in each language and the log weight of backing off from it. The arrays come in pieces of at most
+`piece_cells` cells: all languages at once if they fit, else one by one, and a language that doesn't fit by the middle two
+characters of the four, which decide all that a place of a text looks up beyond the two short orders. Each piece goes over
+all texts and adds its places' log probabilities, so memory is bounded and the sums are those of one whole table. A text's
+score in a language is its cross-entropy, the mean over its characters.
 
 The temperature that turns scores into a probability and the rejection level are set on texts that the counts did not
 use. Rejection is a column of its own.
 
 Defined cases: a null text or one without letters is `und` with score 0 and rejected; so is every text if nothing was
-learned. Ties go to the language that sorts first. Repeated rows are predicted alike. An empty table gives an empty
-table. Other columns are ignored.
+learned. Ties go to the language that sorts first. Repeated rows are predicted alike. Very long texts are read whole. An
+empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import id_back, id_text
+from earshot.llm.common import bounded, id_back, id_text
 from earshot.session import materialize
 
 ORDER = 4
@@ -104,14 +106,15 @@ class SortedHashes:
 
 
 @dataclass
-class Models:
-    """Tables of all orders (index 0: single characters), languages, and what calibration found."""
+class Piece:
+    """Tables of all orders (index 0: single characters) for some languages, and for the places whose middle two
+    characters fall to `part` of `parts`."""
 
     languages: list[str]
     tables: list[SortedHashes]
     floor: np.ndarray
-    temperature: float = 1.0
-    reject_below: float = 0.0
+    part: int = 0
+    parts: int = 1
 
     def place_logs(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of each character in each language."""
@@ -120,27 +123,27 @@ class Models:
         logs = self.tables[-1].logs[at] if len(self.tables[-1].keys) else np.zeros((len(at), len(self.languages)))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            logs[missing] = self._lower(codes, missing, ORDER - 1)
+            logs[missing] = self.lower(codes[missing[:, None] + np.arange(ORDER)[None, :]], ORDER - 1)
         return logs
 
-    def _lower(self, codes: np.ndarray, places: np.ndarray, order: int) -> np.ndarray:
-        """Backed-off log probabilities at some places: the weight of their context and the next order."""
+    def lower(self, grams: np.ndarray, order: int) -> np.ndarray:
+        """Backed-off log probabilities of n-grams (right-aligned rows): their context's weight and the next order."""
         if order == 0:
-            return np.repeat(self.floor[None, :], len(places), 0)
-        near = codes[places[:, None] + np.arange(ORDER)[None, :]]
+            return np.repeat(self.floor[None, :], len(grams), 0)
         table = self.tables[order - 1]
-        context = table.find(_hash_rows(near[:, ORDER - 1 - order:ORDER - 1], order))
-        weight = np.where((context >= 0)[:, None], table.back[context], 0.0) if len(table.keys) else 0.0
-        at = table.find(_hash_rows(near[:, ORDER - order:], order))
-        logs = table.logs[at] if len(table.keys) else np.zeros((len(at), len(self.languages)))
+        if not len(table.keys):
+            return self.lower(grams, order - 1)
+        context = table.find(_hash_rows(grams[:, ORDER - 1 - order:ORDER - 1], order))
+        at = table.find(_hash_rows(grams[:, ORDER - order:], order))
+        logs = table.logs[at]
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            logs[missing] = self._lower(codes, places[missing], order - 1)
-        return logs + weight
+            logs[missing] = self.lower(grams[missing], order - 1)
+        return logs + np.where((context >= 0)[:, None], table.back[context], 0.0)
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy of each text in each language, and its number of characters (0: no letters)."""
-        entropy, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the log probabilities of each text's places in this piece, and its characters (0: no letters)."""
+        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             codes = symbols(text or "")
             n = len(codes) - ORDER + 1
@@ -148,9 +151,41 @@ class Models:
                 continue
             for low in range(0, n, 1 << 18):
                 part = codes[low:low + (1 << 18) + ORDER - 1]
-                entropy[i] -= self.place_logs(part).sum(0)
-            count[i], entropy[i] = n, entropy[i] / n
-        return entropy, count
+                logs = self.place_logs(part)
+                if self.parts > 1:
+                    logs = logs[part_of(part[1:-2], part[2:-1], self.parts) == self.part]
+                total[i] += logs.sum(0)
+            count[i] = n
+        return total, count
+
+
+def part_of(second, third, parts: int):
+    """Part of a place by its middle two characters; for numbers and columns alike."""
+    return (second * 31 + third) % parts
+
+
+@dataclass
+class Models:
+    """All languages, the probability tables, how they are cut, and what calibration found."""
+
+    languages: list[str]
+    entries: DataFrame | None = None
+    floors: dict[str, float] = field(default_factory=dict)
+    groups: list[tuple[list[str], int]] = field(default_factory=list)
+    temperature: float = 1.0
+    reject_below: float = 0.0
+
+    def pieces(self) -> Iterator[Piece]:
+        """The pieces one after the other; each is all that the driver holds at a time."""
+        for languages, parts in self.groups:
+            mine = self.entries.where(F.col("lang").isin(languages))
+            for part in range(parts):
+                here = part_of(F.col("c2"), F.col("c3"), parts) == part
+                first = part_of(F.col("c1"), F.col("c2"), parts) == part
+                # Three characters are the end of a place and the context of another: they may be in two parts.
+                rows = mine.where((F.col("size") < 3) | ((F.col("size") == 3) & (here | first)) | ((F.col("size") == 4) & here)) \
+                    if parts > 1 else mine
+                yield piece_of(languages, self.floors, rows.toPandas(), part, parts)
 
 
 def _hash_rows(grams: np.ndarray, order: int) -> np.ndarray:
@@ -161,8 +196,11 @@ def _hash_rows(grams: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
+CODES = [f"c{k}" for k in range(1, ORDER + 1)]
+
+
 def count_grams(labelled: DataFrame) -> DataFrame:
-    """Rows (lang, gram, n) of the highest order over all rows (`text`, `lang`)."""
+    """Rows (lang, c1 to c4, n): the code points of each n-gram of the highest order over all rows (`text`, `lang`)."""
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
@@ -174,90 +212,109 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 ends = np.concatenate([np.arange(len(c) - ORDER + 1) + at for c, at in zip(
                     codes, np.cumsum([0, *map(len, codes)]))])
                 _, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                joined = np.concatenate(codes)
-                grams = joined[ends[first][:, None] + np.arange(ORDER)[None, :]]
-                texts_of = np.ascontiguousarray(grams).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                yield pd.DataFrame({"lang": lang, "gram": [texts_of[i:i + ORDER] for i in
-                                                           range(0, len(texts_of), ORDER)], "n": n})
-
-    return labelled.select("text", "lang").mapInPandas(job, "lang string, gram string, n long") \
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def build(counts: pd.DataFrame) -> Models:
-    """Interpolated Kneser-Ney models from rows (lang, gram, n) of the highest order."""
-    languages = sorted(counts["lang"].unique())
-    per_lang = []
-    for lang in languages:
-        own = counts[counts["lang"] == lang]
-        level = {"grams": np.array([[ord(c) for c in g] for g in own["gram"]], np.uint32).reshape(-1, ORDER),
-                 "n": own["n"].to_numpy(np.float64)}
-        levels = [level]
-        for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before an n-gram
-            grams, n = np.unique(levels[0]["grams"][:, 1:], axis=0, return_counts=True)
-            levels.insert(0, {"grams": grams, "n": n.astype(np.float64)})
-        per_lang.append(levels)
-    # One character more than seen, for those never seen.
-    floor = np.log([1 / (len(levels[0]["n"]) + 1) for levels in per_lang]) if languages else np.zeros(0)
-    models = Models(languages, [], floor)
-    for order in range(1, ORDER + 1):
-        every = [_hash_rows(levels[order - 1]["grams"], order) for levels in per_lang]
-        keys, at = np.unique(np.concatenate(every), return_index=True) if every else (np.zeros(0, np.uint64), [])
-        grams = np.concatenate([levels[order - 1]["grams"] for levels in per_lang])[at] if every else \
-            np.zeros((0, order), np.uint32)
-        logs, back = np.zeros((len(keys), len(languages))), np.zeros((len(keys), len(languages)))
-        lower = models.tables[-1] if order > 1 else None
-        suffix = lower.find(_hash_rows(grams[:, 1:], order - 1)) if lower else None
-        for k, levels in enumerate(per_lang):
-            level, n = levels[order - 1], levels[order - 1]["n"]
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            discount = min(0.95, max(0.05, ones / max(1.0, ones + 2 * twos)))
-            contexts = _hash_rows(level["grams"][:, :-1], order - 1)
-            ids, where = np.unique(contexts, return_inverse=True)
-            total, kinds = np.bincount(where, n), np.bincount(where)
-            own = np.zeros(len(keys))
-            own[np.searchsorted(keys, every[k])] = n
-            mine = _hash_rows(grams[:, :-1], order - 1)
-            place = np.minimum(np.searchsorted(ids, mine), max(0, len(ids) - 1))
-            seen = ids[place] == mine
-            amount = np.where(seen, total[place], 1.0)
-            gamma = np.where(seen, discount * kinds[place] / amount, 1.0)
-            below = np.exp(lower.logs[suffix, k]) if lower else np.full(len(keys), np.exp(floor[k]))
-            share = np.where(seen, np.maximum(own - discount, 0) / amount, 0.0)
-            logs[:, k] = np.log(share + gamma * below)
-            if lower is not None:  # the weight of backing off belongs to the context, an n-gram of the lower order
-                spot = lower.find(ids)
-                good = spot >= 0
-                lower.back[spot[good], k] = np.log(discount * kinds[good] / total[good])
-        models.tables.append(SortedHashes(keys, logs, back))
-    return models
+                grams = np.concatenate(codes)[ends[first][:, None] + np.arange(ORDER)[None, :]]
+                yield pd.DataFrame(grams.astype(np.int64), columns=CODES).assign(lang=lang, n=n)
+
+    columns = ", ".join(f"{c} int" for c in CODES)
+    return labelled.select("text", "lang").mapInPandas(job, f"{columns}, lang string, n long") \
+        .groupBy("lang", *CODES).agg(F.sum("n").alias("n"))
+
+
+def probabilities(counts: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Entries (size, lang, c1 to c4, logp, back) of all orders, and per language the log probability of a character
+    never seen. `logp` is null for an n-gram that is only a context, `back` for one that is none."""
+    levels = {ORDER: counts}
+    for size in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before an n-gram
+        longer = levels[size + 1]
+        levels[size] = materialize(longer.groupBy("lang", *[F.col(f"c{k + 1}").alias(f"c{k}") for k in range(1, size + 1)])
+                                   .agg(F.count(F.lit(1)).alias("n")))
+    found, below, floors = [], None, {}
+    for size in range(1, ORDER + 1):
+        level, context = levels[size], ["lang", *CODES[:size - 1]]
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = F.greatest(F.lit(0.05), F.least(F.lit(0.95), ones / F.greatest(F.lit(1), ones + 2 * twos)))
+        discounts = bounded(level.groupBy("lang").agg(discount.alias("discount")))
+        contexts = level.groupBy(*context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")) \
+            .join(discounts, "lang").withColumn("gamma", F.col("discount") * F.col("kinds") / F.col("total"))
+        contexts = materialize(contexts)
+        if size == 1:
+            # One character more than seen shares what is left for those never seen.
+            joined = level.join(contexts, "lang").withColumn("under", 1 / (F.col("kinds") + 1))
+            floors = {r["lang"]: float(np.log(r["gamma"] / (r["kinds"] + 1))) for r in contexts.collect()}
+        else:
+            suffix = [F.col(f"c{k}").alias(f"c{k + 1}") for k in range(1, size)]
+            joined = level.join(contexts, context).join(below.select("lang", *suffix, F.col("p").alias("under")),
+                                                        ["lang", *CODES[1:size]])
+            found[-1] = found[-1].join(contexts.select("lang", *CODES[:size - 1], F.log("gamma").alias("back")),
+                                       ["lang", *CODES[:size - 1]], "full")
+        share = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
+        below = materialize(joined.select("lang", *CODES[:size], (share + F.col("gamma") * F.col("under")).alias("p")))
+        found.append(below.select("lang", *CODES[:size], F.log("p").alias("logp")))
+    found[-1] = found[-1].withColumn("back", F.lit(None).cast("double"))
+    every = None
+    for size, rows in enumerate(found, 1):
+        rest = [F.lit(None).cast("int").alias(c) for c in CODES[size:]]
+        rows = rows.select(F.lit(size).alias("size"), "lang", *CODES[:size], *rest, "logp", "back")
+        every = rows if every is None else every.unionByName(rows)
+    return materialize(every), floors
+
+
+def piece_of(languages: list[str], floors: dict[str, float], rows: pd.DataFrame, part: int = 0, parts: int = 1) -> Piece:
+    """Sorted hash arrays of some entries; what a language hasn't seen is filled in by backing off."""
+    piece = Piece(languages, [], np.array([floors[x] for x in languages]), part, parts)
+    order = {x: k for k, x in enumerate(languages)}
+    for size in range(1, ORDER + 1):
+        own = rows[rows["size"] == size]
+        grams = own[CODES[:size]].to_numpy(np.float64).astype(np.uint32).reshape(-1, size)
+        keys, first, at = np.unique(_hash_rows(grams, size), return_index=True, return_inverse=True)
+        logs, back = np.full((len(keys), len(languages)), np.nan), np.zeros((len(keys), len(languages)))
+        lang = own["lang"].map(order).to_numpy(np.int64)
+        logs[at, lang] = own["logp"].to_numpy(np.float64)
+        back[at, lang] = own["back"].fillna(0.0).to_numpy(np.float64)
+        if len(keys):
+            whole = np.zeros((len(keys), ORDER), np.uint32)
+            whole[:, ORDER - size:] = grams[first]
+            logs = np.where(np.isnan(logs), piece.lower(whole, size - 1), logs)
+        piece.tables.append(SortedHashes(keys, logs, back))
+    return piece
 
 
 def predict(rows: DataFrame, models: Models, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `keep`, lang_pred, score, rejected and the gap to each language's entropy."""
-    schema = ", ".join(["doc_id string", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]])
-
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array([*models.languages, UNKNOWN], object)
-        for batch in batches:
-            entropy, count = models.entropies(batch["text"].tolist())
-            out = batch[["doc_id", *keep]].copy()
-            if models.languages:
-                best = entropy.argmin(1)
-                gaps = entropy - entropy.min(1)[:, None]
-                score = 1 / np.exp(-gaps * np.sqrt(count)[:, None] / models.temperature).sum(1)
-                known = count > 0
-            else:
-                best, gaps, score = 0, np.zeros((len(batch), 0)), 0.0
-                known = np.zeros(len(batch), bool)
-            out["lang_pred"] = names[np.where(known, best, -1)]
-            out["score"] = np.where(known, score, 0.0)
-            out["rejected"] = ~known | (out["score"] < models.reject_below)
-            out["gaps"] = list(gaps * np.sqrt(count)[:, None])
-            yield out
-
-    found = rows.select(id_text("doc_id"), "text", *keep).mapInPandas(
-        job, f"{schema}, lang_pred string, score double, rejected boolean, gaps array<double>")
+    carried = ", ".join(["doc_id string", "text string", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]])
+    scored = rows.select(id_text("doc_id"), "text", *keep).withColumn("sums", F.array().cast("array<double>")) \
+        .withColumn("letters", F.lit(0).cast("long"))
+
+    def adder(piece: Piece, last: bool):
+        def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                total, count = piece.sums(batch["text"].tolist())
+                before = [np.asarray(x, float) for x in batch["sums"]]
+                if piece.part:  # a further part of the same languages
+                    own = len(piece.languages)
+                    sums = [np.concatenate([b[:-own], b[-own:] + t]) for b, t in zip(before, total)]
+                else:
+                    sums = [np.concatenate([b, t]) for b, t in zip(before, total)]
+                out = batch.assign(sums=sums, letters=count)
+                yield out.assign(text=None) if last else out
+
+        return job
+
+    many = sum(parts for _, parts in models.groups)
+    for k, piece in enumerate(models.pieces(), 1):
+        scored = scored.mapInPandas(adder(piece, k == many), f"{carried}, sums array<double>, letters long")
+        if k < many:
+            scored = materialize(scored)  # one piece in a task at a time
+    names = F.array(*[F.lit(x) for x in models.languages]).cast("array<string>")
+    best = F.array_max("sums")
+    known = (F.col("letters") > 0) & F.lit(bool(models.languages))
+    gaps = F.transform("sums", lambda s: (best - s) / F.sqrt(F.greatest("letters", F.lit(1))))
+    score = 1 / F.aggregate("gaps", F.lit(0.0), lambda a, g: a + F.exp(-g / F.lit(float(models.temperature))))
+    found = scored.withColumn("gaps", gaps).select(
+        "doc_id", *keep,
+        F.when(known, F.get(names, F.array_position("sums", best).cast("int") - 1)).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, score).otherwise(0.0).alias("score"),
+        (~known | (score < models.reject_below)).alias("rejected"), "gaps")
     return id_back(found, rows.schema["doc_id"].dataType)
 
 
@@ -295,36 +352,29 @@ def calibrate(models: Models, labelled: DataFrame, accept: float = 0.99) -> Mode
     return models
 
 
-def train(docs: DataFrame, fold: Column, most_grams: int = 150_000, doc_id: str = "doc_id", text: str = "text",
+def train(docs: DataFrame, fold: Column, piece_cells: int = 8_000_000, doc_id: str = "doc_id", text: str = "text",
           lang: str = "lang") -> Models:
-    """Models from the rows of `docs` with a language: `fold` says which are counted (0), calibrate (1) or neither."""
+    """Models from the rows of `docs` with a language: `fold` says which are counted (0), calibrate (1) or neither.
+
+    `piece_cells` bounds what a task and the driver hold at a time (n-grams times languages of a piece, beyond the two
+    short orders); it changes how often texts are read, not the result.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"),
                        fold.alias("fold")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Counts fall into steps of a sixteenth of a power of two; the highest steps that fit are kept, whole.
-    step = F.floor(F.log2("n") * 16).cast("int")
-    counts = materialize(count_grams(rows.where("fold = 0")).withColumn("step", step))
-    sizes = counts.groupBy("lang", "step").count().orderBy("lang", F.desc("step")).collect()
-    lowest, total = {}, {}
-    for r in sizes:
-        total[r["lang"]] = total.get(r["lang"], 0) + r["count"]
-        if total[r["lang"]] <= most_grams:
-            lowest[r["lang"]] = r["step"]
-    keep = F.lit(False)
-    for name in total:
-        mine = F.col("lang") == name
-        # Of a highest step that is too large by itself, an even share by hash.
-        top = max(r["step"] for r in sizes if r["lang"] == name)
-        parts = -(-next(r["count"] for r in sizes if (r["lang"], r["step"]) == (name, top)) // most_grams)
-        part = (F.col("step") == top) & (F.pmod(F.xxhash64("gram"), F.lit(parts)) == 0)
-        keep = keep | (mine & (F.col("step") >= lowest[name] if name in lowest else part))
-    models = build(counts.where(keep).select("lang", "gram", "n").toPandas())
-    return calibrate(models, rows.where("fold = 1"))
-
-
-def held_out_languages(docs: DataFrame, most_grams: int = 150_000) -> DataFrame:
+    entries, floors = probabilities(materialize(count_grams(rows.where("fold = 0"))))
+    sizes = {r["lang"]: r["count"] for r in entries.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
+    if sum(sizes.values()) * len(languages) <= piece_cells:
+        groups = [(languages, 1)] if languages else []
+    else:
+        groups = [([x], -(-sizes[x] // piece_cells)) for x in languages]
+    return calibrate(Models(languages, entries, floors, groups), rows.where("fold = 1"))
+
+
+def held_out_languages(docs: DataFrame, piece_cells: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected; languages of the held-out quarter are never read."""
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     held_out = F.coalesce(part == 2, F.lit(False))
-    models = train(docs, F.when(held_out, 2).when(part == 3, 1).otherwise(0), most_grams)
+    models = train(docs, F.when(held_out, 2).when(part == 3, 1).otherwise(0), piece_cells)
     found = predict(docs.select("doc_id", "text"), models)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from earshot.llm.common import id_back, id_text
+from earshot.llm.common import bounded, id_back, id_text
 from earshot.session import materialize
 
 SEED = 42
@@ -181,6 +181,17 @@ def connect(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def smallest_of_root(rooted: DataFrame, value: str, name: str, large: int = 1000) -> DataFrame:
+    """Rows with the smallest `value` of their `root`. Roots of more than `large` rows, of which there are few, are
+    looked up apart, so that no task gets all rows of a root."""
+    rooted = materialize(rooted)
+    sizes = materialize(rooted.groupBy("root").agg(F.min(value).alias(name), F.count(F.lit(1)).alias("members")))
+    found = rooted.join(bounded(sizes.where(F.col("members") > large).select("root", name)), "root", "left")
+    rest = found.where(F.col(name).isNull()).drop(name)
+    few = sizes.where(F.col("members") <= large).select("root", name)
+    return found.where(F.col(name).isNotNull()).unionByName(rest.join(few, "root", "left"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4,
                     radius: int = 4) -> DataFrame:
     """One row per input row: `doc_id`, `fp` (signed) and `component_id`, the smallest id reachable over links."""
@@ -189,6 +200,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = connect(ball_links(first.select("fp"), radius))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(rooted.join(named, "root").select(F.col("fp").alias("class_fp"), "component_id"))
+    named = smallest_of_root(rooted, "first_id", "component_id")
+    classes = materialize(named.select(F.col("fp").alias("class_fp"), "component_id"))
     return marked.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")

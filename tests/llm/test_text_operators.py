@@ -181,17 +181,69 @@ def test_language_models_hold_out(spark):
     assert last.lang_pred == "und" and last.rejected and last.score == 0
 
 
-def test_language_probabilities_add_up():
-    import pandas as pd
-
-    text = prose(3, 400)
-    codes = language_id.symbols(text)
-    grams = Counter("".join(map(chr, codes[i:i + 4])) for i in range(len(codes) - 3))
-    built = language_id.build(pd.DataFrame([("en", g, n) for g, n in grams.items()], columns=["lang", "gram", "n"]))
-    letters = sorted({ord(g[-1]) for g in grams})
+def kneser_ney(texts):
+    """Plain interpolated Kneser-Ney of four characters: log probability of a character after three."""
+    levels = {4: Counter(w[i:i + 4] for w in texts for i in range(len(w) - 3))}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount, total, kinds = {}, {}, {}
+    for n, level in levels.items():
+        ones, twos = (sum(v == k for v in level.values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
+        total[n], kinds[n] = Counter(), Counter()
+        for g, v in level.items():
+            total[n][g[:-1]] += v
+            kinds[n][g[:-1]] += 1
+
+    def chance(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (len(levels[1]) + 1)
+        if not total[n][g[:-1]]:
+            return chance(g[1:])
+        own = max(levels[n][g] - discount[n], 0) / total[n][g[:-1]]
+        return own + discount[n] * kinds[n][g[:-1]] / total[n][g[:-1]] * chance(g[1:])
+
+    return lambda g: math.log(chance(g))
+
+
+@pytest.mark.parametrize("cells", [8_000_000, 150])
+def test_language_models_equal_plain_kneser_ney(spark, cells):
+    texts = {"en": [prose(i, 60) for i in range(8)], "fr": [prose(50 + i, 60, "fr") for i in range(5)]}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(docs, F.lit(0), cells)
+    pieces = sum(parts for _, parts in models.groups)
+    assert pieces == 1 if cells > 1000 else pieces > 2
+    plain = {lang: kneser_ney(["".join(map(chr, language_id.symbols(t))) for t in own]) for lang, own in texts.items()}
+    unseen = [prose(90, 50), prose(91, 50, "fr"), "zzz qqq ÿ", "it's the tion"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(unseen)), "doc_id long, text string"), models).collect()
+    for r in got:
+        word = "".join(map(chr, language_id.symbols(unseen[r["doc_id"]])))
+        sums = [sum(plain[lang](word[i:i + 4]) for i in range(len(word) - 3)) for lang in ("en", "fr")]
+        gaps = [(max(sums) - x) / math.sqrt(len(word) - 3) for x in sums]
+        assert r["gaps"] == pytest.approx(gaps, abs=1e-9) and r["lang_pred"] == ("en", "fr")[sums.index(max(sums))]
     for context in ("  t", "the", "zzz", "xth"):
-        chances = [math.exp(built.place_logs(np.array([*map(ord, context), c], np.uint32))[0, 0]) for c in letters]
-        assert 0.9 < sum(chances) <= 1 + 1e-9
+        letters = {w for t in texts["en"] for w in t.lower() if w.isalpha()} | {" "}
+        assert 0.9 < sum(math.exp(plain["en"](context + c)) for c in letters) <= 1 + 1e-9
+
+
+def test_no_language_n_gram_is_left_out(spark):
+    rng = np.random.default_rng(1)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    texts = ["".join(rng.choice(letters, 9000)) for _ in range(24)]  # some 216,000 n-grams seen once
+    rows = [(i, t, "zz" if i % 2 else "yy") for i, t in enumerate(texts)] + [(99, texts[0] + texts[2], "yy")]
+    models = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(0))
+    sizes = {r["size"]: r["count"] for r in models.entries.where("logp IS NOT NULL").groupBy("size").count().collect()}
+    seen = {(lang, w[i:i + 4]) for _, t, lang in rows for w in ["".join(map(chr, language_id.symbols(t)))]
+            for i in range(len(w) - 3)}
+    assert sizes[4] == len(seen) > 200_000
+    plain = kneser_ney(["".join(map(chr, language_id.symbols(t))) for _, t, lang in rows if lang == "yy"])
+    piece = next(models.pieces())
+    part = language_id.symbols(texts[0])[:300]
+    word = "".join(map(chr, part))
+    want = [plain(word[i:i + 4]) for i in range(len(word) - 3)]
+    assert piece.place_logs(part)[:, 0].tolist() == pytest.approx(want, abs=1e-9)
 
 
 def test_fingerprint_likeness_and_edits(spark):
