@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. `run` writes the
 shared folder and reads them again as the next one's documents, so a lost executor repeats one stage at most.
 
 Defined cases: nulls in any column, empty texts, repeated rows, an empty table and extra columns pass through every
-stage without error; stages return the columns of documents and drop others. Rows that repeat a doc_id count as copies.
+stage without error; stages return the columns of documents and drop others. Rows that repeat both id and text
+count as one in the dedup stage; ties between copies go to the smallest id, then text hash. Very long texts pass whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import mixing, near_copies, packing, quality_rules, secret_scan
-from earshot.llm.common import read_table
+from earshot.llm.common import read_table, whole
 from earshot.session import materialize, workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,13 +31,20 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near copies (Jaccard 0.8 of five words), once."""
-    classes = near_copies.near_copies(docs)
-    chosen = classes.select(F.col("component_id").alias("kept_id")).distinct()
-    kept = docs.select(*COLUMNS).join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = materialize(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
-    one = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left_anti").union(one)
+    """Keeps one document of each component of near copies (SimHash balls and MinHash keys, then Jaccard 0.8 of five
+    words): the one with the smallest id, nulls last, then the smallest text hash. Different texts of one id, or without
+    an id, are documents of their own; rows equal in both are one."""
+    classes = near_copies.near_classes(docs)
+    mine = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))
+    chosen = materialize(classes.groupBy("root").agg(F.min(mine).alias("first"))
+                         .select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")))
+    kept = docs.select(*COLUMNS, F.xxhash64(whole("text")).alias("text_key")).join(
+        chosen, (F.col("text_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    repeated = materialize(kept.groupBy("doc_id", "text_key").count().where("count > 1")
+                           .select(F.col("doc_id").alias("again"), F.col("text_key").alias("again_key")))
+    same = (F.col("text_key") == F.col("again_key")) & F.col("doc_id").eqNullSafe(F.col("again"))
+    one = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return kept.join(repeated, same, "left_anti").union(one).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
