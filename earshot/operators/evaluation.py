@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.text import UNKNOWN_ARTIST, blank_to_null, readable
-from earshot.operators.hybrid import HybridSettings, recs_hybrid, recs_popularity, top_pop_pool
+from earshot.operators.hybrid import HybridSettings, hybrid_components, recs_popularity, top_pop_pool, weighted
 from earshot.operators.popularity import count_rows
 from earshot.operators.ranking import ranked
 from earshot.operators.slices import slice_events_by_users
@@ -99,69 +99,58 @@ def build_holdout(ready: DataFrame, users: DataFrame, holdout: int = 5, min_even
 
 
 def _picks(recs: DataFrame, train: DataFrame, test: DataFrame, k: int) -> DataFrame:
-    """The first k distinct recommendations that are new to each test user."""
+    """Per source the first k distinct recommendations that are new to each test user."""
     fresh = (recs.join(test.select("user_id").distinct(), "user_id", "left_semi")
              .join(train.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
-             .groupBy("user_id", "track_id")
+             .groupBy("source", "user_id", "track_id")
              .agg(F.min_by(F.struct("recommendation_rank", "track_name", "artist_name"), "recommendation_rank").alias("r"))
-             .select("user_id", "track_id", "r.*"))
-    return ranked(fresh, ["user_id"], [F.col("recommendation_rank").asc(), F.col("track_id").asc()], "pick", k)
+             .select("source", "user_id", "track_id", "r.*"))
+    return ranked(fresh, ["source", "user_id"], [F.col("recommendation_rank").asc(), F.col("track_id").asc()], "pick", k)
 
 
 def _block_overlap():
-    """Sum of Jaccard similarities over the user pairs of two blocks, from per-track memberships.
+    """Sum of Jaccard similarities over the user pairs of two blocks, from one bit per (list, track).
 
     A closure, so tasks get it by value and need no copy of this package.
     """
     def overlap(keys: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        left, right = keys
-        sides = {side: rows for side, rows in block.groupby("side")}
-        first = sides["L"]
-        second = sides["R"] if left != right else first
-        shared = np.zeros((len(first), len(second)), dtype=np.int64)
-        posting: dict = {}
-        for i, tracks in enumerate(second["tracks"]):
-            for track in tracks:
-                posting.setdefault(track, []).append(i)
-        for i, tracks in enumerate(first["tracks"]):
-            for track in tracks:
-                hits = posting.get(track)
-                if hits:
-                    shared[i, hits] += 1
-        sizes = np.add.outer(first["tracks"].map(len).to_numpy(), second["tracks"].map(len).to_numpy())
-        similarity = shared / np.maximum(sizes - shared, 1)
-        weight = np.multiply.outer(first["users"].to_numpy(), second["users"].to_numpy()).astype(float)
-        if left == right:
-            weight = np.triu(weight, 1)
-        return pd.DataFrame({"similarity": [float((similarity * weight).sum())]})
+        source, left, right = keys
+        column, _ = pd.factorize(np.concatenate(block["tracks"].to_list()))
+        size = block["tracks"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(block)), size)
+        bits = np.zeros((len(block), int(column.max()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+        first = np.flatnonzero(block["side"] == "L")
+        second = np.flatnonzero(block["side"] == "R") if left != right else first
+        users, total = block["users"].to_numpy(np.float64), 0.0
+        for at, one in enumerate(first):
+            other = second[at + 1:] if left == right else second
+            shared = np.bitwise_count(bits[one] & bits[other]).sum(1, dtype=np.int64)
+            total += users[one] * float((shared / np.maximum(size[one] + size[other] - shared, 1) * users[other]).sum())
+        return pd.DataFrame({"source": [source], "similarity": [total]})
     return overlap
 
 
 def pairwise_similarity(picks: DataFrame) -> DataFrame:
-    """One row: users with recommendations and the summed Jaccard similarity of all their pairs.
+    """One row per source: users with recommendations and the summed Jaccard similarity of all their pairs.
 
     Equal lists are folded to one with a count. Lists are then cut into blocks and each pair of
     blocks is one task that returns a single number, so user pairs are never rows.
     """
-    spark = picks.sparkSession
-    lists = picks.groupBy("user_id").agg(F.array_sort(F.collect_list("track_id")).alias("tracks"))
-    folded = materialize(lists.groupBy("tracks").agg(count_rows().alias("users"))
+    lists = picks.groupBy("source", "user_id").agg(F.array_sort(F.collect_list("track_id")).alias("tracks"))
+    folded = materialize(lists.groupBy("source", "tracks").agg(count_rows().alias("users"))
                          .withColumn("user_no", F.xxhash64("tracks")))
-    blocks = max(1, -(-folded.count() // BLOCK))
-    placed = folded.withColumn("b", F.pmod("user_no", F.lit(blocks)).cast("int"))
-    left = placed.withColumn("other", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))).select(
-        F.col("b").alias("i"), F.col("other").alias("j"), F.lit("L").alias("side"), "user_no", "tracks", "users")
+    sizes = small(folded.groupBy("source").agg(F.ceil(count_rows() / BLOCK).cast("int").alias("blocks")), 1000)
+    placed = folded.join(sizes, "source").withColumn("b", F.pmod("user_no", F.col("blocks")).cast("int"))
+    left = placed.withColumn("other", F.explode(F.sequence(F.col("b"), F.col("blocks") - 1))).select(
+        "source", F.col("b").alias("i"), F.col("other").alias("j"), F.lit("L").alias("side"), "tracks", "users")
     right = placed.filter(F.col("b") > 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select(
-        F.col("other").alias("i"), F.col("b").alias("j"), F.lit("R").alias("side"), "user_no", "tracks", "users")
-    pairs = left.unionByName(right) if blocks > 1 else left
-    # A pair of blocks needs rows on both sides; hashing may leave one of them empty.
-    full = pairs.groupBy("i", "j").agg(F.count_distinct("side").alias("sides")).filter("i = j OR sides = 2")
-    across = (pairs.join(full.select("i", "j"), ["i", "j"], "left_semi")
-              .groupBy("i", "j").applyInPandas(_block_overlap(), "similarity double"))
-    own = folded.select((F.col("users") * (F.col("users") - 1) / 2).cast("double").alias("similarity"))
-    total = across.unionByName(own).agg(F.coalesce(F.sum("similarity"), F.lit(0.0)).alias("similarity"))
-    users = folded.agg(F.coalesce(F.sum("users"), F.lit(0)).alias("n")).scalar()
-    return total.withColumn("users_with_recs", users)
+        "source", F.col("other").alias("i"), F.col("b").alias("j"), F.lit("R").alias("side"), "tracks", "users")
+    across = (left.unionByName(right).groupBy("source", "i", "j")
+              .applyInPandas(_block_overlap(), "source string, similarity double"))
+    own = folded.select("source", (F.col("users") * (F.col("users") - 1) / 2).cast("double").alias("similarity"))
+    total = across.unionByName(own).groupBy("source").agg(F.sum("similarity").alias("similarity"))
+    return total.join(folded.groupBy("source").agg(F.sum("users").alias("users_with_recs")), "source")
 
 
 def _ideal(size: Column, k: int) -> Column:
@@ -169,38 +158,49 @@ def _ideal(size: Column, k: int) -> Column:
     return F.aggregate(best, F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / F.log2(i + F.lit(1.0)))
 
 
-def evaluate_recs(source: str, recs: DataFrame, train: DataFrame, test: DataFrame, total_tracks: Column,
-                  k: int = 20) -> DataFrame:
-    """One row of quality metrics. recs: user_id, recommendation_rank, track_id, names."""
+def evaluate_sources(recs: DataFrame, sources: Sequence[str], train: DataFrame, test: DataFrame, total_tracks: Column,
+                     k: int = 20) -> DataFrame:
+    """One row of quality metrics per source, all in one pass. recs: source, user_id, recommendation_rank, track_id,
+    names; a source of `sources` without rows has its row, too."""
     picks = materialize(_picks(recs, train, test, k))
     truth = test.select("user_id", "track_id").distinct()
-    hits = (picks.join(truth, ["user_id", "track_id"], "left_semi").groupBy("user_id")
+    hits = (picks.join(truth, ["user_id", "track_id"], "left_semi").groupBy("source", "user_id")
             .agg(count_rows().alias("hits"), F.sum(F.lit(1.0) / F.log2(F.col("pick") + 1.0)).alias("dcg")))
-    per_user = (truth.groupBy("user_id").agg(count_rows().alias("size")).join(hits, "user_id", "left")
+    every = F.explode(F.array(*[F.lit(x) for x in sources])).alias("source")
+    per_user = (truth.groupBy("user_id").agg(count_rows().alias("size")).select("*", every)
+                .join(hits, ["source", "user_id"], "left")
                 .withColumn("hits", F.coalesce("hits", F.lit(0)))
                 .withColumn("dcg", F.coalesce("dcg", F.lit(0.0))))
-    means = per_user.agg(
+    evaluated = per_user.groupBy("source").agg(
         count_rows().alias("users_evaluated"),
         F.avg(F.col("hits") / F.lit(float(k))).alias("precision_at_k"),
         F.avg(F.col("hits") / F.col("size")).alias("recall_at_k"),
         F.avg(F.col("dcg") / _ideal(F.col("size"), k)).alias("ndcg_at_k"),
         F.avg((F.col("hits") > 0).cast("double")).alias("hit_rate_at_k"))
     is_readable = readable(F.col("track_name"), F.col("artist_name"), F.col("track_id")).cast("double")
-    served = picks.agg(F.countDistinct("track_id").alias("_items"), F.avg(is_readable).alias("_readable"))
-    pairs = pairwise_similarity(picks)
-    n = F.col("users_with_recs")
-    zero = F.lit(0.0)
-    one = F.lit(1).alias("_one")
-    return (means.withColumn("_one", one)
-            .join(served.withColumn("_one", one), "_one").join(pairs.withColumn("_one", one), "_one")
-            .select(F.lit(source).alias("source"), "users_evaluated", "users_with_recs",
+    served = picks.groupBy("source").agg(F.countDistinct("track_id").alias("_items"), F.avg(is_readable).alias("_readable"))
+    labels = recs.sparkSession.range(1).select(every)
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    n = F.coalesce("users_with_recs", none)
+    return (labels.join(evaluated, "source", "left").join(served, "source", "left")
+            .join(pairwise_similarity(picks), "source", "left")
+            .withColumn("users_evaluated", F.coalesce("users_evaluated", none))
+            .select("source", "users_evaluated", n.alias("users_with_recs"),
                     (n / F.greatest("users_evaluated", F.lit(1))).alias("user_coverage"),
                     *[F.coalesce(m, zero).alias(m) for m in ("precision_at_k", "recall_at_k", "ndcg_at_k", "hit_rate_at_k")],
-                    (F.col("_items") / F.greatest(total_tracks, F.lit(1))).alias("item_coverage_at_k"),
-                    F.when(n > 1, 1 - F.col("similarity") / (n * (n - 1) / 2)).otherwise(zero).alias("personalization_at_k"),
+                    (F.coalesce("_items", none) / F.greatest(total_tracks, F.lit(1))).alias("item_coverage_at_k"),
+                    F.when(n > 1, 1 - F.coalesce("similarity", zero) / (n * (n - 1) / 2)).otherwise(zero)
+                    .alias("personalization_at_k"),
                     F.coalesce("_readable", zero).alias("readable_rate_at_k")))
 
 
+def evaluate_recs(source: str, recs: DataFrame, train: DataFrame, test: DataFrame, total_tracks: Column,
+                  k: int = 20) -> DataFrame:
+    """One row of quality metrics. recs: user_id, recommendation_rank, track_id, names."""
+    named = recs.withColumn("source", F.lit(source))
+    return evaluate_sources(named, [source], train, test, total_tracks, k)
+
+
 def best_weights(grid: DataFrame) -> DataFrame:
     """The best row by (ndcg, hit rate, precision); the earlier combination wins ties."""
     return grid.orderBy(F.col("ndcg_at_k").desc(), F.col("hit_rate_at_k").desc(),
@@ -212,8 +212,13 @@ def temporal_eval(ready: DataFrame, users: DataFrame, sources: Sequence[str] = (
                   candidate_top_n: int = 0, mf: DataFrame | None = None, dense: DataFrame | None = None,
                   grid: Sequence[tuple[float, float, float]] | None = None, factors: int = 48,
                   iterations: int = 4) -> DataFrame:
-    """Metrics per source. `mf` evaluates stored rows; without it factors are trained on the split."""
-    scan = max(5 * k, 200)
+    """Metrics per source, and of a grid of hybrid weights those of the best. `mf` evaluates stored rows; without it
+    factors are trained on the split.
+
+    All sources and weight triples are ranked and evaluated together, so the number of jobs doesn't depend on them.
+    Nothing is cut before played tracks are left out: popular and hybrid rows have none, so k of them are enough, and
+    of stored rows all ranks are read.
+    """
     split = build_holdout(ready, users, holdout, min_events, target, candidate_top_n)
     test_users = split.test.select("user_id").distinct()
     if mf is None and {"mf", "hybrid"} & set(sources):
@@ -221,31 +226,37 @@ def temporal_eval(ready: DataFrame, users: DataFrame, sources: Sequence[str] = (
         from earshot.operators.history import interaction_weights
 
         user_vecs, item_vecs = train_mf(interaction_weights(split.train), factors, iterations)
-        mf = materialize(recs_mf(user_vecs, item_vecs, split.train, scan))
-    results = []
+        mf = materialize(recs_mf(user_vecs, item_vecs, split.train, max(5 * k, 200)))
+    rows, labels, trials = [], [], []
 
-    def score(name: str, recs: DataFrame) -> DataFrame:
-        row = evaluate_recs(name, recs, split.train, split.test, split.total_tracks, k)
-        results.append(row)
-        return row
+    def add(recs: DataFrame, source: Column) -> None:
+        rows.append(recs.select(source.alias("source"), "user_id", "recommendation_rank", "track_id", "track_name",
+                                "artist_name"))
 
     if "pop" in sources:
-        score("pop", recs_popularity(split.train, test_users, scan))
+        add(recs_popularity(split.train, test_users, k), F.lit("pop"))
+        labels.append("pop")
     if "mf" in sources:
-        score("mf", mf.filter(F.col("recommendation_rank") <= scan))
+        add(mf, F.lit("mf"))
+        labels.append("mf")
     if "hybrid" in sources:
         wanted = split.train.select("track_id").distinct()
         allowed = mf if candidate_top_n <= 0 else mf.join(wanted, "track_id", "left_semi")
-        trials = None
-        for i, weights in enumerate(grid or [HybridSettings.evaluation(scan).weights]):
-            recs = recs_hybrid(split.train, allowed, HybridSettings.evaluation(scan, tuple(weights)), test_users)
-            label = "hybrid(w={:.2f},{:.2f},{:.2f})".format(*weights)
-            row = evaluate_recs(label, recs, split.train, split.test, split.total_tracks, k).withColumn("combo", F.lit(i))
-            trials = row if trials is None else trials.unionByName(row)
-        results.append(best_weights(materialize(trials)).drop("combo"))
+        settings = HybridSettings.evaluation(k)
+        triples = [tuple(w) for w in grid or [settings.weights]]
+        trials = ["hybrid(w={:.2f},{:.2f},{:.2f})".format(*w) for w in triples]
+        parts = weighted(hybrid_components(split.train, allowed, settings, test_users), settings, triples)
+        add(parts, F.get(F.array(*[F.lit(f"{i}:{x}") for i, x in enumerate(trials)]), F.col("combo")))
+        labels += [f"{i}:{x}" for i, x in enumerate(trials)]
     if "dense" in sources and dense is not None:
-        score("dense", dense.filter(F.col("recommendation_rank") <= scan))
-    out = results[0]
-    for row in results[1:]:
-        out = out.unionByName(row)
-    return out.select(*METRICS)
+        add(dense, F.lit("dense"))
+        labels.append("dense")
+    recs = rows[0]
+    for more in rows[1:]:
+        recs = recs.unionByName(more)
+    out = materialize(evaluate_sources(recs, labels, split.train, split.test, split.total_tracks, k))
+    combo = F.regexp_extract("source", r"^(\d+):", 1)
+    tried = out.filter(combo != "").withColumn("combo", combo.cast("int")).withColumn(
+        "source", F.regexp_replace("source", r"^\d+:", ""))
+    out = out.filter(combo == "").select(*METRICS)
+    return out.unionByName(best_weights(tried).select(*METRICS)) if trials else out

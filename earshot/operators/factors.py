@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.history import first_seen_names
 from earshot.operators.ranking import ranked
 from earshot.session import materialize
 
-# Vectors per block: a scoring task holds one block of users, one of items and their score matrix.
+# Vectors per block: a scoring task holds one block of users, one slice of items and their score matrix.
 USER_BLOCK = 1024
 ITEM_BLOCK = 4096
 
@@ -47,31 +47,23 @@ def train_mf(weights: DataFrame, factors: int = 48, iterations: int = 8, reg: fl
     return named(model.userFactors, users, "user_id"), named(model.itemFactors, items, "track_id")
 
 
-def _blocked(df: DataFrame, column: str, size: int) -> tuple[DataFrame, int]:
-    blocks = max(1, -(-df.count() // size))
-    return df.withColumn("_b", F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")), blocks
-
-
-def _renamed(vectors: DataFrame, column: str, name: str) -> DataFrame:
-    """Stored vectors under new column identities, so both sides may come from one table."""
-    return materialize(vectors).select(F.col(column).alias(column), F.col("vec").alias(name))
-
-
 def _score_block(k: int):
     def score(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         users, tracks, values = [], [], []
         if len(left) and len(right):
-            items = np.array(sorted(right["track_id"]), dtype=object)
-            vectors = dict(zip(right["track_id"], right["track_vec"]))
+            right = right.sort_values("track_id")
+            items = right["track_id"].to_numpy(object)
             scores = (np.stack(left["user_vec"].to_list()).astype(np.float64)
-                      @ np.stack([vectors[t] for t in items]).astype(np.float64).T)
+                      @ np.stack(right["track_vec"].to_list()).astype(np.float64).T)
             place = {t: i for i, t in enumerate(items)}
-            for row, (user, seen) in enumerate(zip(left["user_id"], left["seen"])):
+            for row, (user, least, seen) in enumerate(zip(left["user_id"], left["least"], left["seen"])):
                 line = scores[row]
                 if seen is not None:
                     line[[place[t] for t in seen if t in place]] = -np.inf
                 best = np.argsort(-line, kind="stable")[:k]
                 best = best[np.isfinite(line[best])]
+                if least is not None and least == least:
+                    best = best[line[best] >= least]
                 users += [user] * len(best)
                 tracks += items[best].tolist()
                 values += line[best].tolist()
@@ -80,33 +72,65 @@ def _score_block(k: int):
     return score
 
 
-def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None = None, k: int = 100) -> DataFrame:
+def _norm(vec: str) -> Column:
+    return F.sqrt(F.aggregate(F.col(vec).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+
+
+def norm_slices(item_vecs: DataFrame, size: int = ITEM_BLOCK) -> tuple[DataFrame, list[float]]:
+    """Items (track_id, track_vec, slice) in slices of `size` by falling vector norm, and the largest norm per slice."""
+    items = materialize(item_vecs.select(F.col("track_id").alias("track_id"), F.col("vec").alias("track_vec"),
+                                         _norm("vec").alias("norm")))
+    placed = ranked(items.select("track_id", "norm"), [], [F.col("norm").desc(), F.col("track_id").asc()], "_n")
+    sliced = materialize(items.join(placed.select("track_id", "_n"), "track_id")
+                         .withColumn("slice", ((F.col("_n") - 1) / size).cast("int")))
+    bounds = sliced.groupBy("slice").agg(F.max("norm").alias("most")).orderBy("slice").collect()
+    return sliced.select("track_id", "track_vec", "slice"), [r["most"] for r in bounds]
+
+
+def open_slices(users: DataFrame, bounds: list[float], low: int, high: int) -> DataFrame:
+    """A row per user (with `norm`, and `least`, its k-th score so far or null) and slice from `low` to below `high` that
+    can still hold a track of that score: by Cauchy-Schwarz no score exceeds the product of the norms."""
+    # A few units in the last place are left for rounding; an equal score may still win by its track id.
+    steps = F.split(F.lit(",".join(repr(b * (1 + 1e-9)) for b in bounds[low:high])), ",").cast("array<double>")
+    slices = F.filter(F.sequence(F.lit(low), F.lit(high - 1)), lambda i: F.col("least").isNull()
+                      | (F.get(steps, i - low) * F.col("norm") >= F.col("least")))
+    return users.withColumn("slice", F.explode(slices))
+
+
+def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None = None, k: int = 100,
+                item_block: int = ITEM_BLOCK) -> DataFrame:
     """The k unseen tracks of highest dot product per user; ties go to the smaller track_id.
 
-    Users and items are cut into blocks of bounded size. Each (user block, item block) pair is
-    one cogroup that returns at most k rows per user; the best k of those are the best k of all.
-    The tracks a user has seen travel with the block they are in, so a heavy user is split too.
+    Items are sliced by falling norm. Rounds of one, two, four ... slices follow; after each a user's k-th score is known
+    and only slices whose norms can reach it are scored for this user, so most vectors are never sent to most slices. Each
+    (user block, slice) pair is one cogroup that returns at most k rows per user. The tracks a user has seen travel with
+    the slice they are in, so a heavy user is split too.
     """
-    users, n_users = _blocked(_renamed(user_vecs, "user_id", "user_vec"), "user_id", USER_BLOCK)
-    items, n_items = _blocked(_renamed(item_vecs, "track_id", "track_vec"), "track_id", ITEM_BLOCK)
-
-    def blocks(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = users.withColumnRenamed("_b", "ub").withColumn("ib", blocks(n_items))
-    if seen is None:
-        left = left.withColumn("seen", F.lit(None).cast("array<string>"))
-    else:
-        played = (seen.select("user_id", "track_id").distinct()
-                  .withColumn("ib", F.pmod(F.xxhash64("track_id"), F.lit(n_items)).cast("int"))
-                  .join(items.select("track_id"), "track_id", "left_semi")
-                  .groupBy("user_id", "ib").agg(F.collect_list("track_id").alias("seen")))
-        left = left.join(played, ["user_id", "ib"], "left")
-    right = items.withColumnRenamed("_b", "ib").withColumn("ub", blocks(n_users))
-    partial = (left.select("ub", "ib", "user_id", "user_vec", "seen").groupBy("ub", "ib")
-               .cogroup(right.select("ub", "ib", "track_id", "track_vec").groupBy("ub", "ib"))
-               .applyInPandas(_score_block(k), "user_id string, track_id string, score double"))
-    return ranked(partial, ["user_id"], [F.col("score").desc(), F.col("track_id").asc()],
+    items, bounds = norm_slices(item_vecs, item_block)
+    users = materialize(user_vecs.select(F.col("user_id").alias("user_id"), F.col("vec").alias("user_vec"),
+                                         _norm("vec").alias("norm")))
+    blocks = max(1, -(-users.count() // USER_BLOCK))
+    users = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int"))
+    best = users.select("user_id", F.lit("").alias("track_id"), F.lit(0.0).alias("score")).limit(0)
+    if seen is not None:
+        seen = materialize(seen.select("user_id", "track_id").distinct().join(items.select("track_id", "slice"), "track_id")
+                           .groupBy("user_id", "slice").agg(F.collect_list("track_id").alias("seen")))
+    low, width = 0, 1
+    while low < len(bounds):
+        high = min(low + width, len(bounds))
+        kth = best.groupBy("user_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        left = open_slices(users.join(kth, "user_id", "left"), bounds, low, high)
+        left = left.withColumn("seen", F.lit(None).cast("array<string>")) if seen is None else \
+            left.join(seen, ["user_id", "slice"], "left")
+        right = items.filter(F.col("slice").between(low, high - 1)).withColumn(
+            "ub", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        partial = (left.select("ub", "slice", "user_id", "user_vec", "least", "seen").groupBy("ub", "slice")
+                   .cogroup(right.select("ub", "slice", "track_id", "track_vec").groupBy("ub", "slice"))
+                   .applyInPandas(_score_block(k), "user_id string, track_id string, score double"))
+        best = materialize(ranked(best.unionByName(partial), ["user_id"], [F.col("score").desc(), F.col("track_id").asc()],
+                                  "recommendation_rank", k).drop("recommendation_rank"))
+        low, width = high, 2 * width
+    return ranked(best, ["user_id"], [F.col("score").desc(), F.col("track_id").asc()],
                   "recommendation_rank", k).select("user_id", "recommendation_rank", "track_id", "score")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -66,6 +67,21 @@ def _leading_pool(users: DataFrame, excluded: DataFrame, pool: DataFrame, wanted
             .join(small(pool, bound), "pool_rank"))
 
 
+def _leading_of_artists(likes: DataFrame, excluded: DataFrame, pool: DataFrame, s: "HybridSettings") -> DataFrame:
+    """Pool positions of the tracks of each user's artists that can be among the best k: of an artist with e excluded
+    tracks the first k + e. Joined by artist and place in the artist's list, so an artist's rows spread over tasks."""
+    listed = materialize(ranked(pool.select("artist_name", "pool_rank"), ["artist_name"], [F.col("pool_rank").asc()], "place"))
+    if s.cap is not None:  # the walk down the pool decides; all tracks of the artists take part
+        sizes = listed.groupBy("artist_name").agg(F.max("place").alias("need"))
+        return (positions(likes.join(sizes, "artist_name"), F.col("need"), "place")
+                .join(listed, ["artist_name", "place"]).select("user_id", "pool_rank"))
+    sizes = listed.groupBy("artist_name").agg(F.max("place").alias("size"))
+    out = (excluded.join(listed, "pool_rank").groupBy("user_id", "artist_name").agg(F.count(F.lit(1)).alias("_out")))
+    need = F.least("size", F.coalesce("_out", F.lit(0)) + s.k)
+    wanted = likes.join(sizes, "artist_name").join(out, ["user_id", "artist_name"], "left")
+    return (positions(wanted, need, "place").join(listed, ["artist_name", "place"]).select("user_id", "pool_rank"))
+
+
 def capped_pool(users: DataFrame, mf_candidates: DataFrame, excluded: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
     """Keep wanted pool positions that a walk down the pool reaches before `cap` candidates.
 
@@ -96,9 +112,9 @@ def recs_popularity(train_counts: DataFrame, test_users: DataFrame, scan: int) -
         F.col("plays").cast("double").alias("recommendation_score"))
 
 
-def recs_hybrid(hist: DataFrame, mf: DataFrame, settings: HybridSettings = HybridSettings(),
-                users: DataFrame | None = None) -> DataFrame:
-    """Rerank MF rows and popular tracks by MF score, popularity and artist affinity.
+def hybrid_components(hist: DataFrame, mf: DataFrame, settings: HybridSettings = HybridSettings(),
+                      users: DataFrame | None = None) -> DataFrame:
+    """The candidates of each user with MF score, popularity and artist bonus, whatever their weights will be.
 
     A popular track outside the MF rows scores by popularity alone, or with the artist bonus.
     Only the first k of the former and the tracks of the user's top artists can be among the
@@ -136,36 +152,49 @@ def recs_hybrid(hist: DataFrame, mf: DataFrame, settings: HybridSettings = Hybri
         .unionByName(from_mf.select("user_id", "track_id"))
         .join(ranks, "track_id").select("user_id", "pool_rank"))
     leading = _leading_pool(users, excluded, pool, s.k, s.pool_size).select("user_id", "pool_rank")
-    liked = (likes.join(users, "user_id", "left_semi")
-             .join(small(pool, s.pool_size), "artist_name").select("user_id", "pool_rank"))
+    liked = _leading_of_artists(likes.join(users, "user_id", "left_semi"), excluded, pool, s)
     wanted = leading.unionByName(liked)
     kept = (capped_pool(users, from_mf, excluded, wanted, s.cap) if s.cap is not None
             else wanted.distinct().join(excluded, ["user_id", "pool_rank"], "left_anti"))
     from_pool = kept.join(small(pool, s.pool_size), "pool_rank").select(
         "user_id", "track_id", "track_name", "artist_name", F.lit(None).cast("double").alias("mf_raw"))
 
-    total = max(sum(s.weights), 1e-9)
-    w_mf, w_pop, w_artist = (F.lit(w / total) for w in s.weights)
     lowest = F.coalesce("mf_min", F.lit(0.0))
     spread = F.when(F.col("mf_max") != F.col("mf_min"), F.col("mf_max") - F.col("mf_min")).otherwise(F.lit(1.0))
-    scored = (from_mf.unionByName(from_pool)
+    return (from_mf.unionByName(from_pool)
               .join(ranges, "user_id", "left")
               .join(pop, "track_id", "left")
               .join(likes.withColumn("_liked", F.lit(True)), ["user_id", "artist_name"], "left")
               .withColumn("mf_score", (F.coalesce("mf_raw", lowest) - lowest) / spread)
               .withColumn("pop_score", F.coalesce("plays", F.lit(0)).cast("double") / top_pop.cast("double"))
               .withColumn("artist_bonus", F.when(F.col("_liked"), 1.0).otherwise(0.0))
-              .withColumn("recommendation_score", w_mf * F.col("mf_score") + w_pop * F.col("pop_score")
-                          + w_artist * F.col("artist_bonus")))
+              .select("user_id", "track_id", "track_name", "artist_name", "mf_score", "pop_score", "artist_bonus"))
+
+
+def weighted(components: DataFrame, settings: HybridSettings, grid: Sequence[tuple[float, float, float]]) -> DataFrame:
+    """The best k of each user under each weight triple (`combo`, its place in the grid), in one pass."""
+    s = settings
+    shares = [[w / max(sum(triple), 1e-9) for w in triple] for triple in grid]
+    triples = F.array(*[F.struct(F.lit(i).alias("combo"), *[F.lit(w).alias(n) for n, w in zip(("w_mf", "w_pop", "w_artist"), own)])
+                        for i, own in enumerate(shares)])
+    scored = components.select("*", F.inline(triples)).withColumn(
+        "recommendation_score", F.col("w_mf") * F.col("mf_score") + F.col("w_pop") * F.col("pop_score")
+        + F.col("w_artist") * F.col("artist_bonus"))
     order = [F.col("recommendation_score").desc()]
     if s.popularity_breaks_ties:
         order.append(F.col("pop_score").desc())
     order.append(F.col("track_id").asc())
-    return ranked(scored, ["user_id"], order, "recommendation_rank", s.k).select(
-        "user_id", "recommendation_rank", "track_id", "track_name", "artist_name", "recommendation_score",
+    return ranked(scored, ["combo", "user_id"], order, "recommendation_rank", s.k).select(
+        "combo", "user_id", "recommendation_rank", "track_id", "track_name", "artist_name", "recommendation_score",
         "mf_score", "pop_score", "artist_bonus")
 
 
+def recs_hybrid(hist: DataFrame, mf: DataFrame, settings: HybridSettings = HybridSettings(),
+                users: DataFrame | None = None) -> DataFrame:
+    """Rerank MF rows and popular tracks by MF score, popularity and artist affinity."""
+    return weighted(hybrid_components(hist, mf, settings, users), settings, [settings.weights]).drop("combo")
+
+
 def versioned(recs: DataFrame, model_version: str) -> DataFrame:
     return recs.select(F.lit(model_version).alias("model_version"), "*",
                        F.current_timestamp().alias("generated_at"))

@@ -9,7 +9,7 @@ from earshot.operators import hybrid as Y
 from earshot.operators import rules as R
 from earshot.operators import serving as S
 from earshot.plans.history import ALL, SCORES, feedback, hybrid_views
-from earshot.plans.recommend import rounded
+from earshot.plans.recommend import FALLBACK, rounded
 from earshot.plans.registry import define, query
 from earshot.plans.slices import READABLE
 from earshot.session import materialize, workspace
@@ -130,12 +130,10 @@ def rounded_metrics(df):
 
 
 metrics_sql("pop", "pop_recs", "mp")
-define("mf_200", ("mf_latest",), "SELECT * FROM mf_latest WHERE recommendation_rank <= 200")
-metrics_sql("mf", "mf_200", "mm")
+metrics_sql("mf", "mf_latest", "mm")
 metrics_sql("hybrid(w=0.65,0.25,0.10)", "he_recs", "mh")
-metrics_sql("dense", "rule_ready_200", "md")
-define("rule_ready_200", ("rule_ready", "model_users"),
-       "SELECT * FROM rule_ready WHERE recommendation_rank <= 200 AND user_id IN (SELECT user_id FROM model_users)")
+metrics_sql("dense", "rule_ready_model", "md")
+define("rule_ready_model", ("rule_ready", "model_users"), "SELECT * FROM rule_ready WHERE user_id IN (SELECT user_id FROM model_users)")
 
 
 @query("evaluate_recs", ("mp_metrics",), f"SELECT {ROUND_M} FROM mp_metrics")
@@ -149,7 +147,7 @@ def evaluate(t):
 SELECT {ROUND_M} FROM (SELECT * FROM mp_metrics UNION ALL SELECT * FROM mm_metrics UNION ALL SELECT * FROM mh_metrics
 UNION ALL SELECT * FROM md_metrics)""")
 def temporal(t):
-    dense = R.recs_rule(t.ready, users=t.model_users, max_rank=SCAN)
+    dense = R.recs_rule(t.ready, users=t.model_users, fallback_rows=FALLBACK)
     mf = t.mf_of(t.model_users)
     return rounded_metrics(E.temporal_eval(t.ready, t.model_users, mf=mf, dense=dense))
 
