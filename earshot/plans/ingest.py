@@ -185,9 +185,9 @@ def insert(t):
     from earshot.functions.text import clean_text
     events = t.listens.withColumn("track_name", clean_text("track_name")).withColumn("event_hash", stored_event_hash())
     events = events.select("event_hash", "user_id", "track_id")
-    by_hash = F.left("event_hash", F.lit(1))
-    K.sink_insert_ignore(events.filter("user_id < '5'"), target, part=by_hash)
-    K.sink_insert_ignore(events, target, part=by_hash)
+    by_hash = F.left("event_hash", F.lit(3))
+    K.sink_insert_ignore(events.filter("user_id < '5'"), target, part=by_hash, levels=(1, 2, 3), part_bytes=1 << 10)
+    K.sink_insert_ignore(events, target, part=by_hash, levels=(1, 2, 3))
     return t.spark.read.parquet(target).drop("part")
 
 
@@ -197,8 +197,20 @@ def upsert(t):
     log = t.votes.withColumn("seen", F.struct("voted_at", "vote_seq", "vote_line")).select("user_id", "track_id", "user_selected_vibe", "seen")
     old, new = log.filter("seen.voted_at < '1998-01-01'"), log.filter("seen.voted_at >= '1998-01-01'")
     for part in (new, old):
-        K.sink_upsert(K.merged(part.limit(0), part, ["user_id", "track_id"], "seen"), target, ["user_id", "track_id"], "seen")
-    return t.spark.read.parquet(target).drop("seen", "part")
+        K.sink_upsert(K.merged(part.limit(0), part, ["user_id", "track_id"], "seen"), target, ["user_id", "track_id"], "seen",
+                      part_rows=500)
+    return K.read_upserted(t.spark, target, log.schema).drop("seen")
+
+
+@query("sink_upsert_removal", ("vote_state",), "SELECT user_id, track_id, user_selected_vibe FROM vote_state WHERE user_selected_vibe > 'f'")
+def upsert_removal(t):
+    """Overrides that follow the votes: a user's newest vote for some moods takes the row away."""
+    target = f"{workspace(t.spark, 'overrides')}/votes"
+    log = t.votes.withColumn("seen", F.struct("voted_at", "vote_seq", "vote_line")).select("user_id", "track_id", "user_selected_vibe", "seen")
+    for part in (log.filter("seen.voted_at < '1998-01-01'"), log.filter("seen.voted_at >= '1998-01-01'")):
+        newest = K.merged(part.limit(0), part, ["user_id", "track_id"], "seen").withColumn("gone", F.col("user_selected_vibe") <= "f")
+        K.sink_upsert(newest, target, ["user_id", "track_id"], "seen", part_rows=500, remove="gone")
+    return K.read_upserted(t.spark, target, log.schema).drop("seen")
 
 
 @query("sink_replace_version", ("mf",), """
@@ -220,7 +232,7 @@ def catalog_stream(t):
             .withColumn("genre", F.when(F.col("updated_at") == 2, F.col("genre")).otherwise("old"))
             .select("source", "track_id", "track_name", "genre", "updated_at"))
     T.catalog_upserts(rows, f"{root}/catalog", f"{root}/offsets").awaitTermination()
-    return t.spark.read.parquet(f"{root}/catalog").drop("updated_at", "part")
+    return K.read_upserted(t.spark, f"{root}/catalog", rows.schema).drop("updated_at")
 
 
 @query("replay_rebuild", ("ingested",), "SELECT event_hash, user_id, track_id FROM ingested")

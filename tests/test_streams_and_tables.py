@@ -41,38 +41,58 @@ def test_ingest_repeats_change_nothing(spark, tmp_path):
     assert rows(batch.select("user_id", "event_type", "artist_name", "event_hash")) == run(offsets)
 
 
-def test_upsert_keeps_the_newest(spark, tmp_path):
+def test_upsert_keeps_the_newest_and_removes(spark, tmp_path):
     folder = str(tmp_path / "t")
-    frame = lambda *r: spark.createDataFrame(list(r), "k string, v string, at int")
-    K.sink_upsert(frame(("a", "1", 1), ("b", "1", 5)), folder, ["k"], "at")
-    K.sink_upsert(frame(("a", "2", 2), ("b", "0", 4), ("c", "9", 1)), folder, ["k"], "at")
-    assert rows(spark.read.parquet(folder).drop("part")) == [("a", "2", 2), ("b", "1", 5), ("c", "9", 1)]
+    frame = lambda *r: spark.createDataFrame(list(r), "k string, v string, at int, gone boolean")
+    read = lambda: rows(K.read_upserted(spark, folder, "k string, v string, at int"))
+    assert read() == []
+    K.sink_upsert(frame(("a", "1", 1, None), ("b", "1", 5, False)), folder, ["k"], "at", remove="gone")
+    K.sink_upsert(frame(("a", "2", 2, False), ("b", "0", 4, True), ("c", "9", 1, False)), folder, ["k"], "at", remove="gone")
+    assert read() == [("a", "2", 2), ("b", "1", 5), ("c", "9", 1)]  # an older row removes nothing
+    K.sink_upsert(frame(("a", "", 3, True), ("x", "", 3, True)), folder, ["k"], "at", remove="gone")
+    assert read() == [("b", "1", 5), ("c", "9", 1)]
 
 
-def test_upsert_touches_only_its_parts_and_survives_a_failed_switch(spark, tmp_path, monkeypatch):
+def test_upsert_buckets_grow_and_a_failed_one_changes_nothing(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "t")
     frame = lambda ids, v, at: spark.createDataFrame([(str(i), v, at) for i in ids], "k string, v string, at int")
-    K.sink_upsert(frame(range(100), "old", 1), folder, ["k"], "at", parts=16)
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part=*/*.parquet")}
-    K.sink_upsert(frame([7], "new", 2), folder, ["k"], "at", parts=16)
-    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part=*/*.parquet")}
-    assert len({p.parent for p in before if before[p] != after.get(p)}) == 1
-    real, calls = K.exists, []
-
-    def failing(s, path):
-        calls.append(path)
-        if len(calls) > 4:
-            raise RuntimeError("lost driver")
-        return real(s, path)
-
-    with monkeypatch.context() as m:
-        m.setattr(K, "exists", failing)
-        with pytest.raises(RuntimeError):
-            K.sink_upsert(frame(range(100), "late", 3), folder, ["k"], "at", parts=16)
-    K.recover(spark, folder)
-    assert sorted(r.k for r in spark.read.parquet(folder).collect()) == sorted(map(str, range(100)))
-    K.sink_upsert(frame(range(100), "last", 4), folder, ["k"], "at", parts=16)
-    assert {r.v for r in spark.read.parquet(folder).collect()} == {"last"}
+    read = lambda: rows(K.read_upserted(spark, folder, "k string, v string, at int"))
+    upsert = lambda ids, v, at: K.sink_upsert(frame(ids, v, at), folder, ["k"], "at", part_rows=100)
+    for k in range(3):  # the table grows; buckets split
+        upsert(range(400 * k, 400 * (k + 1)), "old", 1)
+    _, live = K.live_buckets(spark, folder)
+    assert len(live) >= 12 and sum(n for _, n in live.values()) == 1200 and max(n for _, n in live.values()) <= 150
+    assert sum(2.0 ** -len(x) for x in live) == 1
+    upsert([7], "new", 2)
+    _, after = K.live_buckets(spark, folder)
+    assert sum(live[x] != after.get(x) for x in live) == 1 and sum(v == "new" for _, v, _ in read()) == 1
+    before = read()
+    writer = type(frame([1], "", 1).write)
+    for place, name in ((writer, "parquet"), (K, "_commit"), (K, "clean_up")):
+        with monkeypatch.context() as m:
+            m.setattr(place, name, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost driver")))
+            with pytest.raises(RuntimeError):
+                upsert(range(1200), "late", 3)
+        # Only after the rename of the manifest is the new table there, and then it is whole.
+        assert read() == before if name != "clean_up" else {v for _, v, _ in read()} == {"late"}
+    upsert(range(1200), "last", 4)
+    K.clean_up(spark, folder, keep=1)
+    assert len(read()) == 1200 and {v for _, v, _ in read()} == {"last"}
+
+
+def test_insert_keeps_coarse_parts_until_they_are_large(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    days = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("event_hash"),
+                                    F.date_format(F.expr("date_add(DATE'1995-01-01', CAST(id % 700 AS INT))"), "yyyy-MM-dd").alias("day"))
+    insert = lambda df, size: K.sink_insert_ignore(df, folder, part=F.col("day"), levels=(4, 7, 10), part_bytes=size)
+    insert(days, 1 << 30)
+    assert {p.name for p in (tmp_path / "t").glob("part=*")} == {"part=1995", "part=1996"}
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 8
+    insert(days.union(days), 1 << 30)
+    insert(days.unionByName(days.select(F.md5(F.concat("event_hash", F.lit("x"))).alias("event_hash"), F.lit("1995-03-02").alias("day"))), 1)
+    assert {p.name for p in (tmp_path / "t").glob("part=*")} == {"part=1995", "part=1996", "part=1995-03"}
+    table = spark.read.parquet(folder)
+    assert table.count() == table.select("event_hash").distinct().count() == 4000
 
 
 def test_insert_reads_only_the_parts_of_the_batch(spark, tmp_path):
