@@ -150,7 +150,8 @@ def pairwise_similarity(picks: DataFrame) -> DataFrame:
               .applyInPandas(_block_overlap(), "source string, similarity double"))
     own = folded.select("source", (F.col("users") * (F.col("users") - 1) / 2).cast("double").alias("similarity"))
     total = across.unionByName(own).groupBy("source").agg(F.sum("similarity").alias("similarity"))
-    return total.join(folded.groupBy("source").agg(F.sum("users").alias("users_with_recs")), "source")
+    # A row per source.
+    return total.join(small(folded.groupBy("source").agg(F.sum("users").alias("users_with_recs")), 1000), "source")
 
 
 def _ideal(size: Column, k: int) -> Column:
@@ -182,8 +183,9 @@ def evaluate_sources(recs: DataFrame, sources: Sequence[str], train: DataFrame,
     labels = recs.sparkSession.range(1).select(every)
     zero, none = F.lit(0.0), F.lit(0).cast("long")
     n = F.coalesce("users_with_recs", none)
-    return (labels.join(evaluated, "source", "left").join(served, "source", "left")
-            .join(pairwise_similarity(picks), "source", "left")
+    n_rows = len(sources)
+    return (labels.join(small(evaluated, n_rows), "source", "left").join(small(served, n_rows), "source", "left")
+            .join(small(pairwise_similarity(picks), n_rows), "source", "left")
             .withColumn("users_evaluated", F.coalesce("users_evaluated", none))
             .select("source", "users_evaluated", n.alias("users_with_recs"),
                     (n / F.greatest("users_evaluated", F.lit(1))).alias("user_coverage"),

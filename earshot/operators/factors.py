@@ -13,8 +13,8 @@ from earshot.operators.ranking import ranked
 from earshot.session import materialize
 
 # Vectors per block: a scoring task holds one block of users, one slice of items and their score matrix.
-USER_BLOCK = 1024
-ITEM_BLOCK = 4096
+USER_BLOCK = 512
+ITEM_BLOCK = 16384
 
 
 def index_ids(df: DataFrame, column: str) -> DataFrame:
@@ -77,14 +77,13 @@ def _norm(vec: str) -> Column:
 
 
 def norm_slices(item_vecs: DataFrame, size: int = ITEM_BLOCK) -> tuple[DataFrame, list[float]]:
-    """Items (track_id, track_vec, slice) in slices of `size` by falling vector norm, and the largest norm per slice."""
-    items = materialize(item_vecs.select(F.col("track_id").alias("track_id"), F.col("vec").alias("track_vec"),
-                                         _norm("vec").alias("norm")))
-    placed = ranked(items.select("track_id", "norm"), [], [F.col("norm").desc(), F.col("track_id").asc()], "_n")
-    sliced = materialize(items.join(placed.select("track_id", "_n"), "track_id")
-                         .withColumn("slice", ((F.col("_n") - 1) / size).cast("int")))
-    bounds = sliced.groupBy("slice").agg(F.max("norm").alias("most")).orderBy("slice").collect()
-    return sliced.select("track_id", "track_vec", "slice"), [r["most"] for r in bounds]
+    """Items (track_id, track_vec, slice) in slices of about `size` by falling vector norm, and the largest norm per slice."""
+    count = max(1, -(-item_vecs.count() // size))
+    sliced = materialize(item_vecs.select(F.col("track_id").alias("track_id"), F.col("vec").alias("track_vec"), _norm("vec").alias("norm"))
+                         .repartitionByRange(count, F.col("norm").desc(), F.col("track_id").asc())
+                         .withColumn("slice", F.spark_partition_id()))
+    bounds = dict(sliced.groupBy("slice").agg(F.max("norm")).collect())
+    return sliced.select("track_id", "track_vec", "slice"), [bounds.get(k, 0.0) for k in range(count)]
 
 
 def open_slices(users: DataFrame, bounds: list[float], low: int, high: int) -> DataFrame:
@@ -107,19 +106,19 @@ def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | No
     the slice they are in, so a heavy user is split too.
     """
     items, bounds = norm_slices(item_vecs, item_block)
-    users = materialize(user_vecs.select(F.col("user_id").alias("user_id"), F.col("vec").alias("user_vec"),
-                                         _norm("vec").alias("norm")))
+    users = user_vecs.select(F.col("user_id").alias("user_id"), F.col("vec").alias("user_vec"), _norm("vec").alias("norm"))
     blocks = max(1, -(-users.count() // USER_BLOCK))
     users = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int"))
-    best = users.select("user_id", F.lit("").alias("track_id"), F.lit(0.0).alias("score")).limit(0)
+    best = None
     if seen is not None:
         seen = materialize(seen.select("user_id", "track_id").distinct().join(items.select("track_id", "slice"), "track_id")
                            .groupBy("user_id", "slice").agg(F.collect_list("track_id").alias("seen")))
     low, width = 0, 1
     while low < len(bounds):
         high = min(low + width, len(bounds))
-        kth = best.groupBy("user_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-        left = open_slices(users.join(kth, "user_id", "left"), bounds, low, high)
+        kth = best.groupBy("user_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least")) if low else None
+        least = users.withColumn("least", F.lit(None).cast("double")) if kth is None else users.join(kth, "user_id", "left")
+        left = open_slices(least, bounds, low, high)
         left = left.withColumn("seen", F.lit(None).cast("array<string>")) if seen is None else \
             left.join(seen, ["user_id", "slice"], "left")
         right = items.filter(F.col("slice").between(low, high - 1)).withColumn(
@@ -127,11 +126,12 @@ def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | No
         partial = (left.select("ub", "slice", "user_id", "user_vec", "least", "seen").groupBy("ub", "slice")
                    .cogroup(right.select("ub", "slice", "track_id", "track_vec").groupBy("ub", "slice"))
                    .applyInPandas(_score_block(k), "user_id string, track_id string, score double"))
-        best = materialize(ranked(best.unionByName(partial), ["user_id"], [F.col("score").desc(), F.col("track_id").asc()],
-                                  "recommendation_rank", k).drop("recommendation_rank"))
+        best = ranked(partial if low == 0 else best.unionByName(partial), ["user_id"],
+                      [F.col("score").desc(), F.col("track_id").asc()], "recommendation_rank", k)
         low, width = high, 2 * width
-    return ranked(best, ["user_id"], [F.col("score").desc(), F.col("track_id").asc()],
-                  "recommendation_rank", k).select("user_id", "recommendation_rank", "track_id", "score")
+        if low < len(bounds):
+            best = materialize(best.drop("recommendation_rank"))
+    return best.select("user_id", "recommendation_rank", "track_id", "score")
 
 
 def recs_mf(user_vecs: DataFrame, item_vecs: DataFrame, hist: DataFrame, k: int = 100) -> DataFrame:

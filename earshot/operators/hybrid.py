@@ -70,16 +70,16 @@ def _leading_pool(users: DataFrame, excluded: DataFrame, pool: DataFrame, wanted
 def _leading_of_artists(likes: DataFrame, excluded: DataFrame, pool: DataFrame, s: "HybridSettings") -> DataFrame:
     """Pool positions of the tracks of each user's artists that can be among the best k: of an artist with e excluded
     tracks the first k + e. Joined by artist and place in the artist's list, so an artist's rows spread over tasks."""
-    listed = materialize(ranked(pool.select("artist_name", "pool_rank"), ["artist_name"], [F.col("pool_rank").asc()], "place"))
+    listed = pool.select("artist_name", "pool_rank", "place")
+    sizes = pool.groupBy("artist_name").agg(F.max("place").alias("size"))
+    wanted = likes.join(sizes, "artist_name")
     if s.cap is not None:  # the walk down the pool decides; all tracks of the artists take part
-        sizes = listed.groupBy("artist_name").agg(F.max("place").alias("need"))
-        return (positions(likes.join(sizes, "artist_name"), F.col("need"), "place")
-                .join(listed, ["artist_name", "place"]).select("user_id", "pool_rank"))
-    sizes = listed.groupBy("artist_name").agg(F.max("place").alias("size"))
-    out = (excluded.join(listed, "pool_rank").groupBy("user_id", "artist_name").agg(F.count(F.lit(1)).alias("_out")))
-    need = F.least("size", F.coalesce("_out", F.lit(0)) + s.k)
-    wanted = likes.join(sizes, "artist_name").join(out, ["user_id", "artist_name"], "left")
-    return (positions(wanted, need, "place").join(listed, ["artist_name", "place"]).select("user_id", "pool_rank"))
+        need = F.col("size")
+    else:
+        out = excluded.groupBy("user_id", "artist_name").agg(F.count(F.lit(1)).alias("_out"))
+        wanted = wanted.join(out, ["user_id", "artist_name"], "left")
+        need = F.least("size", F.coalesce("_out", F.lit(0)) + s.k)
+    return positions(wanted, need, "place").join(listed, ["artist_name", "place"]).select("user_id", "pool_rank")
 
 
 def capped_pool(users: DataFrame, mf_candidates: DataFrame, excluded: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
@@ -126,7 +126,8 @@ def hybrid_components(hist: DataFrame, mf: DataFrame, settings: HybridSettings =
     pop = global_pop(hist)
     top_pop = pop.agg(F.max("plays").alias("m")).scalar()
     meta = first_seen_names(hist)
-    pool = materialize(top_pop_pool(pop, s.pool_size).join(meta, "track_id"))
+    pool = materialize(ranked(top_pop_pool(pop, s.pool_size).join(meta, "track_id"), ["artist_name"],
+                              [F.col("pool_rank").asc()], "place"))
     likes = materialize(user_artists_top(hist, s.artists).select("user_id", "artist_name"))
 
     # One pass over the MF rows: played ones are marked, not dropped, because they count in the range.
@@ -146,11 +147,11 @@ def hybrid_components(hist: DataFrame, mf: DataFrame, settings: HybridSettings =
     from_mf = marked.filter(F.col("_played").isNull() & near).select(
         "user_id", "track_id", "track_name", "artist_name", "mf_raw")
 
-    ranks = small(pool.select("track_id", "pool_rank"), s.pool_size)
+    ranks = small(pool.select("track_id", "pool_rank", "artist_name"), s.pool_size)
     excluded = materialize(
         hist.select("user_id", "track_id").join(users, "user_id", "left_semi")
         .unionByName(from_mf.select("user_id", "track_id"))
-        .join(ranks, "track_id").select("user_id", "pool_rank"))
+        .join(ranks, "track_id").select("user_id", "pool_rank", "artist_name"))
     leading = _leading_pool(users, excluded, pool, s.k, s.pool_size).select("user_id", "pool_rank")
     liked = _leading_of_artists(likes.join(users, "user_id", "left_semi"), excluded, pool, s)
     wanted = leading.unionByName(liked)
