@@ -31,13 +31,12 @@ words AS (SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[
 RULES_SQL = r"""
 WITH """ + BASE_SQL.strip() + r""",
 hashed AS (
-  SELECT doc_id, source, lines, list_transform(lines, lambda x: ('0x' || substr(md5(trim(regexp_replace(
+  SELECT doc_id, source, text, lines, list_transform(lines, lambda x: ('0x' || substr(md5(trim(regexp_replace(
     regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), 1, 15))::BIGINT) AS h FROM words),
 spread AS (SELECT doc_id, source, unnest(h) AS line, unnest(lines) AS raw FROM hashed),
-sets AS (SELECT source, list_sort(list_distinct(h)) AS s FROM hashed WHERE len(h) > 0),
-seen AS (SELECT source, s[1] AS least, s[2] AS second, unnest(s) AS line FROM sets),
-per_line AS (SELECT source, line, count(DISTINCT coalesce(CASE WHEN line = least THEN second ELSE least END, -1)) AS documents
-             FROM seen GROUP BY ALL),
+seen AS (SELECT source, coalesce(text, '') AS doc, unnest(list_distinct(h)) AS line
+         FROM (SELECT doc_id, source, h, text FROM hashed) WHERE len(h) > 0),
+per_line AS (SELECT source, line, count(DISTINCT doc) AS documents FROM seen GROUP BY ALL),
 hosts AS (SELECT source, count(DISTINCT coalesce(text, '')) AS all_documents FROM documents GROUP BY ALL),
 frequent AS (SELECT p.source, p.line FROM per_line p JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source
              WHERE documents > greatest(10.0, all_documents * 0.05)),
