@@ -277,6 +277,27 @@ SELECT user_id, window_end, string_agg(genre, '|' ORDER BY plays DESC, genre) AS
   SELECT *, row_number() OVER (PARTITION BY user_id, window_end ORDER BY plays DESC, genre) AS r FROM c) WHERE r <= 5 GROUP BY 1, 2""")(
     lambda t: ntz(X.rolling_top_genres(X.genre_counts(t.listens, t.catalog)))
     .withColumn("top_genres", F.array_join("top_genres", "|")))
+
+
+@query("stream_rolling_top_genres", ("listen_events", "genre_of"), """
+SELECT user_id, window_end, top_genres FROM (WITH c AS (SELECT user_id, w AS window_end, genre, count(*) AS plays FROM (
+  SELECT e.user_id, g.genre, unnest(list_transform(range(0, 7), lambda i: date_trunc('day', e.event_ts) + to_days(CAST(i + 1 AS INTEGER)))) AS w
+  FROM listen_events e JOIN genre_of g ON g.track_id = e.track_id WHERE e.event_type = 'play') GROUP BY 1, 2, 3)
+SELECT user_id, window_end, string_agg(genre, '|' ORDER BY plays DESC, genre) AS top_genres FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, window_end ORDER BY plays DESC, genre) AS r FROM c) WHERE r <= 5 GROUP BY 1, 2)
+WHERE window_end <= (SELECT max(e.event_ts) FROM listen_events e JOIN genre_of g ON g.track_id = e.track_id
+                     WHERE e.event_type = 'play') - INTERVAL 1 DAY""")
+def stream_genres(t):
+    """The windows that the watermark has passed; later ones stay in state until more events arrive."""
+    root = workspace(t.spark, "genres")
+    lines = t.table("lineitem")
+    stream = t.spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
+    events = t.view("listen_events", lineitem=stream).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    tops = X.rolling_top_genres(X.genre_counts(events, t.catalog))
+    T.append_stream(tops, f"{root}/out", f"{root}/offsets").awaitTermination()
+    return ntz(t.spark.read.parquet(f"{root}/out")).withColumn("top_genres", F.array_join("top_genres", "|"))
+
+
 query("user_features", ("listen_events", "genre_of"), SESSIONS.format(gap="30 MINUTES").replace("FROM events", "FROM ev").replace(
     "s AS (", "ev AS (SELECT user_id, event_ts AS ts FROM listen_events),\ns AS (", 1) + """,
 g AS (SELECT user_id, avg(gap) AS gap FROM (SELECT user_id, epoch_us(lead(session_start) OVER (PARTITION BY user_id ORDER BY session_start)) / 1e6 - epoch_us(last_ts) / 1e6 AS gap FROM sess) GROUP BY user_id),

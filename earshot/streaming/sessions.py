@@ -63,10 +63,13 @@ def genre_counts(events: DataFrame, cat: DataFrame, window: str = "7 days", slid
     """Plays per user, sliding window and genre: a stream joined with the static catalog."""
     plays = events.filter("event_type = 'play' AND track_id IS NOT NULL").join(genres(cat), "track_id")
     if events.isStreaming:
-        return (plays.withWatermark("event_ts", watermark)
-                .groupBy("user_id", F.window("event_ts", window, slide).alias("w"), "genre")
-                .agg(count_rows().alias("plays"))
-                .select("user_id", F.col("w.end").alias("window_end"), "genre", "plays"))
+        # Daily panes first, then panes to windows: an event is one row, whatever the number of windows it is in.
+        panes = (plays.withWatermark("event_ts", watermark)
+                 .groupBy("user_id", F.window("event_ts", slide).alias("d"), "genre").agg(count_rows().alias("plays"))
+                 .select("user_id", F.window_time("d").alias("pane_ts"), "genre", "plays"))
+        return (panes.groupBy("user_id", F.window("pane_ts", window, slide).alias("w"), "genre")
+                .agg(F.sum("plays").alias("plays"))
+                .select("user_id", F.window_time("w").alias("window_ts"), F.col("w.end").alias("window_end"), "genre", "plays"))
     # A table is folded to one row per user, slide and genre first; only those rows go into every window they are in.
     folded = (plays.groupBy("user_id", F.window("event_ts", slide).alias("d"), "genre").agg(count_rows().alias("plays"))
               .select("user_id", F.col("d.start").alias("start"), "genre", "plays"))
@@ -76,7 +79,13 @@ def genre_counts(events: DataFrame, cat: DataFrame, window: str = "7 days", slid
 
 
 def rolling_top_genres(counts: DataFrame, n: int = 5) -> DataFrame:
-    """The n most played genres per user and window of genre_counts rows, as an array."""
+    """The n most played genres per user and window of genre_counts rows, as an array; of a stream, once the watermark
+    has passed a window (a third event-time aggregate, over the one window that ends there)."""
+    if counts.isStreaming:
+        order = F.array_sort(F.collect_list(F.struct((-F.col("plays")).alias("less"), F.col("genre"))))
+        return (counts.groupBy("user_id", F.window("window_ts", "1 day").alias("w"))
+                .agg(F.max("window_end").alias("window_end"), order.alias("all"))
+                .select("user_id", "window_end", F.transform(F.slice("all", 1, n), lambda g: g["genre"]).alias("top_genres")))
     group = ["user_id", "window_end"]
     order = [F.col("plays").desc(), F.col("genre").asc()]
     return ranked(counts, group, order, "_rank", n).groupBy(*group).agg(_top_genres(group, n).alias("top_genres"))

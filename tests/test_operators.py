@@ -199,3 +199,45 @@ def test_plans_have_no_products_and_limit_before_the_shuffle(spark):
     assert "WindowGroupLimit" in limited and "Cartesian" not in limited and "NestedLoop" not in limited
     recs = R.recs_rule(ev, max_rank=3)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in recs and "Cartesian" not in recs and "NestedLoop" not in recs
+
+
+def test_topk_skips_slices_whose_norms_cannot_reach(spark):
+    import numpy as np
+
+    from earshot.operators import factors as M
+
+    rng = np.random.default_rng(0)
+    users = [(f"u{i}", rng.normal(size=6).tolist()) for i in range(20)]
+    items = [(f"t{i:04d}", (rng.normal(size=6) * 2.0 ** (-i / 60)).tolist()) for i in range(600)]
+    items += [("t9999", items[3][1])]  # equal scores go to the smaller id
+    seen = [(u, t) for u, _ in users[:5] for t, _ in items[:40]]
+    got = M.topk_scores(spark.createDataFrame(users, "user_id string, vec array<double>"),
+                        spark.createDataFrame(items, "track_id string, vec array<double>"),
+                        spark.createDataFrame(seen, "user_id string, track_id string"), k=7, item_block=40)
+    mine = {(r.user_id, r.recommendation_rank): r.track_id for r in got.collect()}
+    played = set(seen)
+    for user, vec in users:
+        best = sorted((-float(np.dot(vec, v)), t) for t, v in items if (user, t) not in played)[:7]
+        assert [mine[user, i + 1] for i in range(7)] == [t for _, t in best]
+    bounds = [2.0 ** -k for k in range(10)]
+    open_ = M.open_slices(spark.createDataFrame([("a", 1.0, 0.1), ("b", 1.0, None), ("c", 0.01, 0.1)],
+                                                "user_id string, norm double, least double"), bounds, 2, 10)
+    count = {r.user_id: r["count"] for r in open_.groupBy("user_id").count().collect()}
+    assert count == {"a": 2, "b": 8}  # slices below 0.1 are not scored for a, none for c
+
+
+def test_sources_evaluated_together_equal_each_alone(spark):
+    from earshot.operators import evaluation as E
+
+    frame = spark.createDataFrame
+    train = frame([("u1", "t1"), ("u2", "t2"), ("u3", "t1")], "user_id string, track_id string")
+    test = frame([("u1", "t5"), ("u2", "t6"), ("u3", "t7")], "user_id string, track_id string")
+    rows_of = [("a", u, r, f"t{(r * k) % 9}", "n", "x") for u, k in (("u1", 1), ("u2", 2), ("u3", 5)) for r in range(1, 9)]
+    rows_of += [("b", "u1", 1, "t5", "n", "x")]
+    recs = frame(rows_of, "source string, user_id string, recommendation_rank int, track_id string, track_name string, artist_name string")
+    total = F.lit(9)
+    both = {r.source: r for r in E.evaluate_sources(recs, ["a", "b", "none"], train, test, total, 3).collect()}
+    for name in ("a", "b"):
+        own = E.evaluate_recs(name, recs.filter(F.col("source") == name).drop("source"), train, test, total, 3).first()
+        assert tuple(own) == tuple(both[name])
+    assert both["none"].users_evaluated == 3 and both["none"].users_with_recs == 0 and both["b"].hit_rate_at_k == 1 / 3
