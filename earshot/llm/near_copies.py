@@ -10,7 +10,7 @@ Rows of all keys are sorted over tasks by key, so a key with most of the sets is
 sets that share most keys with others come first; each set is tried with the first one, which all copies of an original
 have in common, and with the `reach` sets before it: all pairs up to reach + 2 sets. What that leaves apart under a
 larger key is compared whole: all sets of the key that aren't in its largest component are met with all others of the
-key, in blocks of bounded size, and a block returns the links of its components only. So no pair that shares a key
+key (of all keys with this component at once), in blocks of bounded size, and a block returns the links of its components only. So no pair that shares a key
 and is alike enough ends in two components, and a large group of copies costs time in proportion to its size.
 
 Defined cases: texts without words (or null) are copies of each other; fewer than five words are one shingle. Repeated
@@ -226,9 +226,14 @@ def _left_apart(sets: DataFrame, roots: DataFrame, bodies_of, least: float, widt
     keys = per.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"),
                                   F.max("count").alias("in_main"), F.sum("count").alias("all")) \
         .where(F.col("all") > F.col("in_main"))
-    parts = bounded(keys.select("key", "main", F.ceil(F.col("in_main") / block).cast("int").alias("main_parts"),
-                                F.ceil((F.col("all") - F.col("in_main")) / block).cast("int").alias("rest_parts")))
-    told = members.join(parts, "key").withColumn("rest", F.col("component") != F.col("main"))
+    # Keys with one main component are compared together: their sets are sent once, not once a key.
+    told = materialize(members.join(bounded(keys.select("key", "main")), "key")
+                       .select(F.col("main").alias("key"), "node", "component").distinct()
+                       .withColumn("rest", F.col("component") != F.col("key")))
+    parts = bounded(told.groupBy("key").agg(
+        F.ceil(F.count_if(~F.col("rest")) / block).cast("int").alias("main_parts"),
+        F.ceil(F.count_if("rest") / block).cast("int").alias("rest_parts")))
+    told = told.join(parts, "key")
     count = F.when(F.col("rest"), F.col("rest_parts")).otherwise(F.col("main_parts"))
     told = told.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), count).cast("int"))
     others = F.sequence(F.lit(0), F.col("rest_parts") - 1)
