@@ -137,6 +137,7 @@ def pairwise_similarity(picks: DataFrame) -> DataFrame:
     Equal lists are folded to one with a count. Lists are then cut into blocks and each pair of
     blocks is one task that returns a single number, so user pairs are never rows.
     """
+    picks = picks if "source" in picks.columns else picks.withColumn("source", F.lit(""))
     lists = picks.groupBy("source", "user_id").agg(F.array_sort(F.collect_list("track_id")).alias("tracks"))
     folded = materialize(lists.groupBy("source", "tracks").agg(count_rows().alias("users"))
                          .withColumn("user_no", F.xxhash64("tracks")))

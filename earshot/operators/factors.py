@@ -97,7 +97,7 @@ def open_slices(users: DataFrame, bounds: list[float], low: int, high: int) -> D
 
 
 def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None = None, k: int = 100,
-                item_block: int = ITEM_BLOCK) -> DataFrame:
+                item_block: int | None = None) -> DataFrame:
     """The k unseen tracks of highest dot product per user; ties go to the smaller track_id.
 
     Items are sliced by falling norm. Rounds of one, two, four ... slices follow; after each a user's k-th score is known
@@ -105,7 +105,7 @@ def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | No
     (user block, slice) pair is one cogroup that returns at most k rows per user. The tracks a user has seen travel with
     the slice they are in, so a heavy user is split too.
     """
-    items, bounds = norm_slices(item_vecs, item_block)
+    items, bounds = norm_slices(item_vecs, item_block or ITEM_BLOCK)
     users = user_vecs.select(F.col("user_id").alias("user_id"), F.col("vec").alias("user_vec"), _norm("vec").alias("norm"))
     blocks = max(1, -(-users.count() // USER_BLOCK))
     users = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int"))
