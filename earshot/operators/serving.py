@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.text import UNKNOWN, UNKNOWN_ARTIST, blank_to_null, readable, track_key
-from earshot.functions.vibe_rules import VIBES, strings
+from earshot.functions.text import UNKNOWN, UNKNOWN_ARTIST, blank_to_null, readable, strip, track_key
+from earshot.functions.vibe_rules import VIBES
 from earshot.operators.popularity import best_name, count_rows
 from earshot.operators.ranking import ranked
+from earshot.session import materialize
 
 ITEM = ("track_id", "track_name", "artist_name")
 
@@ -110,25 +111,73 @@ def _like(text: Column, before: str, word: Column, after: str) -> Column:
     return F.like(text, F.concat(F.lit(before), word, F.lit(after)))
 
 
-def search_sources(queries: list[str], ready: DataFrame, cat: DataFrame) -> DataFrame:
-    """Tracks of events (with play counts) and of the catalog that contain any of the queries.
+# A backslash that escapes nothing is left out, as LIKE refuses it.
+def _pattern(query: str) -> Column:
+    return F.regexp_replace(query, r"(\\[\\%_])|\\(.?)", "$1$2")
 
-    Rows that match no query are dropped at the scan; each remaining row lists its queries, so
-    no query-by-track product is formed. `%` and `_` in a query are wildcards.
+
+def _grams(text: Column, size: Column | int) -> Column:
+    """All substrings of `size` characters; size 0 gives one empty text."""
+    wide = F.lit(size) if isinstance(size, int) else size
+    starts = F.sequence(F.lit(1), F.length(text) - wide + 1)
+    return (F.when(wide == 0, F.array(F.lit("")))
+            .when(F.length(text) >= wide, F.transform(starts, lambda i: F.substring(text, i, wide)))
+            .otherwise(F.array().cast("array<string>")))
+
+
+def search_requests(requests: DataFrame, gram: int = 3) -> DataFrame:
+    """Requests (column `query`) as distinct (query, pattern, grams): in lower case, trimmed, null ones left out.
+
+    `pattern` is the query with backslashes that escape nothing taken away. `grams` are the substrings of `gram` characters
+    of its literal parts; of a query without so long a part those of its longest part, and one empty text if it is all wildcards.
+    """
+    text = F.lower(strip(F.col("query")))
+    parts = F.transform(F.regexp_extract_all("pattern", F.lit(r"((?:\\.|[^\\%_])+)"), F.lit(1)),
+                        lambda part: F.regexp_replace(part, r"\\(.)", "$1"))
+    longest = F.array_max(F.transform("parts", lambda part: F.length(part)))
+    size = F.least(F.lit(gram), F.coalesce(longest, F.lit(0)))
+    grams = F.flatten(F.transform("parts", lambda part: _grams(part, F.col("size"))))
+    return (requests.filter("query IS NOT NULL").select(text.alias("query")).distinct()
+            .withColumn("pattern", _pattern("query")).withColumn("parts", parts).withColumn("size", size)
+            .select("query", "pattern", F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(
+                F.array_distinct(grams)).alias("grams")))
+
+
+def matching_names(requests: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+    """Pairs (query, name) of requests and distinct lower-case names that contain them; `%` and `_` are wildcards.
+
+    The names' grams are posting lists, kept only for grams that some request has. A request is looked up under its rarest
+    gram alone, and what that list holds is compared with the whole pattern. A gram in no name ends the request.
+    """
+    wanted = materialize(search_requests(requests, gram).select("query", "pattern", F.explode("grams").alias("gram")))
+    sizes = wanted.agg(F.collect_set(F.length("gram"))).scalar()
+    found = F.array_distinct(F.flatten(F.transform("_sizes", lambda size: _grams(F.col("name"), size))))
+    postings = (names.select("name", sizes.alias("_sizes")).select("name", F.explode(found).alias("gram"))
+                .join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    counts = postings.groupBy("gram").agg(count_rows().alias("n"))
+    rarest = (wanted.join(counts, "gram", "left").groupBy("query", "pattern")
+              .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
+    return postings.join(rarest, "gram").filter(_like(F.col("name"), "%", F.col("pattern"), "%")).select("query", "name")
+
+
+def search_sources(requests: DataFrame, ready: DataFrame, cat: DataFrame) -> DataFrame:
+    """Tracks of events (with play counts) and of the catalog that contain a request's text (column `query`).
+
+    Events are folded to tracks first. Requests meet distinct names by equi-joins on grams, and the matched names meet their
+    tracks by name, so the work follows the tracks and the matches, not requests times tracks.
     """
-    words = strings([q.strip().lower() for q in queries])
-    hit = F.exists(words, lambda w: _like(F.lower("track_name"), "%", w, "%"))
-    played = (ready.filter(hit).groupBy("track_id", "track_name")
+    played = (ready.filter("track_name IS NOT NULL").groupBy("track_id", "track_name")
               .agg(F.coalesce(best_name("artist_name"), F.lit(UNKNOWN_ARTIST)).alias("artist_name"),
                    F.lit(None).cast("string").alias("genre"), count_rows().alias("popularity_30d")))
-    listed = cat.filter("track_name IS NOT NULL").filter(hit).select(
+    listed = cat.filter("track_name IS NOT NULL").select(
         F.coalesce("track_id", F.lit(UNKNOWN)).alias("track_id"),
         F.coalesce(blank_to_null(F.col("track_name")), "track_id", F.lit(UNKNOWN)).alias("track_name"),
         F.coalesce(blank_to_null(F.col("artist_name")), F.lit(UNKNOWN_ARTIST)).alias("artist_name"),
-        "genre", F.lit(0).cast("long").alias("popularity_30d"), F.col("track_name").alias("_raw"))
-    rows = played.withColumn("_raw", F.col("track_name")).unionByName(listed)
-    matching = F.filter(words, lambda w: _like(F.lower("_raw"), "%", w, "%"))
-    return rows.withColumn("query", F.explode(matching)).drop("_raw")
+        "genre", F.lit(0).cast("long").alias("popularity_30d"), F.lower("track_name").alias("name"))
+    rows = played.withColumn("name", F.lower("track_name")).unionByName(listed)
+    names = (ready.select(F.lower("track_name").alias("name")).union(cat.select(F.lower("track_name")))
+             .filter("name IS NOT NULL").distinct())
+    return rows.join(matching_names(requests, names), "name").drop("name").select("query", *[c for c in rows.columns if c != "name"])
 
 
 def search_dedup(matches: DataFrame) -> DataFrame:
@@ -142,12 +191,12 @@ def search_dedup(matches: DataFrame) -> DataFrame:
             .agg(F.min_by(F.struct(*fields), order).alias("kept")).select("query", "kept.*"))
 
 
-def search_tracks(queries: list[str], ready: DataFrame, cat: DataFrame, limit: int = 10) -> DataFrame:
-    """Readable matches per query: exact names, then prefixes, then the rest; popular ones first."""
-    name, word = F.lower("track_name"), F.col("query")
-    score = (F.when(name == word, 300).when(_like(name, "", word, "%"), 200)
+def search_tracks(requests: DataFrame, ready: DataFrame, cat: DataFrame, limit: int = 10) -> DataFrame:
+    """Readable matches per request: exact names, then prefixes, then the rest; popular ones first."""
+    name, word = F.lower("track_name"), _pattern("query")
+    score = (F.when(name == F.col("query"), 300).when(_like(name, "", word, "%"), 200)
              .when(_like(name, "%", word, "%"), 100).otherwise(0))
-    found = search_dedup(search_sources(queries, ready, cat)).withColumn("match_score", score)
+    found = search_dedup(search_sources(requests, ready, cat)).withColumn("match_score", score)
     order = [F.col("match_score").desc(), F.col("popularity_30d").desc(), F.col("track_name").asc(),
              F.col("artist_name").asc(), F.col("track_id").asc()]
     return ranked(found.filter(is_readable()), ["query"], order, "position", limit).select(

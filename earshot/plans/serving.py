@@ -144,12 +144,27 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY scan) AS position,
 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY match_score DESC, popularity_30d DESC, track_name, artist_name, track_id) AS scan
  FROM (SELECT *, CASE WHEN lower(track_name) = query THEN 300 WHEN lower(track_name) LIKE concat(query, '%') THEN 200
    WHEN lower(track_name) LIKE concat('%', query, '%') THEN 100 ELSE 0 END AS match_score FROM deduped)) WHERE {READABLE}""")
+
+
+def requests(t):
+    return t.spark.createDataFrame([(q,) for q in SEARCH], "query string")
+
+
 query("union_search_sources", ("found",), "SELECT query, track_id, track_name, artist_name, genre, popularity_30d FROM found")(
-    lambda t: S.search_sources(SEARCH, t.ready, t.catalog))
+    lambda t: S.search_sources(requests(t), t.ready, t.catalog))
 query("search_dedup", ("deduped",), "SELECT * FROM deduped")(
-    lambda t: S.search_dedup(S.search_sources(SEARCH, t.ready, t.catalog)))
+    lambda t: S.search_dedup(S.search_sources(requests(t), t.ready, t.catalog)))
 query("search_tracks", ("search",), "SELECT * FROM search WHERE position <= 10")(
-    lambda t: S.search_tracks(SEARCH, t.ready, t.catalog))
+    lambda t: S.search_tracks(requests(t), t.ready, t.catalog))
+# A request table that grows with the data: the last eight characters of every catalog name, typed in capitals.
+query("search_request_table", ("ready", "track_catalog"), """
+rq AS (SELECT DISTINCT trim(lower(right(track_name, 8))) AS query FROM track_catalog WHERE track_name IS NOT NULL),
+names AS (SELECT lower(track_name) AS name FROM ready UNION SELECT lower(track_name) FROM track_catalog WHERE track_name IS NOT NULL)
+SELECT query, count(*) AS names FROM rq JOIN names ON contains(name, query) GROUP BY query""")(
+    lambda t: S.matching_names(t.catalog.select(F.upper(F.expr("right(track_name, 8)")).alias("query")),
+                               t.ready.select(F.lower("track_name").alias("name")).union(t.catalog.select(F.lower("track_name")))
+                               .filter("name IS NOT NULL").distinct())
+    .groupBy("query").agg(F.count(F.lit(1)).alias("names")))
 
 query("normalise_interactions", ("demo_interactions",), """
 SELECT interaction_id, user_id, track_id, action, signal_strength, source_endpoint, CASE
