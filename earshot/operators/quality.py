@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.text import UNKNOWN, blank_to_null, clean_text, strip
@@ -138,3 +138,45 @@ def repair_metadata(df: DataFrame, columns: list[str], dry_run: bool = False) ->
             out = (out.join(mapping, F.col(column) == F.col("_old"), "left")
                    .withColumn(column, F.coalesce("_new", column)).drop("_old", "_new"))
     return out, report
+
+
+# The stored tables whose names are repaired.
+REPAIR_TABLES = ("listen_events", "track_catalog", "recommendations_mf", "recommendations_hybrid")
+REPAIR_COLUMNS = ("track_name", "artist_name")
+
+
+def repair_tables(tables: dict[str, DataFrame], dry_run: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table with its names repaired, and one report: a row per table and column that it has."""
+    repaired, report = {}, None
+    for name, df in tables.items():
+        repaired[name], part = repair_metadata(df, [c for c in REPAIR_COLUMNS if c in df.columns], dry_run)
+        part = part.withColumn("target", F.concat(F.lit(f"{name}."), "target"))
+        report = part if report is None else report.unionByName(part)
+    return repaired, report
+
+
+def snapshot_summary(ev: DataFrame, targets: dict[str, int], files: dict[str, str], notes: list[str] = ()) -> DataFrame:
+    """One row with a JSON object: metrics of all events, targets and whether each is met, notes, and report files."""
+    metrics = {"events": "total_events", "users": "distinct_users", "tracks": "distinct_tracks"}
+
+    def named(values: dict) -> Column:
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+    body = named({
+        "generated_at_utc": F.current_timestamp(),
+        "metrics": F.struct("total_events", "distinct_users", "distinct_tracks", "min_event_ts", "max_event_ts"),
+        "targets": named({k: F.lit(v) for k, v in targets.items()}),
+        "target_status": named({k: F.when(F.col(metrics[k]) >= v, "PASS").otherwise("FAIL") for k, v in targets.items()}),
+        "notes": F.array(*[F.lit(n) for n in notes]).cast("array<string>"),
+        "files": named({k: F.lit(v) for k, v in files.items()})})
+    return summary(ev).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def snapshots(ev: DataFrame, cat: DataFrame, users: int = 100, genres: int = 100, sample: int = 1000,
+              targets: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """The tables of an inspection: summary, sources, most active users, catalog genres and the newest events."""
+    from earshot.operators.slices import latest_events
+
+    tables = {"source_breakdown": source_breakdown(ev), "top_users": top_users_profile(ev, users),
+              "catalog_genres": genre_counts(cat, genres), "event_sample": latest_events(ev, sample)}
+    goals = targets or {"events": 500_000, "users": 1000, "tracks": 50_000}
+    return {"summary": snapshot_summary(ev, goals, {k: k for k in tables})} | tables

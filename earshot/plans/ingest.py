@@ -76,28 +76,41 @@ def log(t):
     return ntz(W.load_play_log_tsv(t.spark, path, "log"))
 
 
-@query("load_catalog_csv", ("track_catalog",), """
+CATALOG_SQL = """
 SELECT 'cat' AS source, track_id, NULL AS artist_id, nullif(track_name,'') AS track_name, nullif(artist_name,'') AS artist_name, genre,
-  CAST(duration_sec AS DOUBLE) AS duration_sec FROM track_catalog""")
+  CAST(duration_sec AS DOUBLE) AS duration_sec FROM track_catalog"""
+
+
+def csv_cells(columns):
+    """A CSV line: every cell that is not null in quotes."""
+    return F.concat_ws(",", *[F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in columns])
+
+
+@query("load_catalog_csv", ("track_catalog",), CATALOG_SQL)
 def catalog(t):
+    """Files with two header lines each, read whole by the loader."""
     path = workspace(t.spark, "catalog")
-    rows = t.catalog.select("track_id", F.lit("x").alias("a"), "track_name", "artist_name", "genre",
-                            F.col("duration_sec").cast("string").alias("d"))
-    rows.sparkSession.createDataFrame([("", "track", "track", "artist", "track", "track"), ("track_id", "number", "title", "name", "genre_top", "duration")],
-                                      "a string, b string, c string, d string, e string, f string").coalesce(1).write.csv(path + "/0")
-    rows.write.csv(path + "/1")
-    files = [path + "/0", path + "/1"]
-    out = W.load_catalog_csv(t.spark, files[0], "cat")
-    names = W.flatten_header([["", "track", "track", "artist", "track", "track"], ["track_id", "number", "title", "name", "genre_top", "duration"]])
-    body = t.spark.read.schema(", ".join(f"`{n}` STRING" for n in names)).csv(files[1])
-    return out.unionByName(W.parse_catalog(body, "cat")).withColumn("duration_sec", F.col("duration_sec").cast("double"))
-
-
-def odd_table(t):
+    heads = (",track,track,artist,track,track", "track_id,number,title,name,genre_top,duration")
+    line = csv_cells([F.col("track_id"), F.lit("x"), F.col("track_name"), F.col("artist_name"), F.col("genre"), F.col("duration_sec").cast("string")])
+    body = t.catalog.select(F.pmod(F.xxhash64("track_id"), F.lit(4)).alias("part"), F.lit(2).alias("k"), line.alias("value"))
+    top = t.spark.range(4).select(F.col("id").alias("part"), F.posexplode(F.array(*[F.lit(h) for h in heads])).alias("k", "value"))
+    (body.unionByName(top).repartition(4, "part").sortWithinPartitions("part", "k").select("value").write.text(path))
+    return W.load_catalog_csv(t.spark, path, "cat").withColumn("duration_sec", F.col("duration_sec").cast("double"))
+
+
+@query("load_catalog_csv_one_header", ("track_catalog",), CATALOG_SQL)
+def catalog_one_header(t):
+    path = workspace(t.spark, "catalog-one")
+    t.catalog.select("track_id", F.lit("x").alias("number"), F.col("track_name").alias("title"), "artist_name", "genre",
+                     F.col("duration_sec").cast("string").alias("duration")).write.csv(path, header=True)
+    return W.load_catalog_csv(t.spark, path, "cat").withColumn("duration_sec", F.col("duration_sec").cast("double"))
+
+
+def odd_table(t, *more):
     """Events under unfamiliar column names, times as epoch milliseconds (moved past 2001), some missing."""
     ms = F.when(F.col("event_type") == "play", F.unix_millis(F.expr("event_ts + INTERVAL 4000 DAYS").cast("timestamp")).cast("string"))
     return t.listens.select(F.col("user_id").alias("UserId"), F.col("track_id").alias("song-id"), F.col("artist_id").alias("audio_vector"),
-                            ms.alias("Played At"), F.col("track_name").alias("song title"), F.col("event_type").alias("action"))
+                            ms.alias("Played At"), F.col("track_name").alias("song title"), F.col("event_type").alias("action"), *more)
 
 
 query("normalise_events", EV, f"""
@@ -122,8 +135,23 @@ SELECT 'odd' AS dataset, metric, key, value FROM (
     lambda t: B.ingest_audit(odd_table(t), "odd", B.infer_event_columns(odd_table(t).columns)))
 
 
+@query("file_audit", EV, """
+SELECT source AS file, '.parquet' AS extension, count(*) FILTER (event_type = 'play') AS rows_written, 0::BIGINT AS missing_user,
+  count(*) FILTER (event_type <> 'play') AS missing_or_bad_time, CASE WHEN count(*) FILTER (event_type = 'play') > 0 THEN 'ok' ELSE 'no_rows' END AS status
+FROM listen_events GROUP BY source""")
+def audit_of_files(t):
+    """Events under unfamiliar names in folders by source; the audit of their files, summed by folder."""
+    root = workspace(t.spark, "audit")
+    odd_table(t, "source").write.partitionBy("source").parquet(f"{root}/raw")
+    audit = B.gated_stage(t.spark.read.parquet(f"{root}/raw").drop("source"), "odd", f"{root}/stage", "2024-01-01", f"{root}/audit",
+                          files=B.input_files(t.spark, f"{root}/raw"))
+    counts = ("rows_written", "missing_user", "missing_or_bad_time")
+    return (audit.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("file"), "extension")
+            .agg(*[F.sum(c).alias(c) for c in counts], F.max("status").alias("status")))
+
+
 @query("load_any_table", ("track_catalog",), """
-SELECT kind, track_id, genre FROM (SELECT track_id, genre, unnest(['csv','jsonl','parquet','pipe','text']) AS kind FROM track_catalog)""")
+SELECT kind, track_id, genre FROM (SELECT track_id, genre, unnest(['csv','jsonl','parquet','pipe','text','tsv']) AS kind FROM track_catalog)""")
 def any_table(t):
     root = workspace(t.spark, "any")
     rows = t.catalog.select("track_id", "genre")
@@ -132,8 +160,9 @@ def any_table(t):
     rows.write.csv(f"{root}/t.csv", header=True)
     rows.write.csv(f"{root}/t.psv", header=True, sep="|")
     rows.write.csv(f"{root}/t.txt", header=True, sep="\t")
+    rows.write.csv(f"{root}/t.tsv", header=True, sep="\t", compression="bzip2")
     out = None
-    for name in ("t.parquet", "t.jsonl", "t.csv", "t.psv", "t.txt"):
+    for name in ("t.parquet", "t.jsonl", "t.csv", "t.psv", "t.txt", "t.tsv"):
         part = B.load_any_table(t.spark, f"{root}/{name}").select(F.lit(B.table_kind(name)).alias("kind"), "track_id", "genre")
         out = part if out is None else out.unionByName(part)
     return out
@@ -311,10 +340,26 @@ FROM (SELECT user_id, max(event_ts) AS last_event_ts FROM listen_events GROUP BY
     .withColumn("avg_session_gap_sec", F.round(F.col("avg_session_gap_sec").cast("double"), 0)))
 
 
-@query("export_snapshots", ("track_catalog",), """
-SELECT coalesce(nullif(genre,''), '__unknown__') AS genre, CAST(count(*) AS VARCHAR) AS tracks FROM track_catalog GROUP BY 1""")
+@query("export_snapshots", EV + ("track_catalog",), """
+SELECT 'catalog_genres' AS report, concat_ws('|', genre, tracks) AS line FROM (
+  SELECT coalesce(nullif(genre,''), '__unknown__') AS genre, count(*) AS tracks FROM track_catalog GROUP BY 1 ORDER BY tracks DESC, genre LIMIT 100)
+UNION ALL SELECT 'source_breakdown', concat_ws('|', source, count(*), count(DISTINCT user_id), count(DISTINCT track_id)) FROM listen_events GROUP BY source
+UNION ALL SELECT 'top_users', concat_ws('|', user_id, n, k) FROM (
+  SELECT user_id, count(*) AS n, count(DISTINCT track_id) AS k FROM listen_events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 100)
+UNION ALL SELECT 'event_sample', CAST(event_id AS VARCHAR) FROM (SELECT event_id FROM listen_events ORDER BY event_ts DESC, event_id DESC LIMIT 1000)
+UNION ALL SELECT 'summary', concat_ws('|', count(*), count(DISTINCT user_id), count(DISTINCT track_id), CASE WHEN count(*) >= 500000 THEN 'PASS' ELSE 'FAIL' END,
+  CASE WHEN count(DISTINCT user_id) >= 1000 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN count(DISTINCT track_id) >= 50000 THEN 'PASS' ELSE 'FAIL' END) FROM listen_events""")
 def export(t):
-    from earshot.operators.quality import genre_counts
+    """All five reports written and read again."""
+    from earshot.operators.quality import snapshots
     root = workspace(t.spark, "export")
-    K.export_snapshots({"genres": genre_counts(t.catalog)}, root)
-    return t.spark.read.csv(f"{root}/genres", header=True)
+    K.export_snapshots(snapshots(t.listens, t.catalog), root)
+    shown = {"catalog_genres": ("genre", "tracks"), "source_breakdown": ("source", "events", "users", "tracks"),
+             "top_users": ("user_id", "plays", "distinct_tracks"), "event_sample": ("event_id",)}
+    out = t.spark.read.text(f"{root}/summary").select(F.lit("summary").alias("report"), F.concat_ws("|", *[
+        F.get_json_object("value", f"$.{p}") for p in ("metrics.total_events", "metrics.distinct_users", "metrics.distinct_tracks",
+                                                       "target_status.events", "target_status.users", "target_status.tracks")]).alias("line"))
+    for name, columns in shown.items():
+        part = t.spark.read.csv(f"{root}/{name}", header=True)
+        out = out.unionByName(part.select(F.lit(name).alias("report"), F.concat_ws("|", *columns).alias("line")))
+    return out

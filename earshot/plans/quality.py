@@ -67,3 +67,30 @@ query("repair_metadata_report", EV, " UNION ALL ".join(f"""
 SELECT '{c}' AS target, count(DISTINCT {c}) AS distinct_values_scanned, count(DISTINCT CASE WHEN {c} LIKE 'NaÃ¯ve%' THEN {c} END) AS distinct_values_changed,
  count(CASE WHEN {c} LIKE 'NaÃ¯ve%' THEN 1 END) AS rows_changed FROM listen_events WHERE coalesce({c},'') <> ''""" for c in TARGETS).strip())(
     lambda t: Q.repair_metadata(t.listens, list(TARGETS), dry_run=True)[1].drop("examples"))
+
+FIXED = "replace({c}, 'NaÃ¯ve', 'Naïve')"
+
+
+def stored_tables(t):
+    """The four stored tables with names; the hybrid one holds the newest model's rows."""
+    return {"listen_events": t.listens, "track_catalog": t.catalog, "recommendations_mf": t.mf, "recommendations_hybrid": t.mf_latest}
+
+
+STORED = {"listen_events": "listen_events", "track_catalog": "track_catalog", "recommendations_mf": "mf", "recommendations_hybrid": "mf_latest"}
+query("repair_tables", ("listen_events", "track_catalog", "mf", "mf_latest"), " UNION ALL ".join(f"""
+SELECT '{name}' AS stored, {FIXED.format(c='track_name')} AS track_name, {FIXED.format(c='artist_name')} AS artist_name, count(*) AS rows FROM {view} GROUP BY ALL"""
+    for name, view in STORED.items()).strip())(lambda t: repaired_counts(t))
+
+
+def repaired_counts(t):
+    out = None
+    for name, df in Q.repair_tables(stored_tables(t))[0].items():
+        part = df.groupBy(F.lit(name).alias("stored"), "track_name", "artist_name").agg(F.count(F.lit(1)).alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+query("repair_tables_report", ("listen_events", "track_catalog", "mf", "mf_latest"), " UNION ALL ".join(f"""
+SELECT '{name}.{c}' AS target, count(DISTINCT {c}) AS distinct_values_scanned, count(DISTINCT CASE WHEN {c} LIKE 'NaÃ¯ve%' THEN {c} END) AS distinct_values_changed,
+ count(CASE WHEN {c} LIKE 'NaÃ¯ve%' THEN 1 END) AS rows_changed FROM {view} WHERE coalesce({c},'') <> ''""" for name, view in STORED.items() for c in TARGETS).strip())(
+    lambda t: Q.repair_tables(stored_tables(t), dry_run=True)[1].drop("examples"))

@@ -70,15 +70,40 @@ def parse_catalog(rows: DataFrame, source: str) -> DataFrame:
                            {f: F.col(f) for f in texts}).select(F.lit(source).alias("source"), *texts, "duration_sec")
 
 
-def load_catalog_csv(spark: SparkSession, path: str, source: str, header_rows: int = 2) -> DataFrame:
-    """Catalog file with one or two header lines; header lines are recognised by their content."""
-    heads = [r.value for r in spark.read.text(path).limit(header_rows).collect()]
-    cells = [next(csv.reader(io.StringIO(h))) for h in heads]
-    width = max(len(c) for c in cells)
+def header_lines(lines: list[str]) -> int:
+    """How many of the first lines (one or two) are header: two, unless the first alone names the track and its title,
+    artist or genre, or the second is a data line (its first cell is a number)."""
+    cells = [next(csv.reader(io.StringIO(x)), []) for x in lines[:2]]
+    if len(cells) < 2:
+        return len(cells)
+    first = {c.strip().lower().replace(" ", "_") for c in cells[0]}
+    others = {n for f in ("track_name", "artist_name", "genre") for n in CATALOG_NAMES[f]}
+    lead = cells[1][0].strip() if cells[1] else ""
+    return 1 if (first & set(CATALOG_NAMES["track_id"]) and first & others) or lead.isdigit() else 2
+
+
+def has_long_records(lines: DataFrame) -> bool:
+    """Whether a record may go over a line end: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
+def load_catalog_csv(spark: SparkSession, path: str, source: str, header_rows: int | None = None) -> DataFrame:
+    """Catalog files with one or two header lines each; how many is detected unless given.
+
+    Header lines are recognised by their content. Files are split over tasks unless a quoted field holds a line end.
+    """
+    lines = spark.read.text(path)
+    heads = [r.value for r in lines.limit(2 if header_rows is None else header_rows).collect()]
+    heads = heads[:header_lines(heads)] if header_rows is None else heads
+    cells = [next(csv.reader(io.StringIO(h)), []) for h in heads]
+    width = max((len(c) for c in cells), default=0)
+    if not width:
+        raise ValueError(f"no header in {path}")
     names = flatten_header([c + [""] * (width - len(c)) for c in cells])
     unique = [n if n and names.index(n) == i else f"_column_{i}" for i, n in enumerate(names)]
     schema = ", ".join(f"`{n}` STRING" for n in unique)
-    rows = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path)
+    rows = spark.read.schema(schema).option("multiLine", has_long_records(lines)).option("escape", '"').csv(path)
     header = F.lit(False)
     for c in cells:
         same = F.lit(True)

@@ -1,6 +1,7 @@
 """Text and time functions against plain Python."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,7 +97,52 @@ def test_column_inference():
     assert B.infer_event_columns(["audio_embedding", "c1", "c2"]) | {} == {**dict.fromkeys(B.COLUMN_NAMES), "user_id": "c1", "track_id": "c2"}
     assert B.infer_event_columns(["only"]) is None
     assert B.table_kind("a/b.csv.gz") == "csv" and B.table_kind("x.pq") == "parquet" and B.table_kind("x.bin") is None
-    assert B.sniff_separator(["a|b|c,", "1|2|3"]) == "|"
+
+
+def test_separator_is_counted_over_all_lines(spark):
+    def sniffed(lines):
+        return B.sniff_separator(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sniffed(["a|b|c,", "1|2|3"]) == "|"
+    assert sniffed(["a,b;c"] * 80 + ["1;2"]) == ";" and sniffed([]) == ","
+
+
+def test_file_audit_and_its_gate(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.csv").write_text("user_id,track_id,ts\nu,t,2020-01-01T00:00:00Z\n,t,2020-01-01T00:00:00Z\nu,t,never\n")
+    (root / "b.csv").write_text("user_id,track_id,ts\nu,t,\n")
+    (root / "c.csv").write_text("user_id,track_id,ts\n")
+    (root / "d.exe").write_text("x")
+    files = B.input_files(spark, str(root))
+    raw = spark.read.option("pathGlobFilter", "*.csv").csv(str(root), header=True)
+    audit = B.gated_stage(raw, "s", str(tmp_path / "stage"), "2020-01-01", str(tmp_path / "audit"), files=files).collect()
+    got = {r.path[-5:]: (r.rows_written, r.missing_user, r.missing_or_bad_time, r.status) for r in audit}
+    assert got == {"a.csv": (1, 1, 1, "ok"), "b.csv": (0, 0, 1, "no_rows"), "c.csv": (0, 0, 0, "no_rows"), "d.exe": (0, 0, 0, "unsupported")}
+    assert spark.read.parquet(str(tmp_path / "stage")).count() == 1
+    with pytest.raises(B.NoRowsError):
+        B.gated_stage(raw.filter("ts IS NULL"), "s", str(tmp_path / "stage2"), "2020-01-01", str(tmp_path / "audit2"))
+    assert not (tmp_path / "stage2").exists() and spark.read.parquet(str(tmp_path / "audit2")).count() == 1
+
+
+def test_search_finds_what_like_finds(spark):
+    from earshot.operators.serving import matching_names
+    names = ["ring", "small ring", "r ng", "box", "large big box", "100% pure", "a", "", "ab", "naïve song", "back\\slash", "under_score"]
+    asked = ["RING", " ring ", "r_ng", "large%box", "%", "", "_", "a", "ab", "zzz", "100\\%", "k\\\\s", "r_s", "ï", "\\q", "i%g", None]
+    got = {tuple(r) for r in matching_names(spark.createDataFrame([(q,) for q in asked], "query string"),
+                                            spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+
+    def matches(query, name):
+        out, i = "", 0
+        while i < len(query):
+            if query[i] == "\\" and i + 1 < len(query):
+                i += 1
+                out += re.escape(query[i])
+            else:
+                out += {"%": ".*", "_": "."}.get(query[i], re.escape(query[i]))
+            i += 1
+        return re.search(out, name, re.S) is not None
+    wanted = {q.strip().lower() for q in asked if q is not None}
+    assert got == {(q, n) for q in wanted for n in names if matches(q, n)}
 
 
 def test_play_log_drops_and_counts_bad_lines(spark):
@@ -116,6 +162,22 @@ def test_catalog_headers(spark, tmp_path):
     assert [(r.track_id, r.track_name, r.artist_name, r.duration_sec) for r in got] == [("7", 'Say, "hi"', None, 12.5), ("8", "b", "c", None)]
 
 
+def test_catalog_with_one_header_and_long_records(spark, tmp_path):
+    path = tmp_path / "one.csv"
+    path.write_text('track_id,title,artist,duration\n7,"two\nlines",x,1.5\n8,b,c,2\n')
+    got = R.load_catalog_csv(spark, str(path), "cat").collect()
+    assert [(r.track_id, r.artist_name, r.duration_sec) for r in got] == [("7", "x", 1.5), ("8", "c", 2.0)]
+    assert R.header_lines([",track", "track_id,title"]) == 2 and R.header_lines(["id,a", "3,b"]) == 1 and R.header_lines([]) == 0
+
+
+def test_long_ids_stay_apart(spark):
+    long = "x" * 300
+    df = spark.createDataFrame([("u", long + "1", "play", None), ("u", long + "2", "play", None)],
+                               "user_id string, track_id string, action string, signal_strength double")
+    got = [(r.track_id, r.reject_reason) for r in normalise_interactions(df).collect()]
+    assert got == [(long + "1", "track_id_too_long"), (long + "2", "track_id_too_long")]
+
+
 def test_interaction_rules(spark):
     df = spark.createDataFrame(
         [("u", "t", "Thumbs Up", None), ("u", None, "liked", None), ("u", "t", "dance", None), ("u", "t", "dislike", None),
