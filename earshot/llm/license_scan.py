@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping windows of a text retrieve templates, shingle containment verifies.
 
-Native columns only. A text and the templates are sets of five-word shingles. A template is cut into windows at every
+Native columns only. A word is a run of letters and digits in lower case, so punctuation, line ends and comment marks around
+a notice don't count. A text and the templates are sets of five-word shingles. A template is cut into windows at every
 shingle, a text into windows that overlap by half. A band is the least or the largest shingle hash of a window (one
 MinHash row each, of two permutations that are each other's reverse). If at least 0.8 of a template's shingles stand in
 a text, edits leave a run of untouched shingles that is at least as long as one text window plus its step (a changed
@@ -12,7 +13,8 @@ The templates are a given list, collected and checked against `most_windows`; th
 
 Defined cases: a null or empty text matches nothing; a template without words is left out; templates under five words
 are one shingle, matched where the text has the same words in a window of that many. Repeated rows give repeated
-results. An empty table gives an empty table. Other columns are ignored.
+results. Very long texts are searched whole, inside their row; a template met at several places with equal containment has
+the earliest as its start. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,29 +22,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import let, literal_array, shingle_hashes, whole, words_of
+from earshot.llm.common import let, literal_array, shingle_hashes, whole
 
-#: Notices of common licenses.
+#: Sentences of common licenses and of the notices that name them. Where families share a sentence, the part
+#: is chosen so that another version or variant loses more than a fifth of its shingles.
 TEMPLATES = (
     ("apache-notice", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-terms", "Apache-2.0", "you may not use this file except in compliance with the License. "
      "You may obtain a copy of the License at"),
+    ("apache-basis", "Apache-2.0", "software distributed under the License is distributed on an \"AS IS\" BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("bsd-terms", "BSD", "Redistribution and use in source and binary forms, with or without modification, "
      "are permitted provided that the following conditions are met:"),
+    ("bsd-disclaimer", "BSD", "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+     "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("bsd-names", "BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific "
+     "prior written permission."),
+    ("boost-notice", "BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc-by", "CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("cc-by-sa", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nc", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-notice", "GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("cc-by-nd", "CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-name", "CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("cc-by-sa-name", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("cc-by-nc-name", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("cc-by-nd-name", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International"),
+    ("cc-by-nc-sa-name", "CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("cc-by-nc-nd-name", "CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
+    ("cc0-name", "CC0-1.0", "CC0 1.0 Universal"),
+    ("epl-notice", "EPL-2.0", "under the terms of the Eclipse Public License 2.0"),
+    ("gpl-notice", "GPL-3.0", "GNU General Public License, version 3"),
+    ("gpl2-notice", "GPL-2.0", "GNU General Public License, version 2"),
+    ("gpl-header", "GPL-3.0", "the terms of the GNU General Public License as published by the Free Software Foundation, "
+     "either version 3 of the License, or (at"),
+    ("gpl2-header", "GPL-2.0", "the terms of the GNU General Public License as published by the Free Software Foundation; "
+     "either version 2 of the License, or (at"),
+    ("lgpl-notice", "LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("lgpl-header", "LGPL-3.0", "the terms of the GNU Lesser General Public License as published by the Free Software "
+     "Foundation, either version 3 of the License, or (at"),
+    ("lgpl21-header", "LGPL-2.1", "the terms of the GNU Lesser General Public License as published by the Free Software "
+     "Foundation; either version 2.1 of the License, or (at"),
+    ("agpl-notice", "AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("agpl-header", "AGPL-3.0", "the terms of the GNU Affero General Public License as published by the Free Software "
+     "Foundation, either version 3 of the License, or (at"),
+    ("isc-terms", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+     "fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mit-notice", "MIT", "Released under the MIT License."),
+    ("mit-licensed", "MIT", "Licensed under the MIT License."),
     ("mit-terms", "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
      "software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
      "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
      "sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mpl-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
+     "of the MPL was not distributed with this file, You can obtain one at"),
+    ("ofl-notice", "OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("python-notice", "PSF-2.0", "under the terms of the Python Software Foundation License"),
     ("reserved", "proprietary", "All rights reserved."),
+    ("unlicense-terms", "Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to "
+     "copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("wtfpl-name", "WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("zlib-terms", "Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+     "authors be held liable for any damages arising from the use of this software."),
 )
+#: Identifiers whose tag line is a template too.
+TAGGED = ("AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0",
+          "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+          "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES += tuple((f"tag-{name.lower()}", name, f"SPDX-License-Identifier: {name}") for name in TAGGED)
+#: A word of a notice: letters and digits, without punctuation and comment marks.
+NOTICE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 5
 #: Window lengths in shingles, each with the least number of shingles of a template that uses it.
 WINDOWS = ((1, 0), (4, 8), (8, 100))
 
 
+def notice_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(NOTICE_WORD), F.lit(0))
+
+
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(list(templates), "template_id string, license string, template string")
 
@@ -83,7 +142,7 @@ PICKS = (F.least, F.greatest)
 def _template_bands(spark, templates: DataFrame, most_windows: int) -> list[dict]:
     """Template windows by width of shingle, window length and permutation, with the band key of each."""
     known = (templates.where(F.col("template").isNotNull())
-             .select("template_id", "license", words_of(F.lower("template")).alias("words"))
+             .select("template_id", "license", notice_words(F.col("template")).alias("words"))
              .where(F.size("words") > 0).limit(most_windows + 1))
     listed = known.select("template_id", "license", "words").collect()
     classes = []
@@ -110,11 +169,11 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     """One row per document row and template found: doc_id, template_id, license, containment, start_word.
 
     `containment` is the share of the template's distinct shingles in the best stretch of the text, `start_word` the
-    place (from 0) of the first word of these shingles, in the earliest such stretch.
+    place (from 0, in words of NOTICE_WORD) of the first word of these shingles, in the earliest such stretch.
     """
     spark = docs.sparkSession
     classes = _template_bands(spark, templates, most_windows)
-    source = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.lower(whole(text))).alias("words"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), notice_words(whole(text)).alias("words"))
     schema = ("kind int, t_band bigint, template_id string, license string, t_shingles array<string>, m int, "
               "t_at int, width int")
     table = spark.createDataFrame(

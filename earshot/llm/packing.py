@@ -211,13 +211,16 @@ def tokenised(docs: DataFrame, tokenizer_path: str, groups: int, doc_id: str = "
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048,
-         end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, group_chars: int = 4 << 20) -> DataFrame:
+         end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, group_chars: int = 4 << 20,
+         group_rows: int = 1 << 14) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    `group_chars` is about how many characters of text share a group, and bounds what a task holds.
+    `group_chars` and `group_rows` are about how many characters and documents share a group, and bound what a task holds,
+    also of very many empty texts.
     """
-    total = docs.agg(F.sum(F.char_length(text))).first()[0] or 0
-    groups = max(1, -(-total // group_chars))
+    chars, rows = docs.agg(F.sum(F.char_length(text)), F.count(F.lit(1))).first()
+    groups = max(1, -(-(chars or 0) // group_chars), -(-rows // group_rows))
+
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         base = int(key[0]) << 32
         rows = rows.sort_values(["doc_id", "start", "doc_tokens"], kind="stable").reset_index(drop=True)

@@ -81,12 +81,12 @@ FROM sizes JOIN rated ON sizes.source IS NOT DISTINCT FROM rated.source"""
 
 LICENSE_SQL = r"""
 WITH templates(template_id, license, template) AS (VALUES {values}),
-tw AS (SELECT template_id, license, regexp_extract_all(lower(template), '[^\x20\x09-\x0D]+') AS w FROM templates),
+tw AS (SELECT template_id, license, regexp_extract_all(lower(template), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM templates),
 tn AS (SELECT *, least(len(w), 5) AS k FROM tw WHERE len(w) > 0),
 ts AS (SELECT template_id, license, k, list_transform(range(0, len(w) - k + 1),
                                                       lambda i: array_to_string(w[i + 1:i + k], ' ')) AS s FROM tn),
 tp AS (SELECT template_id, license, k, len(s) AS m, list_distinct(s) AS d, unnest(s) AS g, unnest(range(0, len(s))) AS o FROM ts),
-dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 dg AS (SELECT doc_id, k, unnest(list_transform(range(0, len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS g,
               unnest(range(0, len(w) - k + 1)) AS p FROM dw, (SELECT DISTINCT k FROM tn) WHERE len(w) >= k),
 hit AS (SELECT DISTINCT doc_id, template_id, license, dg.k, m, d, p - o AS start,

@@ -90,6 +90,12 @@ def test_defined_cases_and_empty_table(spark, docs, empty, name):
     assert calls[name](empty).collect() == []
 
 
+def test_packing_groups_are_bounded_in_rows(spark):
+    got = packing.pack(spark.range(400).selectExpr("id AS doc_id", "'' AS text"), TOKENIZER, group_rows=100).collect()
+    assert len(got) == 400 and len({r["sequence_id"] >> 32 for r in got}) == 4
+    assert max(Counter(r["sequence_id"] for r in got).values()) <= 200
+
+
 def test_rules_counts_and_frequent_lines(spark):
     line = "Subscribe to our letter, issue 12."
     rows = [(i, prose(100 + i, 40) + f"\n{line.replace('12', str(i))}", "h") for i in range(60)]
@@ -157,16 +163,46 @@ def test_shards_are_even_gapless_and_keep_groups(spark):
     assert (split > 1).sum() == 0
 
 
+def license_ids(spark, texts):
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                            license_scan.template_table(spark)).collect()
+    return [{r["template_id"] for r in got if r["doc_id"] == i} for i in range(len(texts))]
+
+
+def test_every_template_in_comments_and_prose_and_no_other_version(spark):
+    rng, found, texts = np.random.default_rng(3), [t[0] for t in license_scan.TEMPLATES], []
+    for template, _, text in license_scan.TEMPLATES:
+        lines = [" # * // " + " ".join(text.split()[i:i + 7]) + "," for i in range(0, len(text.split()), 7)]
+        texts.append(prose(int(rng.integers(1000)), 60) + "\n" + "\n".join(lines) + "\n" + prose(int(rng.integers(1000)), 60))
+    got = license_ids(spark, texts)
+    assert all(t in ids for t, ids in zip(found, got))
+    family = {t[0]: t[1] for t in license_scan.TEMPLATES}
+    assert [(t, ids) for t, ids in zip(found, got) if {family[x] for x in ids} != {family[t]}] == []
+
+
+def test_license_terms_with_edits(spark):
+    """One changed word in every 40 costs an eighth of the shingles; a tenth of the words is beyond the tolerance of 0.8."""
+    long = [t for t in license_scan.TEMPLATES if len(t[2].split()) >= 20]
+    edited, torn = [], []
+    for _, _, text in long:
+        words = text.split()
+        edited.append(" ".join("changed" if i % 40 == 39 or (len(words) < 40 and i == len(words) - 1) else w for i, w in enumerate(words)))
+        torn.append(" ".join("changed" if i % 4 == 0 else w for i, w in enumerate(words)))
+    got = license_ids(spark, edited + torn)
+    assert all(t[0] in ids for t, ids in zip(long, got)) and not any(got[len(long):])
+
+
 def test_license_found_where_it_stands(spark):
     filler = prose(11, 400)
     terms = dict((t[0], t[2]) for t in license_scan.TEMPLATES)["mit-terms"]
     words = terms.split()
     words[30] = "changed"
     rows = [(0, filler), (1, filler + "\n" + MIT + "\n" + filler), (2, filler + " " + " ".join(words) + " " + filler),
-            (3, "all rights reserved."), (4, " ".join(words[:20])), (5, MIT)]
+            (3, "all rights reserved."), (4, " ".join(words[:20])), (5, MIT),
+            (6, "(c) X -- ALL RIGHTS RESERVED; no copying")]
     got = {(r["doc_id"], r["template_id"]): r for r in license_scan.scan(
         spark.createDataFrame(rows, "doc_id long, text string"), license_scan.template_table(spark)).collect()}
-    assert set(got) == {(1, "mit-notice"), (2, "mit-terms"), (3, "reserved"), (5, "mit-notice")}
+    assert set(got) == {(1, "mit-notice"), (2, "mit-terms"), (3, "reserved"), (5, "mit-notice"), (6, "reserved")}
     assert got[1, "mit-notice"]["start_word"] == 400 and 0.8 <= got[2, "mit-terms"]["containment"] < 1
 
 
