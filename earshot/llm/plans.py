@@ -73,11 +73,20 @@ leveled AS (SELECT *, row_number() OVER o AS nth,
             FROM weighted WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
 chosen AS (SELECT arg_min(level, nth) AS level FROM leveled WHERE level <= most / weight),
 targets AS (SELECT source, source_size, least(weight * chosen.level, most) AS target FROM leveled, chosen),
-rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (size * (floor(rate) + (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
-                               < rate - floor(rate))::BIGINT))::BIGINT AS taken
-FROM sizes JOIN rated ON sizes.source IS NOT DISTINCT FROM rated.source"""
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
+placed AS (SELECT doc_id, source, size, ((length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0))) * 64
+                  + floor(('0x' || substr(md5('mix:place:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * 64))::BIGINT AS stratum,
+                  ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM sizes),
+strata AS (SELECT source, stratum, count(*) AS n FROM placed GROUP BY ALL),
+counted AS (SELECT *, (coalesce(sum(n) OVER (PARTITION BY source ORDER BY stratum
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS before,
+                   ('0x' || substr(md5('mix:start:' || coalesce(source, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS start
+            FROM strata),
+chances AS (SELECT c.source, stratum, source_size, target, rate,
+                   (floor((before + n) * (rate - floor(rate)) + start) - floor(before * (rate - floor(rate)) + start)) / n AS chance
+            FROM counted c JOIN rated r ON c.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (floor(rate) + (draw < chance)::BIGINT))::BIGINT AS taken
+FROM placed p JOIN chances c ON p.source IS NOT DISTINCT FROM c.source AND p.stratum = c.stratum"""
 
 LICENSE_SQL = r"""
 WITH templates(template_id, license, template) AS (VALUES {values}),

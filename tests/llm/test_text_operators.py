@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -134,6 +135,41 @@ def test_repeat_words_against_plain_python(spark):
     assert {r["doc_id"]: r["n_repeat_words"] for r in got.collect()} == {i: plain(t) for i, t in rows}
 
 
+def test_mix_spreads_copies_like_a_plain_count(spark):
+    """The stratum rule in plain Python, ids repeated and null, one text far longer than the rest."""
+    rng = random.Random(5)
+    rows = [(i, "w " * min(5000, int(rng.paretovariate(0.7))), s) for s, n, at in (("a", 60, 0), ("b", 700, 1000), (None, 300, 9000))
+            for i in range(at, at + n)]
+    rows += [(7, "again and again", "a")] * 3 + [(None, "no id", "b"), (None, None, None), (50_000, "w " * 20_000, "b")]
+
+    def unit(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 16 ** 13
+
+    def name(value):
+        return "null" if value is None else str(value)
+
+    def stratum(size, doc_id):
+        bits = max(1, size.bit_length())
+        return (bits * 16 + (size >> max(0, bits - 4))) * 64 + math.floor(unit(f"mix:place:{name(doc_id)}") * 64)
+
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=("source",)).collect()
+    rates = {r["source"]: r["rate"] for r in mixed}
+    sized = [(i, len((t or "").split()), s) for i, t, s in rows]
+    expected = []
+    for source, rate in rates.items():
+        members = Counter(stratum(n, i) for i, n, s in sized if s == source)
+        fraction, start, before, chance = rate - math.floor(rate), unit(f"mix:start:{name(source)}"), 0, {}
+        for k in sorted(members):
+            due = math.floor((before + members[k]) * fraction + start) - math.floor(before * fraction + start)
+            chance[k] = due / members[k]
+            before += members[k]
+        expected += [(i, n, math.floor(rate) + (unit(f"mix:{name(i)}") < chance[stratum(n, i)])) for i, n, s in sized if s == source]
+    assert Counter((r["doc_id"], r["size"], r["copies"]) for r in mixed) == Counter(expected)
+    for source in rates:  # off by one document of the largest size at most, but for draws within strata
+        mine = [r for r in mixed if r["source"] == source]
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 1.25 * max(r["size"] for r in mine)
+
+
 def test_mix_targets_and_copies(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 30)), s) for s, n, at in (("a", 50, 0), ("b", 4000, 1000), (None, 900, 9000))
             for i in range(at, at + n)]
