@@ -90,8 +90,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Columns: the id, the columns of `carry`, size, source_size, target, rate, copies. `copies` is floor(rate), plus one
     if the document's draw is below the chance of its stratum.
     """
+    # A generated column is computed once a row: the stratum and the join key would count the words anew at each use.
     named = docs.select(*[F.col(c).alias(f"carry_{i}") for i, c in enumerate((doc_id, *carry))],
-                        F.col(source).alias("doc_source"), word_count(whole(text)).alias("size"))
+                        F.col(source).alias("doc_source"),
+                        F.inline(F.array(F.struct(word_count(whole(text)).alias("size")))))
     placed = named.withColumn("stratum", stratum(F.col("size"), F.col("carry_0"), seed))
     strata = materialize(placed.groupBy(F.col("doc_source").alias("its_source"), F.col("stratum").alias("its_stratum"))
                          .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
