@@ -48,13 +48,21 @@ def typed(t):
     return t.listens.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
 
 
-query("replay_events", EV, f"""
-SELECT user_id AS key, json_extract_string(v, '$.track_id') AS track_id, json_extract_string(v, '$.event_ts') AS event_ts FROM (
- SELECT user_id, to_json(struct_pack(track_id := track_id, event_ts := {ISO})) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_ts,
-   source NULLS FIRST, user_id, track_id NULLS FIRST, artist_id NULLS FIRST, event_type, {CLEANED} NULLS FIRST, artist_name NULLS FIRST) AS n FROM listen_events)
-WHERE n <= 10""")(
-    lambda t: G.replay_events(typed(t), max_per_user=10).select(
-        "key", F.get_json_object("value", "$.track_id").alias("track_id"), F.get_json_object("value", "$.event_ts").alias("event_ts")))
+SEQUENCE = f"""event_ts, source NULLS FIRST, user_id, track_id NULLS FIRST, artist_id NULLS FIRST, event_type,
+ {CLEANED} NULLS FIRST, artist_name NULLS FIRST"""
+REPLAYED = f"""SELECT user_id AS key, source, user_id, track_id, artist_id, {ISO} AS event_ts, event_type,
+ {CLEANED} AS track_name, artist_name"""
+
+
+def replayed(records):
+    return records.select("key", *[F.get_json_object("value", f"$.{f}").alias(f) for f in STAGE.split(", ")])
+
+
+query("replay_events", EV, f"""{REPLAYED} FROM (
+ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {SEQUENCE}) AS n FROM listen_events) WHERE n <= 10""")(
+    lambda t: replayed(G.replay_events(typed(t), max_per_user=10)))
+query("replay_first_events", EV, f"{REPLAYED} FROM listen_events ORDER BY {SEQUENCE} LIMIT 500")(
+    lambda t: replayed(G.replay_events(typed(t), max_records=500)))
 
 LOG = "concat_ws(chr(9), user_id, {ts}, coalesce(artist_id,''), coalesce(artist_name,''), coalesce(track_id,''), coalesce(track_name,''))"
 
@@ -340,6 +348,33 @@ FROM (SELECT user_id, max(event_ts) AS last_event_ts FROM listen_events GROUP BY
     .withColumn("avg_session_gap_sec", F.round(F.col("avg_session_gap_sec").cast("double"), 0)))
 
 
+@query("stream_user_features", ("listen_events", "genre_of"), SESSIONS.format(gap="30 MINUTES").replace("FROM events", "FROM ev").replace(
+    "s AS (", "ev AS (SELECT user_id, event_ts AS ts FROM listen_events),\ns AS (", 1) + """,
+done AS (SELECT * FROM sess WHERE session_end <= (SELECT max(ts) FROM ev) - INTERVAL 1 DAY),
+g AS (SELECT user_id, max(last_ts) AS last_event_ts, avg(gap) AS gap FROM (SELECT user_id, last_ts,
+  epoch_us(lead(session_start) OVER (PARTITION BY user_id ORDER BY session_start)) / 1e6 - epoch_us(last_ts) / 1e6 AS gap FROM done) GROUP BY user_id),
+plays AS (SELECT e.user_id, g.genre, e.event_ts FROM listen_events e JOIN genre_of g ON g.track_id = e.track_id WHERE e.event_type = 'play'),
+c AS (SELECT user_id, w AS window_end, genre, count(*) AS plays FROM (
+  SELECT user_id, genre, unnest(list_transform(range(0, 7), lambda i: date_trunc('day', event_ts) + to_days(CAST(i + 1 AS INTEGER)))) AS w
+  FROM plays) GROUP BY 1, 2, 3),
+closed AS (SELECT * FROM c WHERE window_end <= (SELECT max(event_ts) FROM plays) - INTERVAL 1 DAY),
+top AS (SELECT user_id, string_agg(genre, '|' ORDER BY plays DESC, genre) AS top_genres FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY plays DESC, genre) AS r FROM closed
+  WHERE window_end = (SELECT max(window_end) FROM closed)) WHERE r <= 5 GROUP BY 1)
+SELECT g.user_id, g.last_event_ts, coalesce(top.top_genres, '') AS top_genres, round(CAST(CAST(g.gap AS FLOAT) AS DOUBLE), 0) AS avg_session_gap_sec
+FROM g LEFT JOIN top ON top.user_id = g.user_id""")
+def stream_features(t):
+    """Features of the sessions and windows that the watermark has passed, kept by two streams in upsert tables."""
+    root = workspace(t.spark, "features")
+    lines = t.table("lineitem")
+    stream = t.spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
+    events = t.view("listen_events", lineitem=stream).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    for running in X.stream_user_features(events, t.catalog, f"{root}/features", f"{root}/offsets"):
+        running.awaitTermination()
+    return ntz(X.read_user_features(t.spark, f"{root}/features")).withColumns({
+        "top_genres": F.array_join("top_genres", "|"), "avg_session_gap_sec": F.round(F.col("avg_session_gap_sec").cast("double"), 0)})
+
+
 @query("export_snapshots", EV + ("track_catalog",), """
 SELECT 'catalog_genres' AS report, concat_ws('|', genre, tracks) AS line FROM (
   SELECT coalesce(nullif(genre,''), '__unknown__') AS genre, count(*) AS tracks FROM track_catalog GROUP BY 1 ORDER BY tracks DESC, genre LIMIT 100)

@@ -57,7 +57,8 @@ def replay_events(staged: DataFrame, max_records: int | None = None, max_per_use
                   max_files: int | None = None, order: str = "sequential", seed: int = 42) -> DataFrame:
     """Keyed JSON records of staged events, ready for a topic.
 
-    The per-user cap keeps each user's first records in time order, or in a seeded random order.
+    The per-user cap keeps each user's first records in time order, or in a seeded random order. `max_records` numbers the
+    records over range-partitioned slices, so no task holds them all, however many are wanted.
     """
     rows = staged
     if max_files is not None:
@@ -74,7 +75,7 @@ def replay_events(staged: DataFrame, max_records: int | None = None, max_per_use
     if max_per_user is not None:
         valid = ranked(valid, ["user_id"], sequence, "_n", max_per_user)
     if max_records is not None:
-        valid = valid.orderBy(*sequence).limit(max_records)
+        valid = ranked(valid, [], sequence, "_nth").filter(F.col("_nth") <= max_records)
     value = F.to_json(F.struct(*[iso_micros(F.col(f)).alias(f) if f == "event_ts" else F.col(f) for f in fields]))
     return valid.select(F.col("user_id").alias("key"), value.alias("value"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from earshot.operators.popularity import best_name, count_rows
 from earshot.operators.ranking import ranked
+from earshot.sources.sinks import merged, read_upserted, sink_upsert
 
 GAP = "30 minutes"
 
@@ -125,3 +127,59 @@ def user_features(events: DataFrame, cat: DataFrame, gap: str = GAP, days: int =
         "user_id", "last_event_ts", F.coalesce("top_genres", F.array().cast("array<string>")).alias("top_genres"),
         F.col("avg_session_gap_sec").cast("float").alias("avg_session_gap_sec"),
         (updated_at if updated_at is not None else F.current_timestamp()).alias("updated_at"))
+
+
+TOTALS = "user_id STRING, sessions BIGINT, first_start TIMESTAMP, last_event_ts TIMESTAMP, inside BIGINT, batch BIGINT"
+TOPS = "user_id STRING, window_end TIMESTAMP, top_genres ARRAY<STRING>"
+
+
+def session_totals(sessions: DataFrame, gap: str = GAP) -> DataFrame:
+    """What the mean gap of each user follows from, in a form that adds up: sessions, first start, last event, and
+    microseconds inside sessions."""
+    last = F.col("session_end") - F.expr(f"INTERVAL {gap}")
+    return sessions.groupBy("user_id").agg(
+        count_rows().alias("sessions"), F.min("session_start").alias("first_start"), F.max(last).alias("last_event_ts"),
+        F.sum(F.unix_micros(last) - F.unix_micros("session_start")).alias("inside"))
+
+
+def add_totals(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored totals with those of a batch added, once: a row that has seen the batch stays as it is."""
+    seen = current.select("user_id", F.col("batch").alias("_seen"))
+    fresh = incoming.join(seen, "user_id", "left").filter("_seen IS NULL OR _seen < batch").select(*incoming.columns)
+    return current.unionByName(fresh).groupBy("user_id").agg(
+        F.sum("sessions").alias("sessions"), F.min("first_start").alias("first_start"),
+        F.max("last_event_ts").alias("last_event_ts"), F.sum("inside").alias("inside"), F.max("batch").alias("batch"))
+
+
+def stream_user_features(events: DataFrame, cat: DataFrame, target: str, checkpoint: str, gap: str = GAP,
+                         watermark: str = "1 day", n: int = 5) -> list[StreamingQuery]:
+    """Keep user features below `target` from a stream of events, all available input at once.
+
+    Two streams: sessions that the watermark has passed are added to totals per user, and the top genres of the newest
+    finished 7 days are kept per user. State in the streams is open sessions and open windows only. A batch that runs again
+    after a failure changes nothing: totals carry the number of the last batch added, and tops go by their window. The
+    batch numbers are those of `checkpoint`, so target and checkpoint are started together.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        totals = session_totals(batch, gap).withColumn("batch", F.lit(number).cast("long"))
+        sink_upsert(totals, f"{target}/sessions", ["user_id"], "batch", combine=add_totals)
+
+    def renew(batch: DataFrame, _: int) -> None:
+        newest = merged(batch.limit(0), batch, ["user_id"], "window_end")
+        sink_upsert(newest, f"{target}/genres", ["user_id"], "window_end")
+
+    tops = rolling_top_genres(genre_counts(events, cat, watermark=watermark), n)
+    return [rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{name}")
+            .trigger(availableNow=True).start()
+            for rows, write, name in ((session_windows(events, gap, watermark), add, "sessions"), (tops, renew, "genres"))]
+
+
+def read_user_features(spark: SparkSession, target: str) -> DataFrame:
+    """The features as the streams have left them: last event and mean gap of finished sessions, and top genres of the
+    newest finished 7 days (none for users without plays in them)."""
+    totals, tops = read_upserted(spark, f"{target}/sessions", TOTALS), read_upserted(spark, f"{target}/genres", TOPS)
+    newest = tops.filter(F.col("window_end") == tops.agg(F.max("window_end")).scalar()).select("user_id", "top_genres")
+    between = F.unix_micros("last_event_ts") - F.unix_micros("first_start") - F.col("inside")
+    return totals.join(newest, "user_id", "left").select(
+        "user_id", "last_event_ts", F.coalesce("top_genres", F.array().cast("array<string>")).alias("top_genres"),
+        F.when(F.col("sessions") > 1, between / 1e6 / (F.col("sessions") - 1)).cast("float").alias("avg_session_gap_sec"))

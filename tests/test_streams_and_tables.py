@@ -132,6 +132,48 @@ def test_sessions_agree_with_lag(spark):
     assert single.avg_session_gap_sec is None
 
 
+def test_user_features_grow_by_batches_and_repeats_change_nothing(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "features")
+    schema = "user_id string, track_id string, event_type string, event_ts timestamp"
+    cat = spark.createDataFrame([("t0", "rock"), ("t1", "jazz"), ("t2", None)], "track_id string, genre string")
+    times = spark.range(600).select(
+        (F.col("id") % 5).cast("string").alias("user_id"), F.concat(F.lit("t"), F.col("id") % 3).alias("track_id"), F.lit("play").alias("event_type"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 2400 + F.pmod(F.xxhash64("id"), F.lit(1200))).alias("event_ts"))
+    late = spark.createDataFrame([("late", "t0", "play")], "user_id string, track_id string, event_type string") \
+        .withColumn("event_ts", F.timestamp_seconds(F.lit(1_700_000_000 + 600 * 2400 + 20 * 86400)))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        for q in X.stream_user_features(stream, cat, target, str(tmp_path / "offsets"), gap="2 hours"):
+            q.awaitTermination()
+        return rows(X.read_user_features(spark, target))
+
+    times.filter("event_ts < '2023-11-20'").coalesce(1).write.mode("append").parquet(str(source))
+    first = run()
+    assert first and run() == first  # nothing new
+    times.filter("event_ts >= '2023-11-20'").unionByName(late).coalesce(1).write.mode("append").parquet(str(source))
+    got = {r[0]: r for r in run()}
+    batch = {r["user_id"]: r for r in X.session_gaps(X.session_windows(times, "2 hours"), "2 hours").collect()}
+    assert got.keys() == batch.keys() == {str(i) for i in range(5)}  # the late user's session is still open
+    for user, row in batch.items():
+        assert got[user][1] == row["last_event_ts"] and abs(got[user][3] - row["avg_session_gap_sec"]) < 0.01
+    # A batch that is sent again is not added again.
+    before = rows(K.read_upserted(spark, f"{target}/sessions", X.TOTALS))
+    again = K.read_upserted(spark, f"{target}/sessions", X.TOTALS)
+    K.sink_upsert(again, f"{target}/sessions", ["user_id"], "batch", combine=X.add_totals)
+    assert rows(K.read_upserted(spark, f"{target}/sessions", X.TOTALS)) == before
+
+
+def test_replay_takes_the_first_records(spark):
+    df = spark.range(300).select(
+        F.lit("s").alias("source"), F.concat(F.lit("u"), F.col("id") % 4).alias("user_id"), F.col("id").cast("string").alias("track_id"),
+        F.lit("a").alias("artist_id"), F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("event_ts"),
+        F.lit("play").alias("event_type"), F.lit("n").alias("track_name"), F.lit("x").alias("artist_name"))
+    taken = G.replay_events(df, max_records=120)
+    times = sorted(json.loads(r["value"])["event_ts"] for r in taken.collect())
+    assert times == sorted(json.loads(r["value"])["event_ts"] for r in G.replay_events(df).collect())[:120]
+
+
 def test_stage_round_trip_prunes_partitions(spark, tmp_path):
     root = str(tmp_path / "stage")
     df = spark.createDataFrame([("a", "u", "t", None, None, "play", "n", "x"), ("b", "u", "t", None, None, "play", "n", "x")],
