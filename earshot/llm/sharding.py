@@ -8,12 +8,13 @@ Shards are cut into slices by the same rounds, so that many tasks number the row
 slice are its offset. Only counts per probe reach the driver: rounds need at most slices x probes of them.
 
 Defined cases: a null text has size 1 and is a group of its own beside the empty text. Rows that repeat both text and
-id can't be told apart by the key: no boundary goes between them. An empty table gives an empty table. Other columns
-are kept only if named.
+id can't be told apart by the key: no boundary goes between them. An empty table gives an empty table. Very long
+texts count whole and may fill a shard by themselves. Other columns are kept only if named.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,9 @@ from earshot.session import materialize
 
 TOP = (1 << 63) - 1
 
+#: Rows one task numbers, about.
+SLICE_ROWS = 4_000_000
+
 
 @dataclass
 class Boundary:
@@ -122,16 +126,19 @@ def boundaries(keys: DataFrame, shards: int, slices: int, tolerance: float = 0.0
     return marks
 
 
-def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", slices: int = 32,
+def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", slices: int | None = None,
           tolerance: float = 0.005, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each document with its shard and its slot there.
 
     Columns: the id, the columns of `carry`, size, text_crc32, shard, slot (0, 1, ... in key order within the shard).
+    A shard is numbered in `slices` tasks; their default number follows the rows.
     """
     named = docs.select(*[F.col(c).alias(f"carry_{i}") for i, c in enumerate((doc_id, *carry))],
                         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
                         byte_size(F.col(text)).alias("size"), *sort_key(F.col(doc_id), F.col(text)))
-    marks = boundaries(materialize(named.select("k1", "k2", "size")), shards, slices, tolerance)
+    keys = materialize(named.select("k1", "k2", "size"))
+    slices = slices or max(32, math.ceil(keys.count() / (shards * SLICE_ROWS)))
+    marks = boundaries(keys, shards, slices, tolerance)
     first = literal_array([m.key[0] for m in marks], "bigint")
     second = literal_array([m.key[1] for m in marks], "bigint")
     place = bisect(lambda i: (F.get(first, i) < F.col("k1")) | (

@@ -9,7 +9,8 @@ chain of links, never all its pairs. Components come from joins of links, in rou
 
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other. Repeated rows share a
 fingerprint and so a component. A null id never is the smallest unless all ids of a component are null. An empty table
-gives an empty table. Other columns are ignored.
+gives an empty table. Very long texts are shingled whole, by one task each. A bit set in exactly half the hashes is 0.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,6 +63,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return id_back(rows.mapInPandas(job, "doc_id string, fp long"), docs.schema[doc_id].dataType)
 
 
+#: Variants a task spells out at once.
+SPELLED = 1 << 22
+
+
 def _flips(bits: int, most: int) -> np.ndarray:
     """All masks of at most `most` of the lowest `bits` bits."""
     found, last = [np.zeros(1, np.uint64)], [(0, -1)]
@@ -123,10 +128,42 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def spelled_variants(points: np.ndarray, prefix: int, prefix_bits: int, radius: int) -> int:
+    """How many variants of `points` have the prefix, counted without spelling them."""
+    half, low = radius // 2, 64 - prefix_bits
+    apart = np.bitwise_count((points >> np.uint64(low)) ^ np.uint64(prefix)) if prefix_bits else \
+        np.zeros(len(points), np.uint8)
+    return sum(int(np.count_nonzero(apart == used)) * sum(math.comb(low, k) for k in range(half - used + 1))
+               for used in range(half + 1))
+
+
+def ball_roots(points: np.ndarray, prefix: int, prefix_bits: int, radius: int, spelled: int = SPELLED) -> np.ndarray:
+    """Smallest index of each point's component under the links that meet in a variant with the prefix.
+
+    Where more than `spelled` variants have it, they are gone through by four further bits at a time, so memory holds
+    however many points begin alike: distinct points within radius 2 of 60 leading bits are some 29 000 at most.
+    """
+    root = np.arange(len(points))
+    waiting = [(root, prefix, prefix_bits)]
+    while waiting:
+        at, start, bits = waiting.pop()
+        if bits < 60 and spelled_variants(points[at], start, bits, radius) > spelled:
+            for wider in range(start << 4, (start << 4) + 16):
+                near = np.bitwise_count((points[at] >> np.uint64(60 - bits)) ^ np.uint64(wider)) <= radius // 2
+                waiting.append((at[near], wider, bits + 4))
+            continue
+        a, b = collisions(points[at], start, bits, radius)
+        if len(a):
+            moved = np.flatnonzero(root != np.arange(len(points)))
+            root = _roots(len(points), np.concatenate([moved, at[a]]), np.concatenate([root[moved], at[b]]))
+    return root
+
+
 def ball_links(distinct: DataFrame, radius: int = 4, per_prefix: int = 2048, most: int = 1 << 18) -> DataFrame:
     """Links between distinct `fp` values: in each prefix task the fingerprints of a component point at its smallest.
 
-    The prefix has about one value per `per_prefix` fingerprints and grows until no task gets more than `most`.
+    The prefix has about one value per `per_prefix` fingerprints and grows until no task gets more than `most`, or to 40
+    bits; a task spells out a bounded number of variants at once, whatever it gets (`ball_roots`).
     """
     if radius not in (0, 2, 4):
         raise ValueError("the radius is 0, 2 or 4: all that meets in a variant is then within it")
@@ -143,8 +180,7 @@ def ball_links(distinct: DataFrame, radius: int = 4, per_prefix: int = 2048, mos
 
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         points = np.unique(rows["fp"].to_numpy(np.int64).view(np.uint64))
-        a, b = collisions(points, int(key[0]), bits, radius)
-        root = _roots(len(points), a, b)
+        root = ball_roots(points, int(key[0]), bits, radius)
         moved = np.flatnonzero(root != np.arange(len(points)))
         return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[root[moved]].view(np.int64)})
 

@@ -406,6 +406,47 @@ def test_ball_links_lose_nothing(spark, radius):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+@pytest.mark.parametrize("radius", [2, 4])
+def test_points_that_begin_alike_are_spelled_in_bounded_parts(radius, monkeypatch):
+    """One prefix for all points: parts of at most a few thousand variants give the components of all pairs."""
+    rng = np.random.default_rng(9)
+    base = 0xABCDEF0123456789
+    points = np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 6), replace=False))
+                                 for _ in range(400)] + [base ^ 1 << 60, base ^ 3 << 59], np.uint64))
+    seen = []
+    plain = simhash.collisions
+
+    def watched(some, prefix, bits, r):
+        seen.append((bits, simhash.spelled_variants(some, prefix, bits, r)))
+        return plain(some, prefix, bits, r)
+
+    monkeypatch.setattr(simhash, "collisions", watched)
+    root = simhash.ball_roots(points, base >> 52, 12, radius, spelled=3000)
+    assert len(seen) > 10 and all(n <= 3000 or bits >= 60 for bits, n in seen)
+    want = plain_components(dict(enumerate(int(x) for x in points)), radius)
+    # Points off the prefix are linked only where a variant has it; within it all are.
+    whole_task = simhash.ball_roots(points, base >> 52, 12, radius, spelled=1 << 40)
+    assert np.array_equal(root, whole_task)
+    inside = [i for i, x in enumerate(points) if int(x) >> 52 == base >> 52]
+    assert Counter(want[i] for i in inside).most_common(1)[0][1] > 100
+    for i in inside:
+        for j in inside[:25]:
+            assert (want[i] == want[j]) == (root[i] == root[j])
+
+
+def test_shard_slices_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 10)
+    asked = []
+    plain = sharding.boundaries
+    monkeypatch.setattr(sharding, "boundaries", lambda keys, shards, slices, *rest: asked.append(slices) or plain(keys, shards, slices, *rest))
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    got = sharding.shard(docs, shards=2).collect()
+    assert asked == [45] and len(got) == 900
+    for k in range(2):
+        slots = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert slots == list(range(len(slots)))
+
+
 def test_connect_long_chain(spark):
     n = 200
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
