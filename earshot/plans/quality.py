@@ -73,7 +73,8 @@ FIXED = "replace({c}, 'NaÃ¯ve', 'Naïve')"
 
 def stored_tables(t):
     """The four stored tables with names; the hybrid one holds the newest model's rows."""
-    return {"listen_events": t.listens, "track_catalog": t.catalog, "recommendations_mf": t.mf, "recommendations_hybrid": t.mf_latest}
+    return {"listen_events": t.listens, "track_catalog": t.catalog, "recommendations_mf": t.mf_rows(),
+            "recommendations_hybrid": t.mf_newest()}
 
 
 STORED = {"listen_events": "listen_events", "track_catalog": "track_catalog", "recommendations_mf": "mf", "recommendations_hybrid": "mf_latest"}
