@@ -56,11 +56,16 @@ def _score_block(k: int):
             scores = (np.stack(left["user_vec"].to_list()).astype(np.float64)
                       @ np.stack(right["track_vec"].to_list()).astype(np.float64).T)
             place = {t: i for i, t in enumerate(items)}
-            for row, (user, least, seen) in enumerate(zip(left["user_id"], left["least"], left["seen"])):
+            groups = {g: rows.to_numpy() for g, rows in pd.Series(range(len(right))).groupby(right["apart"].to_numpy(object))}
+            for row, (user, least, seen, own) in enumerate(zip(left["user_id"], left["least"], left["seen"], left["apart"])):
                 line = scores[row]
+                if own in groups:
+                    line[groups[own]] = -np.inf
                 if seen is not None:
                     line[[place[t] for t in seen if t in place]] = -np.inf
-                best = np.argsort(-line, kind="stable")[:k]
+                # Only scores that reach the k-th are sorted; all that equal it are among them.
+                near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
+                best = near[np.argsort(-line[near], kind="stable")][:k]
                 best = best[np.isfinite(line[best])]
                 if least is not None and least == least:
                     best = best[line[best] >= least]
@@ -77,13 +82,13 @@ def _norm(vec: str) -> Column:
 
 
 def norm_slices(item_vecs: DataFrame, size: int = ITEM_BLOCK) -> tuple[DataFrame, list[float]]:
-    """Items (track_id, track_vec, slice) in slices of about `size` by falling vector norm, and the largest norm per slice."""
+    """Items (track_id, track_vec, apart, slice) in slices of about `size` by falling vector norm, and the largest norm per slice."""
     count = max(1, -(-item_vecs.count() // size))
-    sliced = materialize(item_vecs.select(F.col("track_id").alias("track_id"), F.col("vec").alias("track_vec"), _norm("vec").alias("norm"))
+    sliced = materialize(item_vecs.select(F.col("track_id").alias("track_id"), F.col("vec").alias("track_vec"), "apart", _norm("vec").alias("norm"))
                          .repartitionByRange(count, F.col("norm").desc(), F.col("track_id").asc())
                          .withColumn("slice", F.spark_partition_id()))
     bounds = dict(sliced.groupBy("slice").agg(F.max("norm")).collect())
-    return sliced.select("track_id", "track_vec", "slice"), [bounds.get(k, 0.0) for k in range(count)]
+    return sliced.select("track_id", "track_vec", "apart", "slice"), [bounds.get(k, 0.0) for k in range(count)]
 
 
 def open_slices(users: DataFrame, bounds: list[float], low: int, high: int) -> DataFrame:
@@ -97,16 +102,18 @@ def open_slices(users: DataFrame, bounds: list[float], low: int, high: int) -> D
 
 
 def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None = None, k: int = 100,
-                item_block: int | None = None) -> DataFrame:
-    """The k unseen tracks of highest dot product per user; ties go to the smaller track_id.
+                item_block: int | None = None, apart: str | None = None) -> DataFrame:
+    """The k unseen tracks of highest dot product per user; ties go to the smaller track_id. With `apart`, a text column
+    of both tables, tracks with the user's value of it count as seen, too: the pairs are never rows.
 
     Items are sliced by falling norm. Rounds of one, two, four ... slices follow; after each a user's k-th score is known
     and only slices whose norms can reach it are scored for this user, so most vectors are never sent to most slices. Each
     (user block, slice) pair is one cogroup that returns at most k rows per user. The tracks a user has seen travel with
     the slice they are in, so a heavy user is split too.
     """
-    items, bounds = norm_slices(item_vecs, item_block or ITEM_BLOCK)
-    users = user_vecs.select(F.col("user_id").alias("user_id"), F.col("vec").alias("user_vec"), _norm("vec").alias("norm"))
+    group = (F.lit(None).cast("string") if apart is None else F.col(apart)).alias("apart")
+    items, bounds = norm_slices(item_vecs.select("track_id", "vec", group), item_block or ITEM_BLOCK)
+    users = user_vecs.select(F.col("user_id").alias("user_id"), F.col("vec").alias("user_vec"), _norm("vec").alias("norm"), group)
     blocks = max(1, -(-users.count() // USER_BLOCK))
     users = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int"))
     best = None
@@ -123,8 +130,8 @@ def topk_scores(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | No
             left.join(seen, ["user_id", "slice"], "left")
         right = items.filter(F.col("slice").between(low, high - 1)).withColumn(
             "ub", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        partial = (left.select("ub", "slice", "user_id", "user_vec", "least", "seen").groupBy("ub", "slice")
-                   .cogroup(right.select("ub", "slice", "track_id", "track_vec").groupBy("ub", "slice"))
+        partial = (left.select("ub", "slice", "user_id", "user_vec", "least", "seen", "apart").groupBy("ub", "slice")
+                   .cogroup(right.select("ub", "slice", "track_id", "track_vec", "apart").groupBy("ub", "slice"))
                    .applyInPandas(_score_block(k), "user_id string, track_id string, score double"))
         best = ranked(partial if low == 0 else best.unionByName(partial), ["user_id"],
                       [F.col("score").desc(), F.col("track_id").asc()], "recommendation_rank", k)
