@@ -108,6 +108,12 @@ def target_checks(ev: DataFrame, ready: DataFrame, events: int = 500_000, users:
     return out
 
 
+def _folded_counts(names: DataFrame, column: str) -> DataFrame:
+    """value_counts of a column from rows with their number, `n`."""
+    return (names.filter(F.coalesce(F.col(column), F.lit("")) != "")
+            .groupBy(F.col(column).alias("value")).agg(F.sum("n").alias("n")))
+
+
 def text_mapping(df: DataFrame, column: str) -> DataFrame:
     """Distinct values that cleaning changes, with their new text and row count."""
     return (value_counts(df, column).withColumn("new", clean_text("value"))
@@ -117,12 +123,15 @@ def text_mapping(df: DataFrame, column: str) -> DataFrame:
 def repair_metadata(df: DataFrame, columns: list[str], dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """The table with repaired columns, and a report row per column.
 
+    One pass folds the table to its distinct combinations of the columns, which all columns are counted from.
     Cleaning runs once per distinct value; the few changed values are joined back. Catalyst
     broadcasts the mapping when it is small and otherwise joins by value with skew splitting.
     """
     out, report = df, None
+    names = materialize(df.groupBy(*columns).agg(count_rows().alias("n"))) if len(columns) > 1 else None
     for column in columns:
-        counts = materialize(value_counts(df, column).withColumn("new", clean_text("value")))
+        found = value_counts(df, column) if names is None else _folded_counts(names, column)
+        counts = materialize(found.withColumn("new", clean_text("value")))
         changed = counts.filter(F.col("new").isNotNull() & (F.col("new") != F.col("value")))
         scanned = counts.agg(count_rows().alias("n")).scalar()
         top = changed.orderBy(F.col("n").desc(), F.col("value").asc()).limit(10).agg(
