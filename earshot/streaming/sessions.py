@@ -78,7 +78,7 @@ def genre_counts(events: DataFrame, cat: DataFrame, window: str = "7 days", slid
     Panes are gathered by user before they go into every window they are in, so the windows aren't shuffled, here or when they
     are ranked. A user has a row per day and genre by then, however much they play.
     """
-    ends = F.expr(f"sequence(pane_ts + INTERVAL {window}, pane_ts + INTERVAL 1 MICROSECOND, -INTERVAL {slide})")
+    ends = F.expr(f"sequence(pane_ts + INTERVAL {window}, pane_ts + INTERVAL 1 SECOND, -INTERVAL {slide})")
     panes = genre_panes(events, cat, slide).repartition("user_id")
     # Exploded rows are known to be gathered by user still; those that F.window makes are not.
     return (panes.select("user_id", F.explode(ends).alias("window_end"), "genre", "plays")

@@ -33,3 +33,10 @@ def test_few_buckets(spark, tmp_path, most):
     folder = str(tmp_path / "t")
     K.sink_upsert(spark.range(100).selectExpr("id AS k", "1 AS at"), folder, ["k"], "at", part_rows=10, most_buckets=most)
     assert len(K.live_buckets(spark, folder)[1]) == most
+
+
+def test_a_play_is_in_seven_windows(spark):
+    events = spark.sql("SELECT 'u' AS user_id, 't' AS track_id, 'play' AS event_type, TIMESTAMP_NTZ '2024-01-01 05:00:00' AS event_ts")
+    cat = spark.sql("SELECT 't' AS track_id, 'Rock' AS genre")
+    ends = rows(X.genre_counts(events, cat).selectExpr("CAST(window_end AS STRING)", "plays"))
+    assert ends == [(f"2024-01-0{d} 00:00:00", 1) for d in range(2, 9)]
