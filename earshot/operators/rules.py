@@ -9,7 +9,7 @@ from earshot.functions.text import UNKNOWN, UNKNOWN_ARTIST, UNKNOWN_TRACK
 from earshot.operators.popularity import best_name, global_trending, rank_artists
 from earshot.operators.ranking import positions, ranked
 from earshot.operators.slices import since
-from earshot.session import materialize
+from earshot.session import materialize, small
 
 REC_COLUMNS = ("user_id", "recommendation_rank", "track_id", "track_name", "artist_id", "artist_name",
                "artist_affinity_rank", "track_popularity_30d", "recommendation_score")
@@ -95,30 +95,35 @@ def artist_candidates(top_artists: DataFrame, tracks: DataFrame, max_rank: int |
 
 def fallback_candidates(users: DataFrame, trending: DataFrame, played: DataFrame, candidates: DataFrame,
                         rows: int, max_rank: int | None = None) -> DataFrame:
-    """The trending tracks among which are the first `rows` a user has neither played nor been given.
+    """The first `rows` trending tracks that a user has neither played nor been given, numbered in `_row`.
 
-    A user meets at most (played + given + rows) trending tracks before `rows` of them are new, so
-    only that many leading ranks are taken, by an equi-join on the rank. With `max_rank` the given
-    tracks count as rows already had. `users` has user_id and personalized_count, `played` and
-    `candidates` have user_id, track_id.
+    A user who knows k trending tracks meets `rows` new ones within the first k + rows ranks. The ranks known are gathered
+    per user, so what is left of 1, 2, 3 ... needs no join of its rows; the leading tracks that any user needs are few and
+    are joined by rank. With `max_rank` the given tracks count as rows already had. `users` has user_id and
+    personalized_count, `played` and `candidates` have user_id, track_id.
     """
     total = trending.agg(F.coalesce(F.max("global_rank_7d"), F.lit(0)).alias("n")).scalar()
-    seen = played.groupBy("user_id").agg(F.count(F.lit(1)).alias("_played"))
-    given = F.lit(0) if max_rank is not None else F.col("personalized_count")
+    met = (played.select("user_id", "track_id").unionByName(candidates.select("user_id", "track_id"))
+           .join(trending.select("track_id", "global_rank_7d"), "track_id")
+           .groupBy("user_id").agg(F.collect_set("global_rank_7d").alias("_met")))
     asking = users if max_rank is None else users.filter(F.col("personalized_count") < max_rank)
-    needed = (asking.join(seen, "user_id", "left")
-              .withColumn("_need", F.least(total, F.coalesce("_played", F.lit(0)) + given + rows)))
-    known = played.select("user_id", "track_id").unionByName(candidates.select("user_id", "track_id"))
-    return (positions(needed, F.col("_need"), "global_rank_7d")
-            .join(trending, "global_rank_7d")
-            .join(known, ["user_id", "track_id"], "left_anti"))
-
-
-def append_fallback(personalised: DataFrame, fallback: DataFrame, rows: int) -> DataFrame:
+    wanted = F.lit(rows) if max_rank is None else F.lit(max_rank) - F.col("personalized_count")
+    needed = materialize(
+        asking.join(met, "user_id", "left")
+        .withColumn("_met", F.coalesce("_met", F.expr("CAST(array() AS array<bigint>)")))
+        .withColumn("_wanted", wanted.cast("int"))
+        .withColumn("_need", F.least(total, F.size("_met") + F.col("_wanted")).cast("long"))
+        .filter("_need >= 1"))
+    most = needed.agg(F.max("_need")).first()[0] or 0
+    new = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), F.col("_need")), F.col("_met")), F.lit(1), F.col("_wanted"))
+    return (needed.select(*users.columns, F.posexplode(new).alias("_at", "global_rank_7d"))
+            .join(small(trending.filter(F.col("global_rank_7d") <= most), most), "global_rank_7d")
+            .withColumn("_row", F.col("_at").cast("long") + 1).drop("_at"))
+
+
+def append_fallback(personalised: DataFrame, fallback: DataFrame) -> DataFrame:
     """Trending rows after the personalised ones; `fallback` carries each user's offset."""
-    ranks = ranked(fallback, ["user_id"], [F.col("global_rank_7d").asc(), F.col("track_id").asc()],
-                   "_row", rows)
-    shifted = (ranks.withColumn("recommendation_rank", F.col("personalized_count") + F.col("_row"))
+    shifted = (fallback.withColumn("recommendation_rank", F.col("personalized_count") + F.col("_row"))
                .withColumn("artist_affinity_rank", F.lit(None).cast("long"))
                .withColumn("track_popularity_30d", F.col("plays_7d"))
                .withColumn("recommendation_score",
@@ -139,7 +144,7 @@ def recs_rule(ev: DataFrame, days: int = 30, top_artists: int = 5, users: DataFr
     cube = play_cube(ev, days, 7)
     receiving = cube if users is None else materialize(
         cube.join(users.select("user_id"), "user_id", "left_semi"))
-    trending = _trending(cube)
+    trending = materialize(_trending(cube))
     played = receiving.filter("track_id IS NOT NULL").select("user_id", "track_id").distinct()
     found = (artist_candidates(_top_artists(receiving, ready, top_artists), _artist_tracks(cube), max_rank)
              .join(played, ["user_id", "track_id"], "left_anti")
@@ -158,5 +163,5 @@ def recs_rule(ev: DataFrame, days: int = 30, top_artists: int = 5, users: DataFr
               .withColumn("personalized_count", F.coalesce("personalized_count", F.lit(0))))
     wanted = fallback_rows if max_rank is None else max_rank
     fallback = fallback_candidates(active, trending, played, personalised, wanted, max_rank)
-    out = append_fallback(personalised, fallback, wanted)
+    out = append_fallback(personalised, fallback)
     return out if max_rank is None else out.filter(F.col("recommendation_rank") <= max_rank)
