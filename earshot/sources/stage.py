@@ -12,6 +12,8 @@ from earshot.functions.text import clean_text_columns
 from earshot.operators.ranking import ranked
 from earshot.sources.sinks import hadoop_path
 
+# Wanted records up to which the first ones are taken from each task, before they are numbered.
+FEW_RECORDS = 100_000
 STAGE_SCHEMA = ("user_id STRING, track_id STRING, artist_id STRING, event_ts TIMESTAMP, event_type STRING, "
                 "track_name STRING, artist_name STRING, source STRING, run_date STRING")
 TEXT_FIELDS = ("source", "user_id", "track_id", "artist_id", "track_name", "artist_name")
@@ -57,14 +59,20 @@ def replay_events(staged: DataFrame, max_records: int | None = None, max_per_use
                   max_files: int | None = None, order: str = "sequential", seed: int = 42) -> DataFrame:
     """Keyed JSON records of staged events, ready for a topic.
 
-    The per-user cap keeps each user's first records in time order, or in a seeded random order. `max_records` numbers the
-    records over range-partitioned slices, so no task holds them all, however many are wanted.
+    The per-user cap keeps each user's first records in time order, or in a seeded random order. `max_records` takes few
+    records from the first ones of each task, and in time order cleans only events up to the time of the last one wanted;
+    many are numbered over range-partitioned slices, so no task holds them all.
     """
     rows = staged
     if max_files is not None:
         from earshot.operators.quality import sample_files
 
         rows = sample_files(rows, max_files, order, seed)
+    few = max_records is not None and max_records <= FEW_RECORDS
+    if few and max_per_user is None and order != "random":
+        usable = clean_text_columns(rows.select("user_id", "event_ts"), ["user_id"]).filter("user_id IS NOT NULL AND event_ts IS NOT NULL")
+        last = usable.select("event_ts").orderBy("event_ts").limit(max_records).agg(F.max("event_ts").alias("last")).scalar()
+        rows = rows.filter(F.col("event_ts") <= last)
     cleaned = clean_text_columns(rows, [*TEXT_FIELDS, "event_type"]).withColumn(
         "event_type", F.coalesce("event_type", F.lit("play")))
     valid = cleaned.filter("user_id IS NOT NULL AND event_ts IS NOT NULL")
@@ -75,7 +83,7 @@ def replay_events(staged: DataFrame, max_records: int | None = None, max_per_use
     if max_per_user is not None:
         valid = ranked(valid, ["user_id"], sequence, "_n", max_per_user)
     if max_records is not None:
-        valid = ranked(valid, [], sequence, "_nth").filter(F.col("_nth") <= max_records)
+        valid = ranked(valid, [], sequence, "_nth", max_records if few else None).filter(F.col("_nth") <= max_records)
     value = F.to_json(F.struct(*[iso_micros(F.col(f)).alias(f) if f == "event_ts" else F.col(f) for f in fields]))
     return valid.select(F.col("user_id").alias("key"), value.alias("value"))
 
