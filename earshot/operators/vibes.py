@@ -136,7 +136,9 @@ def vibe_tracks(effective: DataFrame, cat: DataFrame, vibes: list[str], limit: i
 
 
 def _any_keyword(text: Column, words: list[str]) -> Column:
-    return F.exists(strings(words), lambda w: F.like(text, F.concat(F.lit("%"), w, F.lit("%"))))
+    """A text holds one of the words. Each pattern is a literal, so Catalyst makes it a substring test; a pattern that
+    is put together in a row is compiled again for every row and word."""
+    return reduce(lambda a, b: a | b, [text.like(f"%{w}%") for w in words])
 
 
 def vibe_catalog_match(cat: DataFrame, ready: DataFrame, vibes: list[str], limit: int | None = None,
@@ -176,12 +178,16 @@ def name_match(named: DataFrame, cat: DataFrame) -> DataFrame:
 def vibe_named_match(named: DataFrame, cat: DataFrame, vibes: list[str], limit: int | None = None) -> DataFrame:
     """Named tracks by their best keyword: 3 in the genre, 2 in the track name, 1 in the artist."""
     def best(words: list[str]) -> Column:
-        texts = [(F.col("genre_l"), 3), (F.lower("track_name"), 2), (F.lower("artist_name"), 1)]
+        texts = [(F.col("genre_l"), 3), (F.col("_track"), 2), (F.col("_artist"), 1)]
         return reduce(lambda rest, pair: F.when(_any_keyword(pair[0], words), pair[1]).otherwise(rest),
                       reversed(texts), F.lit(0))
     scores = F.array(*[F.struct(F.lit(v).alias("vibe"), best(vibe_keywords(v)).alias("score")) for v in vibes])
-    hits = (name_match(named, cat).withColumn("_hit", F.explode(F.filter(scores, lambda s: s.score > 0)))
-            .select("*", "_hit.vibe", F.col("_hit.score").alias("vibe_match_score")))
+    # The scores are a column of their own: inside the filter their tests would be interpreted, not compiled.
+    lowered = name_match(named, cat).withColumns({"_track": F.lower("track_name"), "_artist": F.lower("artist_name")})
+    hits = (lowered.withColumn("_scores", scores).withColumn("_hit", F.explode(F.filter("_scores", lambda s: s.score > 0)))
+            .drop("_scores", "_track", "_artist").select("*", "_hit.vibe", F.col("_hit.score").alias("vibe_match_score")))
+    if limit is None:
+        hits = materialize(hits)  # a full rank goes through its rows twice
     order = [F.col("vibe_match_score").desc(), F.col("plays").desc(), F.col("unique_listeners").desc(),
              F.col("track_name").asc(), F.col("artist_name").asc()]
     return ranked(hits, ["vibe"], order, "global_rank_7d", limit).select(
