@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import UNKNOWN, blank_to_null, clean_text, strip
 from earshot.operators.popularity import count_rows
-from earshot.session import materialize, small
+from earshot.session import materialize, small, stored
 
 
 def _distinct(df: DataFrame, keys: list[str], columns: dict[str, str], partial: list | None = None,
@@ -182,10 +182,18 @@ def snapshot_summary(ev: DataFrame, targets: dict[str, int], files: dict[str, st
 
 def snapshots(ev: DataFrame, cat: DataFrame, users: int = 100, genres: int = 100, sample: int = 1000,
               targets: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """The tables of an inspection: summary, sources, most active users, catalog genres and the newest events."""
+    """The tables of an inspection: summary, sources, most active users, catalog genres and the newest events.
+
+    The columns that are counted are stored once. The newest events are sought among those not before the time of the
+    last one wanted, which is read from what is stored; with fewer times than that, among all.
+    """
     from earshot.operators.slices import latest_events
 
-    tables = {"source_breakdown": source_breakdown(ev), "top_users": top_users_profile(ev, users),
-              "catalog_genres": genre_counts(cat, genres), "event_sample": latest_events(ev, sample)}
+    seen = stored(ev.select("source", "user_id", "track_id", "event_ts"), "snapshot")
+    last = seen.select("event_ts").orderBy(F.col("event_ts").desc()).limit(sample).agg(
+        F.when(F.count("event_ts") == sample, F.min("event_ts")).alias("last")).scalar()
+    newest = ev.filter((F.col("event_ts") >= last) | last.isNull())
+    tables = {"source_breakdown": source_breakdown(seen), "top_users": top_users_profile(seen, users),
+              "catalog_genres": genre_counts(cat, genres), "event_sample": latest_events(newest, sample)}
     goals = targets or {"events": 500_000, "users": 1000, "tracks": 50_000}
-    return {"summary": snapshot_summary(ev, goals, {k: k for k in tables})} | tables
+    return {"summary": snapshot_summary(seen, goals, {k: k for k in tables})} | tables
