@@ -170,30 +170,50 @@ def _ball_pairs(sets: DataFrame) -> DataFrame:
     return shared.union(ends.select(F.least("x", "y"), F.greatest("x", "y")))
 
 
-def block_links(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links (places) that join the components of sets of likeness `least` or more: exact, by packed bits of the
-    hashes that several sets share."""
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    values, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+#: Hashes that a block compares at once, and 64-bit words of packed bits.
+AT_ONCE = 1 << 18
+
+
+def _packed(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """A row of bits per set: which of the hashes that several sets share it has."""
+    _, column, many = np.unique(values, return_inverse=True, return_counts=True)
     shared = many > 1
     place = np.cumsum(shared) - 1
     used = shared[column]
-    packed = np.zeros((len(sets), int(shared.sum()) // 64 + 1), np.uint64)
+    packed = np.zeros((count, int(shared.sum()) // 64 + 1), np.uint64)
     at = place[column[used]]
     np.bitwise_or.at(packed, (owner[used], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    found_a, found_b = [], []
-    step = max(1, (1 << 22) // max(1, packed.shape[1] * len(sets)))
-    for low in range(0, len(sets), step):
-        own = slice(low, low + step)
-        both = np.bitwise_count(packed[own, None, :] & packed[None, :, :]).sum(2, dtype=np.int64)
-        alike = both >= least * (size[own, None] + size[None, :] - both)
-        alike &= component[own, None] != component[None, :]
-        a, b = np.nonzero(alike)
-        a = a + low
-        found_a.append(a[a < b])
-        found_b.append(b[a < b])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    return packed
+
+
+def _in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share. Hashes are taken by value, one range after the other, so memory is bounded
+    however long the texts are."""
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    pieces = -(-sum(map(len, sets)) // AT_ONCE)
+    edges = [(1 << 64) * k // pieces for k in range(1, pieces)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, np.array(edges, np.uint64)), [len(s)]]).astype(np.int64) for s in sets]
+    for k in range(pieces):
+        part = [s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)]
+        owner = np.repeat(np.arange(len(sets)), [len(p) for p in part])
+        packed = _packed(owner, np.concatenate(part), len(sets))
+        step = max(1, AT_ONCE // (packed.shape[1] * len(sets)))
+        width = max(1, AT_ONCE // (step * len(sets)))
+        for low in range(0, len(sets), step):
+            for left in range(0, packed.shape[1], width):
+                words = packed[:, left:left + width]
+                both[low:low + step] += np.bitwise_count(words[low:low + step, None, :] & words[None, :, :]).sum(2, dtype=np.int64)
+    return both
+
+
+def block_links(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (places) that join the components of sets of likeness `least` or more: exact, by packed bits of the
+    hashes that several sets share."""
+    size = np.array([len(s) for s in sets], np.int64)
+    both = _in_common(sets)
+    alike = both >= least * (size[:, None] + size[None, :] - both)
+    alike &= component[:, None] != component[None, :]
+    a, b = np.nonzero(np.triu(alike, 1))
     # One link per component joined: of a spanning forest over the components in the block.
     names, of = np.unique(component, return_inverse=True)
     root, links = _roots(len(names), of[a], of[b]), []

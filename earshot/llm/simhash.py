@@ -63,8 +63,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return id_back(rows.mapInPandas(job, "doc_id string, fp long"), docs.schema[doc_id].dataType)
 
 
-#: Variants a task spells out at once.
-SPELLED = 1 << 22
+#: Variants a task spells out at once; it holds some 80 bytes for each.
+SPELLED = 1 << 20
 
 
 def _flips(bits: int, most: int) -> np.ndarray:
