@@ -13,6 +13,8 @@ from earshot.session import materialize, small
 
 REC_COLUMNS = ("user_id", "recommendation_rank", "track_id", "track_name", "artist_id", "artist_name",
                "artist_affinity_rank", "track_popularity_30d", "recommendation_score")
+# Trending tracks in a row of the list, where users get all of it.
+TREND_BLOCK = 1024
 
 
 def play_cube(ev: DataFrame, days: int, recent_days: int) -> DataFrame:
@@ -93,9 +95,31 @@ def artist_candidates(top_artists: DataFrame, tracks: DataFrame, max_rank: int |
     return first.unionByName(rest)
 
 
+def _all_fallback(users: DataFrame, trending: DataFrame, met: DataFrame, total: int) -> DataFrame:
+    """Every trending track that a user hasn't met, numbered in `_row`; `met` has a user's ranks in `_met`.
+
+    The list is held in blocks, a row each. A user has a row per block with the ranks met there, and the block's tracks are
+    spelt out once the two have met, so rows per user and rank are neither joined, sorted nor shuffled.
+    """
+    spark = users.sparkSession
+    first = F.col("_block") * F.lit(TREND_BLOCK)
+    blocks = (trending.withColumn("_block", F.floor((F.col("global_rank_7d") - 1) / TREND_BLOCK))
+              .groupBy("_block").agg(F.sort_array(F.collect_list(F.struct(
+                  "global_rank_7d", *[c for c in trending.columns if c != "global_rank_7d"]))).alias("_tracks")))
+    asking = (users.join(met, "user_id", "left").repartition(4 * spark.sparkContext.defaultParallelism, "user_id")
+              .withColumn("_met", F.coalesce("_met", F.expr("CAST(array() AS array<bigint>)")))
+              .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // TREND_BLOCK).cast("long"))).alias("_block"))
+              .select(*users.columns, "_block", (first - F.size(F.filter("_met", lambda m: m <= first))).alias("_before"),
+                      F.filter("_met", lambda m: (m > first) & (m <= first + TREND_BLOCK)).alias("_own")))
+    new = F.filter("_tracks", lambda t: ~F.array_contains("_own", t["global_rank_7d"]))
+    return (asking.join(small(blocks, total), "_block")
+            .select(*users.columns, "_before", F.posexplode(new).alias("_at", "_t"))
+            .select(*users.columns, "_t.*", (F.col("_before") + F.col("_at") + 1).cast("long").alias("_row")))
+
+
 def fallback_candidates(users: DataFrame, trending: DataFrame, played: DataFrame, candidates: DataFrame,
-                        rows: int, max_rank: int | None = None) -> DataFrame:
-    """The first `rows` trending tracks that a user has neither played nor been given, numbered in `_row`.
+                        rows: int | None, max_rank: int | None = None) -> DataFrame:
+    """The first `rows` trending tracks that a user has neither played nor been given (all of them if None), numbered in `_row`.
 
     A user who knows k trending tracks meets `rows` new ones within the first k + rows ranks. The ranks known are gathered
     per user, so what is left of 1, 2, 3 ... needs no join of its rows; the leading tracks that any user needs are few and
@@ -106,6 +130,9 @@ def fallback_candidates(users: DataFrame, trending: DataFrame, played: DataFrame
     met = (played.select("user_id", "track_id").unionByName(candidates.select("user_id", "track_id"))
            .join(trending.select("track_id", "global_rank_7d"), "track_id")
            .groupBy("user_id").agg(F.collect_set("global_rank_7d").alias("_met")))
+    if rows is None:
+        length = trending.agg(F.max("global_rank_7d")).first()[0]
+        return _all_fallback(users, trending if length else trending.limit(0), met, length or 1)
     asking = users if max_rank is None else users.filter(F.col("personalized_count") < max_rank)
     wanted = F.lit(rows) if max_rank is None else F.lit(max_rank) - F.col("personalized_count")
     needed = materialize(
@@ -132,11 +159,11 @@ def append_fallback(personalised: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def recs_rule(ev: DataFrame, days: int = 30, top_artists: int = 5, users: DataFrame | None = None,
-              ready: bool = True, max_rank: int | None = None, fallback_rows: int = 100) -> DataFrame:
+              ready: bool = True, max_rank: int | None = None, fallback_rows: int | None = 100) -> DataFrame:
     """Recommendations of every active user, or of those in `users` only.
 
-    All personalised rows, then the first `fallback_rows` trending tracks that are new to the user; or, with
-    `max_rank`, the first max_rank rows of both together.
+    All personalised rows, then the first `fallback_rows` trending tracks that are new to the user (all that there are if
+    None); or, with `max_rank`, the first max_rank rows of both together.
 
     `users` restricts the receiving side before candidates are built; artist and trending
     counts always come from all events.
