@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,15 +122,22 @@ def text_mapping(df: DataFrame, column: str) -> DataFrame:
             .filter(F.col("new").isNotNull() & (F.col("new") != F.col("value"))))
 
 
-def repair_metadata(df: DataFrame, columns: list[str], dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The table with repaired columns, and a report row per column.
+def folded_names(df: DataFrame, columns: Sequence[str], rows: str | None = None) -> DataFrame:
+    """The distinct combinations of the columns with the number of rows that have them, stored; `rows` names a column of `df`
+    with the number of rows that a row of it stands for."""
+    return materialize(df.groupBy(*columns).agg((count_rows() if rows is None else F.sum(rows)).alias("n")))
+
+
+def repair_metadata(df: DataFrame, columns: list[str], dry_run: bool = False, rows: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table with repaired columns, and a report row per column. Repair goes by value, so a table may be given folded:
+    `rows` then names the column with the number of rows that a row stands for.
 
     One pass folds the table to its distinct combinations of the columns, which all columns are counted from.
     Cleaning runs once per distinct value; the few changed values are joined back. Catalyst
     broadcasts the mapping when it is small and otherwise joins by value with skew splitting.
     """
     out, report = df, None
-    names = materialize(df.groupBy(*columns).agg(count_rows().alias("n"))) if len(columns) > 1 else None
+    names = folded_names(df, columns, rows) if len(columns) > 1 or rows is not None else None
     for column in columns:
         found = value_counts(df, column) if names is None else _folded_counts(names, column)
         counts = materialize(found.withColumn("new", clean_text("value")))
@@ -154,11 +163,12 @@ REPAIR_TABLES = ("listen_events", "track_catalog", "recommendations_mf", "recomm
 REPAIR_COLUMNS = ("track_name", "artist_name")
 
 
-def repair_tables(tables: dict[str, DataFrame], dry_run: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Each table with its names repaired, and one report: a row per table and column that it has."""
+def repair_tables(tables: dict[str, DataFrame], dry_run: bool = False, rows: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table with its names repaired, and one report: a row per table and column that it has. With `rows` the tables
+    are given folded, see repair_metadata."""
     repaired, report = {}, None
     for name, df in tables.items():
-        repaired[name], part = repair_metadata(df, [c for c in REPAIR_COLUMNS if c in df.columns], dry_run)
+        repaired[name], part = repair_metadata(df, [c for c in REPAIR_COLUMNS if c in df.columns], dry_run, rows)
         part = part.withColumn("target", F.concat(F.lit(f"{name}."), "target"))
         report = part if report is None else report.unionByName(part)
     return repaired, report

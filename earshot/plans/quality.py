@@ -72,9 +72,14 @@ FIXED = "replace({c}, 'NaÃ¯ve', 'Naïve')"
 
 
 def stored_tables(t):
-    """The four stored tables with names; the hybrid one holds the newest model's rows."""
-    return {"listen_events": t.listens, "track_catalog": t.catalog, "recommendations_mf": t.mf_rows(),
-            "recommendations_hybrid": t.mf_newest()}
+    """The names of the four stored tables with the number of their rows, `n`; the hybrid one holds the newest model's rows.
+
+    Names are repaired by value and results are counts, so each table is folded to its names once, and the stored
+    recommendations, a product of customers and parts, by counting both sides before they are joined.
+    """
+    stored = {"listen_events": (t.listens, None), "track_catalog": (t.catalog, None), "recommendations_mf": (t.mf_names(), "n"),
+              "recommendations_hybrid": (t.newest(t.mf_names()), "n")}
+    return {name: Q.folded_names(df, Q.REPAIR_COLUMNS, rows) for name, (df, rows) in stored.items()}
 
 
 STORED = {"listen_events": "listen_events", "track_catalog": "track_catalog", "recommendations_mf": "mf", "recommendations_hybrid": "mf_latest"}
@@ -85,8 +90,8 @@ SELECT '{name}' AS stored, {FIXED.format(c='track_name')} AS track_name, {FIXED.
 
 def repaired_counts(t):
     out = None
-    for name, df in Q.repair_tables(stored_tables(t))[0].items():
-        part = df.groupBy(F.lit(name).alias("stored"), "track_name", "artist_name").agg(F.count(F.lit(1)).alias("rows"))
+    for name, df in Q.repair_tables(stored_tables(t), rows="n")[0].items():
+        part = df.groupBy(F.lit(name).alias("stored"), "track_name", "artist_name").agg(F.sum("n").alias("rows"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -94,4 +99,4 @@ def repaired_counts(t):
 query("repair_tables_report", ("listen_events", "track_catalog", "mf", "mf_latest"), " UNION ALL ".join(f"""
 SELECT '{name}.{c}' AS target, count(DISTINCT {c}) AS distinct_values_scanned, count(DISTINCT CASE WHEN {c} LIKE 'NaÃ¯ve%' THEN {c} END) AS distinct_values_changed,
  count(CASE WHEN {c} LIKE 'NaÃ¯ve%' THEN 1 END) AS rows_changed FROM {view} WHERE coalesce({c},'') <> ''""" for name, view in STORED.items() for c in TARGETS).strip())(
-    lambda t: Q.repair_tables(stored_tables(t), dry_run=True)[1].drop("examples"))
+    lambda t: Q.repair_tables(stored_tables(t), dry_run=True, rows="n")[1].drop("examples"))
