@@ -186,4 +186,4 @@ def vibe_items(t, limit=100, vibes=REQUESTS):
     return V.vibe_cascade(effective(t), t.catalog, t.ready, names, trending, P.named_trending(names, limit), vibes, limit)
 
 
-query("vibe_cascade", ("vitems",), "SELECT * FROM vitems")(vibe_items)
+query("vibe_cascade", ("vitems",), "SELECT * FROM vitems")(lambda t: vibe_items(t.with_stored_events()))
